@@ -46,21 +46,24 @@ def dictionary(entries: DataFrame) -> DataFrame:
 
 
 def _runs(text: Column, longest: int) -> Column:
-    """Array of (phrase, run) for all phrases of up to ``longest`` runs."""
+    """Array of (term, run) for all phrases of up to ``longest`` runs."""
     def build(parts: Column) -> Column:
-        # Even offsets are runs once a leading separator is dropped.
         runs = F.filter(F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
                         lambda s: s["p"].rlike(rf"\A{RUN}\z"))
-        sized = []
-        for n in range(1, longest + 1):
+
+        def phrases(n: int) -> Column:
+            # n runs with the n - 1 separators between them, taken verbatim.
             width = 2 * n - 1
-            phrase = (lambda s, k: F.struct(s["p"].alias("term"), (k + 1).alias("run"))) if n == 1 else (
-                lambda s, k, w=width: F.struct(
-                    F.when(s["i"] + w <= F.size(parts),
-                           F.array_join(F.slice(parts, s["i"] + 1, F.lit(w)), "")).alias("term"),
-                    (k + 1).alias("run")))
-            sized.append(F.transform(runs, phrase))
-        return F.concat(*sized)
+
+            def phrase(s: Column, k: Column) -> Column:
+                whole = s["p"] if n == 1 else F.when(
+                    s["i"] + width <= F.size(parts),
+                    F.array_join(F.slice(parts, s["i"] + 1, F.lit(width)), ""))
+                return F.struct(whole.alias("term"), (k + 1).alias("run"))
+
+            return F.transform(runs, phrase)
+
+        return F.concat(*[phrases(n) for n in range(1, longest + 1)])
 
     return let(F.split(text, RUN_BREAK), build)
 

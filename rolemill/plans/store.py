@@ -55,7 +55,7 @@ class Store:
         return T.StructType.fromDDL(self.tables[name][0])
 
     def _all(self, name: str) -> DataFrame:
-        schema = self._schema(name).add(BUCKET, "int")
+        schema = self._schema(name).add(BUCKET, T.IntegerType())
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], schema)

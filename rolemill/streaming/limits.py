@@ -6,6 +6,7 @@ rows in chunks, never as one frame.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -45,7 +46,7 @@ class _LimitProcessor(StatefulProcessor):
 
 
 class _LockoutProcessor(StatefulProcessor):
-    """Failure times of one key inside the trailing window."""
+    """The latest ``limit + 1`` distinct failure times of one key: enough to decide exactly."""
 
     def __init__(self, limit: int, window_s: int):
         self.limit, self.window = limit, window_s * MICROS
@@ -54,15 +55,13 @@ class _LockoutProcessor(StatefulProcessor):
         self.recent = handle.getListState("recent", "us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = sorted(r[0] for r in self.recent.get())
+        times = deque(sorted(r[0] for r in self.recent.get()), maxlen=self.limit + 1)
         for pdf in rows:
-            fresh = sorted(set(pdf["us"].tolist()) - set(times))
-            counts = []
+            fresh, locked = sorted(set(pdf["us"].tolist()) - set(times)), []
             for now in fresh:
-                times = [t for t in times if t > now - self.window] + [now]
-                counts.append(len(times))
-            yield pd.DataFrame({"key": key[0], "us": fresh, "failures": counts,
-                                "locked": [c > self.limit for c in counts]})
+                times.append(now)
+                locked.append(len(times) > self.limit and times[0] > now - self.window)
+            yield pd.DataFrame({"key": key[0], "us": fresh, "locked": locked})
         self.recent.put([(t,) for t in times])
 
     def close(self) -> None:
@@ -108,8 +107,8 @@ def rate_limit_stream(hits: DataFrame, key: str, ts: str, limit: int = DAILY_LIM
 
 def lockout_stream(failures: DataFrame, key: str, ts: str, limit: int = FAILURE_LIMIT,
                    window_s: int = FAILURE_WINDOW_S) -> DataFrame:
-    """(key, ts, failures, locked) for every distinct failure time."""
-    return _run(failures, key, ts, _LockoutProcessor(limit, window_s), "failures bigint, locked boolean")
+    """(key, ts, locked) for every distinct failure time."""
+    return _run(failures, key, ts, _LockoutProcessor(limit, window_s), "locked boolean")
 
 
 def cache_hits_stream(prompts: DataFrame, key: str, ts: str) -> DataFrame:

@@ -93,7 +93,7 @@ def test_profile(spark):
 
 @pytest.mark.parametrize("body,years", [
     ("Acme Jan 2020 - Dec 2023", 3.9),
-    ("Acme 2020 - 2023\nBeta 2015 - 2017", 5.0),
+    ("Acme: 2020 - 2023\nBeta: 2015 - 2017", 5.0),
     ("Mar 2018 - Jun 2020, Jan 2020 - Jan 2022", 3.8),
     ("03/2020–08/2022", 2.4),
     ("Aug 2024 to Present", 2.1),
