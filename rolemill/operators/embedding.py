@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rolemill.functions.identity import cv_composite, job_composite, text_key
 from rolemill.functions.vectors import EMBEDDING_DIM, has_dim
+from rolemill.operators.search import with_links
 from rolemill.plans.session import materialize
 from rolemill.plans.skew import join_per_key
 
@@ -101,9 +102,7 @@ def queued(max_retries: int = MAX_RETRIES, backoff_as_of: Column | None = None)
 
 def with_skill_list(jobs: DataFrame, job_skills: DataFrame) -> DataFrame:
     """Jobs with their sorted skill array (empty when none)."""
-    lists = job_skills.groupBy("job_id").agg(F.array_sort(F.collect_set("skill")).alias("skills"))
-    return (jobs.join(lists, jobs["id"] == lists["job_id"], "left").drop("job_id")
-            .withColumn("skills", F.coalesce("skills", F.array().cast("array<string>"))))
+    return with_links(jobs, "id", job_skills, "job_id", "skill", "skills")
 
 
 def candidates(jobs: DataFrame, job_skills: DataFrame, cvs: DataFrame, due: Column | None = None) -> DataFrame:

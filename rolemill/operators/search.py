@@ -179,18 +179,30 @@ def page(df: DataFrame, ts: str, key: str, limit: int, cursor: str | None = None
     )
 
 
-def attach_sources(rows: DataFrame, key: str, links: DataFrame, link_key: str,
-                   value: str = "source", out: str = "sources") -> DataFrame:
-    """Sorted list of link values per row of a small page, empty when there are none."""
-    mine = links.join(F.broadcast(rows.select(F.col(key).alias("_key"))),
-                      F.col(link_key) == F.col("_key"))
-    lists = mine.groupBy("_key").agg(F.array_sort(F.collect_set(value)).alias(out))
+def with_links(rows: DataFrame, key: str, links: DataFrame, link_key: str, value: str, out: str) -> DataFrame:
+    """Sorted list of distinct link values per row, empty when there are none.
+
+    Duplicates are removed on the map side, so a key's list is no longer than
+    its number of distinct values.
+    """
+    lists = links.groupBy(F.col(link_key).alias("_key")).agg(F.array_sort(F.collect_set(value)).alias(out))
     return (
-        rows.join(F.broadcast(lists), rows[key] == lists["_key"], "left").drop("_key")
+        rows.join(lists, rows[key] == lists["_key"], "left").drop("_key")
         .withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
     )
 
 
+def attach_sources(page_rows: DataFrame, key: str, links: DataFrame, link_key: str,
+                   value: str = "source", out: str = "sources") -> DataFrame:
+    """`with_links` for the rows of one page: only their links are gathered.
+
+    A page has at most MAX_LIMIT rows, which bounds the broadcast.
+    """
+    mine = links.join(F.broadcast(page_rows.select(F.col(key).alias("_page_key"))),
+                      F.col(link_key) == F.col("_page_key"), "left_semi")
+    return with_links(page_rows, key, mine, link_key, value, out)
+
+
 def search(jobs: DataFrame, job_skills: DataFrame, job_sources: DataFrame, f: JobFilter,
            as_of: Column, limit: int | str | None = None, cursor: str | None = None,
            stale_days: int = STALE_DAYS) -> DataFrame:
@@ -256,10 +268,7 @@ def detail(table: DataFrame, row_id: str, links: DataFrame | None = None, link_k
     if links is None:
         return one
     # The id is fixed, so the links are filtered by it before they are grouped.
-    listed = (links.where(F.col(link_key) == row_id).groupBy(F.col(link_key).alias("_key"))
-              .agg(F.array_sort(F.collect_set(value)).alias(out)))
-    return (one.join(listed, one["id"] == listed["_key"], "left").drop("_key")
-            .withColumn(out, F.coalesce(out, F.array().cast("array<string>"))))
+    return with_links(one, "id", links.where(F.col(link_key) == row_id), link_key, value, out)
 
 
 PROFILE_COLUMNS = [
