@@ -1,6 +1,6 @@
 """Queries over the test tables, each with reference SQL where SQL can express it."""
 
-from workload import feeds
+from workload import changes, feeds, texts
 from workload.common import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "feeds"]
+__all__ = ["QUERIES", "SQL", "changes", "feeds", "texts"]
