@@ -154,7 +154,7 @@ def after_cursor(ts: Column, key: Column, cursor: str) -> Column:
 
 def cursor_of(ts: Column, key: Column) -> Column:
     """``time|id``; a missing time is an empty first part."""
-    iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    iso = F.date_format(ts.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     return F.concat(F.coalesce(iso, F.lit("")), F.lit("|"), key.cast("string"))
 
 

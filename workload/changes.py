@@ -187,3 +187,12 @@ def stats_filtered(t: Tables) -> DataFrame:
 @query("""SELECT CAST((SELECT count(*) FROM orders WHERE o_orderstatus = 'F') + (SELECT count(*) FROM lineitem WHERE l_linestatus = 'F') AS BIGINT) AS pending""")
 def pending_over_tables(t: Tables) -> DataFrame:
     return admin.pending_total([t.orders.withColumnRenamed("o_orderstatus", "s"), t.lineitem.withColumnRenamed("l_linestatus", "s")], "s", "F")
+
+
+@query(f"""SELECT k, first_doc, last_doc, CAST(row_number() OVER (ORDER BY last_doc DESC, k DESC) AS INT) AS position
+    FROM ({FOLD}) ORDER BY last_doc DESC, k DESC LIMIT 100""")
+def deduplicated_page(t: Tables) -> DataFrame:
+    """Documents as postings: content key, duplicates folded, first page by last sighting."""
+    from rolemill.operators.search import page
+    folded = fold_documents(keyed(t))
+    return page(folded, "last_doc", "k", 100).select("k", "first_doc", "last_doc", "position")
