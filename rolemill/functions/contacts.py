@@ -13,7 +13,7 @@ GITHUB = r"(?i)(?:https?://)?(?:www\.)?github\.com/[a-zA-Z0-9-]{1,39}/?"
 LINKEDIN = r"(?i)(?:https?://)?(?:[a-z]{2,3}\.)?linkedin\.com/in/[a-zA-Z0-9_%-]{3,100}/?"
 _GAP = WS.replace("]", ".-]")
 PHONE = (
-    rf"(?:\+?\d{{1,3}}{_GAP}?)?(?:\(\d{{2,4}}\){_GAP}?)?\d{{3,4}}{_GAP}?\d{{3,4}}"
+    rf"(?=[+(\d])(?:\+?\d{{1,3}}{_GAP}?)?(?:\(\d{{2,4}}\){_GAP}?)?\d{{3,4}}{_GAP}?\d{{3,4}}"
     rf"(?:{_GAP}?\d{{2,4}})?"
 )
 URL = r"(?i)https?://" + NOT_WS.replace("]", r"""<>"')]""") + "+"
@@ -38,17 +38,25 @@ def personal_url(text: Column) -> Column:
     return let(first_match(text, URL), lambda u: F.when(~u.rlike(NOT_PERSONAL), u))
 
 
+def _if_has(text: Column, needle: str, found: Column) -> Column:
+    """Search only texts that hold a literal part of the pattern (a plain byte scan)."""
+    return F.when(F.contains(text, F.lit(needle)), found)
+
+
 def contacts(text: Column, head_chars: int | None = HEAD_CHARS) -> Column:
     """Struct of email, phone, github, linkedin and url.
 
     Email and phone are looked for in the first ``head_chars`` characters;
     ``None`` searches the whole text.
     """
-    head = text if head_chars is None else F.substring(text, 1, head_chars)
-    return F.struct(
-        first_match(head, EMAIL).alias("email"),
-        phone(head).alias("phone"),
-        first_match(text, GITHUB).alias("github"),
-        first_match(text, LINKEDIN).alias("linkedin"),
-        personal_url(text).alias("url"),
-    )
+    def search(low: Column) -> Column:
+        head = text if head_chars is None else F.substring(text, 1, head_chars)
+        return F.struct(
+            _if_has(head, "@", first_match(head, EMAIL)).alias("email"),
+            phone(head).alias("phone"),
+            _if_has(low, "github.com/", first_match(text, GITHUB)).alias("github"),
+            _if_has(low, "linkedin.com/in/", first_match(text, LINKEDIN)).alias("linkedin"),
+            _if_has(low, "://", personal_url(text)).alias("url"),
+        )
+
+    return let(F.lower(text), search)

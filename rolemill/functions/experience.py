@@ -11,7 +11,8 @@ from rolemill.functions.text import EDGE, WS, collapse_ws, first_match, let, tri
 # Date spellings, range signs and the words for an open end.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 OPEN_END = "present|current|now|today"
-DATE_TOKEN = rf"(?:[a-zA-Z]{{3,9}}\.?{WS}+\d{{4}}|\d{{1,2}}/\d{{4}}|\d{{4}}|{OPEN_END})"
+DATE_PARTS = rf"\A(?:([a-zA-Z]{{3,9}})\.?{WS}+|(\d{{1,2}})/)?(\d{{4}})\z"
+DATE_TOKEN = rf"(?:[a-zA-Z]{{3,9}}+\.?{WS}++\d{{4}}|\d{{1,2}}/\d{{4}}|\d{{4}}|{OPEN_END})"
 DATE_RANGE = rf"(?i)({DATE_TOKEN}){WS}*(?:-|–|—|to|until|through){WS}*({DATE_TOKEN})"
 
 # Sections that count as work history.
@@ -39,19 +40,17 @@ HEAD_CHARS = 500
 def date_token_ms(token: Column, as_of: Column) -> Column:
     """Epoch milliseconds of a date token; ``as_of`` for words like "present"."""
     def parse(t: Column) -> Column:
-        named = rf"\A([a-zA-Z]{{3,9}})\.?{WS}+(\d{{4}})\z"
-        numbered = r"\A(\d{1,2})/(\d{4})\z"
-        month_name = F.lower(F.left(F.regexp_extract(t, named, 1), F.lit(3)))
-        month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), month_name).cast("int")
-        month = (
-            F.when(t.rlike(named), F.nullif(month, F.lit(0)))
-            .when(t.rlike(numbered), F.regexp_extract(t, numbered, 1).try_cast("int"))
-            .when(t.rlike(r"\A\d{4}\z"), 1)
-        )
-        year = F.regexp_extract(t, r"(\d{4})\z", 1).try_cast("int")
+        return let(F.struct(t.alias("t"), *[
+            F.regexp_extract(t, DATE_PARTS, g).alias(n) for g, n in [(1, "name"), (2, "number"), (3, "year")]]), moment)
+
+    def moment(p: Column) -> Column:
+        known = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.left(p["name"], F.lit(3))))
+        month = F.when(p["name"] != "", known.cast("int")).when(p["number"] != "", p["number"].cast("int")).otherwise(1)
+        year = F.nullif(p["year"], F.lit("")).cast("int")
+        # Two-digit years written with leading zeros belong to the last century.
         year = F.when(year < 100, year + 1900).otherwise(year)
         first = F.when(month.between(1, 12), F.make_date(year, month, F.lit(1)))
-        return (F.when(t.rlike(rf"(?i)\A(?:{OPEN_END})\z"), F.unix_millis(as_of))
+        return (F.when(F.lower(p["t"]).isin(OPEN_END.split("|")), F.unix_millis(as_of))
                 .otherwise(F.unix_date(first).cast("bigint") * F.lit(DAY_MS)))
 
     return let(trim_ws(token), parse)
@@ -60,11 +59,11 @@ def date_token_ms(token: Column, as_of: Column) -> Column:
 def date_spans(text: Column, as_of: Column) -> Column:
     """Plausible (start, end) spans in epoch milliseconds found in a text, by start."""
     def build(t: Column) -> Column:
-        pairs = F.arrays_zip(
-            F.regexp_extract_all(t, F.lit(DATE_RANGE), F.lit(1)).alias("a"),
-            F.regexp_extract_all(t, F.lit(DATE_RANGE), F.lit(2)).alias("b"))
-        parsed = F.transform(pairs, lambda p: F.struct(
-            date_token_ms(p["a"], as_of).alias("start"), date_token_ms(p["b"], as_of).alias("end")))
+        # One pass over the text; the two dates are then taken from the short matches.
+        found = F.regexp_extract_all(t, F.lit(DATE_RANGE), F.lit(0))
+        parsed = F.transform(found, lambda m: F.struct(*[
+            date_token_ms(F.regexp_extract(m, DATE_RANGE, g), as_of).alias(n)
+            for g, n in [(1, "start"), (2, "end")]]))
         sane = F.filter(parsed, lambda s: (s["end"] > s["start"]) & (
             (s["end"] - s["start"]) / F.lit(YEAR_MS) <= MAX_SPAN_YEARS))
         return F.array_sort(sane)

@@ -31,6 +31,13 @@ HEADINGS = [
     ("interests?", "interests"),
     ("references?", "references"),
 ]
+# What every heading looks like from its first characters: a known word behind an
+# optional bullet, or a line without lower-case letters.  Most lines fail here.
+MAYBE_HEADING = (
+    rf"\A{WS}*[-–—•·*]?{WS}*(?i:professional|work|employment|experience|career|education|technical|"
+    rf"skill|core|key|project|summary|profile|objective|about|certification|languages|publication|"
+    rf"award|volunteer|interest|reference)|\A[^a-z]*[A-Z][^a-z]*\z"
+)
 MAX_HEADING_CHARS = 60
 MAX_CAPS_WORDS = 5
 HEADER = "header"
@@ -60,7 +67,7 @@ def heading_name(line: Column) -> Column:
         plausible = F.length(trimmed).between(1, MAX_HEADING_CHARS) & ~trimmed.rlike(r"[.,;]\z")
         return F.when(plausible, let(bare, named))
 
-    return let(trim_ws(line), check)
+    return F.when(line.rlike(MAYBE_HEADING), let(trim_ws(line), check))
 
 
 def _drop_trailing_blank(lines: Column) -> Column:

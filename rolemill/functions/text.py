@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # Unicode-aware whitespace (Java's \s alone misses no-break and ideographic spaces).
 WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 NOT_WS = r"[^\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+# Whitespace runs that are not already one plain space.
+UNEVEN_WS = rf"[\t\n\x0B\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]{WS}*| {WS}+"
 
 # ASCII word boundary: newer and older JVMs treat accented letters differently in \b.
 EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
@@ -40,7 +42,7 @@ def trim_ws(text: Column) -> Column:
 
 def collapse_ws(text: Column) -> Column:
     """Every whitespace run becomes one plain space, ends trimmed."""
-    return F.trim(F.regexp_replace(text, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(text, UNEVEN_WS, " "))
 
 
 def is_blank(text: Column) -> Column:

@@ -23,6 +23,7 @@ RUN = f"[{WORD}]+"
 RUN_BREAK = f"(?<=[{WORD}])(?=[^{WORD}])|(?<=[^{WORD}])(?=[{WORD}])"
 RUN_START = f"(?<![{WORD}])[{WORD}]"
 MAX_SYMBOL_TERMS = 256
+MAX_TERMS = 100_000  # a dictionary is a parameter; this bounds what planning collects
 
 DICTIONARY = "skills array<struct<canonical:string,aliases:array<string>>>"
 
@@ -45,27 +46,39 @@ def dictionary(entries: DataFrame) -> DataFrame:
     )
 
 
-def _runs(text: Column, longest: int) -> Column:
-    """Array of (term, run) for all phrases of up to ``longest`` runs."""
-    def build(parts: Column) -> Column:
-        runs = F.filter(F.transform(parts, lambda p, i: F.struct(p.alias("p"), i.alias("i"))),
-                        lambda s: s["p"].rlike(rf"\A{RUN}\z"))
+def _phrases(text: Column, longest: int, openers: list[str]) -> Column:
+    """Array of (term, symbol, run): every run, and phrases of 2 to ``longest`` runs.
 
-        def phrases(n: int) -> Column:
-            # n runs with the n - 1 separators between them, taken verbatim.
-            width = 2 * n - 1
+    Longer phrases are only built where a run opens some term of the dictionary,
+    with their separators taken verbatim.
+    """
+    def build(p: Column) -> Column:
+        runs, gaps = p["runs"], p["gaps"]
+
+        def entry(term: Column, at: Column) -> Column:
+            return F.struct(term.alias("term"), F.lit(False).alias("symbol"), (at + 1).alias("run"))
+
+        def longer(starts: Column) -> Column:
+            def of(n: int) -> Column:
+                def phrase(k: Column) -> Column:
+                    parts = [F.get(runs, k)]
+                    for j in range(1, n):
+                        parts += [F.get(gaps, k + j), F.get(runs, k + j)]
+                    return entry(F.concat(*parts), k)
 
-            def phrase(s: Column, k: Column) -> Column:
-                whole = s["p"] if n == 1 else F.when(
-                    s["i"] + width <= F.size(parts),
-                    F.array_join(F.slice(parts, s["i"] + 1, F.lit(width)), ""))
-                return F.struct(whole.alias("term"), (k + 1).alias("run"))
+                return F.transform(F.filter(starts, lambda k: k + n <= F.size(runs)), phrase)
 
-            return F.transform(runs, phrase)
+            return F.concat(*[of(n) for n in range(2, longest + 1)])
 
-        return F.concat(*[phrases(n) for n in range(1, longest + 1)])
+        single = F.transform(runs, lambda r, k: entry(r, k))
+        if longest < 2:
+            return single
+        starts = F.array_compact(F.transform(runs, lambda r, k: F.when(r.isin(openers), k)))
+        return F.concat(single, let(starts, longer))
 
-    return let(F.split(text, RUN_BREAK), build)
+    # Gap k is the text before run k; the first one may be empty.
+    return let(F.struct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("runs"),
+                        (F.split(text, RUN) if longest > 1 else F.array(F.lit(""))).alias("gaps")), build)
 
 
 def _symbol_hits(text: Column, terms: list[str]) -> Column:
@@ -77,8 +90,8 @@ def _symbol_hits(text: Column, terms: list[str]) -> Column:
         first = F.regexp_instr(text, F.lit(pattern))
         run = F.regexp_count(F.left(text, first), F.lit(RUN_START))
         return F.when(first > 0, F.transform(found, lambda _: F.struct(
-            F.lit(term).alias("term"), run.alias("run")))).otherwise(
-                F.array().cast("array<struct<term:string,run:int>>"))
+            F.lit(term).alias("term"), F.lit(True).alias("symbol"), run.alias("run")))).otherwise(
+                F.array().cast("array<struct<term:string,symbol:boolean,run:int>>"))
 
     return F.concat(*[hits(t) for t in terms])
 
@@ -89,19 +102,21 @@ def match_terms(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFra
     ``first_run`` is the ordinal of the word run where the name first occurs.
     Texts are read once and never shuffled; only counted hits are.
     """
+    terms = terms.withColumn("symbol", F.col("term").rlike(r"[+#]\z"))
     shape = terms.agg(
         F.max(F.regexp_count("term", F.lit(RUN_START))).alias("longest"),
-        F.count_if(F.col("term").rlike(r"[+#]\z")).alias("symbols")).first()
-    if (shape["symbols"] or 0) > MAX_SYMBOL_TERMS:
-        raise ValueError(f"more than {MAX_SYMBOL_TERMS} terms end in + or #")
-    symbols = sorted(r["term"] for r in terms.where(F.col("term").rlike(r"[+#]\z"))
-                     .select("term").limit(MAX_SYMBOL_TERMS).collect())
-    low = F.lower(text)
-    spots = let(low, lambda t: F.concat(
-        F.filter(_runs(t, shape["longest"] or 1),
-                 lambda s: s["term"].isNotNull() & ~s["term"].rlike(r"[+#]\z")),
+        F.count_if("symbol").alias("symbols"),
+        F.count("*").alias("terms")).first()
+    if (shape["symbols"] or 0) > MAX_SYMBOL_TERMS or shape["terms"] > MAX_TERMS:
+        raise ValueError(f"a dictionary has at most {MAX_TERMS} terms and {MAX_SYMBOL_TERMS} ending in + or #")
+    symbols = sorted(r["term"] for r in terms.where("symbol").select("term").collect())
+    openers = sorted(r[0] for r in terms.where(~F.col("symbol") & F.col("term").rlike(f"[^{WORD}]"))
+                     .select(F.regexp_extract("term", rf"\A{RUN}", 0)).distinct().collect())
+    spots = let(F.lower(text), lambda t: F.concat(
+        _phrases(t, (shape["longest"] or 1) if openers else 1, openers),
         *([_symbol_hits(t, symbols)] if symbols else [])))
-    hits = df.select(key, F.inline(spots)).join(broadcast_if_small(terms), "term")
+    # Symbol terms are found as patterns only, all others as phrases only.
+    hits = df.select(key, F.inline(spots)).join(broadcast_if_small(terms), ["term", "symbol"])
     return hits.groupBy(key, "canonical").agg(
         F.count("*").alias("occurrences"), F.min("run").alias("first_run"))
 

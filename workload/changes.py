@@ -19,7 +19,7 @@ KEYED = f"(SELECT *, sha256({S.norm('text')}) AS k FROM documents)"
 
 def keyed(t: Tables) -> DataFrame:
     """Documents keyed by their normalized text; ``seen`` is null for short ones."""
-    return t.documents.select(
+    return t.spread("documents").select(
         "doc_id", "source", "lang", text_key(normalize_text(F.col("text"))).alias("k"),
         F.when(F.col("n_chars") > 300, F.col("doc_id")).alias("seen"))
 

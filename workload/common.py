@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rolemill.plans.parallel import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -36,3 +38,7 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row, on at least as many tasks as there are cores."""
+        return spread(getattr(self, name))

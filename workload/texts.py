@@ -23,13 +23,13 @@ def as_of():
 
 @query(f"SELECT page_id, {S.strip_html('html')} AS plain FROM pages")
 def strip_html(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", text.strip_html(F.col("html")).alias("plain"))
+    return t.spread("pages").select("page_id", text.strip_html(F.col("html")).alias("plain"))
 
 
 @query(f"""SELECT doc_id, {S.norm('text')} AS normal, sha256({S.norm('source')} || '|' || {S.norm('text')} || '|' || lang || '|' ||
     array_to_string(list_sort([source, lang, source]), ',')) AS content_hash FROM documents""")
 def normalize_hash(t: Tables) -> DataFrame:
-    return t.documents.select(
+    return t.spread("documents").select(
         "doc_id", text.normalize_text(F.col("text")).alias("normal"),
         identity.content_hash(F.col("source"), F.col("text"), F.col("lang"),
                               F.array("source", "lang", "source")).alias("content_hash"))
@@ -97,13 +97,13 @@ def contact_sql(rel: str, key: str, txt: str) -> str:
 @query(contact_sql("documents", "doc_id", "text"))
 def contacts_in_documents(t: Tables) -> DataFrame:
     found = C.contacts(F.col("text"), head_chars=None)
-    return t.documents.select("doc_id", found.alias("c")).select("doc_id", "c.*")
+    return t.spread("documents").select("doc_id", found.alias("c")).select("doc_id", "c.*")
 
 
 @query(contact_sql("pages", "page_id", "html"))
 def contacts_in_pages(t: Tables) -> DataFrame:
     found = C.contacts(F.col("html"), head_chars=None)
-    return t.pages.select("page_id", found.alias("c")).select("page_id", "c.*")
+    return t.spread("pages").select("page_id", found.alias("c")).select("page_id", "c.*")
 
 
 PROFILE_LINES = """SELECT o_orderkey AS doc_id, 'Customer ' || o_custkey || chr(10) || 'Lead ' || o_orderpriority || ' manager' || chr(10) || chr(10) ||
@@ -116,7 +116,7 @@ def profile_texts(t: Tables) -> DataFrame:
     """One profile-shaped text per order: name, title line, work history, optional extra parts."""
     st, nl = F.col("o_orderstatus"), "\n"
     day = F.col("o_orderdate")
-    return t.orders.select(
+    return t.spread("orders").select(
         F.col("o_orderkey").alias("doc_id"), "o_orderdate", F.concat(
             F.lit("Customer "), "o_custkey", F.lit(nl + "Lead "), "o_orderpriority", F.lit(" manager\n\nProfessional Experience:\nAcme ("),
             F.date_format(day, "MMM yyyy"), F.lit(" - "), F.date_format(F.date_add(day, 400), "MM/yyyy"), F.lit(")\nBeta "),
@@ -132,7 +132,7 @@ def section_rows(df: DataFrame) -> DataFrame:
 
 @query(S.sections("documents"))
 def sections_of_documents(t: Tables) -> DataFrame:
-    return section_rows(t.documents)
+    return section_rows(t.spread("documents"))
 
 
 @query(S.sections(f"({PROFILE_LINES})"))
@@ -202,7 +202,7 @@ MATCHES = f"""WITH terms(term, canonical) AS (VALUES {_terms_sql()}),
 
 @query(MATCHES + " SELECT doc_id, canonical, count(*) AS occurrences FROM h GROUP BY doc_id, canonical")
 def dictionary_match(t: Tables) -> DataFrame:
-    return skills.match_terms(t.documents, "doc_id", "text", word_dictionary(t)).drop("first_run")
+    return skills.match_terms(t.spread("documents"), "doc_id", "text", word_dictionary(t)).drop("first_run")
 
 
 @query(MATCHES + """, c AS (SELECT doc_id, canonical, count(*) AS n, min(i) AS f FROM h WHERE canonical <> 'Sharp' GROUP BY doc_id, canonical)
@@ -210,7 +210,7 @@ def dictionary_match(t: Tables) -> DataFrame:
 def skill_lists(t: Tables) -> DataFrame:
     """Ordered skill list per document (terms without symbol endings)."""
     terms = word_dictionary(t).where(F.col("canonical") != "Sharp")
-    lists = skills.skill_lists(skills.match_terms(t.documents, "doc_id", "text", terms), "doc_id")
+    lists = skills.skill_lists(skills.match_terms(t.spread("documents"), "doc_id", "text", terms), "doc_id")
     shown = F.transform("skills", lambda s: F.concat(s["skill"], F.lit(":"), s["occurrences"]))
     return lists.select("doc_id", F.array_join(shown, ",").alias("skills"))
 
@@ -229,7 +229,7 @@ def canonical_names(t: Tables) -> DataFrame:
     SELECT doc_id, count(*) AS n_runs, CAST(sum(off) AS BIGINT) AS sum_offset, CAST(max(off) AS BIGINT) AS last_offset
     FROM o WHERE regexp_matches(part, '^[a-z0-9+#.]') GROUP BY doc_id""")
 def token_offsets(t: Tables) -> DataFrame:
-    return skills.token_offsets(t.documents, "doc_id", "text").groupBy("doc_id").agg(
+    return skills.token_offsets(t.spread("documents"), "doc_id", "text").groupBy("doc_id").agg(
         F.count("*").alias("n_runs"), F.sum("offset").alias("sum_offset"), F.max("offset").alias("last_offset"))
 
 
@@ -244,7 +244,7 @@ FILES = """SELECT doc_id, text, CASE lang WHEN 'en' THEN 'text/plain' WHEN 'fr'
     FROM (SELECT d.*, f.size FROM documents d JOIN ({FILES}) f USING (doc_id))""")
 def document_admission(t: Tables) -> DataFrame:
     lang = F.col("lang")
-    files = t.documents.select(
+    files = t.spread("documents").select(
         "doc_id", F.when(lang == "en", "text/plain").when(lang == "fr", "application/PDF").otherwise("").alias("content_type"),
         F.concat(F.lit("F"), "doc_id", F.when(lang == "de", ".Docx").when((lang == "es") & (F.col("n_chars") > 500), ".bin")
                  .otherwise(".TXT")).alias("filename"),

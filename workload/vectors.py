@@ -83,7 +83,7 @@ TOKENS = f"""SELECT doc_id, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % {
     SELECT doc_id, CAST(filled AS INT) AS filled, floor(total / len * 1e3 + 0.5) / 1e3 AS total, floor(top / len * 1e4 + 0.5) / 1e4 AS top FROM l""")
 def hashed_encoding(t: Tables) -> DataFrame:
     """Encode every document; summary of each vector."""
-    coded = embedding.encode(t.documents.select("doc_id", "text"), "text", lambda: embedding.hashed_token_encoder(DIM), DIM, keep=["doc_id"])
+    coded = embedding.encode(t.spread("documents").select("doc_id", "text"), "text", lambda: embedding.hashed_token_encoder(DIM), DIM, keep=["doc_id"])
     vec = F.transform("embedding", lambda x: x.cast("double"))
     total = F.aggregate(vec, F.lit(0.0), lambda a, x: a + x)
     return coded.select(
