@@ -6,10 +6,11 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolemill.plans.skew import trailing_count
+from rolemill.plans.broadcast import broadcast_if_small
+from rolemill.plans.skew import HOT_SHARE, trailing_count
 
 # Limits and windows.
 DAILY_LIMIT = 10
@@ -18,6 +19,9 @@ PRUNE_S = 25 * 3600
 FAILURE_LIMIT = 10
 FAILURE_WINDOW_S = 3600
 
+HOT_HITS = 5_000_000  # hits of one key that a single ordered pass may see
+NEVER_USED = -(2**62)
+
 DECISION = "allowed boolean, remaining int, retry_after_s bigint"
 
 
@@ -41,20 +45,32 @@ class Admission:
 
 
 def rate_limit(hits: DataFrame, key: str, ts: str, limit: int = DAILY_LIMIT,
-               window_s: int = WINDOW_S, prune_s: int = PRUNE_S, tie: str | None = None) -> DataFrame:
+               window_s: int = WINDOW_S, prune_s: int = PRUNE_S, tie: str | None = None,
+               hot_hits: int = HOT_HITS) -> DataFrame:
     """Decide every hit of every key in time order.
 
     Only accepted hits count against later ones, which makes this a recurrence
-    that no window function expresses.  Rows are sorted by Spark (spilling to
-    disk) and stream through the task in Arrow batches; the only state is the
-    short list of accepted times of the current key, so no group is ever held.
+    that no window function expresses.  Ordinary keys stream through tasks in
+    order; a key with more than ``hot_hits`` hits that also holds a noticeable
+    share of all rows is cut by time and decided in parallel.
     """
-    order = [F.col(ts), *([F.col(tie)] if tie else [])]
-    rows = (
-        hits.withColumn("_us", F.unix_micros(ts))
-        .repartition(F.col(key)).sortWithinPartitions(F.col(key), *order)
-    )
-    schema = f"{_ddl(hits)}, {DECISION}"
+    rows = hits.withColumn("_us", F.unix_micros(ts))
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    share = counts.agg((F.sum("_n") / HOT_SHARE).alias("t")).scalar()
+    # Fewer than HOT_SHARE keys can hold more than that share.
+    hot = [r[0] for r in counts.where((F.col("_n") > hot_hits) & (F.col("_n") > share)).select(key).collect()]
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    usual = _in_order(rows.where(~is_hot) if hot else rows, hits, key, limit, window_s, prune_s, tie)
+    if not hot:
+        return usual
+    return usual.unionByName(_by_slices(rows.where(is_hot), key, limit, window_s, prune_s, tie))
+
+
+def _in_order(rows: DataFrame, hits: DataFrame, key: str, limit: int, window_s: int, prune_s: int,
+              tie: str | None) -> DataFrame:
+    """One ordered pass: Spark sorts (spilling to disk), tasks keep one key's accepted times."""
+    order = ["_us", *([tie] if tie else [])]
+    ordered = rows.repartition(F.col(key)).sortWithinPartitions(key, *order)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
@@ -68,7 +84,69 @@ def rate_limit(hits: DataFrame, key: str, ts: str, limit: int = DAILY_LIMIT,
                 out, index=pdf.index, columns=["allowed", "remaining", "retry_after_s"])
             yield pdf
 
-    return rows.mapInPandas(decide, schema)
+    return ordered.mapInPandas(decide, f"{_ddl(hits)}, {DECISION}")
+
+
+def _by_slices(rows: DataFrame, key: str, limit: int, window_s: int, prune_s: int,
+               tie: str | None) -> DataFrame:
+    """The same decisions for few very busy keys, without a task per key.
+
+    Time is cut into slices as long as a hit is remembered.  Inside a slice no
+    newly accepted hit is forgotten, so with the times at which the ``limit``
+    slots become free, only the first ``limit`` instants behind each such time
+    can be accepted.  Each slice gathers these few candidates with balanced
+    aggregates; every hit is then decided against its slice's short lists.
+    """
+    prune = prune_s * 1_000_000
+    span = rows.agg(F.min("_us").alias("lo"), F.max("_us").alias("hi")).first()
+    kind = rows.schema[key].dataType.simpleString()
+    spark, start = rows.sparkSession, span["lo"]
+    lists = f"`{key}` {kind}, free array<bigint>"
+    busy = [r[0] for r in rows.select(key).distinct().collect()]
+    accepted: dict = {k: [] for k in busy}
+    decided = []
+    for number in range((span["hi"] - start) // prune + 1):
+        lo = start + number * prune
+        free = {k: sorted([NEVER_USED] * (limit - len(a)) + [t + prune for t in a]) for k, a in accepted.items()}
+        # Fewer than HOT_SHARE rows of ``limit`` numbers each.
+        slots = F.broadcast(spark.createDataFrame([(k, f) for k, f in free.items()], lists))
+        instants = (
+            rows.where((F.col("_us") >= lo) & (F.col("_us") < lo + prune)).select(key, "_us").distinct()
+            .join(slots, key)
+            .withColumn("_freed", F.size(F.filter("free", lambda v: v < F.col("_us"))))
+            .where(F.col("_freed") > 0)
+        )
+        rank = F.row_number().over(Window.partitionBy(key, "_freed").orderBy("_us"))
+        early = instants.select(key, "_us", rank.alias("_rank"), "_freed").where(F.col("_rank") <= limit)
+        taken = {k: [] for k in accepted}
+        for k, now, freed in sorted((r[0], r[1], r[3]) for r in early.collect()):
+            if len(taken[k]) < freed:
+                taken[k].append(now)
+        decided += [(k, number, free[k], taken[k]) for k in accepted]
+        accepted = {k: [t for t in sorted(a + taken[k]) if t + prune >= lo + prune] for k, a in accepted.items()}
+
+    table = spark.createDataFrame(decided, f"`{key}` {kind}, _slice bigint, free array<bigint>, taken array<bigint>")
+    at = F.col("_us")
+    first = Window.partitionBy(key, "_us").orderBy(*([tie] if tie else ["_us"]))
+    freed = F.size(F.filter("free", lambda v: v < at))
+    before = F.size(F.filter("taken", lambda a: a < at))
+    # Further hits at an accepted instant find its slot used but are not stored.
+    again = F.when((F.col("_nth") > 1) & F.array_contains("taken", at), 1).otherwise(0)
+    remembered = F.array_min(F.filter("free", lambda v: v >= at)) - prune
+    oldest = F.coalesce(remembered, F.array_min("taken"))
+    wait = F.greatest(F.ceil((oldest + window_s * 1_000_000 - at) / F.lit(1e6)), F.lit(1))
+    return (
+        rows.withColumn("_nth", F.row_number().over(first))
+        .withColumn("_slice", F.floor((at - start) / F.lit(prune)))
+        .join(broadcast_if_small(table), [key, "_slice"])
+        .withColumn("_used", limit - freed + before + again)
+        .withColumns({
+            "allowed": F.col("_used") < limit,
+            "remaining": F.greatest(limit - F.col("_used") - 1, F.lit(0)).cast("int"),
+            "retry_after_s": F.when(F.col("_used") < limit, F.lit(0)).otherwise(wait).cast("bigint"),
+        })
+        .drop("_us", "_nth", "_slice", "free", "taken", "_used")
+    )
 
 
 def lockout(failures: DataFrame, key: str, ts: str, limit: int = FAILURE_LIMIT,
