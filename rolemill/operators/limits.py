@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolemill.plans.broadcast import broadcast_if_small
-from rolemill.plans.skew import HOT_SHARE, trailing_count
+from rolemill.plans.skew import hot_keys, trailing_count
 
 # Limits and windows.
 DAILY_LIMIT = 10
@@ -55,10 +55,7 @@ def rate_limit(hits: DataFrame, key: str, ts: str, limit: int = DAILY_LIMIT,
     share of all rows is cut by time and decided in parallel.
     """
     rows = hits.withColumn("_us", F.unix_micros(ts))
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    share = counts.agg((F.sum("_n") / HOT_SHARE).alias("t")).scalar()
-    # Fewer than HOT_SHARE keys can hold more than that share.
-    hot = [r[0] for r in counts.where((F.col("_n") > hot_hits) & (F.col("_n") > share)).select(key).collect()]
+    hot = hot_keys(rows, key, hot_hits)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     usual = _in_order(rows.where(~is_hot) if hot else rows, hits, key, limit, window_s, prune_s, tie)
     if not hot:
@@ -108,7 +105,7 @@ def _by_slices(rows: DataFrame, key: str, limit: int, window_s: int, prune_s: in
     for number in range((span["hi"] - start) // prune + 1):
         lo = start + number * prune
         free = {k: sorted([NEVER_USED] * (limit - len(a)) + [t + prune for t in a]) for k, a in accepted.items()}
-        # Fewer than HOT_SHARE rows of ``limit`` numbers each.
+        # As many rows as there are hot keys, ``limit`` numbers each.
         slots = F.broadcast(spark.createDataFrame([(k, f) for k, f in free.items()], lists))
         instants = (
             rows.where((F.col("_us") >= lo) & (F.col("_us") < lo + prune)).select(key, "_us").distinct()

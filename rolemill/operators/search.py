@@ -194,13 +194,15 @@ def with_links(rows: DataFrame, key: str, links: DataFrame, link_key: str, value
 
 def attach_sources(page_rows: DataFrame, key: str, links: DataFrame, link_key: str,
                    value: str = "source", out: str = "sources") -> DataFrame:
-    """`with_links` for the rows of one page: only their links are gathered.
+    """`with_links` for the rows of one page.
 
-    A page has at most MAX_LIMIT rows, which bounds the broadcast.
+    The page is read first, at most MAX_LIMIT rows, so that the links can be
+    scanned for exactly its ids instead of being shuffled.
     """
-    mine = links.join(F.broadcast(page_rows.select(F.col(key).alias("_page_key"))),
-                      F.col(link_key) == F.col("_page_key"), "left_semi")
-    return with_links(page_rows, key, mine, link_key, value, out)
+    rows = page_rows.collect()
+    local = page_rows.sparkSession.createDataFrame(rows, page_rows.schema)
+    ids = [r[key] for r in rows]
+    return with_links(local, key, links.where(F.col(link_key).isin(ids)), link_key, value, out)
 
 
 def search(jobs: DataFrame, job_skills: DataFrame, job_sources: DataFrame, f: JobFilter,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 SALTS = 64
 HOT_SHARE = 1024  # a key is hot when it holds more than 1/HOT_SHARE of all rows
+TRACKED = 16 * HOT_SHARE  # size of the sketch that finds hot keys
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
@@ -35,36 +36,33 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     )
 
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """Keys above the hot share with their number of salts; fewer than HOT_SHARE rows."""
-    counts = df.groupBy(key).agg(F.count("*").alias("_n"))
-    total = counts.agg((F.sum("_n") / HOT_SHARE).alias("t")).scalar()
-    return counts.where(F.col("_n") > total).select(key, F.lit(SALTS).alias("_salts"))
+def hot_keys(df: DataFrame, key: str, at_least: int = 0) -> list:
+    """Keys that hold more than 1/HOT_SHARE of all rows (and ``at_least`` rows).
+
+    One pass with a frequent-items sketch: every task keeps a table of fixed size
+    and nothing is shuffled by key.  The list has fewer than HOT_SHARE entries.
+    It only steers how work is spread, so its counts may be estimates.
+    """
+    row = df.where(F.col(key).isNotNull()).agg(
+        F.expr(f"approx_top_k(`{key}`, {HOT_SHARE}, {TRACKED})").alias("top"), F.count("*").alias("n")).first()
+    floor = max(row["n"] / HOT_SHARE, at_least)
+    return [item["item"] for item in row["top"] or [] if item["count"] > floor]
 
 
 def join_per_key(rows: DataFrame, table: DataFrame, key: str, how: str = "left",
                  spread: Sequence[str] | None = None) -> DataFrame:
     """Join ``rows`` with a ``table`` that is unique by ``key``, splitting hot keys.
 
-    Only rows of hot keys are salted, and only their few table rows are copied;
-    the broadcast list of hot keys has fewer than HOT_SHARE entries by
-    construction.  Rows without a key match nothing and are spread as well.  The
-    salt is a hash of the ``spread`` columns (default: all), so a recomputed
-    task repeats it.
+    Only rows of hot keys are salted, and only their few table rows are copied.
+    Rows without a key match nothing and are spread as well.  The salt is a hash
+    of the ``spread`` columns (default: all), so a recomputed task repeats it.
     """
-    hot = F.broadcast(hot_keys(rows.where(F.col(key).isNotNull()), key))
-    spread_hash = F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(SALTS)).cast("int")
-    left = (
-        rows.join(hot, key, "left")
-        .withColumn("_salt", F.when(F.col("_salts").isNotNull() | F.col(key).isNull(), spread_hash)
-                    .otherwise(0))
-        .drop("_salts")
-    )
-    right = (
-        table.join(hot, key, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)))
-        .drop("_salts")
-    )
+    hot = hot_keys(rows, key)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    salt = F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(SALTS)).cast("int")
+    lanes = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), salt).otherwise(0))
+    right = table.withColumn("_salt", F.explode(lanes) if hot else F.lit(0))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
