@@ -133,10 +133,14 @@ def split_by_cache(keyed: DataFrame, cache: DataFrame, key: str = "hash",
 
 @dataclass
 class Drained:
+    """New tables after a drain, and what led to them."""
+
     jobs: DataFrame
     cvs: DataFrame
     cache: DataFrame
     stats: DataFrame
+    results: DataFrame  # (hash, kind, id, embedding, outcome, cached) per queued row
+    new_cache: DataFrame  # cache rows to append
 
 
 def write_back(table: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
@@ -180,6 +184,8 @@ def drain_queue(jobs: DataFrame, job_skills: DataFrame, cvs: DataFrame, cache: D
         cvs=write_back(cvs, results.where(F.col("kind") == "cv"), as_of),
         cache=cache.unionByName(new_cache),
         stats=tick_stats(results),
+        results=results,
+        new_cache=new_cache,
     )
 
 

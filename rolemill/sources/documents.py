@@ -9,6 +9,7 @@ from rolemill.functions.contacts import HEAD_CHARS as CONTACT_CHARS
 from rolemill.functions.contacts import contacts
 from rolemill.functions.experience import HEAD_CHARS as ROLE_CHARS
 from rolemill.functions.experience import target_role, years_experience
+from rolemill.functions.identity import job_id
 from rolemill.functions.sections import sections
 from rolemill.functions.text import trim_ws
 from rolemill.operators.skills import match_terms, skill_lists
@@ -34,7 +35,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Files as (id, filename, content_type, size, content)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(
-        F.sha2("path", 256).alias("id"),
+        job_id(F.sha2("path", 256)).alias("id"),
         F.url_decode(F.substring_index("path", "/", -1)).alias("filename"),
         F.lit("").alias("content_type"), F.col("length").alias("size"), "content",
         F.col("modificationTime").alias("created_at"))

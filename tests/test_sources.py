@@ -211,3 +211,49 @@ def test_documents(spark, tmp_path):
                                    ("text/html", "x"), ("", "README.MD"), ("", "noext"), (None, None)], "c string, f string")
     assert [r[0] for r in kinds.select(documents.document_kind(F.col("c"), F.col("f"))).collect()] == [
         "pdf", "docx", "docx", "text", "text", "unsupported", "unsupported"]
+
+
+def test_profiles_queue_and_retention_in_the_store(spark, tmp_path):
+    from rolemill.operators.embedding import hashed_token_encoder
+    from rolemill.operators.match import match
+    from rolemill.operators.search import profile_detail
+    from rolemill.operators.skills import read_dictionary
+    from rolemill.plans import maintenance
+
+    book = tmp_path / "dict.json"
+    book.write_text(json.dumps({"version": 1, "skills": [
+        {"canonical": "SQL", "aliases": ["Postgres"]}, {"canonical": "Go", "aliases": []}, {"canonical": "Late", "aliases": ["sql"]}]}))
+    terms = read_dictionary(spark, str(book))
+    assert {(r.term, r.canonical) for r in terms.collect()} == {("sql", "SQL"), ("postgres", "SQL"), ("go", "Go"), ("late", "Late")}
+
+    docs, root = tmp_path / "docs", str(tmp_path / "landing")
+    docs.mkdir()
+    (docs / "cv.txt").write_text("Jane\nData Engineer\n\nSKILLS\nsql, Go and more things to fill the line\n")
+    (docs / "bad.txt").write_text("tiny")
+    write_landing(root)
+    as_of = F.lit("2026-08-20 00:00:00").cast("timestamp")
+    store = Store(spark, shared_folder(spark, "state"), buckets=2)
+    store.append("companies", registry(spark))
+    plan.ingest(spark, root, store, as_of, ["arbeitnow", "remotive", "greenhouse"])
+    for _ in range(2):
+        rejected = maintenance.upload(store, documents.read_documents(spark, str(docs)), terms, as_of)
+        assert [r.reject_reason for r in rejected.collect()] == ["text too short"]
+    assert store.read("cv_profiles").count() == 1 and store.read("cv_skills").count() == 2
+
+    stats = maintenance.drain(store, lambda: hashed_token_encoder(16), as_of, 16)
+    assert stats == {"processed": 4, "embedded": 4, "cached": 0, "failed": 0}
+    assert maintenance.drain(store, lambda: hashed_token_encoder(16), as_of, 16)["processed"] == 0
+    assert store.read("embedding_cache").count() == 4
+    cv = store.read("cv_profiles").first()
+    best = match(store.read("jobs"), store.read("cv_profiles"), cv.id, as_of, limit=2).collect()
+    assert best[0].title == "Data Engineer" and best[0].score >= best[1].score
+    assert profile_detail(store.read("cv_profiles"), cv.id).first().target_role == "Data Engineer"
+
+    maintenance.remove_stale(store, F.lit("2026-10-01 00:00:00").cast("timestamp"))
+    assert [store.read(t).count() for t in ("jobs", "job_sources", "job_skills")] == [0, 0, 0]
+
+    log = spark.createDataFrame([("p", "hi", "m", 1), ("p", "later", "m", 2)],
+                                "prompt_hash string, response_text string, model string, arrival int").withColumn("created_at", as_of)
+    for _ in range(2):
+        maintenance.record(store, "chat_cache", log, ["prompt_hash"])
+    assert [r.response_text for r in store.read("chat_cache").collect()] == ["hi"]
