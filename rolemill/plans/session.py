@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +39,17 @@ def build_session(app: str, cores: int | None = None, shuffle_partitions: int |
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder."""
+    """A fresh folder under the cluster's shared checkpoint folder.
+
+    A local session without that setting gets a temporary one; on a cluster the
+    setting is required, because executors do not share a machine's own folders.
+    """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors can reach")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors can reach")
+        root = tempfile.mkdtemp(prefix="rolemill-")
+        spark.conf.set(CHECKPOINT_CONF, root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
