@@ -18,6 +18,7 @@ from rolemill.functions.vectors import cosine_distance_to, score
 from rolemill.operators.search import PAGE_COLUMNS, STALE_DAYS, clamp_limit, having_all, visible
 
 BLOCK = 4096  # vectors per side of a block
+MATRIX_CELLS = 4_000_000  # distances held at once
 TIE_DIGITS = 12  # distances closer than this are ties, decided by item id
 
 
@@ -69,25 +70,34 @@ def _unit(vectors) -> np.ndarray:
     return np.divide(mat, length, out=np.full_like(mat, np.nan), where=length > 0)
 
 
-def _best(q_ids: np.ndarray, q_mat: np.ndarray, i_ids: np.ndarray, i_mat: np.ndarray, k: int,
+def _leaders(near: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The first ``k`` rows of every query by distance, ties by item id."""
+    ranked = near.sort_values(["query_id", "distance", "item_id"], kind="stable")
+    return ranked.groupby("query_id", sort=False).head(k)
+
+
+def _near(q_ids: np.ndarray, q_mat: np.ndarray, i_ids: np.ndarray, i_mat: np.ndarray, k: int,
           skip_same_id: bool) -> pd.DataFrame:
-    """The ``k`` closest items of each query within one block."""
+    """Candidates of one distance matrix: everything up to each query's k-th distance."""
     dist = np.round(1.0 - q_mat @ i_mat.T, TIE_DIGITS)
+    dist[np.isnan(dist)] = np.inf
     if skip_same_id:
-        dist[q_ids[:, None] == i_ids[None, :]] = np.nan
-    dist = np.where(np.isnan(dist), np.inf, dist)
-    by_id = np.argsort(i_ids, kind="stable")
-    dist, ids = dist[:, by_id], i_ids[by_id]
-    if k < dist.shape[1]:
-        # Everything up to the k-th distance, so that ties are still decided by id.
-        kth = np.partition(dist, k - 1, axis=1)[:, k - 1:k]
-        keep = dist <= kth
-    else:
-        keep = np.ones_like(dist, dtype=bool)
-    rows, cols = np.nonzero(keep & np.isfinite(dist))
-    near = pd.DataFrame({"query_id": q_ids[rows], "item_id": ids[cols], "distance": dist[rows, cols]})
-    near = near.sort_values(["query_id", "distance", "item_id"], kind="stable")
-    return near.groupby("query_id", sort=False).head(k)
+        dist[q_ids[:, None] == i_ids[None, :]] = np.inf
+    limit = np.partition(dist, k - 1, axis=1)[:, k - 1:k] if k < dist.shape[1] else np.inf
+    rows, cols = np.nonzero((dist <= limit) & np.isfinite(dist))
+    near = pd.DataFrame({"query_id": q_ids[rows], "item_id": i_ids[cols], "distance": dist[rows, cols]})
+    return _leaders(near, k)
+
+
+def _best(q_ids: np.ndarray, q_mat: np.ndarray, i_ids: np.ndarray, i_mat: np.ndarray, k: int,
+          skip_same_id: bool) -> pd.DataFrame:
+    """The ``k`` closest items of each query, over distance matrices of bounded size."""
+    step = max(k + 1, MATRIX_CELLS // len(q_ids))
+    best = None
+    for at in range(0, len(i_ids), step):
+        near = _near(q_ids, q_mat, i_ids[at:at + step], i_mat[at:at + step], k, skip_same_id)
+        best = near if best is None else _leaders(pd.concat([best, near]), k)
+    return best
 
 
 def _rename(df: DataFrame, key: str, vec: str, *extra: str) -> DataFrame:
@@ -165,9 +175,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "id", it
             if pdf.empty:
                 continue
             near = _best(q_ids, q_mat, pdf["_id"].to_numpy(), _unit(pdf["_vec"]), k, skip_same_id)
-            if best is not None:
-                near = pd.concat([best, near]).sort_values(["query_id", "distance", "item_id"])
-            best = near.groupby("query_id", sort=False).head(k)
+            best = near if best is None else _leaders(pd.concat([best, near]), k)
         if best is not None:
             yield best
 

@@ -221,12 +221,17 @@ def test_match_golden(spark):
         match.match(jobs, cvs, "w", as_of())
 
 
-def test_top_k_blocks(spark):
+def test_top_k_blocks(spark, monkeypatch):
     mat, df = vectors(spark, 120, clones=40)
     want = nearest_by_hand(mat, 5)
     assert as_dict(match.top_k(df, df, 5, skip_same_id=True)) == want
     # More queries than a block: both sides are cut into cells.
     assert as_dict(match.top_k(df, df, 5, skip_same_id=True, block=25)) == want
+    unit = match._unit(list(mat))
+    monkeypatch.setattr(match, "MATRIX_CELLS", 1000)
+    near = match._best(np.arange(120), unit, np.arange(120), unit, 5, True)
+    got = {q: list(zip(g["distance"], g["item_id"])) for q, g in near.groupby("query_id")}
+    assert got == want
 
 
 def test_approx_recall(spark):
