@@ -16,7 +16,8 @@ from workload.common import Tables, query
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-@query("""WITH s AS (SELECT user_id, epoch_us(ts) AS s, max(epoch_us(ts) + CAST(floor(value * 60e6) AS BIGINT)) AS e FROM events GROUP BY 1, 2),
+@query("""WITH s AS (SELECT user_id, epoch_us(ts) AS s, max(epoch_us(ts) + CAST(floor(value * 60e6) AS BIGINT)) AS e FROM events
+      WHERE floor(value * 60e6) > 0 GROUP BY 1, 2),
     r AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s)
     SELECT user_id, count(*) FILTER (reach IS NULL OR s > reach) AS islands,
       CAST(sum(greatest(e - greatest(s, coalesce(reach, s)), 0)) AS BIGINT) AS covered_us FROM r GROUP BY user_id""")

@@ -79,8 +79,9 @@ TOKENS = f"""SELECT doc_id, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % {
 
 
 @query(f"""WITH c AS (SELECT doc_id, b, count(*) AS n FROM ({TOKENS}) GROUP BY doc_id, b),
-    l AS (SELECT doc_id, sqrt(sum(n * n)) AS len, count(*) AS filled, sum(n) AS total, max(n) AS top FROM c GROUP BY doc_id)
-    SELECT doc_id, CAST(filled AS INT) AS filled, floor(total / len * 1e3 + 0.5) / 1e3 AS total, floor(top / len * 1e4 + 0.5) / 1e4 AS top FROM l""")
+    l AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS x FROM c),
+    f AS (SELECT doc_id, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x FROM l)
+    SELECT doc_id, CAST(count(*) AS INT) AS filled, floor(sum(x) * 1e3 + 0.5) / 1e3 AS total, floor(max(x) * 1e4 + 0.5) / 1e4 AS top FROM f GROUP BY doc_id""")
 def hashed_encoding(t: Tables) -> DataFrame:
     """Encode every document; summary of each vector."""
     coded = embedding.encode(t.spread("documents").select("doc_id", "text"), "text", lambda: embedding.hashed_token_encoder(DIM), DIM, keep=["doc_id"])
