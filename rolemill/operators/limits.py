@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,48 +44,67 @@ class Admission:
             self.times.append(now)
         return True, self.limit - used - 1, 0
 
+    def remember(self, then: int) -> tuple[None, None, None]:
+        """Take over a hit that was accepted before."""
+        self.times.append(then)
+        return None, None, None
+
 
 def rate_limit(hits: DataFrame, key: str, ts: str, limit: int = DAILY_LIMIT,
                window_s: int = WINDOW_S, prune_s: int = PRUNE_S, tie: str | None = None,
-               hot_hits: int = HOT_HITS) -> DataFrame:
+               stored: DataFrame | None = None, hot_hits: int = HOT_HITS) -> DataFrame:
     """Decide every hit of every key in time order.
 
+    ``stored`` holds hits accepted by earlier runs (same key and time columns).
+
     Only accepted hits count against later ones, which makes this a recurrence
     that no window function expresses.  Ordinary keys stream through tasks in
     order; a key with more than ``hot_hits`` hits that also holds a noticeable
     share of all rows is cut by time and decided in parallel.
     """
     rows = hits.withColumn("_us", F.unix_micros(ts))
+    past = None if stored is None else stored.select(key, F.unix_micros(ts).alias("_us")).distinct()
     hot = hot_keys(rows, key, hot_hits)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    usual = _in_order(rows.where(~is_hot) if hot else rows, hits, key, limit, window_s, prune_s, tie)
     if not hot:
-        return usual
-    return usual.unionByName(_by_slices(rows.where(is_hot), key, limit, window_s, prune_s, tie))
+        return _in_order(rows, past, key, limit, window_s, prune_s, tie)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    usual = _in_order(rows.where(~is_hot), past if past is None else past.where(~is_hot),
+                      key, limit, window_s, prune_s, tie)
+    busy = _by_slices(rows.where(is_hot), past if past is None else past.where(is_hot),
+                      key, limit, window_s, prune_s, tie)
+    return usual.unionByName(busy)
 
 
-def _in_order(rows: DataFrame, hits: DataFrame, key: str, limit: int, window_s: int, prune_s: int,
+def _in_order(rows: DataFrame, past: DataFrame | None, key: str, limit: int, window_s: int, prune_s: int,
               tie: str | None) -> DataFrame:
     """One ordered pass: Spark sorts (spilling to disk), tasks keep one key's accepted times."""
-    order = ["_us", *([tie] if tie else [])]
+    schema = f"{_ddl(rows.drop('_us'))}, {DECISION}"
+    rows = rows.withColumn("_past", F.lit(False))
+    if past is not None:
+        rows = rows.unionByName(past.withColumn("_past", F.lit(True)), allowMissingColumns=True)
+    order = ["_us", F.desc("_past"), *([tie] if tie else [])]
     ordered = rows.repartition(F.col(key)).sortWithinPartitions(key, *order)
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for k, now in zip(pdf[key].tolist(), pdf.pop("_us").tolist()):
+            for k, now, known in zip(*(batch.column(c).to_pylist() for c in (key, "_us", "_past"))):
                 if state is None or k != current:
                     current, state = k, Admission(limit, window_s, prune_s)
-                out.append(state.hit(now))
-            pdf[["allowed", "remaining", "retry_after_s"]] = pd.DataFrame(
-                out, index=pdf.index, columns=["allowed", "remaining", "retry_after_s"])
-            yield pdf
+                out.append(state.remember(now) if known else state.hit(now))
+            allowed, remaining, retry = zip(*out) if out else ((), (), ())
+            plain = batch.drop_columns(["_us", "_past"])
+            decided = pa.RecordBatch.from_arrays(
+                [*plain.columns, pa.array(allowed, pa.bool_()), pa.array(remaining, pa.int32()),
+                 pa.array(retry, pa.int64())],
+                names=[*plain.schema.names, "allowed", "remaining", "retry_after_s"])
+            yield decided.filter(pc.invert(batch.column("_past")))
 
-    return ordered.mapInPandas(decide, f"{_ddl(hits)}, {DECISION}")
+    return ordered.mapInArrow(decide, schema)
 
 
-def _by_slices(rows: DataFrame, key: str, limit: int, window_s: int, prune_s: int,
+def _by_slices(rows: DataFrame, past: DataFrame | None, key: str, limit: int, window_s: int, prune_s: int,
                tie: str | None) -> DataFrame:
     """The same decisions for few very busy keys, without a task per key.
 
@@ -101,6 +121,11 @@ def _by_slices(rows: DataFrame, key: str, limit: int, window_s: int, prune_s: in
     lists = f"`{key}` {kind}, free array<bigint>"
     busy = [r[0] for r in rows.select(key).distinct().collect()]
     accepted: dict = {k: [] for k in busy}
+    if past is not None:
+        # What a key may still remember: at most ``limit`` accepted hits.
+        for k, now in past.where(F.col("_us").between(start - prune, start)).collect():
+            if k in accepted:
+                accepted[k].append(now)
     decided = []
     for number in range((span["hi"] - start) // prune + 1):
         lo = start + number * prune

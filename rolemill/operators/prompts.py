@@ -63,11 +63,13 @@ def cache_hits(prompts: DataFrame, key: str, order: Sequence[Column | str]) -> D
     return first_per_key(prompts, [key], order, "_first").withColumn("cached", ~F.col("_first")).drop("_first")
 
 
-def usage_log(usage: DataFrame, user: str | None = None, n: int = USAGE_PAGE, order: Sequence[str] = ("created_at", "id"),
-              user_column: str = "user_key") -> DataFrame:
-    """The oldest ``n`` entries; a user sees those among them that are their own."""
-    oldest = usage.orderBy(*order).limit(n)
-    return oldest if user is None else oldest.where(F.col(user_column) == user)
+def usage_log(usage: DataFrame, user: str | None = None, n: int = USAGE_PAGE,
+              order: Sequence[str] = ("created_at", "id"), user_column: str = "user_key",
+              newest: bool = False) -> DataFrame:
+    """The oldest (or newest) ``n`` entries; a user sees those among them that are their own."""
+    by = [F.desc(c) if newest else F.asc(c) for c in order]
+    entries = usage.orderBy(*by).limit(n)
+    return entries if user is None else entries.where(F.col(user_column) == user)
 
 
 def usage_rollup(usage: DataFrame, by: Sequence[str], tokens: Sequence[str], cached: str, latency: str,

@@ -316,6 +316,24 @@ def test_rate_limit_hot_keys(spark):
             (r.k, r.id, r.ts, r.allowed, r.remaining, r.retry_after_s) for r in plain)
 
 
+def test_rate_limit_continues(spark):
+    """Two runs, the second knowing what the first accepted, decide like one run."""
+    rng = random.Random(2)
+    t0 = dt.datetime(2026, 8, 1)
+    rows = sorted((rng.choice("ab"), i, t0 + dt.timedelta(seconds=rng.randint(0, 60000))) for i in range(300))
+    df = spark.createDataFrame(rows, "k string, id int, ts timestamp")
+    cut = F.col("ts") < F.lit("2026-08-01 08:00:00").cast("timestamp")
+    cols = ["k", "id", "allowed", "remaining", "retry_after_s"]
+    args = dict(limit=3, window_s=7200, prune_s=9000, tie="id")
+    whole = limits.rate_limit(df, "k", "ts", **args)
+    first = limits.rate_limit(df.where(cut), "k", "ts", **args)
+    stored = first.where("allowed").select("k", "ts")
+    for hot in (10**9, 10):
+        second = limits.rate_limit(df.where(~cut), "k", "ts", stored=stored, hot_hits=hot, **args)
+        both = first.select(*cols).collect() + second.select(*cols).collect()
+        assert sorted(map(tuple, both)) == sorted(map(tuple, whole.select(*cols).collect()))
+
+
 def test_lockout(spark):
     t0 = dt.datetime(2026, 8, 1, 0, 30)
     times = [t0 + i * dt.timedelta(minutes=5) for i in range(14)]

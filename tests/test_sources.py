@@ -257,3 +257,22 @@ def test_profiles_queue_and_retention_in_the_store(spark, tmp_path):
     for _ in range(2):
         maintenance.record(store, "chat_cache", log, ["prompt_hash"])
     assert [r.response_text for r in store.read("chat_cache").collect()] == ["hi"]
+
+
+def test_stream_takes_only_new_files(spark, tmp_path):
+    root = str(tmp_path / "landing")
+    write_landing(root)
+    store = Store(spark, shared_folder(spark, "state"), buckets=2)
+    checkpoint = shared_folder(spark, "cp")
+    days = [F.lit(d).cast("timestamp") for d in ("2026-08-20 00:00:00", "2026-08-21 00:00:00")]
+    ingest_stream(spark, root, store, "arbeitnow", days[0], checkpoint).awaitTermination()
+    # A late record of a known posting, and a new one.
+    with open(os.path.join(root, "source=arbeitnow", "2.json"), "w") as f:
+        json.dump({"data": [dict(id=9, title="DATA engineer", company_name="acme", location="Paris", tags=["sql"],
+                                 description="late"), dict(id=10, title="New", company_name="Acme")]}, f)
+    ingest_stream(spark, root, store, "arbeitnow", days[1], checkpoint).awaitTermination()
+    rows = {r.title: r for r in store.read("jobs").collect()}
+    assert sorted(rows) == ["Data Engineer", "New", "Other"]
+    assert rows["Data Engineer"].description == "late" and rows["Data Engineer"].last_seen_at == UTC(2026, 8, 21)
+    assert rows["Other"].last_seen_at == UTC(2026, 8, 20)
+    assert store.read("sources").first().jobs_fetched == 2
