@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
+SALTS = 256
 HOT_SHARE = 1024  # a key is hot when it holds more than 1/HOT_SHARE of all rows
 TRACKED = 16 * HOT_SHARE  # size of the sketch that finds hot keys
 

@@ -14,5 +14,8 @@ def spark():
     session = build_session("tests", cores=8, shuffle_partitions=4,
                             shared_dir=tempfile.mkdtemp(prefix="rolemill-"))
     session.sparkContext.setLogLevel("ERROR")
+    # Tiny inputs: compiling each stage would take longer than running it.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()

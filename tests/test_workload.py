@@ -17,6 +17,18 @@ def duck():
     return connect(SF_DIR)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def compiled(spark):
+    """Run these queries as a cluster would, with code generation."""
+    names = ["spark.sql.codegen.wholeStage", "spark.sql.codegen.factoryMode"]
+    before = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ["true", "FALLBACK"]):
+        spark.conf.set(n, v)
+    yield
+    for n, v in zip(names, before):
+        spark.conf.set(n, v)
+
+
 @pytest.mark.parametrize("name", list(workload.QUERIES))
 def test_query(spark, duck, name):
     result = compare(spark, duck, SF_DIR, name, workload.QUERIES[name], workload.SQL.get(name))

@@ -47,33 +47,33 @@ def page_after_undated(t: Tables) -> DataFrame:
     return search.page(dated_orders(t), "posted", "o_orderkey", 50, "|40")
 
 
-JOBS = """SELECT p_partkey AS id, p_name AS title, p_brand AS company, CASE WHEN p_size % 4 > 0 THEN p_type || CASE p_size % 4 WHEN 1 THEN ' Remote'
-      WHEN 2 THEN ' hybrid' ELSE '' END END AS location,
-    CASE p_size % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS remote_allowed,
+JOBS = """SELECT p_partkey AS id, p_name AS title, p_brand AS company,
+    CASE WHEN p_size < 40 THEN p_type || CASE WHEN p_size < 10 THEN ' Remote' WHEN p_size < 20 THEN ' hybrid' ELSE '' END END AS location,
+    CASE WHEN p_brand < 'Brand#15' THEN TRUE WHEN p_brand < 'Brand#20' THEN FALSE END AS remote_allowed,
     CASE WHEN p_size < 10 THEN 'junior' WHEN p_size < 30 THEN 'mid' ELSE 'senior' END AS seniority,
-    CASE WHEN p_size % 5 > 0 THEN CAST(floor(p_retailprice) AS INT) END AS salary_max,
-    CASE WHEN p_size % 7 > 0 THEN TIMESTAMP '2001-08-01' - to_days(CAST(p_partkey % 60 AS INT)) END AS posted_at,
+    CASE WHEN p_type <> 'PROMO' THEN CAST(floor(p_retailprice) AS INT) END AS salary_max,
+    CASE WHEN p_type <> 'SMALL' THEN TIMESTAMP '2001-08-01' - to_days(p_size) END AS posted_at,
     p_name || ' with VISA' || p_size AS description, p_brand || ' ' || p_type AS summary FROM part"""
 
 
 def parts_as_jobs(t: Tables) -> DataFrame:
-    size = F.col("p_size")
+    size, brand = F.col("p_size"), F.col("p_brand")
     return t.part.select(
-        F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"),
-        F.when(size % 4 > 0, F.concat("p_type", F.when(size % 4 == 1, " Remote").when(size % 4 == 2, " hybrid").otherwise(""))).alias("location"),
-        F.when(size % 3 == 0, True).when(size % 3 == 1, False).alias("remote_allowed"),
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), brand.alias("company"),
+        F.when(size < 40, F.concat("p_type", F.when(size < 10, " Remote").when(size < 20, " hybrid").otherwise(""))).alias("location"),
+        F.when(brand < "Brand#15", True).when(brand < "Brand#20", False).alias("remote_allowed"),
         F.when(size < 10, "junior").when(size < 30, "mid").otherwise("senior").alias("seniority"),
-        F.when(size % 5 > 0, F.floor("p_retailprice").cast("int")).alias("salary_max"),
-        F.when(size % 7 > 0, as_of() - F.make_dt_interval((F.col("p_partkey") % 60).cast("int"))).alias("posted_at"),
+        F.when(F.col("p_type") != "PROMO", F.floor("p_retailprice").cast("int")).alias("salary_max"),
+        F.when(F.col("p_type") != "SMALL", as_of() - F.make_dt_interval(size)).alias("posted_at"),
         F.concat("p_name", F.lit(" with VISA"), "p_size").alias("description"),
         F.concat("p_brand", F.lit(" "), "p_type").alias("summary"))
 
 
 @query(f"""SELECT id, title FROM ({JOBS}) WHERE location ILIKE '%a%' AND remote_allowed AND seniority IN ('mid', 'senior')
-    AND salary_max >= 910 AND posted_at >= TIMESTAMP '2001-08-01' - INTERVAL 45 DAY AND description ILIKE '%visa%'
+    AND salary_max >= 910 AND posted_at >= TIMESTAMP '2001-08-01' - INTERVAL 35 DAY AND description ILIKE '%visa%'
     AND (title ILIKE '%Ro%' OR company ILIKE '%Ro%' OR summary ILIKE '%Ro%')""")
 def compound_filter(t: Tables) -> DataFrame:
-    f = JobFilter(q="Ro", location="a", remote=True, seniority="mid, senior,", salary_min=910, posted_within=45, visa=True)
+    f = JobFilter(q="Ro", location="a", remote=True, seniority="mid, senior,", salary_min=910, posted_within=35, visa=True)
     conds = search.conditions(f, as_of())
     return parts_as_jobs(t).where(reduce(lambda a, b: a & b, conds)).select("id", "title")
 
@@ -181,7 +181,7 @@ def detail_by_id(t: Tables) -> DataFrame:
       CAST(floor(p_retailprice / 20000 * 100 + 0.5) AS INT) AS percent
     FROM (SELECT *, sign || CASE WHEN lo >= 1000 THEN CAST(floor(lo / 1000.0 + 0.5) AS BIGINT) || 'k' ELSE CAST(lo AS VARCHAR) END AS f1,
         sign || CASE WHEN hi >= 1000 THEN CAST(floor(hi / 1000.0 + 0.5) AS BIGINT) || 'k' ELSE CAST(hi AS VARCHAR) END AS f2 FROM
-      (SELECT *, CASE WHEN p_size % 3 > 0 THEN CAST(floor(p_retailprice) AS INT) END AS lo, CASE WHEN p_size % 4 > 0 THEN CAST(floor(p_retailprice * 3) AS INT) END AS hi,
+      (SELECT *, CASE WHEN p_size > 15 THEN CAST(floor(p_retailprice) AS INT) END AS lo, CASE WHEN p_size < 40 AND p_size > 5 THEN CAST(floor(p_retailprice * 3) AS INT) END AS hi,
         CASE p_brand WHEN 'Brand#1' THEN '$' WHEN 'Brand#2' THEN '€' WHEN 'Brand#3' THEN '£' WHEN 'Brand#4' THEN 'SGD' ELSE '' END AS sign FROM part))""")
 def pay_display(t: Tables) -> DataFrame:
     size, price, brand, kind = F.col("p_size"), F.col("p_retailprice"), F.col("p_brand"), F.col("p_type")
@@ -189,7 +189,7 @@ def pay_display(t: Tables) -> DataFrame:
     period = F.when(kind == "PROMO", "hourly").when(kind == "LARGE", "monthly").when(kind == "SMALL", "yearly")
     return t.part.select(
         "p_partkey",
-        display.format_salary(F.when(size % 3 > 0, F.floor(price).cast("int")), F.when(size % 4 > 0, F.floor(price * 3).cast("int")),
+        display.format_salary(F.when(size > 15, F.floor(price).cast("int")), F.when((size < 40) & (size > 5), F.floor(price * 3).cast("int")),
                               code, period).alias("pay"),
         display.match_percent(price / 20000).alias("percent"))
 

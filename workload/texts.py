@@ -35,29 +35,29 @@ def normalize_hash(t: Tables) -> DataFrame:
                               F.array("source", "lang", "source")).alias("content_hash"))
 
 
-SALARY_TEXT = """CASE CAST(p_size AS BIGINT) % 9 WHEN 0 THEN '$' || k || 'k - $' || k2 || 'k USD' WHEN 1 THEN '£' || k || 'k'
-    WHEN 2 THEN '€' || amt || ',000' WHEN 3 THEN '$' || k || '/hr' WHEN 4 THEN 'A$' || k || 'k – ' || k2 || 'k per month'
-    WHEN 5 THEN amt || ' to ' || k2 || '000 eur yearly' WHEN 6 THEN p_name || ' $' || k || '.5K' WHEN 7 THEN 'Competitive. ' || amt
-    ELSE '  ' END"""
+SALARY_TEXT = """CASE WHEN p_size < 6 THEN '$' || k || 'k - $' || k2 || 'k USD' WHEN p_size < 12 THEN '£' || k || 'k'
+    WHEN p_size < 18 THEN '€' || k || ',000' WHEN p_size < 24 THEN '$' || k || '/hr' WHEN p_size < 30 THEN 'A$' || k || 'k – ' || k2 || 'k per month'
+    WHEN p_size < 36 THEN k || ' to ' || k2 || '000 eur yearly' WHEN p_size < 42 THEN p_name || ' $' || k || '.5K'
+    WHEN p_size < 48 THEN 'Competitive. ' || k ELSE '  ' END"""
 
 
 def salary_text():
+    """Nine spellings of pay, by part size."""
     k = F.floor("p_retailprice").cast("string")
     k2 = F.floor(F.col("p_retailprice") * 2).cast("string")
-    kind = F.col("p_size") % 9
-    return (
-        F.when(kind == 0, F.concat(F.lit("$"), k, F.lit("k - $"), k2, F.lit("k USD")))
-        .when(kind == 1, F.concat(F.lit("£"), k, F.lit("k")))
-        .when(kind == 2, F.concat(F.lit("€"), k, F.lit(",000")))
-        .when(kind == 3, F.concat(F.lit("$"), k, F.lit("/hr")))
-        .when(kind == 4, F.concat(F.lit("A$"), k, F.lit("k – "), k2, F.lit("k per month")))
-        .when(kind == 5, F.concat(k, F.lit(" to "), k2, F.lit("000 eur yearly")))
-        .when(kind == 6, F.concat("p_name", F.lit(" $"), k, F.lit(".5K")))
-        .when(kind == 7, F.concat(F.lit("Competitive. "), k)).otherwise("  "))
+    texts = [
+        F.concat(F.lit("$"), k, F.lit("k - $"), k2, F.lit("k USD")), F.concat(F.lit("£"), k, F.lit("k")),
+        F.concat(F.lit("€"), k, F.lit(",000")), F.concat(F.lit("$"), k, F.lit("/hr")),
+        F.concat(F.lit("A$"), k, F.lit("k – "), k2, F.lit("k per month")), F.concat(k, F.lit(" to "), k2, F.lit("000 eur yearly")),
+        F.concat("p_name", F.lit(" $"), k, F.lit(".5K")), F.concat(F.lit("Competitive. "), k)]
+    chosen = F.lit("  ")
+    for i, text_ in reversed(list(enumerate(texts))):
+        chosen = F.when(F.col("p_size") < 6 * (i + 1), text_).otherwise(chosen)
+    return chosen
 
 
 @query(S.salary(f"""(SELECT p_partkey, trim({SALARY_TEXT}) AS txt FROM (SELECT *, CAST(floor(p_retailprice) AS BIGINT) AS k,
-    CAST(floor(p_retailprice) AS BIGINT) AS amt, CAST(floor(p_retailprice * 2) AS BIGINT) AS k2 FROM part))""", "txt", "p_partkey"))
+    CAST(floor(p_retailprice * 2) AS BIGINT) AS k2 FROM part))""", "txt", "p_partkey"))
 def salary_parse(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", parse_salary(salary_text()).alias("s")).select("p_partkey", "s.*")
 
