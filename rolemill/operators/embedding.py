@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from rolemill.functions.identity import cv_composite, job_composite, text_key
 from rolemill.functions.vectors import EMBEDDING_DIM, has_dim
 from rolemill.operators.search import with_links
+from rolemill.plans.broadcast import narrow
 from rolemill.plans.session import materialize
 from rolemill.plans.skew import join_per_key
 
@@ -109,7 +110,8 @@ def candidates(jobs: DataFrame, job_skills: DataFrame, cvs: DataFrame, due: Colu
     """(kind, id, text, hash) of everything that waits for a vector."""
     due = queued() if due is None else due
     waiting = jobs.where(due).select("id", "title", "company", "location", "seniority")
-    job_rows = with_skill_list(waiting, job_skills).select(
+    skills = narrow(job_skills, waiting.select(F.col("id").alias("job_id")), ["job_id"])
+    job_rows = with_skill_list(waiting, skills).select(
         F.lit("job").alias("kind"), "id",
         job_composite(F.col("title"), F.col("company"), F.col("skills"), F.col("location"),
                       F.col("seniority")).alias("text"))
@@ -163,11 +165,13 @@ def drain_queue(jobs: DataFrame, job_skills: DataFrame, cvs: DataFrame, cache: D
                 model: str = MODEL, due: Column | None = None) -> Drained:
     """Embed the whole queue in one pass.
 
-    The encoder's output is written to the shared folder once, because four
-    results depend on it and a lost executor must not call the encoder again.
+    The queue and the encoder's output are written to the shared folder once:
+    several results depend on them, and a lost executor must not call the
+    encoder again.
     """
-    waiting = candidates(jobs, job_skills, cvs, due)
-    valid = cache.where(has_dim(F.col("embedding"), dim))
+    waiting = materialize(candidates(jobs, job_skills, cvs, due), "queue")
+    valid = narrow(cache.where(has_dim(F.col("embedding"), dim)),
+                   waiting.select(F.col("hash").alias("content_hash")).distinct(), ["content_hash"])
     hits, misses = split_by_cache(waiting, valid)
     fresh = encode(misses, "text", make_encoder, dim, keep=["hash"])
     vectors = materialize(

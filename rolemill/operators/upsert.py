@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolemill.plans.broadcast import broadcast_if_small, narrow
+
 
 def fold(batch: DataFrame, keys: Sequence[str], first: Sequence[str] = (), last: Sequence[str] = (),
          last_non_null: Sequence[str] = (), order: str | Column = "arrival") -> DataFrame:
@@ -65,11 +67,18 @@ def insert_ignore(state: DataFrame, batch: DataFrame, keys: Sequence[str],
 
 
 def new_rows(state: DataFrame, batch: DataFrame, keys: Sequence[str],
-             order: str | Column = "arrival") -> DataFrame:
-    """Only the rows that insert-ignore would append."""
+             order: str | Column = "arrival", narrow_state: bool = False) -> DataFrame:
+    """Only the rows that insert-ignore would append.
+
+    ``narrow_state`` suits a small, cheap batch against a large state: the batch
+    is counted and the state's matching keys are found by a scan.
+    """
     rest = [c for c in state.columns if c not in keys]
     folded = fold(batch, keys, first=rest, order=order).select(*state.columns)
-    return folded.join(state.select(*keys), list(keys), "left_anti")
+    known = state.select(*keys)
+    if narrow_state:
+        known = narrow(known, batch, keys)
+    return folded.join(known, list(keys), "left_anti")
 
 
 def replace_sets(state: DataFrame, batch: DataFrame, key: str, value: str, values: str,
@@ -93,10 +102,11 @@ def delete_with_children(parent: DataFrame, dead: Column, parent_key: str,
                          children: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
     """Drop parents where ``dead`` holds, and every child row that refers to one.
 
-    Children are anti-joined with the dropped keys, normally the smaller side.
+    Children are anti-joined with the dropped keys; when these are few, the
+    children are filtered in place.
     """
     gone = F.coalesce(dead, F.lit(False))
-    keys = parent.where(gone).select(F.col(parent_key).alias("_dead"))
+    keys = broadcast_if_small(parent.where(gone).select(F.col(parent_key).alias("_dead")))
     out = {"parent": parent.where(~gone)}
     for name, (child, fk) in children.items():
         out[name] = child.join(keys, child[fk] == keys["_dead"], "left_anti")

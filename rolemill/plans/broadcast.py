@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +18,15 @@ def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast after counting; a larger side is left to the optimizer."""
     return F.broadcast(df) if not df.isStreaming and is_small(df, max_rows) else df
+
+
+def narrow(table: DataFrame, few: DataFrame, on: Sequence[str], max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Rows of a large table whose key occurs in a small batch.
+
+    With few keys (counted) the table is scanned and filtered in place, so what
+    follows never shuffles it; with many keys it is returned as it is.
+    """
+    keys = few.select(*on)
+    if not is_small(keys, max_rows):
+        return table
+    return table.join(F.broadcast(keys), list(on), "left_semi")

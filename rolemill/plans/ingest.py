@@ -13,11 +13,12 @@ from rolemill.functions.identity import content_hash, job_id, job_summary
 from rolemill.functions.text import strip_html
 from rolemill.operators import admin
 from rolemill.operators.upsert import fold, new_rows, replace_sets, upsert
+from rolemill.plans.broadcast import narrow
 from rolemill.plans.session import materialize
 from rolemill.plans.store import Store
 from rolemill.sources.adapters import normalize, split_rejects
 from rolemill.sources.boards import with_board
-from rolemill.sources.landing import parse_payloads, read_payloads, select_feeds
+from rolemill.sources.landing import UNREADABLE, parse_payloads, read_payloads, select_feeds
 
 GENERIC_PLACE = r"(?i)\A(remote|hybrid|onsite)\z"
 
@@ -109,13 +110,13 @@ def apply_batch(store: Store, batch: DataFrame, as_of: Column) -> tuple[int, int
     """
     batch = materialize(batch, "batch")
     keys = batch.select("content_hash", F.col("id").alias("job_id"))
-    known = store.read("jobs").select("content_hash")
     distinct = batch.select("content_hash").distinct()
+    known = narrow(store.read("jobs").select("content_hash"), distinct, ["content_hash"])
     total = distinct.count()
     updated = distinct.join(known, "content_hash", "left_semi").count()
     store.change("jobs", keys, lambda s: upsert_jobs(s, batch, as_of))
     store.append("job_sources", new_rows(
-        store.read("job_sources"), source_links(batch, as_of), ["job_id", "source"]))
+        store.read("job_sources"), source_links(batch, as_of), ["job_id", "source"], narrow_state=True))
     skills = batch.select(F.col("id").alias("job_id"), F.col("skills").alias("new_skills"), "arrival")
     store.change("job_skills", keys, lambda s: replace_sets(s, skills, "job_id", "skill", "new_skills"))
     return total - updated, updated
@@ -134,10 +135,13 @@ class FeedRun:
 def _run_feed(store: Store, payloads: DataFrame, feed: str, as_of: Column) -> FeedRun:
     scanned = materialize(scan_feed(payloads, feed, store.read("companies")), f"scan-{feed}")
     good, bad = split_rejects(scanned)
-    run = FeedRun(feed, fetched=good.count(), rejected=bad.count())
+    # Every record that arrived counts as fetched; an unreadable payload holds none.
+    reason = F.coalesce("reject_reason", F.lit(""))
+    counts = scanned.agg(F.count_if(reason != UNREADABLE).alias("fetched"), F.count_if(reason != "").alias("bad")).first()
+    run = FeedRun(feed, fetched=counts["fetched"], rejected=counts["bad"])
     run.inserted, run.updated = apply_batch(store, enrich(good), as_of)
     # Unreadable payloads are errors of the run; single bad records are only set aside.
-    broken = bad.where(F.col("reject_reason") == "unreadable payload").select(
+    broken = bad.where(F.col("reject_reason") == UNREADABLE).select(
         F.lit(feed).alias("name"), F.coalesce("source", F.lit(feed)).alias("part"), "reject_reason").distinct()
     rolled = admin.roll_up_errors(broken, "name", "part", "reject_reason").first()
     run.error = rolled["last_error"] if rolled else None

@@ -25,8 +25,8 @@ def upload(store: Store, files: DataFrame, terms: DataFrame, as_of: Column) -> D
     texts, rejected = route_documents(files)
     parsed = materialize(parse_profiles(texts, terms, as_of), "profiles")
     profiles, skills = profile_rows(parsed, as_of)
-    store.append("cv_profiles", new_rows(store.read("cv_profiles"), profiles, ["id"], "id"))
-    store.append("cv_skills", new_rows(store.read("cv_skills"), skills, ["cv_id", "skill"], "cv_id"))
+    store.append("cv_profiles", new_rows(store.read("cv_profiles"), profiles, ["id"], "id", True))
+    store.append("cv_skills", new_rows(store.read("cv_skills"), skills, ["cv_id", "skill"], "cv_id", True))
     unreadable = parsed.where(F.col("reject_reason").isNotNull()).select("id", "filename", "reject_reason")
     return rejected.select("id", "filename", "reject_reason").unionByName(unreadable)
 

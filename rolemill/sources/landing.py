@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rolemill.schemas import FEEDS
 
 CORRUPT = "_corrupt_record"
+UNREADABLE = "unreadable payload"
 
 
 def select_feeds(names: Iterable[str] | None = None) -> list[str]:
@@ -72,7 +73,7 @@ def parse_payloads(payloads: DataFrame, feed: str) -> DataFrame:
     records = F.when(broken, F.array(F.lit(None).cast(f"struct<{_as_struct(spec.record)}>"))).otherwise(
         F.coalesce(F.col(f"_env.{field}"), F.array()))
     return (
-        parsed.withColumn("reject_reason", F.when(broken, F.lit("unreadable payload")))
+        parsed.withColumn("reject_reason", F.when(broken, F.lit(UNREADABLE)))
         .select("*", F.posexplode(records).alias("_pos", "raw"))
         .withColumn("arrival", F.struct(F.col("arrived_at").alias("at"), F.col("file").alias("file"),
                                         F.col("_pos").alias("pos")))

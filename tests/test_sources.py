@@ -140,7 +140,8 @@ def test_ingest_batch_and_stream_agree(spark, tmp_path):
         store.append("companies", registry(spark))
         if mode == "batch":
             runs = {r.feed: r for r in plan.ingest(spark, root, store, as_of, feeds)}
-            assert (runs["arbeitnow"].inserted, runs["arbeitnow"].rejected) == (2, 1)
+            assert (runs["arbeitnow"].fetched, runs["arbeitnow"].inserted, runs["arbeitnow"].rejected) == (3, 2, 1)
+            assert runs["lever"].fetched == 0
             assert (runs["remotive"].inserted, runs["remotive"].updated) == (0, 1)
             assert runs["adzuna"].error and "unreadable" in runs["lever"].error
         else:
