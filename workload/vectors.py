@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from rolemill.operators import embedding, match
 from workload.common import Tables, query
 
 DIM = 64
+ENCODER = partial(embedding.hashed_token_encoder, DIM)
 K = 5
 
 
@@ -84,7 +87,7 @@ TOKENS = f"""SELECT doc_id, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % {
     SELECT doc_id, CAST(count(*) AS INT) AS filled, floor(sum(x) * 1e3 + 0.5) / 1e3 AS total, floor(max(x) * 1e4 + 0.5) / 1e4 AS top FROM f GROUP BY doc_id""")
 def hashed_encoding(t: Tables) -> DataFrame:
     """Encode every document; summary of each vector."""
-    coded = embedding.encode(t.spread("documents").select("doc_id", "text"), "text", lambda: embedding.hashed_token_encoder(DIM), DIM, keep=["doc_id"])
+    coded = embedding.encode(t.spread("documents").select("doc_id", "text"), "text", ENCODER, DIM, keep=["doc_id"])
     vec = F.transform("embedding", lambda x: x.cast("double"))
     total = F.aggregate(vec, F.lit(0.0), lambda a, x: a + x)
     return coded.select(
@@ -131,7 +134,7 @@ def queue_drain(t: Tables) -> DataFrame:
     """Drain a queue where few texts repeat over very many rows."""
     jobs, skills, cvs, cache = queue_tables(t)
     as_of = F.lit("2026-08-20 00:00:00").cast("timestamp")
-    out = embedding.drain_queue(jobs, skills, cvs, cache, lambda: embedding.hashed_token_encoder(DIM), as_of, DIM)
+    out = embedding.drain_queue(jobs, skills, cvs, cache, ENCODER, as_of, DIM)
     # Cached vectors are flat, encoded ones are not.
     flat = F.coalesce(F.array_max("embedding") == F.array_min("embedding"), F.lit(False))
     def part(df, kind):
@@ -146,4 +149,4 @@ def queue_drain(t: Tables) -> DataFrame:
 def queue_stats(t: Tables) -> DataFrame:
     jobs, skills, cvs, cache = queue_tables(t)
     as_of = F.lit("2026-08-20 00:00:00").cast("timestamp")
-    return embedding.drain_queue(jobs, skills, cvs, cache, lambda: embedding.hashed_token_encoder(DIM), as_of, DIM).stats
+    return embedding.drain_queue(jobs, skills, cvs, cache, ENCODER, as_of, DIM).stats
