@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 SALTS = 256
 HOT_SHARE = 1024  # a key is hot when it holds more than 1/HOT_SHARE of all rows
+WINDOWS_PER_BLOCK = 16  # trailing windows per time block: one in so many rows is copied
 TRACKED = 16 * HOT_SHARE  # size of the sketch that finds hot keys
 
 
@@ -92,17 +93,21 @@ def running_max_before(df: DataFrame, keys: Sequence[str], order: str, value: st
 def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, out: str) -> DataFrame:
     """Rows of the same key less than ``seconds`` old, the current one included.
 
-    A row is copied into the next time block as context, so a window never looks
-    beyond two blocks and a busy key is spread over its blocks.
+    Time is cut into blocks of several windows.  Rows of a block's last window are
+    copied into the next one as context, so a window never looks beyond two
+    blocks and a busy key is spread over its blocks.
     """
     micros = F.unix_micros(ts)
     width = seconds * 1_000_000
-    block = F.floor(micros / F.lit(width))
+    span = width * WINDOWS_PER_BLOCK
+    home = F.col("_home")
+    late = F.col("_us") > (home + 1) * span - width
     frame = (Window.partitionBy(*keys, "_block").orderBy("_us").rangeBetween(-width + 1, Window.currentRow))
     return (
-        df.withColumns({"_us": micros, "_home": block})
-        .withColumn("_block", F.explode(F.array("_home", F.col("_home") + 1)))
+        df.withColumn("_us", micros)
+        .withColumn("_home", ((F.col("_us") - F.pmod("_us", F.lit(span))) / span).cast("bigint"))
+        .withColumn("_block", F.explode(F.when(late, F.array(home, home + 1)).otherwise(F.array(home))))
         .withColumn(out, F.count("*").over(frame))
-        .where(F.col("_block") == F.col("_home"))
+        .where(F.col("_block") == home)
         .drop("_us", "_home", "_block")
     )

@@ -341,6 +341,12 @@ def test_lockout(spark):
     rows = limits.lockout(df, "k", "ts").orderBy("ts").collect()
     want = [sum(1 for u in times if t - dt.timedelta(hours=1) < u <= t) for t in times]
     assert [r.failures for r in rows] == want and [r.locked for r in rows] == [w > 10 for w in want]
+    # Long histories cross many blocks.
+    rng = random.Random(4)
+    long = sorted({t0 + dt.timedelta(minutes=rng.randint(0, 60 * 24 * 9)) for _ in range(900)})
+    rows = limits.lockout(spark.createDataFrame([("k", t) for t in long], "k string, ts timestamp"), "k", "ts", 2)
+    got = {r.ts: r.failures for r in rows.collect()}
+    assert got == {t: sum(1 for u in long if t - dt.timedelta(hours=1) < u <= t) for t in long}
 
 
 def test_span_union(spark):
