@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rolemill.llm.jaccard import JaccardJoin
 from rolemill.llm.registry import QUERIES, SQL, query, table
 from rolemill.llm.substring import remove_repeats
 
@@ -25,3 +26,8 @@ FROM w LEFT JOIN g USING (doc_id)
 """)
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
+@query()
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return JaccardJoin(table(spark, sf_dir, "documents").select("doc_id", "text")).result()
