@@ -11,10 +11,11 @@ metric that bounds it, the size of the symmetric difference.  Two linked sets of
    agree on a whole slice: the content of a slice is a region.
 2. *Pivots.*  Each region takes one member as pivot, and its members are compared with
    it exactly.  Regions whose members all connect are done, whatever their size.
-3. *Windows.*  In the others, members of different components stay.  Every set keeps its
-   distances to fixed pivots (its counts in coarse slices); by the triangle inequality
-   their differences bound the symmetric difference, and only pairs within ``D`` are
-   compared exactly.
+3. *Windows, recursively.*  In the others, members of different components stay.  Every
+   set keeps its distances to fixed pivots (its counts in slices); by the triangle
+   inequality their differences bound the symmetric difference from below.  A round
+   compares each set with the nearest ones by that bound, which joins components and
+   closes regions; the last round compares all pairs within ``D`` that are left.
 
 Equal sets cost one entry per block, and nothing is gathered by region outside a shard.
 """
@@ -34,7 +35,8 @@ from rolemill.plans.session import materialize
 
 SHINGLE = 4
 PERCENT = 85
-COARSE = 32  # coarse slices of the distance table
+COARSE, FINE = 32, 256  # slices of the two distance tables
+NEAREST = 2  # pairs a document takes part in during an early round
 TILE = 512
 PAIRS_AT_ONCE = 400
 
@@ -142,48 +144,65 @@ def _stars(entries: list[bytes]) -> pa.Table:
                      pa.array(none > 0)], names=["a", "b", "n", "f1", "f2", "is_row"])
 
 
-def _across(entries: list[bytes], percent: int) -> pa.Table:
-    """Pairs of one region in different components that the distance table cannot rule out."""
-    signature, keys, roots, tables = [], [], [], []
+def _across(entries: list[bytes], percent: int, nearest: int | None) -> pa.Table:
+    """Pairs of one region in different components that the distance tables cannot rule out.
+
+    With ``nearest``, only so many pairs per document, those with the smallest bound first.
+    """
+    signature, docs, row = [], [], []
+    at, width = 0, 24 + 2 * COARSE + FINE
     for e in entries:
         m = int(np.frombuffer(e, np.int64, 1)[0])
-        docs = e[8:8 + m * (16 + 2 * COARSE)]
-        key = np.frombuffer(docs, np.int64, m)
-        root = np.frombuffer(docs, np.int64, m, 8 * m)
-        coarse = np.frombuffer(docs, np.uint16, m * COARSE, 16 * m).reshape(m, COARSE)
-        s, i = from_bytes(e[8 + len(docs):], U64, np.uint32)
+        docs.append(np.frombuffer(e, np.uint8, m * width, 8).reshape(m, width))
+        s, i = from_bytes(e[8 + m * width:], U64, np.uint32)
         signature.append(s)
-        keys.append(key[i])
-        roots.append(root[i])
-        tables.append((coarse, i))
-    at = np.concatenate([[0], np.cumsum([len(c) for c, _ in tables])])
-    row = np.concatenate([i + at[n] for n, (_, i) in enumerate(tables)])
-    coarse = np.concatenate([c for c, _ in tables]).astype(np.int32)
-    signature, keys, roots = (np.concatenate(x) for x in (signature, keys, roots))
-    order, starts, sizes = _groups(signature, keys.astype(U64))
-    seen, out = set(), []
-    ratio = (100 - percent) / (100 + percent)
-    for start, size in zip(starts.tolist(), sizes.tolist()):
-        own = order[start:start + size]
-        if (roots[own] == roots[own[0]]).all():
+        row.append(i.astype(np.int64) + at)
+        at += m
+    docs, signature, row = np.concatenate(docs), np.concatenate(signature), np.concatenate(row)
+    key, root, sizes = np.ascontiguousarray(docs[:, :24]).view(np.int64).T
+    coarse = np.ascontiguousarray(docs[:, 24:24 + 2 * COARSE]).view(np.uint16).astype(np.int32)
+    fine = docs[:, 24 + 2 * COARSE:]
+    order, starts, counts = _groups(signature, key[row].astype(U64))
+    seen, found = set(), []
+    for start, count in zip(starts.tolist(), counts.tolist()):
+        own = row[order[start:start + count]]
+        if (root[own] == root[own[0]]).all():
             continue
-        name = keys[own].tobytes()
+        name = key[own].tobytes()
         if name in seen:
             continue
         seen.add(name)
-        for i in range(0, size, TILE):
-            for j in range(i, size, TILE):
+        for i in range(0, count, TILE):
+            for j in range(i, count, TILE):
                 x, y = own[i:i + TILE], own[j:j + TILE]
-                cx, cy = coarse[row[x]], coarse[row[y]]
-                bound = ratio * (cx.sum(1)[:, None] + cy.sum(1)[None, :])
+                bound = (100 - percent) * (sizes[x][:, None] + sizes[y][None, :])
+                maybe = root[x][:, None] != root[y][None, :]
                 gap = np.zeros(bound.shape, np.int32)
                 for d in range(COARSE):
-                    gap += np.abs(cx[:, d, None] - cy[None, :, d])
-                p, q = np.nonzero((gap <= bound) & (roots[x][:, None] != roots[y][None, :])
-                                  & (keys[x][:, None] < keys[y][None, :] if i == j else True))
-                out.append((keys[x[p]], keys[y[q]]))
-    a, b = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
-    a, b = _distinct_pairs(np.minimum(a, b), np.maximum(a, b))
+                    gap += np.abs(coarse[x, d, None] - coarse[None, y, d])
+                p, q = np.nonzero(maybe & ((100 + percent) * gap <= bound))
+                p, q = x[p], y[q]
+                once = key[p] < key[q] if i == j else np.ones(len(p), bool)
+                found.append(np.stack((p[once], q[once])))
+    p, q = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    low = key[p] <= key[q]
+    p, q = _distinct_pairs(np.where(low, p, q), np.where(low, q, p))
+    gap = np.zeros(len(p), np.int64)
+    for at in range(0, len(p), 100_000):
+        part = slice(at, at + 100_000)
+        gap[part] = np.abs(fine[p[part]].astype(np.int16) - fine[q[part]]).sum(1)
+    close = (100 + percent) * gap <= (100 - percent) * (sizes[p] + sizes[q])
+    p, q, gap = p[close], q[close], gap[close]
+    if nearest is not None and len(p):
+        ends, other = np.concatenate((p, q)), np.concatenate((gap, gap)) / (sizes[p] + sizes[q])[np.arange(2 * len(p)) % len(p)]
+        order = np.lexsort((other, ends))
+        new = np.ones(len(order), bool)
+        new[1:] = ends[order][1:] != ends[order][:-1]
+        starts = np.flatnonzero(new)
+        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        kept = np.unique(order[place < nearest] % len(p))
+        p, q = p[kept], q[kept]
+    a, b = _distinct_pairs(key[p], key[q])
     return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
@@ -268,14 +287,18 @@ class JaccardJoin:
         known = materialize(known.select("a", "b", (F.col("fa") == F.col("fb")).alias("equal")), "stars")
         compared = known.select("a").unionByName(known.select(F.col("b").alias("a"))).distinct()
         texts = self._texts(compared)
-        near = _linked(known.where("not equal").select("a", "b"), texts, k, percent)
-        tested = materialize(near.unionByName(known.where("equal").select("a", "b", F.lit(True).alias("linked"))),
-                             "tested")
-        links = tested.where("linked").select("a", "b").unionByName(local)
-        linked = components(links)
-        more = self._across_components(tested, linked, texts)
-        final = materialize(components(linked.select(F.col("node").alias("a"), F.col("root").alias("b"))
-                                       .unionByName(more.where("linked").select("a", "b"))), "components")
+        rank = F.struct(F.xxhash64("a"), "a")
+        first = known.where("not equal").groupBy("b").agg(F.min_by("a", rank).alias("a")).select("a", "b")
+        tested = materialize(_linked(first, texts, k, percent).unionByName(
+            known.where("equal").select("a", "b", F.lit(True).alias("linked"))).unionByName(
+            local.withColumn("linked", F.lit(True))), "tested")
+        final = components(tested.where("linked").select("a", "b"))
+        for nearest in (NEAREST, NEAREST, None):  # the last round compares all that is left
+            more = materialize(self._across_components(known, tested, final, texts, nearest), "tested")
+            tested = tested.unionByName(more)
+            final = components(final.select(F.col("node").alias("a"), F.col("root").alias("b"))
+                               .unionByName(more.where("linked").select("a", "b")))
+        final = materialize(final, "components")
         members = final.join(rows.select(F.col("key").alias("node"), "id"), "node")
         lowest = members.groupBy("root").agg(F.min("id").alias("component_id"))
         named = final.join(lowest, "root").select(F.col("node").alias("key"), "component_id")
@@ -294,11 +317,12 @@ class JaccardJoin:
         asked = keys.select(F.shiftright("a", 20).alias("block"), "a")
         return materialize(tell(self.blocks, asked, pick, "key long, body string"), "texts")
 
-    def _across_components(self, tested: DataFrame, linked: DataFrame, texts: DataFrame) -> DataFrame:
-        """Links between members of one region that its pivot does not connect."""
+    def _across_components(self, stars: DataFrame, tested: DataFrame, linked: DataFrame, texts: DataFrame,
+                           nearest: int | None) -> DataFrame:
+        """Compare members of one region that are in different components so far."""
         k, percent = self.shingle, self.percent
         of = lambda c: linked.select(F.col("node").alias(c), F.col("root").alias("r" + c))
-        apart = (tested.where("not linked").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        apart = (stars.join(of("a"), "a", "left").join(of("b"), "b", "left")
                  .select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb"))
         open_ = apart.select(F.col("ra").alias("root")).unionByName(apart.select(F.col("rb").alias("root"))).distinct()
         everyone = linked.unionByName(open_.join(linked.select("root").distinct(), "root", "left_anti")
@@ -312,23 +336,25 @@ class JaccardJoin:
                 for at in range(0, batch.num_rows, 4 * PAIRS_AT_ONCE):
                     part = batch.slice(at, 4 * PAIRS_AT_ONCE)
                     text, found, sizes = shingle_sets(part.column("body"), k)
-                    coarse = np.zeros((len(sizes), COARSE), np.int64)
-                    np.add.at(coarse, (text, (mix(found, 61) % U64(COARSE)).astype(np.int64)), 1)
-                    coarse = np.minimum(coarse, 65535).astype(np.uint16)
-                    key, root = (part.column(c).to_numpy() for c in ("key", "root"))
+                    facts = [np.stack((part.column("key").to_numpy(), part.column("root").to_numpy(), sizes), axis=1)]
+                    for slices, kind in ((COARSE, np.uint16), (FINE, np.uint8)):
+                        counts = np.zeros((len(sizes), slices), np.int64)
+                        np.add.at(counts, (text, (mix(found, slices) % U64(slices)).astype(np.int64)), 1)
+                        facts.append(np.minimum(counts, np.iinfo(kind).max).astype(kind))
+                    facts = np.concatenate([np.ascontiguousarray(x).view(np.uint8).reshape(len(sizes), -1)
+                                            for x in facts], axis=1)
                     signature, who = signatures(text, found, sizes, percent)
                     shard, entries = [], []
                     for s, (sig, w) in by_shard(shards, signature, signature, who):
                         docs, local = np.unique(w, return_inverse=True)
                         shard.append(s)
-                        entries.append(np.int64(len(docs)).tobytes()
-                                       + to_bytes(key[docs], root[docs]) + coarse[docs].tobytes()
+                        entries.append(np.int64(len(docs)).tobytes() + facts[docs].tobytes()
                                        + to_bytes(sig, local.astype(np.uint32)))
                     yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(entries, pa.binary())],
                                                      names=["shard", "entries"])
 
         pairs = (left.mapInArrow(emit, "shard int, entries binary").groupBy("shard")
-                 .applyInArrow(lambda t: _across(t["entries"].to_pylist(), percent), "a long, b long").distinct())
+                 .applyInArrow(lambda t: _across(t["entries"].to_pylist(), percent, nearest), "a long, b long").distinct())
         return _linked(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts, k, percent)
 
     def result(self) -> DataFrame:
