@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rolemill.llm.jaccard import JaccardJoin
+from rolemill.llm.mixing import mix_sources
 from rolemill.llm.registry import QUERIES, SQL, query, table
 from rolemill.llm.substring import remove_repeats
+from rolemill.llm.token_counts import count_tokens
+from rolemill.llm.warc import archive
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -31,3 +34,45 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return JaccardJoin(table(spark, sf_dir, "documents").select("doc_id", "text")).result()
+
+
+@query()
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+     h AS (SELECT page_id, b, sha1(b) AS hex, max(page_id) OVER (PARTITION BY b) AS top FROM p)
+SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
+       list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                              ((('0x' || substr(hex, 5 * (i // 4) + 1, 5))::BIGINT >> (5 * (3 - i % 4))) & 31) + 1, 1)
+                       for i in range(32)], 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM h
+""")
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages")).drop("record")
+
+
+@query("""
+WITH s AS (SELECT source, sum(octet_length(encode(coalesce(text, ''))))::DOUBLE AS size FROM documents GROUP BY source),
+     r AS (SELECT source, (SELECT sum(size) FROM s) * sqrt(size) / (SELECT sum(sqrt(size)) FROM s) / size AS rate
+           FROM s WHERE size > 0),
+     k AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k FROM r),
+     l AS (SELECT source, k, -rate + k * ln(rate) - sum(CASE WHEN k = 0 THEN 0 ELSE ln(greatest(k, 1)) END)
+                  OVER (PARTITION BY source ORDER BY k) AS lp FROM k),
+     c AS (SELECT source, sum(exp(lp)) OVER (PARTITION BY source ORDER BY k) AS cdf FROM l),
+     t AS (SELECT source, list(cdf) AS steps FROM c GROUP BY source),
+     d AS (SELECT *, ('0x' || substr(md5('mix-1|' || doc_id), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+           FROM documents),
+     n AS (SELECT d.*, len([x for x in steps if x <= u]) AS n FROM d JOIN t USING (source))
+SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy, md5('mix-1|' || doc_id || '|' || copy) AS shuffle_key
+FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM n WHERE n > 0)
+""")
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
