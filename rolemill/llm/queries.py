@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rolemill.llm.jaccard import JaccardJoin
 from rolemill.llm.mixing import mix_sources
 from rolemill.llm.registry import QUERIES, SQL, query, table
 from rolemill.llm.substring import remove_repeats
 from rolemill.llm.token_counts import count_tokens
+from rolemill.llm.topk import top_k
+from rolemill.llm.vectors_near import near_vectors
 from rolemill.llm.warc import archive
 
 __all__ = ["QUERIES", "SQL"]
@@ -76,3 +79,30 @@ FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM n WHERE n > 0)
 """)
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS vec FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.vec, v.vec)::BIGINT AS score
+           FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""")
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS vec FROM embeddings),
+     e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+           AND list_cosine_similarity(a.vec, b.vec) >= 0.93),
+     c(a, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT e.a, c.root FROM c JOIN e ON e.b = c.a),
+     m AS (SELECT a AS vec_id, min(root) AS component_id FROM c GROUP BY a),
+     n AS (SELECT a AS vec_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM m LEFT JOIN n USING (vec_id)
+""")
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
