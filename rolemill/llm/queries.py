@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolemill.llm.jaccard import JaccardJoin
+from rolemill.llm.language_id import fit, identify
+from rolemill.llm.language_model import score_texts
 from rolemill.llm.mixing import mix_sources
 from rolemill.llm.registry import QUERIES, SQL, query, table
 from rolemill.llm.substring import remove_repeats
@@ -106,3 +108,21 @@ FROM m LEFT JOIN n USING (vec_id)
 """)
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def remainder(id: str, by: int):
+    """crc32 of an id as text, modulo ``by``; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id).cast("string"), F.lit(""))) % by
+
+
+@query()
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, remainder("doc_id", 4) != 2)
+    return identify(docs.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "text"), model).drop("text")
+
+
+@query()
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
+    return scored.withColumn("held_out", ~F.col("trained")).drop("trained")
