@@ -9,6 +9,7 @@ from rolemill.llm.jaccard import JaccardJoin
 from rolemill.llm.language_id import fit, identify
 from rolemill.llm.language_model import score_texts
 from rolemill.llm.mixing import mix_sources
+from rolemill.llm.pieces import encode_texts
 from rolemill.llm.registry import QUERIES, SQL, query, table
 from rolemill.llm.substring import remove_repeats
 from rolemill.llm.token_counts import count_tokens
@@ -126,3 +127,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_texts(table(spark, sf_dir, "documents"), remainder("doc_id", 10) != 0)
     return scored.withColumn("held_out", ~F.col("trained")).drop("trained")
+
+
+@query()
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
