@@ -69,6 +69,7 @@ def each_block(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.Tabl
     for batch in batches:
         for block, rows in zip(batch.column("block"), batch.column("rows")):
             yield block.as_py(), unpack(rows)
+            pa.default_memory_pool().release_unused()  # workers live on; blocks need not add up
 
 
 def shard_count(blocks: DataFrame, bytes_per_block: int) -> int:

@@ -16,11 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolemill.llm.blocks import ask, each_block, pack, shard_count, tell
+from rolemill.llm.blocks import ask, pack, shard_count, tell
 from rolemill.llm.words import U64, Words, mix
 from rolemill.plans.session import materialize
 
-BLOCK_BYTES = 8 << 20
 CONTEXT_BUCKETS = 24  # by powers of two; more frequent contexts share the last
 ROUNDS = 30
 BEGIN, END = U64(0x51ED270B9F3C9D11), U64(0xA0761D6478BD642F)
@@ -135,8 +134,8 @@ def score_texts(docs: DataFrame, train: Column, id: str = "doc_id", text: str =
     """
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"),
                        F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = pack(rows, "text", BLOCK_BYTES)
-    shards = shard_count(blocks, 9_000_000)
+    blocks = pack(rows, "text")
+    shards = shard_count(blocks, 5_000_000)
 
     def question(block, table):
         tokens = _Tokens(table["text"])
@@ -156,39 +155,38 @@ def score_texts(docs: DataFrame, train: Column, id: str = "doc_id", text: str =
 
     def align(block, table, told):
         """The counts of every token of a block, in order."""
-        names = ["ids", "train", "lengths", "pairs", "words", "contexts"]
+        names = ["ids", "train", "lengths", "pairs", "words"]
         if table is None:
-            return pa.table([pa.array([], pa.binary())] * 6, names=names)
+            return pa.table([pa.array([], pa.binary())] * 5, names=names)
         t = _Tokens(table["text"])
         keys, at_one, at_two, _ = t.keys()
         parts = {x["shard"]: x["entries"] for x in told}
         shard = _shards_of(keys, shards)
         sums = np.concatenate([_expand(parts[s], n, np.int64) for s, n in zip(*(
             x.tolist() for x in np.unique(shard, return_counts=True)))])
-        words = sums[at_one]
-        contexts = np.empty_like(words)
-        contexts[1:] = words[:-1]
-        contexts[t.first] = taught
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.select(["id"]).schema) as out:
             out.write_table(table.select(["id"]))
         values = [sink.getvalue().to_pybytes(), _squeeze(table["train"].to_numpy()), _squeeze(t.lengths.astype(np.int64)),
-                  *(_squeeze(x.astype(np.int64)) for x in (sums[at_two], words, contexts))]
+                  _squeeze(sums[at_two]), _squeeze(sums[at_one])]
         return pa.table([pa.array([v], pa.binary()) for v in values], names=names)
 
     aligned = materialize(tell(blocks, answers.where("block >= 0").select("block", "shard", "entries"), align,
-                               "ids binary, train binary, lengths binary, pairs binary, words binary, contexts binary"),
-                          "aligned")
+                               "ids binary, train binary, lengths binary, pairs binary, words binary"), "aligned")
 
     def rows_of(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 ids = pa.ipc.open_stream(row["ids"]).read_all()
                 n = ids.num_rows
                 lengths = _expand(row["lengths"], n, np.int64)
                 m = int(lengths.sum())
-                yield (ids, _expand(row["train"], n, np.bool_), lengths,
-                       *(_expand(row[c], m, np.int64) for c in ("pairs", "words", "contexts")))
+                pairs, words = (_expand(row[c], m, np.int64) for c in ("pairs", "words"))
+                contexts = np.empty_like(words)  # a token's context is the word before it, or the begin marker
+                contexts[1:] = words[:-1]
+                contexts[np.cumsum(lengths) - lengths] = taught
+                yield ids, _expand(row["train"], n, np.bool_), lengths, pairs, words, contexts
 
     def events(batches):
         """Deleted counts of training tokens, summed by bucket and by steps of both probabilities."""
