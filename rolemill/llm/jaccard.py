@@ -9,13 +9,13 @@ metric that bounds it, the size of the symmetric difference.  Two linked sets of
 1. *Regions.*  Sets are grouped by size; a set near a border is replicated to the next
    group.  A group cuts the space of shingles into more than ``D`` slices, so linked sets
    agree on a whole slice: the content of a slice is a region.
-2. *Pivots.*  Each region takes one member as pivot, and its members are compared with
-   it exactly.  Regions whose members all connect are done, whatever their size.
-3. *Windows, recursively.*  In the others, members of different components stay.  Every
-   set keeps its distances to fixed pivots (its counts in slices); by the triangle
-   inequality their differences bound the symmetric difference from below.  A round
-   compares each set with the nearest ones by that bound, which joins components and
-   closes regions; the last round compares all pairs within ``D`` that are left.
+2. *Pivots.*  Each region takes as pivot the member that shares most regions, and its
+   members are compared with pivots exactly.  A region whose members all connect is
+   done, whatever its size.
+3. *The rest, recursively.*  Components that share a region without a link between its
+   pivot and a member stay open.  Their members form regions again, and pairs from
+   different components are compared exactly unless their sizes, or the differences of
+   their distances to fixed pivots (a triangle window), rule a link out.
 
 Equal sets cost one entry per block, and nothing is gathered by region outside a shard.
 """
@@ -35,9 +35,8 @@ from rolemill.plans.session import materialize
 
 SHINGLE = 4
 PERCENT = 85
-COARSE, FINE = 32, 256  # slices of the two distance tables
-NEAREST = 2  # pairs a document takes part in during an early round
 TILE = 512
+SLICES = 256  # slices of the distance tables
 PAIRS_AT_ONCE = 400
 
 
@@ -133,37 +132,44 @@ STARS = "a long, b long, n long, f1 long, f2 long, is_row boolean"
 
 
 def _stars(entries: list[bytes]) -> pa.Table:
-    """Pairs (pivot, member) of all regions of a shard."""
+    """Pairs (pivot, member) of all regions of a shard, and in ``n`` the number of regions that propose each.
+
+    Pivot is the member that shares most regions with others, so one document tends to be
+    the pivot of many regions and to lie in the middle of its group.
+    """
     signature, keys = (np.concatenate(c) for c in zip(*(from_bytes(e, U64, np.int64) for e in entries)))
-    rank = mix(keys.astype(U64), 41)  # the same document tends to be pivot of many regions
-    order, starts, sizes = _groups(signature, rank)
-    a, b = _distinct_pairs(np.repeat(keys[order[starts]], sizes), keys[order])
+    order, starts, sizes = _groups(signature, mix(keys.astype(U64), 41))
+    members, of = np.unique(keys[order], return_inverse=True)
+    central = np.bincount(of, np.repeat(np.log(np.maximum(sizes, 1)), sizes), len(members))
+    group = np.repeat(np.arange(len(starts)), sizes)
+    first = np.lexsort((mix(members.astype(U64), 41)[of], -np.round(central, 6)[of], group))[starts] if len(starts) else starts
+    a, b = np.repeat(members[of[first]], sizes), keys[order]
     a, b = a[a != b], b[a != b]
+    pairs = np.lexsort((b, a))
+    a, b = a[pairs], b[pairs]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    votes = np.diff(np.append(np.flatnonzero(new), len(a)))
+    a, b = a[new], b[new]
     none = np.zeros(len(a), np.int64)
-    return pa.table([pa.array(a), pa.array(b), pa.array(none), pa.array(none), pa.array(none),
+    return pa.table([pa.array(a), pa.array(b), pa.array(votes, pa.int64()), pa.array(none), pa.array(none),
                      pa.array(none > 0)], names=["a", "b", "n", "f1", "f2", "is_row"])
 
 
-def _across(entries: list[bytes], percent: int, nearest: int | None) -> pa.Table:
-    """Pairs of one region in different components that the distance tables cannot rule out.
-
-    With ``nearest``, only so many pairs per document, those with the smallest bound first.
-    """
-    signature, docs, row = [], [], []
-    at, width = 0, 24 + 2 * COARSE + FINE
+def _across(entries: list[bytes], percent: int) -> pa.Table:
+    """Pairs of one region that are in different components and whose sizes allow a link."""
+    keys, roots, sizes, signature, row, at = [], [], [], [], [], 0
     for e in entries:
         m = int(np.frombuffer(e, np.int64, 1)[0])
-        docs.append(np.frombuffer(e, np.uint8, m * width, 8).reshape(m, width))
-        s, i = from_bytes(e[8 + m * width:], U64, np.uint32)
+        for out, values in zip((keys, roots, sizes), from_bytes(e[8:8 + 24 * m], np.int64, np.int64, np.int64)):
+            out.append(values)
+        s, i = from_bytes(e[8 + 24 * m:], U64, np.uint32)
         signature.append(s)
         row.append(i.astype(np.int64) + at)
         at += m
-    docs, signature, row = np.concatenate(docs), np.concatenate(signature), np.concatenate(row)
-    key, root, sizes = np.ascontiguousarray(docs[:, :24]).view(np.int64).T
-    coarse = np.ascontiguousarray(docs[:, 24:24 + 2 * COARSE]).view(np.uint16).astype(np.int32)
-    fine = docs[:, 24 + 2 * COARSE:]
+    key, root, size, signature, row = (np.concatenate(x) for x in (keys, roots, sizes, signature, row))
     order, starts, counts = _groups(signature, key[row].astype(U64))
-    seen, found = set(), []
+    seen, found, held = set(), [], 0
     for start, count in zip(starts.tolist(), counts.tolist()):
         own = row[order[start:start + count]]
         if (root[own] == root[own[0]]).all():
@@ -175,39 +181,41 @@ def _across(entries: list[bytes], percent: int, nearest: int | None) -> pa.Table
         for i in range(0, count, TILE):
             for j in range(i, count, TILE):
                 x, y = own[i:i + TILE], own[j:j + TILE]
-                bound = (100 - percent) * (sizes[x][:, None] + sizes[y][None, :])
-                maybe = root[x][:, None] != root[y][None, :]
-                gap = np.zeros(bound.shape, np.int32)
-                for d in range(COARSE):
-                    gap += np.abs(coarse[x, d, None] - coarse[None, y, d])
-                p, q = np.nonzero(maybe & ((100 + percent) * gap <= bound))
-                p, q = x[p], y[q]
-                once = key[p] < key[q] if i == j else np.ones(len(p), bool)
-                found.append(np.stack((p[once], q[once])))
-    p, q = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    low = key[p] <= key[q]
-    p, q = _distinct_pairs(np.where(low, p, q), np.where(low, q, p))
-    gap = np.zeros(len(p), np.int64)
-    for at in range(0, len(p), 100_000):
-        part = slice(at, at + 100_000)
-        gap[part] = np.abs(fine[p[part]].astype(np.int16) - fine[q[part]]).sum(1)
-    close = (100 + percent) * gap <= (100 - percent) * (sizes[p] + sizes[q])
-    p, q, gap = p[close], q[close], gap[close]
-    if nearest is not None and len(p):
-        ends, other = np.concatenate((p, q)), np.concatenate((gap, gap)) / (sizes[p] + sizes[q])[np.arange(2 * len(p)) % len(p)]
-        order = np.lexsort((other, ends))
-        new = np.ones(len(order), bool)
-        new[1:] = ends[order][1:] != ends[order][:-1]
-        starts = np.flatnonzero(new)
-        place = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-        kept = np.unique(order[place < nearest] % len(p))
-        p, q = p[kept], q[kept]
-    a, b = _distinct_pairs(key[p], key[q])
+                low = np.minimum(size[x][:, None], size[y][None, :])
+                high = np.maximum(size[x][:, None], size[y][None, :])
+                p, q = np.nonzero((root[x][:, None] != root[y][None, :]) & (100 * low >= percent * high))
+                p, q = key[x[p]], key[y[q]]
+                found.append(np.stack((np.minimum(p, q), np.maximum(p, q))))
+                held += len(p)
+        if held > 2_000_000:
+            found = [np.stack(_distinct_pairs(*np.concatenate(found, axis=1)))]
+            held = found[0].shape[1]
+    a, b = _distinct_pairs(*np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 2
     return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def _near_enough(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs that their sizes and distance tables cannot rule out.
+
+    A set's counts in slices are its distances to fixed pivots; by the triangle inequality
+    their differences bound the symmetric difference of two sets from below.
+    """
+    def check(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLICES).astype(np.int16)
+                    for c in ("xa", "xb"))
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            close = (100 + percent) * np.abs(x - y).sum(1, dtype=np.int64) <= (100 - percent) * total
+            yield batch.select(["a", "b"]).filter(pa.array(close))
+
+    side = lambda c: texts.select(F.col("key").alias(c), F.col("size").alias("n" + c), F.col("slices").alias("x" + c))
+    return (pairs.join(side("b"), "b").join(side("a"), "a")
+            .where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+            .select("a", "b", "na", "nb", "xa", "xb").mapInArrow(check, "a long, b long"))
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, linked) for pairs of keys, by comparing their whole sets."""
+    """(a, b, linked) for the pairs of keys that may link, by comparing their whole sets."""
     def compare(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
@@ -225,7 +233,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
     a = texts.select(F.col("key").alias("a"), F.col("body").alias("ta"))
     b = texts.select(F.col("key").alias("b"), F.col("body").alias("tb"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(
+    return _near_enough(pairs, texts, percent).join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(
         compare, "a long, b long, linked boolean")
 
 
@@ -276,7 +284,7 @@ class JaccardJoin:
         found = materialize(ask(self.blocks, ask_regions).groupBy("shard").applyInArrow(decide, STARS), "regions")
         rows = found.where("is_row").select(F.col("a").alias("key"), F.col("b").alias("id"), "n", "f1", "f2")
         facts = F.struct("n", "f1", "f2")
-        stars = found.where("not is_row").select("a", "b").distinct()
+        stars = found.where("not is_row").groupBy("a", "b").agg(F.sum("n").alias("votes"))
         # Members of regions: also equal sets inside one block, of which only the first asked.
         block = F.shiftright("key", 20)
         local = (rows.where("n > 0").groupBy(block.alias("block"), "n", "f1", "f2")
@@ -284,21 +292,23 @@ class JaccardJoin:
                  .select("a", F.explode("keys").alias("b")).where("a <> b"))
         known = (stars.join(rows.select(F.col("key").alias("a"), facts.alias("fa")), "a")
                  .join(rows.select(F.col("key").alias("b"), facts.alias("fb")), "b"))
-        known = materialize(known.select("a", "b", (F.col("fa") == F.col("fb")).alias("equal")), "stars")
+        known = materialize(known.select("a", "b", "votes", (F.col("fa") == F.col("fb")).alias("equal")), "stars")
         compared = known.select("a").unionByName(known.select(F.col("b").alias("a"))).distinct()
         texts = self._texts(compared)
-        rank = F.struct(F.xxhash64("a"), "a")
-        first = known.where("not equal").groupBy("b").agg(F.min_by("a", rank).alias("a")).select("a", "b")
+        # First the pivot that most regions propose, then the other pivots of what is still apart.
+        rank = F.struct("votes", F.xxhash64("a"), "a")
+        first = known.where("not equal").groupBy("b").agg(F.max_by("a", rank).alias("a")).select("a", "b")
         tested = materialize(_linked(first, texts, k, percent).unionByName(
             known.where("equal").select("a", "b", F.lit(True).alias("linked"))).unionByName(
             local.withColumn("linked", F.lit(True))), "tested")
-        final = components(tested.where("linked").select("a", "b"))
-        for nearest in (NEAREST, NEAREST, None):  # the last round compares all that is left
-            more = materialize(self._across_components(known, tested, final, texts, nearest), "tested")
+        final = materialize(components(tested.where("linked").select("a", "b")), "components")
+        for candidates in (lambda: self._apart(known, final).select("a", "b"),
+                           lambda: self._across_components(self._apart(known, final), final, texts)):
+            more = materialize(_linked(candidates().join(tested.select("a", "b"), ["a", "b"], "left_anti"),
+                                       texts, k, percent), "tested")
             tested = tested.unionByName(more)
-            final = components(final.select(F.col("node").alias("a"), F.col("root").alias("b"))
-                               .unionByName(more.where("linked").select("a", "b")))
-        final = materialize(final, "components")
+            final = materialize(components(final.select(F.col("node").alias("a"), F.col("root").alias("b"))
+                                           .unionByName(more.where("linked").select("a", "b"))), "components")
         members = final.join(rows.select(F.col("key").alias("node"), "id"), "node")
         lowest = members.groupBy("root").agg(F.min("id").alias("component_id"))
         named = final.join(lowest, "root").select(F.col("node").alias("key"), "component_id")
@@ -306,24 +316,32 @@ class JaccardJoin:
                 .select("key", "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")))
 
     def _texts(self, keys: DataFrame) -> DataFrame:
-        """(key, body) of the given keys, column ``a``."""
-        text_ = self.text
+        """(key, body, size, slices) of the given keys, column ``a``."""
+        text_, k = self.text, self.shingle
 
         def pick(block, rows, told):
-            at = np.array(sorted(t["a"] - (block << 20) for t in told), np.int64) if rows is not None else []
-            body = rows[text_].cast(pa.string()).take(pa.array(at)) if len(at) else pa.array([], pa.string())
-            return pa.table([pa.array([(block << 20) + int(i) for i in at], pa.int64()), body], names=["key", "body"])
+            at = np.array(sorted(t["a"] - (block << 20) for t in told), np.int64) if rows is not None else np.zeros(0, np.int64)
+            body = rows[text_].cast(pa.string()).take(pa.array(at)).combine_chunks() if len(at) else pa.array([], pa.string())
+            text, found, sizes = shingle_sets(body, k)
+            counts = np.zeros((len(at), SLICES), np.int64)
+            np.add.at(counts, (text, (mix(found, 61) % U64(SLICES)).astype(np.int64)), 1)
+            slices = np.minimum(counts, 255).astype(np.uint8)
+            return pa.table([pa.array((block << 20) + at), body, pa.array(sizes.astype(np.int64)),
+                             pa.array([r.tobytes() for r in slices], pa.binary())], names=["key", "body", "size", "slices"])
 
         asked = keys.select(F.shiftright("a", 20).alias("block"), "a")
-        return materialize(tell(self.blocks, asked, pick, "key long, body string"), "texts")
+        return materialize(tell(self.blocks, asked, pick, "key long, body string, size long, slices binary"), "texts")
 
-    def _across_components(self, stars: DataFrame, tested: DataFrame, linked: DataFrame, texts: DataFrame,
-                           nearest: int | None) -> DataFrame:
-        """Compare members of one region that are in different components so far."""
-        k, percent = self.shingle, self.percent
+    @staticmethod
+    def _apart(stars: DataFrame, linked: DataFrame) -> DataFrame:
+        """Pairs (a, b) of pivots and members in different components, with their roots ``ra`` and ``rb``."""
         of = lambda c: linked.select(F.col("node").alias(c), F.col("root").alias("r" + c))
-        apart = (stars.join(of("a"), "a", "left").join(of("b"), "b", "left")
-                 .select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb"))
+        return (stars.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+                .select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb"))
+
+    def _across_components(self, apart: DataFrame, linked: DataFrame, texts: DataFrame) -> DataFrame:
+        """Pairs (a, b) of one region, in different components so far, for the components of ``apart``."""
+        k, percent = self.shingle, self.percent
         open_ = apart.select(F.col("ra").alias("root")).unionByName(apart.select(F.col("rb").alias("root"))).distinct()
         everyone = linked.unionByName(open_.join(linked.select("root").distinct(), "root", "left_anti")
                                       .select(F.col("root").alias("node"), "root"))
@@ -336,26 +354,19 @@ class JaccardJoin:
                 for at in range(0, batch.num_rows, 4 * PAIRS_AT_ONCE):
                     part = batch.slice(at, 4 * PAIRS_AT_ONCE)
                     text, found, sizes = shingle_sets(part.column("body"), k)
-                    facts = [np.stack((part.column("key").to_numpy(), part.column("root").to_numpy(), sizes), axis=1)]
-                    for slices, kind in ((COARSE, np.uint16), (FINE, np.uint8)):
-                        counts = np.zeros((len(sizes), slices), np.int64)
-                        np.add.at(counts, (text, (mix(found, slices) % U64(slices)).astype(np.int64)), 1)
-                        facts.append(np.minimum(counts, np.iinfo(kind).max).astype(kind))
-                    facts = np.concatenate([np.ascontiguousarray(x).view(np.uint8).reshape(len(sizes), -1)
-                                            for x in facts], axis=1)
+                    facts = [part.column("key").to_numpy(), part.column("root").to_numpy(), sizes.astype(np.int64)]
                     signature, who = signatures(text, found, sizes, percent)
                     shard, entries = [], []
                     for s, (sig, w) in by_shard(shards, signature, signature, who):
                         docs, local = np.unique(w, return_inverse=True)
                         shard.append(s)
-                        entries.append(np.int64(len(docs)).tobytes() + facts[docs].tobytes()
+                        entries.append(np.int64(len(docs)).tobytes() + to_bytes(*(f[docs] for f in facts))
                                        + to_bytes(sig, local.astype(np.uint32)))
                     yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(entries, pa.binary())],
                                                      names=["shard", "entries"])
 
-        pairs = (left.mapInArrow(emit, "shard int, entries binary").groupBy("shard")
-                 .applyInArrow(lambda t: _across(t["entries"].to_pylist(), percent, nearest), "a long, b long").distinct())
-        return _linked(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts, k, percent)
+        return (left.mapInArrow(emit, "shard int, entries binary").groupBy("shard")
+                .applyInArrow(lambda t: _across(t["entries"].to_pylist(), percent), "a long, b long").distinct())
 
     def result(self) -> DataFrame:
         """One row per row of the table: its id, ``n_shingles`` and ``component_id``."""
