@@ -51,14 +51,16 @@ def roll_up_errors(errors: DataFrame, key: str, part: str, message: str,
                    max_chars: int = ERROR_CHARS) -> DataFrame:
     """Per key: ``part: message`` joined by ``; ``, cut to ``max_chars``.
 
-    Every entry is at least three characters plus its separator, so only the
-    first ``max_chars / 5`` entries of a key can show; no more are gathered.
+    Only the entries that start before the cut are gathered.
     """
-    most = max_chars // 5 + 1
-    order = Window.partitionBy(key).orderBy(part, message)
-    entry = F.struct("_n", F.concat_ws(": ", part, message).alias("text"))
+    text = F.concat_ws(": ", part, message)
+    before = Window.partitionBy(key).orderBy(part, message)
+    entry = F.struct("_n", F.col("_text").alias("text"))
     return (
-        errors.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
+        errors.withColumn("_text", text).withColumn("_n", F.row_number().over(before))
+        .withColumn("_start", F.sum(F.length("_text") + 2).over(
+            before.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("_text") - 2)
+        .where(F.col("_start") < max_chars)
         .groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
         .select(key, F.left(F.array_join(F.transform("_all", lambda e: e["text"]), "; "),
                             F.lit(max_chars)).alias("last_error"))

@@ -60,18 +60,21 @@ def rate_limit(hits: DataFrame, key: str, ts: str, limit: int = DAILY_LIMIT,
     Only accepted hits count against later ones, which makes this a recurrence
     that no window function expresses.  Ordinary keys stream through tasks in
     order; a key with more than ``hot_hits`` hits that also holds a noticeable
-    share of all rows is cut by time and decided in parallel.
+    share of all rows, and has no stored hits, is cut by time and decided in parallel.
     """
     rows = hits.withColumn("_us", F.unix_micros(ts))
     past = None if stored is None else stored.select(key, F.unix_micros(ts).alias("_us")).distinct()
     hot = hot_keys(rows, key, hot_hits)
+    if hot and past is not None:
+        # Stored hits may fall between new ones; such keys are decided in order.
+        known = {r[0] for r in past.where(F.col(key).isin(hot)).select(key).distinct().collect()}
+        hot = [k for k in hot if k not in known]
     if not hot:
         return _in_order(rows, past, key, limit, window_s, prune_s, tie)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     usual = _in_order(rows.where(~is_hot), past if past is None else past.where(~is_hot),
                       key, limit, window_s, prune_s, tie)
-    busy = _by_slices(rows.where(is_hot), past if past is None else past.where(is_hot),
-                      key, limit, window_s, prune_s, tie)
+    busy = _by_slices(rows.where(is_hot), key, limit, window_s, prune_s, tie)
     return usual.unionByName(busy)
 
 
@@ -104,8 +107,7 @@ def _in_order(rows: DataFrame, past: DataFrame | None, key: str, limit: int, win
     return ordered.mapInArrow(decide, schema)
 
 
-def _by_slices(rows: DataFrame, past: DataFrame | None, key: str, limit: int, window_s: int, prune_s: int,
-               tie: str | None) -> DataFrame:
+def _by_slices(rows: DataFrame, key: str, limit: int, window_s: int, prune_s: int, tie: str | None) -> DataFrame:
     """The same decisions for few very busy keys, without a task per key.
 
     Time is cut into slices as long as a hit is remembered.  Inside a slice no
@@ -121,11 +123,6 @@ def _by_slices(rows: DataFrame, past: DataFrame | None, key: str, limit: int, wi
     lists = f"`{key}` {kind}, free array<bigint>"
     busy = [r[0] for r in rows.select(key).distinct().collect()]
     accepted: dict = {k: [] for k in busy}
-    if past is not None:
-        # What a key may still remember: at most ``limit`` accepted hits.
-        for k, now in past.where(F.col("_us").between(start - prune, start)).collect():
-            if k in accepted:
-                accepted[k].append(now)
     decided = []
     for number in range((span["hi"] - start) // prune + 1):
         lo = start + number * prune

@@ -6,6 +6,7 @@ a page is a bounded top-n, and only its few rows meet the source links.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -50,11 +51,9 @@ class JobFilter:
 
 
 def clamp_limit(limit: int | str | None) -> int:
-    """Page size: missing, zero or unreadable is the default, never above the maximum."""
-    try:
-        wanted = int(limit)
-    except (TypeError, ValueError):
-        wanted = 0
+    """Page size: the leading whole number; missing, zero or unreadable is the default, never above the maximum."""
+    found = re.match(r"\s*([+-]?\d+)", "" if limit is None else str(limit), re.ASCII)
+    wanted = int(found[1]) if found else 0
     return min(wanted or DEFAULT_LIMIT, MAX_LIMIT)
 
 

@@ -19,6 +19,7 @@ from rolemill import schemas
 from rolemill.plans.session import materialize
 
 BUCKET = "bucket"
+MARKER = "_buckets-"
 
 # Rows inside a file follow this column, so that its footer statistics can skip row groups.
 FILE_ORDER = {"jobs": "posted_at", "chat_usage": "created_at", "rate_limit_hits": "hit_at"}
@@ -41,7 +42,11 @@ TABLES = {
 
 @dataclass(frozen=True)
 class Store:
-    """Where the state tables live and into how many buckets they are cut."""
+    """Where the state tables live and into how many buckets new ones are cut.
+
+    A table keeps the number of buckets it was first written with, in a marker beside
+    its data; later stores use that number, whatever their own.
+    """
 
     spark: SparkSession
     root: str
@@ -51,8 +56,23 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
 
-    def _bucket(self, key: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+    def _fs(self, folder: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def bucket_count(self, name: str) -> int:
+        """Buckets of a table: as recorded, or as this store would cut a new one."""
+        fs, pattern = self._fs(f"{self.path(name)}/{MARKER}*")
+        found = list(fs.globStatus(pattern) or [])
+        return int(found[0].getPath().getName().removeprefix(MARKER)) if found else self.buckets
+
+    def _record(self, name: str, buckets: int) -> None:
+        fs, path = self._fs(f"{self.path(name)}/{MARKER}{buckets}")
+        if not fs.exists(path):
+            fs.create(path).close()
+
+    def _bucket(self, name: str) -> Column:
+        return F.pmod(F.xxhash64(self.tables[name][1]), F.lit(self.bucket_count(name))).cast("int")
 
     def _schema(self, name: str) -> T.StructType:
         return T.StructType.fromDDL(self.tables[name][0])
@@ -76,27 +96,25 @@ class Store:
 
         ``fn`` must keep every row's key, and only rows of these buckets may come back.
         """
-        key = self.tables[name][1]
-        hit = self._touched(keys, key)
+        hit = self._touched(name, keys)
         if not hit:
             return
         state = self._all(name).where(F.col(BUCKET).isin(hit)).drop(BUCKET)
         self._replace(name, fn(state), hit)
 
-    def _touched(self, keys: DataFrame, key: str) -> list[int]:
-        """Distinct bucket numbers, at most ``buckets`` of them."""
-        return [r[0] for r in keys.select(self._bucket(key).alias(BUCKET)).distinct().collect()]
+    def _touched(self, name: str, keys: DataFrame) -> list[int]:
+        """Distinct bucket numbers, at most as many as the table has."""
+        return [r[0] for r in keys.select(self._bucket(name).alias(BUCKET)).distinct().collect()]
 
     def overwrite(self, name: str, rows: DataFrame) -> None:
         """Replace the whole table."""
-        self._replace(name, rows, list(range(self.buckets)))
+        self._replace(name, rows, list(range(self.bucket_count(name))))
 
     def _replace(self, name: str, rows: DataFrame, hit: Sequence[int]) -> None:
         staged = materialize(self._typed(name, rows), f"stage-{name}")
         self._write(name, staged, "overwrite")
         # Buckets that became empty write no files, so they are emptied explicitly.
-        key = self.tables[name][1]
-        filled = set(self._touched(staged, key))
+        filled = set(self._touched(name, staged))
         for bucket in sorted(set(hit) - filled):
             self._drop(f"{self.path(name)}/{BUCKET}={bucket}")
 
@@ -108,9 +126,11 @@ class Store:
         return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self._schema(name)])
 
     def _write(self, name: str, rows: DataFrame, mode: str) -> None:
-        out = self._typed(name, rows).withColumn(BUCKET, self._bucket(self.tables[name][1]))
+        buckets = self.bucket_count(name)
+        out = self._typed(name, rows).withColumn(BUCKET, self._bucket(name))
         # Rows of one bucket meet in a few tasks, so a bucket is a few files, not one per task.
         (out.repartition(F.col(BUCKET), F.pmod(F.xxhash64(self.tables[name][1], F.lit(1)), F.lit(4)))
          .sortWithinPartitions(BUCKET, *([FILE_ORDER[name]] if name in FILE_ORDER else []))
          .write.mode(mode).partitionBy(BUCKET)
          .option("partitionOverwriteMode", "dynamic").parquet(self.path(name)))
+        self._record(name, buckets)

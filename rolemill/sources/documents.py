@@ -45,16 +45,17 @@ def route_documents(files: DataFrame, max_bytes: int = MAX_BYTES, min_chars: int
                     ) -> tuple[DataFrame, DataFrame]:
     """(text documents, rejected files with a reason).
 
-    Text is decoded as UTF-8 here; binary formats need a decoder of their own and
-    are set aside.
+    Text is decoded as UTF-8 here, and a file that is not valid UTF-8 is set aside;
+    binary formats need a decoder of their own and are set aside too.
     """
     kind = document_kind(F.col("content_type"), F.col("filename"))
-    text = F.when(kind == "text", trim_ws(F.try_validate_utf8(F.decode("content", "UTF-8"))))
+    text = F.when(kind == "text", trim_ws(F.try_validate_utf8(F.col("content").cast("string"))))
     checked = files.withColumn("kind", kind).withColumn("raw_text", text).withColumn(
         "reject_reason",
         F.when(F.col("size") > max_bytes, "too large")
         .when(F.col("kind") == "unsupported", "unsupported type")
         .when(F.col("kind") != "text", F.concat("kind", F.lit(" needs a decoder")))
+        .when(F.col("raw_text").isNull(), "not UTF-8 text")
         .when(F.length("raw_text") < min_chars, "text too short"))
     return (
         checked.where(F.col("reject_reason").isNull()).drop("reject_reason", "content", "kind"),

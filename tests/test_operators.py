@@ -412,3 +412,17 @@ def test_usage(spark):
     df = spark.createDataFrame([(i, "u" if i % 2 else "v", NOW + dt.timedelta(seconds=i)) for i in range(120)],
                                "id int, user_key string, created_at timestamp")
     assert prompts.usage_log(df).count() == 100 and prompts.usage_log(df, "u").count() == 50
+
+
+def test_stored_hits_between_new_hits_of_hot_keys(spark):
+    hour = lambda h: f"2024-01-01 {h:02d}:00:00"
+    make = lambda rows: spark.createDataFrame(rows, "k string, s string").select("k", F.to_timestamp("s").alias("t"))
+    hits, stored = make([("a", hour(0)), ("a", hour(1)), ("b", hour(10))]), make([("b", hour(5)), ("b", hour(6))])
+    for hot in (10**9, 0):
+        got = {(r["k"], str(r["t"])): r["allowed"] for r in limits.rate_limit(
+            hits, "k", "t", limit=2, stored=stored, hot_hits=hot).collect()}
+        assert list(got.values()).count(False) == 1 and not got[("b", hour(10))]
+
+
+def test_limit_reads_leading_digits():
+    assert [search.clamp_limit(x) for x in ("20abc", "7.9", " 8", "abc", 7.9)] == [20, 7, 8, 20, 7]

@@ -129,3 +129,20 @@ def test_error_rollup(spark):
     got = {r.name: r.last_error for r in admin.roll_up_errors(df, "name", "board", "msg").collect()}
     full = "; ".join(f"{b}: {m}" for n, b, m in rows if n == "g")[:1000]
     assert got == {"g": full, "l": "z: dead"}
+
+
+def test_error_rollup_of_empty_parts(spark):
+    rows = [("k", None, "x")] * 400
+    got = admin.roll_up_errors(spark.createDataFrame(rows, "name string, part string, message string"), "name", "part", "message")
+    assert got.first()["last_error"] == "; ".join(["x"] * 400)[:1000]
+
+
+def test_store_keeps_its_bucket_count(spark):
+    root = shared_folder(spark, "store")
+    names = spark.createDataFrame([(f"n{i}",) for i in range(40)], "name string")
+    shape = Store(spark, root, buckets=16, tables={"t": ("name string, n int", "name")})
+    shape.append("t", names.withColumn("n", F.lit(1)))
+    other = Store(spark, root, buckets=64, tables={"t": ("name string, n int", "name")})
+    other.change("t", names, lambda state: state.withColumn("n", F.lit(2)))
+    assert other.bucket_count("t") == 16
+    assert [(r["n"], r["count"]) for r in other.read("t").groupBy("n").count().collect()] == [(2, 40)]
