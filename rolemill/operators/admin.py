@@ -60,7 +60,7 @@ def roll_up_errors(errors: DataFrame, key: str, part: str, message: str,
         errors.withColumn("_text", text).withColumn("_n", F.row_number().over(before))
         .withColumn("_start", F.sum(F.length("_text") + 2).over(
             before.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("_text") - 2)
-        .where(F.col("_start") < max_chars)
+        .where(F.col("_start") < max_chars + 2)  # its separator stands before it
         .groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
         .select(key, F.left(F.array_join(F.transform("_all", lambda e: e["text"]), "; "),
                             F.lit(max_chars)).alias("last_error"))
