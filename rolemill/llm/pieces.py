@@ -6,7 +6,8 @@ merging their text gives the same two again.  So the search keeps one survivor p
 boundary, with a pointer back to the boundary where its last piece starts.  No piece is
 longer than the window, so only boundaries inside it can still be extended; as soon as
 all of their back-pointer paths run through one boundary, the ids up to it are final and
-leave the window.
+leave the window.  In a short run, which is at hand as a whole, survivors are worked out
+from its end, only for the boundaries that a path asks for.
 
 A boundary that no piece of the vocabulary can span, before a space that follows another
 character, is such a point by itself.  The runs between them repeat a lot and are encoded
@@ -70,6 +71,11 @@ class PieceModel:
                 self.halves[p] = (parts[0], parts[1])
         #: Pieces that merging can make at all.
         self.made = {p: self.ids[p] for p in self.ids if len(p) == 1 or p in self.halves}
+        #: Length of the longest such piece that ends with these three characters.
+        self.reach: dict[str, int] = {}
+        for p in self.made:
+            if len(p) > 2:
+                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
         self._beside: dict[tuple[str, str], bool] = {}
 
     def merge(self, parts: list[str], upto: int | None = None) -> list[str]:
@@ -133,6 +139,27 @@ def extend_paths(model: PieceModel, text: str, last: list[str], before: str | No
                 last.append(piece)  # outside the vocabulary: its bytes
 
 
+def survivor(model: PieceModel, text: str, end: int, last: list[str | None]) -> str:
+    """Last piece of the best path to ``end`` of a short text; boundaries no path asks for stay open in ``last``."""
+    made, known = model.made, model._beside.get
+    longest = model.reach.get(text[end - 3:end], 2) if end > 2 else end
+    for start in range(end - longest if end > longest else 0, end):
+        piece = text[start:end]
+        if piece in made:
+            if not start:
+                break
+            left = last[start] or survivor(model, text, start, last)
+            if left not in made:
+                break
+            fits = known((left, piece))
+            if model.beside(left, piece) if fits is None else fits:
+                break
+        elif end - start == 1 and start and not last[start]:
+            survivor(model, text, start, last)  # the piece is outside the vocabulary: its bytes
+    last[end] = piece
+    return piece
+
+
 def path_ids(model: PieceModel, last: list[str], end: int) -> list[int]:
     """Ids along the back pointers from a boundary to the start."""
     made, out = model.made, []
@@ -206,8 +233,8 @@ class Encoder:
         if len(run) > SHORT:
             stream = StreamingEncoder(self.model)
             return stream.feed(run[1:]) + stream.finish()
-        last = [""]
-        extend_paths(self.model, run, last, None)
+        last: list[str | None] = [None] * (len(run) + 1)
+        survivor(self.model, run, len(run), last)
         if len(self.known) >= KNOWN_RUNS:
             self.known.clear()
         ids = self.known[run] = tuple(path_ids(self.model, last, len(run)))
