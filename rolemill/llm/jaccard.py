@@ -14,8 +14,9 @@ metric that bounds it, the size of the symmetric difference.  Two linked sets of
    done, whatever its size.
 3. *The rest, recursively.*  Components that share a region without a link between its
    pivot and a member stay open.  Their members form regions again, and pairs from
-   different components are compared exactly unless their sizes, or the differences of
-   their distances to fixed pivots (a triangle window), rule a link out.
+   different components are compared exactly unless their sizes, the number of regions
+   they share, or the differences of their distances to fixed pivots (a triangle window)
+   rule a link out.
 
 Equal sets cost one entry per block, and nothing is gathered by region outside a shard.
 """
@@ -68,14 +69,14 @@ def size_groups(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
     """Largest set size of each group and its number of slices (more than linked sets can differ by)."""
     top = [max(1, (99 + percent) // (2 * (100 - percent)))]
     while top[-1] < largest:
-        top.append(max(top[-1] + 1, top[-1] * 3 // 2))
-    top = np.array([*top, top[-1] * 3 // 2 + 1], np.int64)
+        top.append(max(top[-1] + 1, top[-1] * 3 // 2, top[-1] * 100 // percent))
+    top = np.array([*top, max(top[-1] * 3 // 2, top[-1] * 100 // percent) + 1], np.int64)
     differ = 2 * top * (100 - percent) // (100 + percent)
     return top, np.where(differ > 0, differ + 2 + differ // 40, 1)
 
 
-def signatures(text: np.ndarray, found: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slice contents of every set, as (hash, text).
+def signatures(text: np.ndarray, found: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Slice contents of every set: (hash, text, whether made in the next size group), and filled slices by group.
 
     An empty slice counts only for a set with so many of them that a partner could
     differ in all others; such a partner has as many and gives them too.
@@ -83,8 +84,8 @@ def signatures(text: np.ndarray, found: np.ndarray, sizes: np.ndarray, percent:
     top, slices = size_groups(percent, int(sizes.max()) if len(sizes) else 1)
     own = np.searchsorted(top, sizes)
     above = np.where((sizes > 0) & (100 * sizes >= percent * (top[own] + 1)), own + 1, -1)
-    out_hash, out_text = [], []
-    for group in (np.where(sizes > 0, own, -1), above):
+    out_hash, out_text, out_above, in_use = [], [], [], []
+    for next_up, group in enumerate((np.where(sizes > 0, own, -1), above)):
         width = np.where(group >= 0, slices[group], 0)
         start = np.cumsum(width) - width
         mine = group[text] >= 0
@@ -96,12 +97,14 @@ def signatures(text: np.ndarray, found: np.ndarray, sizes: np.ndarray, percent:
         of = np.repeat(np.arange(len(sizes)), width)
         partner = np.minimum(top[group], 100 * sizes // percent)
         differ = (100 - percent) * (sizes + partner) // (100 + percent)
-        scarce = np.bincount(of[filled], minlength=len(sizes)) <= differ
+        in_use.append(np.bincount(of[filled], minlength=len(sizes)))
+        scarce = in_use[-1] <= differ
         use = np.flatnonzero(filled | scarce[of])
         name = group[of[use]].astype(U64) * U64(1 << 40) + (use - start[of[use]]).astype(U64)
         out_hash.append(mix(content[use] ^ mix(name, 33), 34))
         out_text.append(of[use])
-    return np.concatenate(out_hash), np.concatenate(out_text)
+        out_above.append(np.full(len(use), next_up, bool))
+    return np.concatenate(out_hash), np.concatenate(out_text), np.concatenate(out_above), np.stack(in_use)
 
 
 def _groups(signature: np.ndarray, order_by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,14 +123,6 @@ def _groups(signature: np.ndarray, order_by: np.ndarray) -> tuple[np.ndarray, np
     return order, starts, np.diff(np.append(starts, len(order)))
 
 
-def _distinct_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return a[new], b[new]
-
-
 STARS = "a long, b long, n long, f1 long, f2 long, is_row boolean"
 
 
@@ -156,42 +151,69 @@ def _stars(entries: list[bytes]) -> pa.Table:
                      pa.array(none > 0)], names=["a", "b", "n", "f1", "f2", "is_row"])
 
 
+def _summed_pairs(found: list[np.ndarray]) -> np.ndarray:
+    """Rows (a, b, agree, need) without repeated pairs; ``agree`` is added up."""
+    a, b, agree, need = np.concatenate(found, axis=1)
+    order = np.lexsort((b, a))
+    a, b, agree, need = a[order], b[order], agree[order], need[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    starts = np.flatnonzero(new)
+    return np.stack((a[starts], b[starts], np.add.reduceat(agree, starts) if len(starts) else agree, need[starts]))
+
+
 def _across(entries: list[bytes], percent: int) -> pa.Table:
-    """Pairs of one region that are in different components and whose sizes allow a link."""
-    keys, roots, sizes, signature, row, at = [], [], [], [], [], 0
+    """Pairs of one region that are in different components and whose sizes allow a link.
+
+    ``agree`` is the number of slices of the shard on which a pair agrees, counted in the
+    size group of its larger set only.  There linked sets differ in at most as many slices
+    as shingles, so they agree on at least ``need`` of those that the fuller one has filled.
+    """
+    facts, signature, row, at = [], [], [], 0
     for e in entries:
         m = int(np.frombuffer(e, np.int64, 1)[0])
-        for out, values in zip((keys, roots, sizes), from_bytes(e[8:8 + 24 * m], np.int64, np.int64, np.int64)):
-            out.append(values)
-        s, i = from_bytes(e[8 + 24 * m:], U64, np.uint32)
+        facts.append(from_bytes(e[8:8 + 32 * m], np.int64, np.int64, np.int64, np.int32, np.int32))
+        s, i = from_bytes(e[8 + 32 * m:], U64, np.uint32)
         signature.append(s)
-        row.append(i.astype(np.int64) + at)
+        row.append(i.astype(np.int64) + 2 * at)
         at += m
-    key, root, size, signature, row = (np.concatenate(x) for x in (keys, roots, sizes, signature, row))
-    order, starts, counts = _groups(signature, key[row].astype(U64))
-    seen, found, held = set(), [], 0
+    key, root, size, *filled = (np.concatenate(x) for x in zip(*facts))
+    signature, row = np.concatenate(signature), np.concatenate(row)
+    filled = np.stack(filled).astype(np.int64)
+    order, starts, counts = _groups(signature, key[row >> 1].astype(U64))
+    times, members = {}, {}
     for start, count in zip(starts.tolist(), counts.tolist()):
         own = row[order[start:start + count]]
-        if (root[own] == root[own[0]]).all():
-            continue
-        name = key[own].tobytes()
-        if name in seen:
+        if (root[own >> 1] == root[own[0] >> 1]).all():
             continue
-        seen.add(name)
-        for i in range(0, count, TILE):
-            for j in range(i, count, TILE):
+        name = (key[own >> 1] * 2 + (own & 1)).tobytes()
+        times[name] = times.get(name, 0) + 1
+        members[name] = own
+    found, held = [np.zeros((4, 0), np.int64)], 0
+    for name, own in members.items():
+        above, own = own & 1, own >> 1
+        full = filled[above, own]
+        for i in range(0, len(own), TILE):
+            for j in range(i, len(own), TILE):
                 x, y = own[i:i + TILE], own[j:j + TILE]
                 low = np.minimum(size[x][:, None], size[y][None, :])
                 high = np.maximum(size[x][:, None], size[y][None, :])
-                p, q = np.nonzero((root[x][:, None] != root[y][None, :]) & (100 * low >= percent * high))
+                p, q = np.nonzero((root[x][:, None] != root[y][None, :]) & (100 * low >= percent * high)
+                                  & ((above[i:i + TILE][:, None] & above[j:j + TILE][None, :]) == 0))
+                differ = (100 - percent) * (size[x[p]] + size[y[q]]) // (100 + percent)
+                need = np.maximum(1, np.maximum(full[i + p], full[j + q]) - differ)
                 p, q = key[x[p]], key[y[q]]
-                found.append(np.stack((np.minimum(p, q), np.maximum(p, q))))
+                if i == j:
+                    once = p < q
+                    p, q, need = p[once], q[once], need[once]
+                found.append(np.stack((np.minimum(p, q), np.maximum(p, q), np.full(len(p), times[name]), need)))
                 held += len(p)
-        if held > 2_000_000:
-            found = [np.stack(_distinct_pairs(*np.concatenate(found, axis=1)))]
-            held = found[0].shape[1]
-    a, b = _distinct_pairs(*np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 2
-    return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+                if held > 2_000_000 and held > 2 * found[0].shape[1]:
+                    found = [_summed_pairs(found)]
+                    held = found[0].shape[1]
+    a, b, agree, need = _summed_pairs(found)
+    return pa.table([pa.array(a), pa.array(b), pa.array(agree.astype(np.int32)), pa.array(need.astype(np.int32))],
+                    names=["a", "b", "agree", "need"])
 
 
 def _near_enough(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -268,7 +290,7 @@ class JaccardJoin:
             once = np.zeros(n, bool)
             once[first] = True
             kept = once[text]
-            signature, of = signatures(text[kept], found[kept], np.where(once, sizes, 0), percent)
+            signature, of, _, _ = signatures(text[kept], found[kept], np.where(once, sizes, 0), percent)
             for s, cols in by_shard(shards, signature, signature, keys[of]):
                 yield s, to_bytes(*cols)
 
@@ -355,18 +377,21 @@ class JaccardJoin:
                     part = batch.slice(at, 4 * PAIRS_AT_ONCE)
                     text, found, sizes = shingle_sets(part.column("body"), k)
                     facts = [part.column("key").to_numpy(), part.column("root").to_numpy(), sizes.astype(np.int64)]
-                    signature, who = signatures(text, found, sizes, percent)
+                    signature, who, above, filled = signatures(text, found, sizes, percent)
+                    facts += list(filled.astype(np.int32))
                     shard, entries = [], []
-                    for s, (sig, w) in by_shard(shards, signature, signature, who):
+                    for s, (sig, w, up) in by_shard(shards, signature, signature, who, above):
                         docs, local = np.unique(w, return_inverse=True)
                         shard.append(s)
                         entries.append(np.int64(len(docs)).tobytes() + to_bytes(*(f[docs] for f in facts))
-                                       + to_bytes(sig, local.astype(np.uint32)))
+                                       + to_bytes(sig, (2 * local + up).astype(np.uint32)))
                     yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(entries, pa.binary())],
                                                      names=["shard", "entries"])
 
         return (left.mapInArrow(emit, "shard int, entries binary").groupBy("shard")
-                .applyInArrow(lambda t: _across(t["entries"].to_pylist(), percent), "a long, b long").distinct())
+                .applyInArrow(lambda t: _across(t["entries"].to_pylist(), percent), "a long, b long, agree int, need int")
+                .groupBy("a", "b").agg(F.sum("agree").alias("agree"), F.max("need").alias("need"))
+                .where("agree >= need").select("a", "b"))
 
     def result(self) -> DataFrame:
         """One row per row of the table: its id, ``n_shingles`` and ``component_id``."""

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolemill.llm.graph import components
+from rolemill.llm import jaccard
 from rolemill.llm.jaccard import JaccardJoin
 from rolemill.llm.language_id import fit, identify
 from rolemill.llm.language_model import score_texts
@@ -340,3 +341,23 @@ def test_pipeline_and_queries(spark):
             assert out.count() <= 15
         df = spark.createDataFrame(out.collect(), df.schema)
     assert len([q for q in QUERIES if q.startswith("op")]) == 10
+
+
+@pytest.mark.parametrize("percent", [55, 85, 97])
+def test_linked_sets_share_regions(percent):
+    rng = np.random.default_rng(percent)
+    for _ in range(150):
+        n = int(rng.integers(1, 400))
+        both = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        a, b = (np.unique(np.concatenate((both, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n * (100 - percent) // percent)))
+                                          .astype(np.uint64)))) for _ in range(2))
+        text, found = np.repeat([0, 1], [len(a), len(b)]), np.concatenate((a, b))
+        sizes = np.array([len(a), len(b)])
+        signature, who, above, filled = jaccard.signatures(text, found, sizes, percent)
+        facts = (np.array([5, 9]), np.array([5, 9]), sizes, *filled.astype(np.int32))
+        entry = np.int64(2).tobytes() + b"".join(x.tobytes() for x in facts) + signature.tobytes() + (
+            2 * who + above).astype(np.uint32).tobytes()
+        got = jaccard._across([entry], percent).to_pylist()
+        inter = len(np.intersect1d(a, b))
+        if 100 * inter >= percent * (len(a) + len(b) - inter):
+            assert len(got) == 1 and got[0]["a"] == 5 and got[0]["b"] == 9 and got[0]["agree"] >= got[0]["need"]
