@@ -38,6 +38,7 @@ SHINGLE = 4
 PERCENT = 85
 TILE = 512
 SLICES = 256  # slices of the distance tables
+COARSE = 64  # slices of the small tables that travel with regions, half a byte each
 PAIRS_AT_ONCE = 400
 
 
@@ -151,6 +152,23 @@ def _stars(entries: list[bytes]) -> pa.Table:
                      pa.array(none > 0)], names=["a", "b", "n", "f1", "f2", "is_row"])
 
 
+def _apart_by(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sum of absolute differences of two tables of counts, a lower bound of the symmetric difference of the sets."""
+    return (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64)
+
+
+def _tables(text: np.ndarray, found: np.ndarray, n: int, slices: int, seed: int, most: int = 255) -> np.ndarray:
+    """Counts of every set in so many slices; a count above ``most`` stays there, which only lowers differences."""
+    at = text * slices + (mix(found, seed) % U64(slices)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=n * slices), most).astype(np.uint8).reshape(n, slices)
+
+
+def _coarse(text: np.ndarray, found: np.ndarray, n: int) -> np.ndarray:
+    """Tables of COARSE counts up to 15, two in a byte."""
+    counts = _tables(text, found, n, COARSE, 62, most=15)
+    return counts[:, ::2] | counts[:, 1::2] << 4
+
+
 def _summed_pairs(found: list[np.ndarray]) -> np.ndarray:
     """Rows (a, b, agree, need) without repeated pairs; ``agree`` is added up."""
     a, b, agree, need = np.concatenate(found, axis=1)
@@ -163,22 +181,24 @@ def _summed_pairs(found: list[np.ndarray]) -> np.ndarray:
 
 
 def _across(entries: list[bytes], percent: int) -> pa.Table:
-    """Pairs of one region that are in different components and whose sizes allow a link.
+    """Pairs of one region that are in different components and whose sizes and small tables allow a link.
 
     ``agree`` is the number of slices of the shard on which a pair agrees, counted in the
     size group of its larger set only.  There linked sets differ in at most as many slices
     as shingles, so they agree on at least ``need`` of those that the fuller one has filled.
     """
-    facts, signature, row, at = [], [], [], 0
+    facts, coarse, signature, row, at = [], [], [], [], 0
     for e in entries:
         m = int(np.frombuffer(e, np.int64, 1)[0])
         facts.append(from_bytes(e[8:8 + 32 * m], np.int64, np.int64, np.int64, np.int32, np.int32))
-        s, i = from_bytes(e[8 + 32 * m:], U64, np.uint32)
+        end = 8 + (32 + COARSE // 2) * m
+        coarse.append(np.frombuffer(e, np.uint8, COARSE // 2 * m, 8 + 32 * m).reshape(m, COARSE // 2))
+        s, i = from_bytes(e[end:], U64, np.uint32)
         signature.append(s)
         row.append(i.astype(np.int64) + 2 * at)
         at += m
     key, root, size, *filled = (np.concatenate(x) for x in zip(*facts))
-    signature, row = np.concatenate(signature), np.concatenate(row)
+    coarse, signature, row = np.concatenate(coarse), np.concatenate(signature), np.concatenate(row)
     filled = np.stack(filled).astype(np.int64)
     order, starts, counts = _groups(signature, key[row >> 1].astype(U64))
     times, members = {}, {}
@@ -201,6 +221,9 @@ def _across(entries: list[bytes], percent: int) -> pa.Table:
                 p, q = np.nonzero((root[x][:, None] != root[y][None, :]) & (100 * low >= percent * high)
                                   & ((above[i:i + TILE][:, None] & above[j:j + TILE][None, :]) == 0))
                 differ = (100 - percent) * (size[x[p]] + size[y[q]]) // (100 + percent)
+                cx, cy = coarse[x[p]], coarse[y[q]]
+                near = _apart_by(cx & 15, cy & 15) + _apart_by(cx >> 4, cy >> 4) <= differ
+                p, q, differ = p[near], q[near], differ[near]
                 need = np.maximum(1, np.maximum(full[i + p], full[j + q]) - differ)
                 p, q = key[x[p]], key[y[q]]
                 if i == j:
@@ -224,10 +247,9 @@ def _near_enough(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """
     def check(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLICES).astype(np.int16)
-                    for c in ("xa", "xb"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SLICES) for c in ("xa", "xb"))
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            close = (100 + percent) * np.abs(x - y).sum(1, dtype=np.int64) <= (100 - percent) * total
+            close = (100 + percent) * _apart_by(x, y) <= (100 - percent) * total
             yield batch.select(["a", "b"]).filter(pa.array(close))
 
     side = lambda c: texts.select(F.col("key").alias(c), F.col("size").alias("n" + c), F.col("slices").alias("x" + c))
@@ -345,9 +367,7 @@ class JaccardJoin:
             at = np.array(sorted(t["a"] - (block << 20) for t in told), np.int64) if rows is not None else np.zeros(0, np.int64)
             body = rows[text_].cast(pa.string()).take(pa.array(at)).combine_chunks() if len(at) else pa.array([], pa.string())
             text, found, sizes = shingle_sets(body, k)
-            counts = np.zeros((len(at), SLICES), np.int64)
-            np.add.at(counts, (text, (mix(found, 61) % U64(SLICES)).astype(np.int64)), 1)
-            slices = np.minimum(counts, 255).astype(np.uint8)
+            slices = _tables(text, found, len(at), SLICES, 61)
             return pa.table([pa.array((block << 20) + at), body, pa.array(sizes.astype(np.int64)),
                              pa.array([r.tobytes() for r in slices], pa.binary())], names=["key", "body", "size", "slices"])
 
@@ -378,7 +398,7 @@ class JaccardJoin:
                     text, found, sizes = shingle_sets(part.column("body"), k)
                     facts = [part.column("key").to_numpy(), part.column("root").to_numpy(), sizes.astype(np.int64)]
                     signature, who, above, filled = signatures(text, found, sizes, percent)
-                    facts += list(filled.astype(np.int32))
+                    facts += [*filled.astype(np.int32), _coarse(text, found, len(sizes))]
                     shard, entries = [], []
                     for s, (sig, w, up) in by_shard(shards, signature, signature, who, above):
                         docs, local = np.unique(w, return_inverse=True)

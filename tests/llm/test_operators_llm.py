@@ -354,7 +354,8 @@ def test_linked_sets_share_regions(percent):
         text, found = np.repeat([0, 1], [len(a), len(b)]), np.concatenate((a, b))
         sizes = np.array([len(a), len(b)])
         signature, who, above, filled = jaccard.signatures(text, found, sizes, percent)
-        facts = (np.array([5, 9]), np.array([5, 9]), sizes, *filled.astype(np.int32))
+        facts = (np.array([5, 9]), np.array([5, 9]), sizes, *filled.astype(np.int32),
+                 jaccard._coarse(text, found, 2))
         entry = np.int64(2).tobytes() + b"".join(x.tobytes() for x in facts) + signature.tobytes() + (
             2 * who + above).astype(np.uint32).tobytes()
         got = jaccard._across([entry], percent).to_pylist()
