@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from rolemill.llm.words import SPACES
+from rolemill.plans.broadcast import broadcast_if_small
+from rolemill.plans.session import materialize
 
 ROWS = 1 << 16
 DIM = 16
@@ -129,10 +131,12 @@ def fit(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text",
     """Train on a bounded sample: about ``sample`` texts of every language, chosen by hash.
 
     Tasks turn whole sampled texts, and a piece of each, into subword shares; at most
-    ``ROWS`` numbers per text reach the driver, where the descent runs.
+    ``ROWS`` pairs of a two-byte row and a four-byte share per text reach the driver, where
+    the descent runs.
     """
     usable = docs.where(F.coalesce(train, F.lit(False)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     rates = usable.groupBy(F.col(lang).alias("_lang")).agg((F.lit(float(sample)) / F.count("*")).alias("_rate"))
+    rates = broadcast_if_small(materialize(rates, "rates"))  # one row per language
     draw = F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
     chosen = (usable.join(rates, F.col(lang) == F.col("_lang")).where(draw < F.col("_rate"))
               .select(F.col(lang).alias("lang"), F.col(text).alias("text")))
@@ -145,16 +149,18 @@ def fit(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text",
                     at = len(value) // 3
                     piece = value[at:at + 160]
                     for part in (value, piece) if re.search(r"[^\W\d_]", piece) else (value,):
-                        out.append((name, *histogram(part)))
+                        rows, shares = histogram(part)
+                        out.append((name, rows.astype(np.uint16).tobytes(), shares.astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.list_(pa.int64())),
-                 pa.array([o[2] for o in out], pa.list_(pa.float64()))], names=["lang", "rows", "shares"])
-
-    got = chosen.mapInArrow(features, "lang string, rows array<long>, shares array<double>").toArrow()
-    rows, shares = got["rows"].combine_chunks(), got["shares"].combine_chunks()
-    examples = [(name, r.values.to_numpy(), s.values.to_numpy()) for name, r, s in zip(got["lang"].to_pylist(), rows, shares)]
-    examples.sort(key=lambda e: (e[0], len(e[1]), e[1].tobytes(), e[2].tobytes()))  # whatever the order of tasks
-    return train_model(examples)
+                [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.binary()),
+                 pa.array([o[2] for o in out], pa.binary())], names=["lang", "rows", "shares"])
+
+    got = chosen.mapInArrow(features, "lang string, rows binary, shares binary").toArrow()
+    found = [e for batch in got.to_batches() for e in zip(*(batch.column(c).to_pylist() for c in ("lang", "rows", "shares")))]
+    del got
+    pa.default_memory_pool().release_unused()
+    found.sort(key=lambda e: (e[0], len(e[1]), e[1], e[2]))  # whatever the order of tasks
+    return train_model([(name, np.frombuffer(rows, np.uint16), np.frombuffer(shares, np.float32)) for name, rows, shares in found])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
