@@ -6,7 +6,6 @@ Distances are computed in blocks of bounded size inside tasks and only the best
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -116,23 +115,30 @@ def _schema(queries: DataFrame, items: DataFrame) -> str:
     return f"query_id {q}, item_id {i}, distance double"
 
 
-def _block_join(queries: DataFrame, items: DataFrame, k: int, block: int, skip_same_id: bool) -> DataFrame:
+def _block_join(queries: DataFrame, items: DataFrame, k: int, block: int, skip_same_id: bool,
+                in_buckets: bool = True) -> DataFrame:
     """Best candidates within every bucket, computed cell by cell.
 
     Both sides carry ``_bucket``.  A bucket is cut into cells of about ``block``
     queries by ``block`` items, however full it is, so a crowded bucket becomes
-    many equal tasks.  The size table has one row per bucket.
+    many equal tasks.  The size table has one row per bucket; without buckets the
+    two numbers of cells are counted and become literals.
     """
-    def cuts(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("_bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name))
+    if in_buckets:
+        def cuts(df: DataFrame, name: str) -> DataFrame:
+            return df.groupBy("_bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name))
 
-    sizes = cuts(queries, "_qn").join(cuts(items, "_in"), "_bucket")
+        sizes = cuts(queries, "_qn").join(cuts(items, "_in"), "_bucket")
+        queries, items = queries.join(sizes, "_bucket"), items.join(sizes, "_bucket")
+    else:
+        numbers = {name: F.lit(max(1, -(-df.count() // block))) for name, df in (("_qn", queries), ("_in", items))}
+        numbers["_bucket"] = F.lit(0)
+        queries, items = queries.withColumns(numbers), items.withColumns(numbers)
 
     def spread(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
         return (
-            df.join(sizes, "_bucket")
-            .withColumn(own, F.pmod(F.xxhash64("_id"), F.col(own_n)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_n) - 1)))
+            df.withColumn(own, F.pmod(F.xxhash64("_id"), F.col(own_n)).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), (F.col(other_n) - 1).cast("int"))))
             .select("_bucket", "_qc", "_ic", "_id", "_vec")
         )
 
@@ -161,8 +167,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "id", it
     q, i = _rename(queries, query_id, query_vec), _rename(items, item_id, item_vec)
     few = q.limit(block + 1).toPandas() if _at_most(q, block) else None
     if few is None:
-        one = F.lit(0).alias("_bucket")
-        found = _block_join(q.select("*", one), i.select("*", one), k, block, skip_same_id)
+        found = _block_join(q, i, k, block, skip_same_id, in_buckets=False)
         return _keep_best(found, k)
     if few.empty:
         return _keep_best(items.sparkSession.createDataFrame([], _schema(q, i)), k)
@@ -216,15 +221,14 @@ def signatures(dim: int, tables: int, bits: int, seed: int, probes: int = 0):
 
 def approx_top_k(queries: DataFrame, items: DataFrame, k: int, dim: int, query_id: str = "id",
                  item_id: str = "id", query_vec: str = "embedding", item_vec: str = "embedding",
-                 skip_same_id: bool = False, tables: int = 8, bits: int | None = None, probes: int = 2,
+                 skip_same_id: bool = False, tables: int = 8, bits: int = 4, probes: int = 2,
                  seed: int = 17, block: int = BLOCK) -> DataFrame:
     """Approximate ``k`` closest items: exact ranking among items sharing a bucket.
 
-    ``bits`` defaults to buckets of about one block.  Recall is bought with more
-    tables and probes; compare with `top_k`.
+    A table has ``2**bits`` buckets, whatever the number of items; the base two
+    logarithm of ``items / block`` gives buckets of about one block.  Recall is
+    bought with more tables and probes; compare with `top_k`.
     """
-    if bits is None:
-        bits = max(1, min(20, math.ceil(math.log2(max(2.0, items.count() / block)))))
     q = _rename(queries, query_id, query_vec)
     i = _rename(items, item_id, item_vec)
     q = q.withColumn("_bucket", F.explode(signatures(dim, tables, bits, seed, probes)("_vec")))

@@ -1,14 +1,17 @@
 """Stateful streams: admission limit, failure lockout, response cache.
 
-Each keeps a small bounded state per key in the state store and sees a key's
-rows in chunks, never as one frame.
+Each keeps a small bounded state per key in the state store.  Micro-batches are
+taken as they come, and the rows of a key inside one in time order, however Spark
+cuts them into chunks: a task holds the times of one key and micro-batch, eight
+bytes each, so the trigger's size bounds it.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from bisect import insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +22,15 @@ from rolemill.operators.limits import (
 )
 
 MICROS = 1_000_000
+OUT_ROWS = 10_000  # rows of an output frame
+
+
+def _times(rows: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+    """Times of a key in one micro-batch in order, in stretches of bounded length."""
+    chunks = [pdf["us"].to_numpy(np.int64) for pdf in rows]
+    ordered = np.sort(np.concatenate(chunks)) if chunks else np.zeros(0, np.int64)
+    for at in range(0, len(ordered), OUT_ROWS):
+        yield ordered[at:at + OUT_ROWS]
 
 
 class _LimitProcessor(StatefulProcessor):
@@ -32,11 +44,10 @@ class _LimitProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state = Admission(*self.args, times=sorted(r[0] for r in self.accepted.get()))
-        for pdf in rows:
-            pdf = pdf.sort_values("us", kind="stable")
-            decided = [state.hit(now) for now in pdf["us"].tolist()]
+        for us in _times(rows):
+            decided = [state.hit(now) for now in us.tolist()]
             yield pd.DataFrame({
-                "key": key[0], "us": pdf["us"].to_numpy(),
+                "key": key[0], "us": us,
                 "allowed": [d[0] for d in decided], "remaining": [d[1] for d in decided],
                 "retry_after_s": [d[2] for d in decided]})
         self.accepted.put([(t,) for t in state.times])
@@ -55,12 +66,18 @@ class _LockoutProcessor(StatefulProcessor):
         self.recent = handle.getListState("recent", "us bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        times = deque(sorted(r[0] for r in self.recent.get()), maxlen=self.limit + 1)
-        for pdf in rows:
-            fresh, locked = sorted(set(pdf["us"].tolist()) - set(times)), []
-            for now in fresh:
-                times.append(now)
-                locked.append(len(times) > self.limit and times[0] > now - self.window)
+        times = sorted(r[0] for r in self.recent.get())
+        stored, last = set(times), None
+        for us in _times(rows):
+            fresh, locked = [], []
+            for now in us.tolist():
+                if now == last or now in stored:
+                    continue
+                last = now
+                insort(times, now)
+                del times[:-self.limit - 1]
+                fresh.append(now)
+                locked.append(sum(now - self.window < t <= now for t in times) > self.limit)
             yield pd.DataFrame({"key": key[0], "us": fresh, "locked": locked})
         self.recent.put([(t,) for t in times])
 
@@ -76,16 +93,13 @@ class _SeenProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.seen.exists()
-        for pdf in rows:
-            pdf = pdf.sort_values("us", kind="stable")
-            if pdf.empty:
-                continue
-            flags = [True] * len(pdf)
+        for us in _times(rows):
+            flags = [True] * len(us)
             flags[0] = known
             if not known:
-                self.seen.update((int(pdf["us"].iloc[0]),))
+                self.seen.update((int(us[0]),))
                 known = True
-            yield pd.DataFrame({"key": key[0], "us": pdf["us"].to_numpy(), "cached": flags})
+            yield pd.DataFrame({"key": key[0], "us": us, "cached": flags})
 
     def close(self) -> None:
         pass
@@ -101,7 +115,7 @@ def _run(stream: DataFrame, key: str, ts: str, processor: StatefulProcessor, out
 
 def rate_limit_stream(hits: DataFrame, key: str, ts: str, limit: int = DAILY_LIMIT,
                       window_s: int = WINDOW_S, prune_s: int = PRUNE_S) -> DataFrame:
-    """Decisions in arrival order: (key, ts, allowed, remaining, retry_after_s)."""
+    """Decisions by micro-batch, then time: (key, ts, allowed, remaining, retry_after_s)."""
     return _run(hits, key, ts, _LimitProcessor(limit, window_s, prune_s), DECISION)
 
 
@@ -112,5 +126,5 @@ def lockout_stream(failures: DataFrame, key: str, ts: str, limit: int = FAILURE_
 
 
 def cache_hits_stream(prompts: DataFrame, key: str, ts: str) -> DataFrame:
-    """(key, ts, cached): the first arrival of a hash misses, later ones hit."""
+    """(key, ts, cached): the earliest row of a hash in its first micro-batch misses, others hit."""
     return _run(prompts, key, ts, _SeenProcessor(), "cached boolean")

@@ -13,6 +13,7 @@ from rolemill.functions.identity import text_key
 from rolemill.operators import embedding, limits, match, prompts, search, skills, spans
 from rolemill.operators.search import JobFilter
 from rolemill.plans import skew
+from rolemill.streaming import limits as stream_limits
 
 NOW = dt.datetime(2026, 8, 20)
 
@@ -226,7 +227,10 @@ def test_top_k_blocks(spark, monkeypatch):
     want = nearest_by_hand(mat, 5)
     assert as_dict(match.top_k(df, df, 5, skip_same_id=True)) == want
     # More queries than a block: both sides are cut into cells.
-    assert as_dict(match.top_k(df, df, 5, skip_same_id=True, block=25)) == want
+    in_cells = match.top_k(df, df, 5, skip_same_id=True, block=25)
+    assert as_dict(in_cells) == want
+    plan = in_cells._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
     unit = match._unit(list(mat))
     monkeypatch.setattr(match, "MATRIX_CELLS", 1000)
     near = match._best(np.arange(120), unit, np.arange(120), unit, 5, True)
@@ -426,3 +430,37 @@ def test_stored_hits_between_new_hits_of_hot_keys(spark):
 
 def test_limit_reads_leading_digits():
     assert [search.clamp_limit(x) for x in ("20abc", "7.9", " 8", "abc", 7.9)] == [20, 7, 8, 20, 7]
+
+
+def test_streams_do_not_depend_on_chunks(spark, tmp_path):
+    """One key's rows in descending order, more than fit a chunk, then a second file with a row that comes late."""
+    t0, n = dt.datetime(2026, 8, 1), 30_000
+    first = spark.range(n).select(F.lit("k").alias("k"), F.timestamp_seconds(
+        F.unix_seconds(F.lit(t0)) + 60 + n - F.col("id")).alias("ts")).coalesce(1)
+    late = spark.createDataFrame([("k", t0 + dt.timedelta(seconds=s)) for s in (n + 90, 30)], first.schema).coalesce(1)
+    source = str(tmp_path / "in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def run(build, name):
+        rows = spark.readStream.schema(first.schema).parquet(source)
+        query = (build(rows).writeStream.format("parquet").option("path", str(tmp_path / name / "out"))
+                 .option("checkpointLocation", str(tmp_path / name / "cp")).trigger(availableNow=True).start())
+        query.awaitTermination()
+        return sorted(spark.read.parquet(str(tmp_path / name / "out")).collect(), key=lambda r: r.ts)
+
+    runs = {"rate": lambda r: stream_limits.rate_limit_stream(r, "k", "ts", limit=3, window_s=100, prune_s=100),
+            "lock": lambda r: stream_limits.lockout_stream(r, "k", "ts", 5, 3600),
+            "cache": lambda r: stream_limits.cache_hits_stream(r, "k", "ts")}
+    for batch in (first, late):
+        batch.write.mode("append").parquet(source)
+        got = {name: run(build, name) for name, build in runs.items()}
+    at = lambda r: int((r.ts - t0).total_seconds())
+    rate = [r for r in got["rate"] if at(r) > 60]
+    want = limits.rate_limit(first, "k", "ts", limit=3, window_s=100, prune_s=100).orderBy("ts").collect()
+    assert len(got["rate"]) == n + 2 and [r.allowed for r in rate[:n]] == [r.allowed for r in want]
+    lock = [(at(r), r.locked) for r in got["lock"]]
+    assert lock[0] == (30, False) and lock[-1] == (n + 90, True)
+    assert [locked for _, locked in lock[1:n + 1]] == [False] * 5 + [True] * (n - 5)
+    cache = [(at(r), r.cached) for r in got["cache"]]
+    assert cache[:2] == [(30, True), (61, False)] and all(c for _, c in cache[2:])

@@ -11,7 +11,7 @@ from rolemill import schemas
 from rolemill.functions import vectors as V
 from rolemill.functions.identity import text_key
 from rolemill.operators import embedding, match
-from workload.common import Tables, query
+from workload.common import SQL, Tables, query
 
 DIM = 64
 ENCODER = partial(embedding.hashed_token_encoder, DIM)
@@ -70,11 +70,36 @@ def nearest_for_all(t: Tables) -> DataFrame:
     return best.select("query_id", "item_id", "rank", V.score(F.col("distance")).alias("score"))
 
 
+NEAREST_SQL = SQL["nearest_for_all"]
+
+
+@query(NEAREST_SQL)
+def nearest_for_all_blocks(t: Tables) -> DataFrame:
+    """The same in small blocks, so that both sides are cut into cells."""
+    e = t.embeddings
+    best = match.top_k(e, e, K, "vec_id", "vec_id", skip_same_id=True, block=200)
+    return best.select("query_id", "item_id", "rank", V.score(F.col("distance")).alias("score"))
+
+
+def approximate(t: Tables) -> DataFrame:
+    e = t.embeddings
+    return match.approx_top_k(e, e, K, DIM, "vec_id", "vec_id", skip_same_id=True, tables=10, bits=4, probes=4)
+
+
 @query()
 def nearest_for_all_approximate(t: Tables) -> DataFrame:
-    """Top 5 others for every vector among those sharing a hash bucket."""
+    """Top 5 others for every vector among those sharing one of 16 hash buckets in ten tables."""
+    return approximate(t)
+
+
+@query("SELECT (SELECT count(*) FROM embeddings) AS queries, TRUE AS enough")
+def approximate_recall(t: Tables) -> DataFrame:
+    """Whether at least nine in ten of the exact top 5 are found, over all vectors."""
     e = t.embeddings
-    return match.approx_top_k(e, e, K, DIM, "vec_id", "vec_id", skip_same_id=True, tables=10, probes=4)
+    exact = match.top_k(e, e, K, "vec_id", "vec_id", skip_same_id=True).select("query_id", "item_id")
+    found = approximate(t).select("query_id", "item_id", F.lit(1).alias("hit"))
+    return exact.join(found, ["query_id", "item_id"], "left").agg(
+        F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
 TOKENS = f"""SELECT doc_id, CAST(('0x' || substr(md5(tok), 1, 8)) AS BIGINT) % {DIM} AS b FROM
