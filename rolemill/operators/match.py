@@ -188,7 +188,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "id", it
 
 
 def _at_most(df: DataFrame, n: int) -> bool:
-    return df.select("_id").limit(n + 1).count() <= n
+    return df.count() <= n
 
 
 def signatures(dim: int, tables: int, bits: int, seed: int, probes: int = 0):

@@ -62,7 +62,7 @@ EMBEDDING_STATE = (
 
 JOBS = (
     "id string, content_hash string, title string, company string, location string, "
-    "remote_allowed boolean, seniority string, salary_min int, salary_max int, "
+    "remote_allowed boolean, seniority string, salary_min bigint, salary_max bigint, "
     "salary_currency string, salary_period string, description string, summary string, "
     f"url string, {EMBEDDING_STATE}, posted_at timestamp, fetched_at timestamp, "
     "last_seen_at timestamp, updated_at timestamp"

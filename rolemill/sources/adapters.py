@@ -13,7 +13,6 @@ from rolemill.functions.seniority import seniority
 from rolemill.functions.text import strip_html
 
 UNKNOWN = "Unknown"
-INT_MAX = 2**31 - 1
 
 # Currency of yearly pay by country name.
 COUNTRY_CURRENCY = {
@@ -219,13 +218,11 @@ def normalize(raw_df: DataFrame, feed: str) -> DataFrame:
         board.alias("source"), "arrival", "reject_reason",
         *(["hq_location"] if "hq_location" in raw_df.columns else [_text().alias("hq_location")]),
         *[c.alias(n) for n, c in columns.items()]))
-    pay_ok = F.greatest("salary_min", "salary_max") <= INT_MAX
     return done.withColumn("reject_reason", F.coalesce(
         F.col("reject_reason"),
         F.when(F.col("title").isNull(), "missing title")
         .when(F.col("company").isNull(), "missing company")
-        .when(F.col("url").isNull(), "missing url")
-        .when(~pay_ok, "salary out of range"),
+        .when(F.col("url").isNull(), "missing url"),
     ))
 
 

@@ -13,6 +13,7 @@ from rolemill.functions.identity import text_key
 from rolemill.operators import embedding, limits, match, prompts, search, skills, spans
 from rolemill.operators.search import JobFilter
 from rolemill.plans import skew
+from rolemill.plans.broadcast import broadcast_if_small, is_small
 from rolemill.streaming import limits as stream_limits
 
 NOW = dt.datetime(2026, 8, 20)
@@ -464,3 +465,11 @@ def test_streams_do_not_depend_on_chunks(spark, tmp_path):
     assert [locked for _, locked in lock[1:n + 1]] == [False] * 5 + [True] * (n - 5)
     cache = [(at(r), r.cached) for r in got["cache"]]
     assert cache[:2] == [(30, True), (61, False)] and all(c for _, c in cache[2:])
+
+
+def test_broadcast_counts_rows_and_bytes(spark):
+    df = spark.createDataFrame([(1, "ab", ["x"], None), (2, None, None, 1.0)], "id int, t string, `a.b` array<string>, d double")
+    assert is_small(df) and is_small(df, 2) and not is_small(df, 1) and is_small(df.limit(0), 0)
+    assert not is_small(df, max_bytes=60) and is_small(df, max_bytes=100)
+    plan = broadcast_if_small(df).join(df, "id")._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan
