@@ -282,7 +282,10 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
 
 class JaccardJoin:
-    """Clusters of a table: ``rows`` has (key, id, n_shingles, component_id), one per row of the table."""
+    """Clusters of a table: ``rows`` has (key, id, n_shingles, root, component_id), one per row of the table.
+
+    ``root`` is the key that names a row's component, null for a row without links; ids need not be unique.
+    """
 
     def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                  percent: int = PERCENT):
@@ -355,9 +358,9 @@ class JaccardJoin:
                                            .unionByName(more.where("linked").select("a", "b"))), "components")
         members = final.join(rows.select(F.col("key").alias("node"), "id"), "node")
         lowest = members.groupBy("root").agg(F.min("id").alias("component_id"))
-        named = final.join(lowest, "root").select(F.col("node").alias("key"), "component_id")
-        return (rows.join(named, "key", "left")
-                .select("key", "id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")))
+        named = final.join(lowest, "root").select(F.col("node").alias("key"), "root", "component_id")
+        return rows.join(named, "key", "left").select("key", "id", F.col("n").alias("n_shingles"), "root",
+                                                      F.coalesce("component_id", "id").alias("component_id"))
 
     def _texts(self, keys: DataFrame) -> DataFrame:
         """(key, body, size, slices) of the given keys, column ``a``."""
@@ -418,16 +421,15 @@ class JaccardJoin:
         return self.rows.select(F.col("id").alias(self.id), "n_shingles", "component_id")
 
     def representatives(self) -> DataFrame:
-        """The rows of the table that stay: of each group the one with the smallest id, and all others.
+        """The rows of the table that stay: of each group of linked rows the one with the smallest id, and all others.
 
-        Among repeated ids the first row of the table stays; rows without an id form groups only by links.
+        Only links make a group: rows with one id but unlinked texts all stay, and linked rows
+        without an id are one group.  Among equal ids the first row of the table stays.
         """
         id_ = self.id
         first = F.min_by("key", F.struct(F.col("id").isNull(), "id", "key"))
-        groups = self.rows.where("component_id is not null and n_shingles > 0").groupBy("component_id").agg(
-            first.alias("key"))
-        alone = self.rows.where("component_id is null or n_shingles = 0").select("key")
-        keep = groups.select("key").unionByName(alone)
+        groups = self.rows.where("root is not null").groupBy("root").agg(first.alias("key"))
+        keep = groups.select("key").unionByName(self.rows.where("root is null").select("key"))
         schema = StructType(list(self.docs.schema))
 
         def pick(block, rows, told):

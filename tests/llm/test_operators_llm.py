@@ -148,6 +148,15 @@ def test_jaccard(table, docs, k, percent):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted([*groups, *(i for i, n, _ in want if not n)])
 
 
+def test_representatives_follow_links_not_ids(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    data = [(1, text("x")), (1, text("y")), (2, text("y")), (3, text("y") + " end"), (None, text("z")), (None, text("z")),
+            (None, text("z") + " end"), (None, text("u")), (7, text("v")), (None, text("v")), (1, None), (1, "")]
+    kept = JaccardJoin(spark.createDataFrame(data, "doc_id long, text string").coalesce(1)).representatives()
+    want = [data[i] for i in (0, 1, 4, 7, 8, 10, 11)]
+    assert rows(kept, "doc_id", "text") == sorted(want, key=repr)
+
+
 def test_token_counts(spark, docs):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
