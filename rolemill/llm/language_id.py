@@ -4,13 +4,16 @@ A text is the mean of the embeddings of its byte 3- and 4-grams (lower case, whi
 as one kind), hashed into a fixed number of rows.  Embeddings and softmax are trained
 together by stochastic gradient descent; afterwards both collapse into one table of
 scores per row, so prediction is a lookup and a sum over the whole text.  Scores are
-calibrated by a temperature on held-out texts, and texts scored below nearly all
-correct held-out ones are rejected.
+calibrated by a temperature on held-out texts.  A softmax scores text of no known
+language as freely as any, so texts are also measured by how familiar their subwords
+are: the mean logarithm of the share that a row has in the languages learned.  Texts
+below a low quantile of the held-out ones, by score or by familiarity, are rejected.
 """
 
 from __future__ import annotations
 
 import re
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ DIM = 16
 SAMPLE = 800  # training texts expected per language
 EPOCHS = 6
 RATE = 0.6
-REJECTED = 0.0005  # share of correct held-out texts that the calibration lets go
+REJECTED = 0.0005  # share of held-out texts that the calibration lets go, half by score and half by familiarity
 CHUNK = 1 << 20
 UNKNOWN = "und"
 
@@ -63,26 +66,49 @@ def histogram(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Scores per subword row, languages, temperature and the score below which texts are rejected."""
+    """Scores per subword row and, as last column, its familiarity; languages, temperature and the
+    score and familiarity below which texts are rejected."""
 
     def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray):
         self.languages, self.table, self.bias = languages, table, bias
-        self.temperature, self.least = 1.0, 0.0
+        self.temperature, self.least, self.familiar = 1.0, 0.0, -np.inf
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
         z = np.exp(z - z.max(axis=-1, keepdims=True))
         return z / z.sum(axis=-1, keepdims=True)
 
-    def logits(self, text: str) -> np.ndarray:
+    def measure(self, text: str) -> tuple[np.ndarray, float]:
+        """Logits and familiarity of a text."""
         data = _bytes(text)
-        total, n = np.zeros(len(self.languages)), 0
+        total, n = np.zeros(self.table.shape[1]), 0
         for at in range(0, len(data), CHUNK):
             for rows in _grams(data[at:at + CHUNK + 3]):
                 counts = np.bincount(rows[:CHUNK], minlength=ROWS) if len(rows) > ROWS else None
                 total += counts @ self.table if counts is not None else self.table[rows[:CHUNK]].sum(axis=0)
                 n += min(len(rows), CHUNK)
-        return total / max(1, n) + self.bias
+        total /= max(1, n)
+        return total[:-1] + self.bias, float(total[-1])
+
+
+def _familiarity(examples: list[tuple[str, np.ndarray, np.ndarray]], languages: list[str]) -> np.ndarray:
+    """Logarithm of each row's share in the languages, all languages alike; unseen rows have a small one."""
+    total = np.zeros(ROWS)
+    for name in languages:
+        own = np.zeros(ROWS)
+        for _, rows, shares in (e for e in examples if e[0] == name):
+            own[rows] += shares
+        total += own / max(1.0, own.sum())
+    total += 1e-4 * len(languages) / ROWS
+    return np.log(total / total.sum())
+
+
+def low_quantile(values: np.ndarray, share: float) -> float:
+    """The quantile of the values; where they are too few to reach it, their least or the normal tail, if that is lower."""
+    found = float(np.quantile(values, share, method="inverted_cdf"))
+    if len(values) * share < 1:
+        found = min(found, float(np.mean(values) + NormalDist().inv_cdf(share) * np.std(values)))
+    return found
 
 
 def train_model(examples: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 7) -> Model | None:
@@ -111,8 +137,10 @@ def train_model(examples: list[tuple[str, np.ndarray, np.ndarray]], seed: int =
         weights -= rate * np.outer(hidden, p) * DIM
         bias -= 0.01 * rate * p
         table[rows] -= rate * np.outer(shares, back) * DIM
-    model = Model(languages, (table @ weights).astype(np.float32).astype(np.float64), bias)
-    logits = np.array([examples[i][2] @ model.table[examples[i][1]] + bias for i in held])
+    scores = (table @ weights).astype(np.float32).astype(np.float64)
+    model = Model(languages, np.column_stack((scores, _familiarity([examples[i] for i in fit], languages))), bias)
+    measured = np.array([examples[i][2] @ model.table[examples[i][1]] for i in held])
+    logits, familiar = measured[:, :-1] + bias, measured[:, -1]
     truth = np.array([index[examples[i][0]] for i in held])
 
     def loss(t: float) -> float:
@@ -121,8 +149,13 @@ def train_model(examples: list[tuple[str, np.ndarray, np.ndarray]], seed: int =
 
     model.temperature = float(min(np.geomspace(0.05, 20, 60), key=loss))
     p = model.probabilities(logits)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == truth])
-    model.least = float(right[int(REJECTED * len(right))]) * 0.8 if len(right) else 0.0
+    right = p.max(axis=1)[p.argmax(axis=1) == truth]
+    if len(right):
+        model.least = float(np.quantile(right, REJECTED / 2, method="inverted_cdf"))  # of few scores the lowest
+    if len(languages) > 1:  # every text scores 1/languages at least
+        model.least = max(model.least, 1.05 / len(languages))
+    # The least familiar language decides, so that a rare one stays.
+    model.familiar = min(low_quantile(familiar[truth == i], REJECTED / 2) for i in np.unique(truth))
     return model
 
 
@@ -167,7 +200,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     """Rows of ``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``rejected``.
 
     A null text, or one without a letter, is ``und`` with score 0 and rejected; so is
-    every text if nothing could be learned.  Ties go to the first language in order.  A
+    every text if nothing could be learned.  A text with letters that looks like none of
+    the languages keeps the nearest one and its score, and is rejected.  Ties go to the first language in order.  A
     column named like an added one is replaced.
     """
     added = ["lang_pred", "score", "rejected"]
@@ -180,18 +214,21 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     def run(batches):
         letter = re.compile(r"[^\W\d_]")
         for batch in batches:
-            preds, scores = [], []
+            preds, scores, strange = [], [], []
             for value in batch.column(own):
                 value = value.as_py()
                 if model is None or not value or not letter.search(value):
                     preds.append(UNKNOWN)
                     scores.append(0.0)
+                    strange.append(True)
                     continue
-                p = model.probabilities(model.logits(value))
+                logits, familiar = model.measure(value)
+                p = model.probabilities(logits)
                 best = int(p.argmax())
                 preds.append(model.languages[best])
                 scores.append(float(p[best]))
-            lost = [n == UNKNOWN or s < model.least for n, s in zip(preds, scores)]
+                strange.append(familiar < model.familiar)
+            lost = [odd or s < model.least for odd, s in zip(strange, scores)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in names), pa.array(preds, pa.string()), pa.array(scores, pa.float64()),
                  pa.array(lost, pa.bool_())], names=[*names, *added])

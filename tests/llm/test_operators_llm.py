@@ -295,6 +295,24 @@ def test_language_id(spark):
     assert fit(df.where("false"), F.lit(True)) is None
 
 
+def test_language_id_rejects_what_it_has_not_learned(spark):
+    r = random.Random(12)
+    make = {"aa": "lorem ipsum dolor sit amet tempor magna", "bb": "zwölf boxkämpfer jagen viktor quer über den deich"}
+    text = lambda words_: " ".join(r.choice(words_.split()) for _ in range(r.choice([8, 30, 90])))
+    data = [(i, text(make[c]), c) for i, c in enumerate(r.choice(list(make)) for _ in range(600))]
+    junk = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(n)) for n in (30, 300, 3000) for _ in range(30)]
+    junk += [text("kaikki ihmiset syntyvät vapaina tasavertaisina oikeuksiltaan") for _ in range(30)]
+    junk += [text("все люди рождаются свободными") for _ in range(30)]
+    df = spark.createDataFrame(data + [(1000 + i, t, "zz") for i, t in enumerate(junk)], "doc_id long, text string, lang string")
+    for learned in (["aa", "bb"], ["aa"]):
+        model = fit(df.where(F.col("lang").isin(learned)), F.col("doc_id") % 4 != 2)
+        assert len(learned) == 1 or model.least > 1 / len(learned)
+        got = {x["doc_id"]: x["rejected"] for x in identify(df, model).collect()}
+        assert all(got[1000 + i] for i in range(len(junk)))
+        held = [got[i] for i, _, c in data if i % 4 == 2 and c in learned]
+        assert sum(held) <= len(held) // 50
+
+
 def test_pieces(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     import sentencepiece
