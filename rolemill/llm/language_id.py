@@ -18,7 +18,7 @@ from statistics import NormalDist
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
@@ -28,7 +28,8 @@ from rolemill.plans.session import materialize
 
 ROWS = 1 << 16
 DIM = 16
-SAMPLE = 800  # training texts expected per language
+SAMPLE = 800  # most training texts of a language
+MOST = 16_000  # most training texts of all languages together
 EPOCHS = 6
 RATE = 0.6
 REJECTED = 0.0005  # share of held-out texts that the calibration lets go, half by score and half by familiarity
@@ -160,19 +161,32 @@ def train_model(examples: list[tuple[str, np.ndarray, np.ndarray]], seed: int =
 
 
 def fit(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text", lang: str = "lang",
-        sample: int = SAMPLE) -> Model | None:
-    """Train on a bounded sample: about ``sample`` texts of every language, chosen by hash.
+        sample: int = SAMPLE, most: int = MOST) -> Model | None:
+    """Train on a bounded sample: ``sample`` texts of every language, the first by hash, or all it has.
 
+    Rows with equal id and text count once.  With more than ``most / sample`` languages
+    each gives ``most / languages`` texts; more languages than ``most`` are an error.
     Tasks turn whole sampled texts, and a piece of each, into subword shares; at most
-    ``ROWS`` pairs of a two-byte row and a four-byte share per text reach the driver, where
-    the descent runs.
+    ``2 * most`` of these reach the driver, where the descent runs, each with at most
+    ``ROWS`` pairs of a two-byte row and a four-byte share.
     """
     usable = docs.where(F.coalesce(train, F.lit(False)) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rates = usable.groupBy(F.col(lang).alias("_lang")).agg((F.lit(float(sample)) / F.count("*")).alias("_rate"))
-    rates = broadcast_if_small(materialize(rates, "rates"))  # one row per language
-    draw = F.pmod(F.xxhash64(F.col(id), F.col(text)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = (usable.join(rates, F.col(lang) == F.col("_lang")).where(draw < F.col("_rate"))
-              .select(F.col(lang).alias("lang"), F.col(text).alias("text")))
+    drawn = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"),
+                          F.shiftrightunsigned(F.xxhash64(F.col(id), F.col(text)), 1).alias("key"))
+    # One row per language each: about how many texts it has, then the last hash that is taken.
+    texts = materialize(drawn.groupBy(F.col("lang").alias("_lang")).agg(F.approx_count_distinct("key").alias("_texts")),
+                        "languages")
+    languages = texts.count()
+    if languages > most:
+        raise ValueError(f"{languages} languages, but the sample has {most} texts")
+    each = min(sample, most // max(1, languages))
+    enough = F.lit(2.0 ** 63 * (2 * each + 20)) / F.col("_texts")  # a count that is off still leaves more than are taken
+    first = (drawn.join(broadcast_if_small(texts), F.col("lang") == F.col("_lang")).where(F.col("key") <= enough)
+             .select("_lang", "key").distinct()
+             .withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("key"))).where(F.col("_n") <= each))
+    last = broadcast_if_small(materialize(first.groupBy("_lang").agg(F.max("key").alias("_last")), "drawn"))
+    chosen = (drawn.join(last, F.col("lang") == F.col("_lang")).where(F.col("key") <= F.col("_last"))
+              .dropDuplicates(["lang", "key"]).select("lang", "text"))
 
     def features(batches):
         for batch in batches:

@@ -313,6 +313,21 @@ def test_language_id_rejects_what_it_has_not_learned(spark):
         assert sum(held) <= len(held) // 50
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    from rolemill.llm import language_id
+
+    monkeypatch.setattr(language_id, "train_model", lambda examples: examples)
+    data = [(i, f"text number {i} " * 5, f"l{i % 3}") for i in range(1500)] + [
+        (-d, f"copy {d} of the same " * 5, "l0") for d in range(1, 30) for _ in range(25)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    for given, each in (({"sample": 50}, 50), ({"sample": 50, "most": 60}, 20), ({}, None)):
+        got = fit(df, F.lit(True), **given)
+        count = Counter(name for name, _, _ in got)
+        assert count == {f"l{i}": 2 * (each or (529 if i == 0 else 500)) for i in range(3)}
+    with pytest.raises(ValueError):
+        fit(df, F.lit(True), most=2)
+
+
 def test_pieces(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     import sentencepiece
