@@ -51,13 +51,16 @@ def roll_up_errors(errors: DataFrame, key: str, part: str, message: str,
                    max_chars: int = ERROR_CHARS) -> DataFrame:
     """Per key: ``part: message`` joined by ``; ``, cut to ``max_chars``.
 
-    Only the entries that start before the cut are gathered.
+    Only the entries that start before the cut are gathered.  Every entry takes its separator
+    at least, so the first ``max_chars / 2 + 2`` of a key hold all of them; tasks cut to that
+    many before keys meet, as long as it is below Spark's window group limit.
     """
     text = F.concat_ws(": ", part, message)
     before = Window.partitionBy(key).orderBy(part, message)
     entry = F.struct("_n", F.col("_text").alias("text"))
     return (
         errors.withColumn("_text", text).withColumn("_n", F.row_number().over(before))
+        .where(F.col("_n") <= max_chars // 2 + 2)
         .withColumn("_start", F.sum(F.length("_text") + 2).over(
             before.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("_text") - 2)
         .where(F.col("_start") < max_chars + 2)  # its separator stands before it

@@ -137,6 +137,16 @@ def test_error_rollup_of_empty_parts(spark):
     assert got.first()["last_error"] == "; ".join(["x"] * 400)[:1000]
 
 
+@pytest.mark.parametrize("max_chars", [1000, 7, 8])
+def test_error_rollup_cuts_in_tasks_first(spark, max_chars):
+    rows = [("hot", None, None)] * 300 + [("hot", None, "")] * 400 + [("hot", "b", str(i % 9)) for i in range(900)] + [("l", "z", None)]
+    df = spark.createDataFrame(rows, "name string, part string, message string").repartition(5)
+    rolled = admin.roll_up_errors(df, "name", "part", "message", max_chars)
+    assert "WindowGroupLimit" in rolled._jdf.queryExecution().optimizedPlan().toString()
+    hot = [""] * 700 + [f"b: {i}" for i in sorted(str(i % 9) for i in range(900))]
+    assert {r.name: r.last_error for r in rolled.collect()} == {"hot": "; ".join(hot)[:max_chars], "l": "z"[:max_chars]}
+
+
 def test_store_keeps_its_bucket_count(spark):
     root = shared_folder(spark, "store")
     names = spark.createDataFrame([(f"n{i}",) for i in range(40)], "name string")
