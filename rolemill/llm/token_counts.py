@@ -1,12 +1,15 @@
 """Token counts of whole texts: lengths only leave the Arrow function.
 
-A tokenizer that splits at white space encodes what stands between ASCII white space
+A tokenizer that drops white space encodes what stands between ASCII white space
 independently, so such places are safe boundaries: a text's count is the sum over its
-pieces.  Pieces not met before are encoded in batches cut by bytes, not by rows.
+pieces.  Pieces not met before are encoded in batches cut by bytes, not by rows.  Texts
+of any other tokenizer, such as one that keeps white space in its tokens, are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -17,6 +20,31 @@ KNOWN_PIECES = 400_000  # pieces a task remembers
 SHORT = 48  # longer pieces are not remembered
 
 
+#: Splits that drop white space between what they match.
+WORDS_ONLY = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+
+
+def drops_spaces(path: str) -> bool:
+    """Whether a tokenizer file is known to drop white space and to see nothing across it."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+
+    def parts(kind: str, inner: str) -> list[dict]:
+        one = spec.get(kind)
+        return one[inner] if one and one["type"] == "Sequence" else [one] if one else []
+
+    for n in parts("normalizer", "normalizers"):
+        spaces = n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " "
+        if not spaces and n["type"] not in ("NFC", "Lowercase"):
+            return False
+    if any(c.isspace() for token in spec.get("added_tokens") or [] for c in token["content"]):
+        return False
+    first, *rest = parts("pre_tokenizer", "pretokenizers") or [{"type": None}]
+    split = (first["type"] == "Split" and first["pattern"].get("Regex") in WORDS_ONLY
+             and first["behavior"] == "Removed" and first["invert"])
+    return split and all(r["type"] == "ByteLevel" and not r["add_prefix_space"] and not r["use_regex"] for r in rest)
+
+
 def _batches(pieces: list[str], most: int):
     part, held = [], 0
     for piece in pieces:
@@ -33,7 +61,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 20
                  batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Rows of ``docs`` without the text, with ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit`` tokens).
 
-    ``path`` names a tokenizer file that every machine has.  Special strings inside a
+    ``path`` names a tokenizer file that every machine has, of any kind.  Special strings inside a
     text are handled as the file's default; none are added.  A null text counts as
     empty: zero bytes and tokens.  A column named like an added one is replaced.
     """
@@ -54,14 +82,15 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = 20
         tokenizer.no_padding()
         tokenizer.no_truncation()
         table = str.maketrans("\t\n\r\x0b\x0c", "     ")
-        known: dict[str, int] = {"": 0}
+        cut = drops_spaces(path)
+        known: dict[str, int] = {}
         for batch in batches:
             texts = pc.fill_null(batch.column(own), "")
             counts = []
             for value in texts:
-                pieces = value.as_py().translate(table).split(" ")
+                pieces = value.as_py().translate(table).split(" ") if cut else [value.as_py()]
                 if len(known) > KNOWN_PIECES:
-                    known = {"": 0}
+                    known = {}
                 new = list(set(pieces).difference(known))
                 extra = {}
                 for part in _batches(new, batch_bytes):

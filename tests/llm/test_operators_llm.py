@@ -170,6 +170,25 @@ def test_token_counts(spark, docs):
     assert rows(got, "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(want, key=repr)
 
 
+def test_token_counts_that_keep_white_space(spark, docs, tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import AddedToken, Tokenizer
+
+    from rolemill.llm.token_counts import drops_spaces
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    spaced = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    spaced.add_special_tokens([AddedToken("two words", special=True)])
+    spaced.save(str(tmp_path / "spaced.json"))
+    assert drops_spaces(public_tokenizers.path("word_bpe_49k.json"))
+    some = [*docs[:60], (-1, " a  b\n\n\tc  <|endoftext|> two words "), (-2, "x y " * 9000), (-3, "   ")]
+    for file in (path, str(tmp_path / "spaced.json")):
+        library = Tokenizer.from_file(file)
+        want = [(i, n := len(library.encode(t or "", add_special_tokens=False).ids), n > 30) for i, t in some]
+        got = count_tokens(spark.createDataFrame(some, "doc_id long, text string"), file, limit=30, batch_bytes=200)
+        assert not drops_spaces(file) and rows(got, "doc_id", "n_tokens", "over_limit") == sorted(want, key=repr)
+
+
 def test_archive(spark):
     pages = [(1, "http://a/\r\nX: y", "same"), (5, None, "same"), (3, "u", "same"), (2, "u", None), (4, "u", ""),
              (None, "u", "same"), (6, "é", "é\r\n\r\nWARC/1.1"), (6, "z", "é\r\n\r\nWARC/1.1")]
