@@ -9,10 +9,11 @@ whose word sequence also starts anywhere else goes, first occurrences included.
 2. *Confirmation.*  A run whose whole content recurs is confirmed.  Where a phrase
    recurs in differing runs, shards count their single windows by two 64-bit hashes.
    Consecutive confirmed windows make a passage.
-3. *Automata.*  The passages are sharded by the blocks of documents that hold them;
-   every shard compiles its passages, as word sequences, into one Aho-Corasick automaton.
-4. *Streaming.*  All documents run through the automaton of their shard, which reports
-   every occurrence of every passage; covered words go.
+3. *Automata.*  Every block compiles its own passages, as word sequences, into one
+   Aho-Corasick automaton.
+4. *Streaming.*  The block's documents run through it; words covered by an occurrence go.
+   Equal windows have one status, so these are the words of the confirmed windows: the
+   counts decide, and no passage meets the documents of another block.
 
 Phrases and windows travel as one entry per block, so a passage in a third of all
 documents burdens no task.
