@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from rolemill.llm.jaccard import JaccardJoin
 from rolemill.llm.language_id import fit, identify
 from rolemill.llm.language_model import score_texts
+from rolemill.llm.lexical import search_ranked
+from rolemill.llm.licenses import license_digest, scan_licenses
 from rolemill.llm.mixing import mix_sources
 from rolemill.llm.pieces import encode_texts
 from rolemill.llm.registry import QUERIES, SQL, query, table
@@ -135,3 +137,31 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query(r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+     i AS (SELECT row_number() OVER () AS q, item_id,
+                  unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+     c AS (SELECT count(*)::BIGINT AS N, sum(len(ts))::BIGINT AS L FROM d WHERE len(ts) > 0),
+     p AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+     w AS (SELECT t, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+           FROM (SELECT t, count(*) AS df FROM p GROUP BY t), c),
+     s AS (SELECT q, r, sum(again * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(ts)::BIGINT * c.N) // c.L))))::BIGINT
+                  AS score
+           FROM (SELECT q, t, count(*) AS again FROM i GROUP BY q, t) JOIN p USING (t) JOIN w USING (t) JOIN d USING (r), c
+           GROUP BY q, r),
+     k AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INTEGER AS rank
+           FROM s JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k JOIN (SELECT DISTINCT q, item_id FROM i) USING (q) WHERE rank <= 10
+""")
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_ranked(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")))
