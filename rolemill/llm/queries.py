@@ -16,6 +16,7 @@ from rolemill.llm.registry import QUERIES, SQL, query, table
 from rolemill.llm.substring import remove_repeats
 from rolemill.llm.token_counts import count_tokens
 from rolemill.llm.topk import top_k
+from rolemill.llm.turn_trie import prefix_trie, sequences, with_shared_heads
 from rolemill.llm.vectors_near import near_vectors
 from rolemill.llm.warc import archive
 
@@ -165,3 +166,31 @@ def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, list({'r': r, 's': s} ORDER BY turn NULLS FIRST, sha256(octet_length(encode(r)) || ':' || r || s)) AS own
+           FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS s FROM conversations)
+           WHERE conv_id IS NOT NULL GROUP BY conv_id),
+     h AS (SELECT conv_id, own, (xor(list_reduce(flatten([[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1]
+                                                for x in string_split(conv_id::VARCHAR, '')])::BIGINT[],
+                                        lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
+                                                          ELSE xor(a >> 1, 3988292384 * (a & 1)) END,
+                                        4294967295::BIGINT), 4294967295) % 4)::INTEGER AS h FROM t),
+     b AS (SELECT h.conv_id, list_concat(coalesce(t.own[1:h.h], []), h.own[h.h + 1:]) AS path
+           FROM h LEFT JOIN t ON t.conv_id = h.conv_id - h.conv_id % 20),
+     n AS (SELECT path[1:d] AS p, d, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs,
+                  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = d), '')) AS ends_sha256
+           FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM b) GROUP BY p, d),
+     v AS (SELECT *, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(p[d].s, '[^\x20\x09-\x0D]+')) END AS own
+           FROM n),
+     c AS (SELECT p[1:d - 1] AS p, count(*)::BIGINT AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+     l AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN c USING (p)),
+     s AS (SELECT a.p, count(*) FILTER (x.n_children = 0)::BIGINT AS n_leaves, sum(x.own)::BIGINT AS saved_tokens
+           FROM l a JOIN l x ON x.d >= a.d AND x.p[1:a.d] = a.p GROUP BY a.p)
+SELECT l.conv_id, l.d::BIGINT AS depth, u.conv_id AS parent_conv_id, l.n_convs, l.n_children, n_leaves, saved_tokens,
+       l.ends_sha256
+FROM l JOIN s ON s.p = l.p LEFT JOIN n u ON l.d > 0 AND u.d = l.d - 1 AND u.p = l.p[1:l.d - 1]
+""")
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(with_shared_heads(sequences(table(spark, sf_dir, "conversations"))))

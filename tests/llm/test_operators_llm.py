@@ -401,7 +401,7 @@ def test_pipeline_and_queries(spark):
         if name == "ngram_jaccard_join":
             assert out.count() <= 15
         df = spark.createDataFrame(out.collect(), df.schema)
-    assert len([q for q in QUERIES if q.startswith("op")]) == 10
+    assert len([q for q in QUERIES if q.startswith("op")]) == 13
 
 
 @pytest.mark.parametrize("percent", [55, 85, 97])
