@@ -107,16 +107,16 @@ def with_skill_list(jobs: DataFrame, job_skills: DataFrame) -> DataFrame:
 
 
 def candidates(jobs: DataFrame, job_skills: DataFrame, cvs: DataFrame, due: Column | None = None) -> DataFrame:
-    """(kind, id, text, hash) of everything that waits for a vector."""
+    """(kind, id, attempts, text, hash) of everything that waits for a vector."""
     due = queued() if due is None else due
-    waiting = jobs.where(due).select("id", "title", "company", "location", "seniority")
+    waiting = jobs.where(due).select("id", "title", "company", "location", "seniority", "embedding_retry_count")
     skills = narrow(job_skills, waiting.select(F.col("id").alias("job_id")), ["job_id"])
     job_rows = with_skill_list(waiting, skills).select(
-        F.lit("job").alias("kind"), "id",
+        F.lit("job").alias("kind"), "id", F.col("embedding_retry_count").alias("attempts"),
         job_composite(F.col("title"), F.col("company"), F.col("skills"), F.col("location"),
                       F.col("seniority")).alias("text"))
     cv_rows = cvs.where(due).select(
-        F.lit("cv").alias("kind"), "id",
+        F.lit("cv").alias("kind"), "id", F.col("embedding_retry_count").alias("attempts"),
         cv_composite(F.col("target_role"), F.col("skills"),
                      F.col("estimated_years_experience").cast("double")).alias("text"))
     return job_rows.unionByName(cv_rows).withColumn("hash", text_key(F.col("text")))
@@ -141,23 +141,49 @@ class Drained:
     cvs: DataFrame
     cache: DataFrame
     stats: DataFrame
-    results: DataFrame  # (hash, kind, id, embedding, outcome, cached) per queued row
+    results: DataFrame  # (hash, kind, id, attempts, embedding, outcome, cached) per queued row
     new_cache: DataFrame  # cache rows to append
 
 
 def write_back(table: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
-    """Apply (id, vector, outcome) to a table's embedding columns."""
+    """Apply (id, vector, outcome) to a table's embedding columns.
+
+    With ``attempts``, the count before this run, results may be applied again without counting a failure twice.
+    """
+    before = F.col("attempts") if "attempts" in results.columns else F.lit(None).cast("int")
     r = results.select(F.col("id").alias("_rid"), F.col("embedding").alias("_vec"),
-                       F.col("outcome").alias("_outcome"))
+                       F.col("outcome").alias("_outcome"), before.alias("_before"))
     ok, failed = F.col("_outcome") == "ok", F.col("_outcome") == "failed"
     changed = {
         "embedding": F.when(ok, F.col("_vec")).otherwise(F.col("embedding")),
         "embedding_status": F.when(ok, "embedded").when(failed, "failed").otherwise(F.col("embedding_status")),
-        "embedding_retry_count": F.col("embedding_retry_count") + F.when(failed, 1).otherwise(0),
+        "embedding_retry_count": F.when(failed, F.coalesce("_before", "embedding_retry_count") + 1).otherwise(
+            F.col("embedding_retry_count")),
         "embedding_last_attempt_at": F.when(ok | failed, as_of).otherwise(F.col("embedding_last_attempt_at")),
         "updated_at": F.when(ok, as_of).otherwise(F.col("updated_at")),
     }
-    return table.join(r, table["id"] == r["_rid"], "left").withColumns(changed).drop("_rid", "_vec", "_outcome")
+    return table.join(r, table["id"] == r["_rid"], "left").withColumns(changed).drop("_rid", "_vec", "_outcome", "_before")
+
+
+def text_vectors(waiting: DataFrame, cache: DataFrame, make_encoder: Callable[[], Encoder], dim: int) -> DataFrame:
+    """(hash, embedding, outcome, cached) of every distinct text that waits; cached vectors are not encoded again."""
+    valid = narrow(cache.where(has_dim(F.col("embedding"), dim)),
+                   waiting.select(F.col("hash").alias("content_hash")).distinct(), ["content_hash"])
+    hits, misses = split_by_cache(waiting, valid)
+    fresh = encode(misses, "text", make_encoder, dim, keep=["hash"])
+    return (hits.select("hash", "embedding", F.lit("ok").alias("outcome"), F.lit(True).alias("cached"))
+            .unionByName(fresh.withColumn("cached", F.lit(False))))
+
+
+def row_results(waiting: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Every waiting row with its text's vector; many rows may share one text, so hot texts are split."""
+    return join_per_key(waiting.select("kind", "id", "attempts", "hash"), vectors, "hash", "inner", spread=["kind", "id"])
+
+
+def cache_rows(vectors: DataFrame, as_of: Column, dim: int, model: str) -> DataFrame:
+    return vectors.where(~F.col("cached") & (F.col("outcome") == "ok")).select(
+        F.col("hash").alias("content_hash"), "embedding", F.lit(model).alias("model"),
+        F.lit(dim).alias("dim"), as_of.alias("created_at"))
 
 
 def drain_queue(jobs: DataFrame, job_skills: DataFrame, cvs: DataFrame, cache: DataFrame,
@@ -170,19 +196,9 @@ def drain_queue(jobs: DataFrame, job_skills: DataFrame, cvs: DataFrame, cache: D
     encoder again.
     """
     waiting = materialize(candidates(jobs, job_skills, cvs, due), "queue")
-    valid = narrow(cache.where(has_dim(F.col("embedding"), dim)),
-                   waiting.select(F.col("hash").alias("content_hash")).distinct(), ["content_hash"])
-    hits, misses = split_by_cache(waiting, valid)
-    fresh = encode(misses, "text", make_encoder, dim, keep=["hash"])
-    vectors = materialize(
-        hits.select("hash", "embedding", F.lit("ok").alias("outcome"), F.lit(True).alias("cached"))
-        .unionByName(fresh.withColumn("cached", F.lit(False))), "vectors")
-    # Many rows may share one text, so the per-text vectors are joined skew-safely.
-    results = join_per_key(waiting.select("kind", "id", "hash"), vectors, "hash", "inner",
-                           spread=["kind", "id"])
-    new_cache = vectors.where(~F.col("cached") & (F.col("outcome") == "ok")).select(
-        F.col("hash").alias("content_hash"), "embedding", F.lit(model).alias("model"),
-        F.lit(dim).alias("dim"), as_of.alias("created_at"))
+    vectors = materialize(text_vectors(waiting, cache, make_encoder, dim), "vectors")
+    results = row_results(waiting, vectors)
+    new_cache = cache_rows(vectors, as_of, dim, model)
     return Drained(
         jobs=write_back(jobs, results.where(F.col("kind") == "job"), as_of),
         cvs=write_back(cvs, results.where(F.col("kind") == "cv"), as_of),

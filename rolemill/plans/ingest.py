@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +14,11 @@ from rolemill.functions.text import strip_html
 from rolemill.operators import admin
 from rolemill.operators.upsert import fold, new_rows, replace_sets, upsert
 from rolemill.plans.broadcast import narrow
+from rolemill.plans.isolation import isolate, message_of
 from rolemill.plans.session import materialize
-from rolemill.plans.store import Store
-from rolemill.sources.adapters import normalize, split_rejects
-from rolemill.sources.boards import with_board
+from rolemill.plans.store import Delivery, Store
+from rolemill.sources.adapters import normalize, split_rejects, union_all
+from rolemill.sources.boards import enabled_boards, with_board
 from rolemill.sources.landing import UNREADABLE, parse_payloads, read_payloads, select_feeds
 
 GENERIC_PLACE = r"(?i)\A(remote|hybrid|onsite)\z"
@@ -102,24 +103,36 @@ def source_links(batch: DataFrame, as_of: Column) -> DataFrame:
                         as_of.alias("first_seen_at"), "arrival")
 
 
-def apply_batch(store: Store, batch: DataFrame, as_of: Column) -> tuple[int, int]:
-    """Write one batch of enriched postings to all three tables: (inserted, updated).
+def count_batch(store: Store, batch: DataFrame) -> dict[str, int]:
+    """How many postings of a batch are new and how many are stored, before it is written."""
+    distinct = batch.select("content_hash").distinct()
+    known = narrow(store.read("jobs").select("content_hash"), distinct, ["content_hash"])
+    total = distinct.count()
+    updated = distinct.join(known, "content_hash", "left_semi").count()
+    return {"inserted": total - updated, "updated": updated}
+
+
+def write_batch(delivery: Delivery, batch: DataFrame, as_of: Column) -> None:
+    """Write one batch of enriched postings, held by a table, to all three tables.
 
     Every step gives the same tables when it is repeated, so a batch that was
     interrupted is simply applied again.
     """
-    batch = materialize(batch, "batch")
+    store = delivery.store
     keys = batch.select("content_hash", F.col("id").alias("job_id"))
-    distinct = batch.select("content_hash").distinct()
-    known = narrow(store.read("jobs").select("content_hash"), distinct, ["content_hash"])
-    total = distinct.count()
-    updated = distinct.join(known, "content_hash", "left_semi").count()
     store.change("jobs", keys, lambda s: upsert_jobs(s, batch, as_of))
-    store.append("job_sources", new_rows(
+    delivery.append("job_sources", new_rows(
         store.read("job_sources"), source_links(batch, as_of), ["job_id", "source"], narrow_state=True))
     skills = batch.select(F.col("id").alias("job_id"), F.col("skills").alias("new_skills"), "arrival")
     store.change("job_skills", keys, lambda s: replace_sets(s, skills, "job_id", "skill", "new_skills"))
-    return total - updated, updated
+
+
+def apply_batch(store: Store, batch: DataFrame, as_of: Column) -> tuple[int, int]:
+    """Write one batch of enriched postings to all three tables: (inserted, updated)."""
+    batch = materialize(batch, "batch")
+    counts = count_batch(store, batch)
+    write_batch(Delivery(store), batch, as_of)
+    return counts["inserted"], counts["updated"]
 
 
 @dataclass
@@ -132,17 +145,64 @@ class FeedRun:
     error: str | None = None
 
 
-def _run_feed(store: Store, payloads: DataFrame, feed: str, as_of: Column) -> FeedRun:
-    scanned = materialize(scan_feed(payloads, feed, store.read("companies")), f"scan-{feed}")
+def _scanned(payloads: DataFrame, feed: str, companies: DataFrame, boards: Sequence[str] | None = None) -> DataFrame:
+    """Normalized and enriched records of a feed, or of a stretch of its boards, written once.
+
+    Everything that depends on a record's content happens here, so a record that makes a task raise
+    raises here and not while tables change.
+    """
+    if boards is not None:
+        payloads = payloads.where(F.col("board").between(boards[0], boards[-1]))
+    return materialize(enrich(scan_feed(payloads, feed, companies)), f"scan-{feed}")
+
+
+def scan_isolated(payloads: DataFrame, feed: str, companies: DataFrame) -> tuple[list[DataFrame], dict[str, str]]:
+    """(scans, message by failing board) of a feed; a board that raises in a task leaves the others alone.
+
+    Usually one scan.  A feed of boards that fails is scanned again by halves of its boards, in order of
+    their names; payloads of other boards are then not read.  What fails for every board, or a feed
+    without boards, raises.
+    """
+    if not schemas.FEEDS[feed].per_board:
+        return [_scanned(payloads, feed, companies)], {}
+    try:
+        return [_scanned(payloads, feed, companies)], {}
+    except Exception:  # noqa: BLE001 - which board it was is found below
+        boards = sorted({r["board"] for r in enabled_boards(companies, feed).select("board").distinct().collect()})
+        found = isolate(boards, lambda some: _scanned(payloads, feed, companies, some))
+        if not found.results:
+            raise
+        return found.results, found.failed
+
+
+def run_feed(delivery: Delivery, payloads: DataFrame, feed: str, as_of: Column) -> FeedRun:
+    """Scan, count and write one feed; boards that raise are left out and named in the run's error."""
+    store, held = delivery.store, []
+
+    def scan() -> tuple[list[DataFrame], dict[str, str]]:
+        if not held:
+            held.append(scan_isolated(payloads, feed, store.read("companies")))
+        return held[0]
+
+    scanned = delivery.stage("scan", lambda: union_all(scan()[0]))
+    failed = delivery.note("failed", lambda: scan()[1])
     good, bad = split_rejects(scanned)
     # Every record that arrived counts as fetched; an unreadable payload holds none.
     reason = F.coalesce("reject_reason", F.lit(""))
-    counts = scanned.agg(F.count_if(reason != UNREADABLE).alias("fetched"), F.count_if(reason != "").alias("bad")).first()
-    run = FeedRun(feed, fetched=counts["fetched"], rejected=counts["bad"])
-    run.inserted, run.updated = apply_batch(store, enrich(good), as_of)
-    # Unreadable payloads are errors of the run; single bad records are only set aside.
+
+    def count() -> dict[str, int]:
+        seen = scanned.agg(F.count_if(reason != UNREADABLE).alias("fetched"), F.count_if(reason != "").alias("rejected"))
+        return seen.first().asDict() | count_batch(store, good)
+
+    run = FeedRun(feed, **delivery.note("counts", count))
+    write_batch(delivery, good, as_of)
+    # Unreadable payloads and boards that raise are errors of the run; single bad records are only set aside.
+    part = F.nullif(F.regexp_replace(F.coalesce("source", F.lit("")), f"^{feed}:?", ""), F.lit(""))
     broken = bad.where(F.col("reject_reason") == UNREADABLE).select(
-        F.lit(feed).alias("name"), F.coalesce("source", F.lit(feed)).alias("part"), "reject_reason").distinct()
+        F.lit(feed).alias("name"), part.alias("part"), "reject_reason").distinct()
+    if failed:
+        broken = broken.unionByName(store.spark.createDataFrame(
+            [(feed, board, message) for board, message in failed.items()], broken.schema))
     rolled = admin.roll_up_errors(broken, "name", "part", "reject_reason").first()
     run.error = rolled["last_error"] if rolled else None
     return run
@@ -154,9 +214,9 @@ def ingest_payloads(store: Store, payloads_of: Callable[[str], DataFrame], feeds
     runs = []
     for feed in feeds:
         try:
-            run = _run_feed(store, payloads_of(feed), feed, as_of)
+            run = run_feed(Delivery(store), payloads_of(feed), feed, as_of)
         except Exception as err:  # noqa: BLE001 - isolation between feeds is the point
-            run = FeedRun(feed, error=str(err)[:admin.ERROR_CHARS])
+            run = FeedRun(feed, error=message_of(err)[:admin.ERROR_CHARS])
         runs.append(run)
     log_runs(store, runs, as_of)
     return runs

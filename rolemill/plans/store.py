@@ -40,6 +40,25 @@ TABLES = {
 }
 
 
+class Delivery:
+    """How a run keeps what it decided: a batch run simply goes on with it.
+
+    Streams use a form that outlives the run (`rolemill.streaming.commits.BatchDelivery`).
+    """
+
+    def __init__(self, store: Store):
+        self.store = store
+
+    def stage(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return make()
+
+    def note(self, name: str, make: Callable[[], dict]) -> dict:
+        return make()
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        self.store.append(table, rows)
+
+
 @dataclass(frozen=True)
 class Store:
     """Where the state tables live and into how many buckets new ones are cut.
@@ -91,6 +110,31 @@ class Store:
         """Add rows that are known to be new."""
         self._write(name, rows, "append")
 
+    def append_once(self, name: str, rows: DataFrame, tag: str) -> bool:
+        """Add rows that are known to be new, once per ``tag``; False if they were added before.
+
+        The rows are staged whole and their files then renamed into the table under names that
+        begin with the tag.  A run that dies in between is finished by the next one from what was
+        staged, without looking at ``rows`` again, so no row is lost or doubled.
+        """
+        root = self.root.rstrip("/")
+        fs, marker = self._fs(f"{root}/_appended/{name}/{tag}")
+        if fs.exists(marker):
+            return False
+        self._record(name, self.bucket_count(name))
+        staged = f"{root}/_staged/{name}/{tag}"
+        if not fs.exists(self._fs(f"{staged}/_SUCCESS")[1]):
+            self._write(name, rows, "overwrite", staged)
+        for folder in fs.listStatus(self._fs(staged)[1]):
+            if folder.isDirectory():
+                target = f"{self.path(name)}/{folder.getPath().getName()}"
+                fs.mkdirs(self._fs(target)[1])
+                for file in fs.listStatus(folder.getPath()):
+                    fs.rename(file.getPath(), self._fs(f"{target}/{tag}-{file.getPath().getName()}")[1])
+        fs.create(marker).close()
+        fs.delete(self._fs(staged)[1], True)
+        return True
+
     def change(self, name: str, keys: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> None:
         """Replace the buckets that ``keys`` fall into by ``fn`` of their rows.
 
@@ -125,12 +169,13 @@ class Store:
     def _typed(self, name: str, rows: DataFrame) -> DataFrame:
         return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self._schema(name)])
 
-    def _write(self, name: str, rows: DataFrame, mode: str) -> None:
+    def _write(self, name: str, rows: DataFrame, mode: str, staged: str | None = None) -> None:
         buckets = self.bucket_count(name)
         out = self._typed(name, rows).withColumn(BUCKET, self._bucket(name))
         # Rows of one bucket meet in a few tasks, so a bucket is a few files, not one per task.
         (out.repartition(F.col(BUCKET), F.pmod(F.xxhash64(self.tables[name][1], F.lit(1)), F.lit(4)))
          .sortWithinPartitions(BUCKET, *([FILE_ORDER[name]] if name in FILE_ORDER else []))
          .write.mode(mode).partitionBy(BUCKET)
-         .option("partitionOverwriteMode", "dynamic").parquet(self.path(name)))
-        self._record(name, buckets)
+         .option("partitionOverwriteMode", "static" if staged else "dynamic").parquet(staged or self.path(name)))
+        if staged is None:
+            self._record(name, buckets)

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rolemill.plans.ingest import FeedRun, _run_feed, log_runs
+from rolemill.operators.admin import ERROR_CHARS
+from rolemill.plans.ingest import FeedRun, log_runs, run_feed
+from rolemill.plans.isolation import message_of
 from rolemill.plans.session import shared_folder
-from rolemill.plans.store import Store
+from rolemill.plans.store import Delivery, Store
 from rolemill.sources.landing import read_payloads
+from rolemill.streaming.commits import Commits, exactly_once
 
 
 def upsert_stream(stream: DataFrame, apply: Callable[[DataFrame, int], None],
@@ -28,19 +31,53 @@ def upsert_stream(stream: DataFrame, apply: Callable[[DataFrame, int], None],
     )
 
 
-def ingest_stream(spark: SparkSession, landing: str, store: Store, feed: str, as_of: Column,
-                  checkpoint: str, max_files: int | None = None) -> StreamingQuery:
-    """Ingest the files of one feed that landed since the last run."""
-    def apply(batch: DataFrame, batch_id: int) -> None:
+def ingest_batches(store: Store, feed: str, as_of: Column, checkpoint: str) -> Callable[[DataFrame, int], None]:
+    """Apply micro-batches of a feed's payloads to the store, each once.
+
+    The run log counts every payload once, however often its micro-batch is delivered.  A board that raises is
+    named in the run log and left out, as in a batch run; what fails for the whole feed stops the stream,
+    which then starts again at the same files.
+    """
+    def apply(delivery: Delivery, batch: DataFrame) -> dict:
+        run = run_feed(delivery, batch, feed, as_of)
+        return {"fetched": run.fetched, "inserted": run.inserted, "updated": run.updated,
+                "rejected": run.rejected, "error": run.error}
+
+    def log(commits: Commits, first: int) -> None:
+        log_runs(store, [feed_totals(feed, commits.totals(first))], as_of)
+
+    once = exactly_once(store, checkpoint, apply, log)
+
+    def deliver(batch: DataFrame, number: int) -> None:
         try:
-            run = _run_feed(store, batch, feed, as_of)
+            once(batch, number)
         except Exception as err:
-            log_runs(store, [FeedRun(feed, error=str(err)[:1000])], as_of)
+            log_runs(store, [FeedRun(feed, error=message_of(err)[:ERROR_CHARS])], as_of)
             raise
-        log_runs(store, [run], as_of)
 
+    return deliver
+
+
+def ingest_stream(spark: SparkSession, landing: str, store: Store, feed: str, as_of: Column,
+                  checkpoint: str, max_files: int | None = None) -> StreamingQuery:
+    """Ingest the files of one feed that landed since the last run."""
     return upsert_stream(read_payloads(spark, landing, feed, streaming=True, max_files=max_files),
-                         apply, checkpoint)
+                         ingest_batches(store, feed, as_of, checkpoint), checkpoint)
+
+
+def feed_totals(feed: str, totals: dict) -> FeedRun:
+    error = totals.pop("error", None)
+    return FeedRun(feed, error=error and error[:ERROR_CHARS], **totals)
+
+
+def log_batches(store: Store, table: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
+    """Append micro-batches to a log table, such as usage; one that is delivered twice is there once."""
+    def apply(delivery: Delivery, batch: DataFrame) -> dict:
+        rows = delivery.stage("rows", lambda: batch)
+        delivery.append(table, rows)
+        return {"rows": rows.count()}
+
+    return exactly_once(store, checkpoint, apply)
 
 
 def fold_stream(stream: DataFrame, store_path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame],
