@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from typing import Generic, TypeVar
 
 from pyspark import inheritable_thread_target
+from pyspark.sql import SparkSession
 
 T = TypeVar("T")
 
@@ -51,12 +52,14 @@ def isolate(parts: Sequence[str], run: Callable[[Sequence[str]], T], together: i
             return group, None, err
 
     out: Isolated[T] = Isolated()
+    session = SparkSession.getActiveSession()
+    inherit = inheritable_thread_target(session) if session else lambda fn: fn
     level = [list(parts)] if parts else []
     with ThreadPoolExecutor(together) as pool:
         while level:
             out.attempts += len(level)
             halves = []
-            for group, result, err in pool.map(inheritable_thread_target(attempt), level):
+            for group, result, err in pool.map(inherit(attempt), level):
                 if err is None:
                     out.results.append(result)
                 elif len(group) == 1:

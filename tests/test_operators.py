@@ -473,3 +473,60 @@ def test_broadcast_counts_rows_and_bytes(spark):
     assert not is_small(df, max_bytes=60) and is_small(df, max_bytes=100)
     plan = broadcast_if_small(df).join(df, "id")._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in plan
+
+
+def test_stream_state_expires_and_starts_from_the_store(spark, tmp_path):
+    """Days far apart: timers drop the states of callers not seen any more; decisions equal the batch."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    t0 = dt.datetime(2026, 8, 1)
+    hits = [(f"u{i % 40 + day * 30}", t0 + dt.timedelta(days=3 * day, seconds=i * 7)) for day in range(4) for i in range(200)]
+    every = spark.createDataFrame(hits, "k string, ts timestamp")
+    stored, new = every.where("ts < '2026-08-04'"), every.where("ts >= '2026-08-04'")
+    before = limits.rate_limit(stored, "k", "ts", limit=3).where("allowed").select("k", "ts")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = []
+    for day in (4, 7, 10):
+        new.where(f"day(ts) = {day}").coalesce(1).write.mode("append").parquet(source)
+        stream = stream_limits.rate_limit_stream(spark.readStream.schema(every.schema).parquet(source), "k", "ts", limit=3,
+                                                 stored=before, grace_s=3600)
+        query = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp"))
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+        states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        rows.append(states[-1])
+    got = {(r.key, r.ts): (r.allowed, r.remaining, r.retry_after_s) for r in spark.read.parquet(out).collect()}
+    want = {(r.k, r.ts): (r.allowed, r.remaining, r.retry_after_s)
+            for r in limits.rate_limit(new, "k", "ts", limit=3, stored=before).collect()}
+    assert got == want and len(got) == 600
+    assert rows[1] <= rows[0] and rows[2] <= rows[0], rows  # no state left of the callers of earlier days
+
+    seen = spark.createDataFrame([("a", t0), ("b", t0)], "k string, ts timestamp")
+    asked = spark.createDataFrame([("a", t0 + dt.timedelta(hours=1)), ("b", t0 + dt.timedelta(hours=9)), ("c", t0),
+                                   ("b", t0 + dt.timedelta(hours=10))], "k string, ts timestamp")
+    asked.coalesce(1).write.parquet(str(tmp_path / "asked"))
+    replies = stream_limits.cache_hits_stream(spark.readStream.schema(asked.schema).parquet(str(tmp_path / "asked")), "k", "ts",
+                                              stored=seen, keep_s=4 * 3600, grace_s=86_400)
+    query = (replies.writeStream.format("memory").queryName("replies").outputMode("append")
+             .option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert sorted((r.key, r.ts.hour, r.cached) for r in spark.table("replies").collect()) == [
+        ("a", 1, True), ("b", 9, False), ("b", 10, True), ("c", 0, False)]
+
+
+def test_parts_are_isolated_by_halves():
+    from rolemill.plans.isolation import isolate, message_of
+
+    def run(group):
+        for name in group:
+            if name in ("c", "k"):
+                raise ValueError(f"{name} is broken")
+        return list(group)
+
+    found = isolate(list("abcdefghijklm"), run)
+    assert sorted(sum(found.results, [])) == list("abdefghijlm")
+    assert found.failed == {"c": "c is broken", "k": "k is broken"} and found.attempts <= 2 * 2 * 5
+    assert isolate(["x"], run).attempts == 1 and isolate([], run).results == []
+    assert message_of(ValueError("")) == "ValueError"
+    trace = 'Job aborted\nTraceback (most recent call last):\n  File "x.py", line 1, in f\nKeyError: \'gone\'\n'
+    assert message_of(RuntimeError(trace)) == "KeyError: 'gone'"

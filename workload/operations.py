@@ -61,6 +61,54 @@ def rate_limit(t: Tables) -> DataFrame:
         "user_id", F.unix_micros("ts").alias("us"), "allowed", "remaining", "retry_after_s")
 
 
+HALF = "(SELECT epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) // 2 FROM events)"
+
+
+def halves(t: Tables, key) -> tuple[DataFrame, DataFrame]:
+    """Hits of the first and the second half of the time covered."""
+    hits = t.events.select(key.alias("user_id"), "ts", "event_id")
+    ends = hits.agg(F.unix_micros(F.min("ts")).alias("lo"), F.unix_micros(F.max("ts")).alias("hi")).first()
+    late = F.unix_micros("ts") >= ends["lo"] + (ends["hi"] - ends["lo"]) // 2
+    return hits.where(~late), hits.where(late)
+
+
+def continued(t: Tables, key, **options) -> DataFrame:
+    """Decide the first half, store what was accepted, decide the second half on top of it."""
+    first, second = halves(t, key)
+    before = limits.rate_limit(first, "user_id", "ts", limit=3, tie="event_id", **options)
+    stored = before.where("allowed").select("user_id", "ts")
+    return limits.rate_limit(second, "user_id", "ts", limit=3, tie="event_id", stored=stored, **options).select(
+        "user_id", F.unix_micros("ts").alias("us"), "allowed", "remaining", "retry_after_s")
+
+
+DECIDED = "SELECT user_id, CAST(us AS BIGINT) AS us, allowed, CAST(remaining AS INT) AS remaining, CAST(retry AS BIGINT) AS retry_after_s FROM w"
+
+
+@query(f"{RATE} {DECIDED} WHERE us >= {HALF}")
+def rate_limit_stored(t: Tables) -> DataFrame:
+    """Hits on top of stored ones: the same decisions as over the whole time."""
+    return continued(t, F.col("user_id"))
+
+
+@query(RATE.replace("SELECT user_id, epoch_us(ts)", "SELECT user_id % 7 AS user_id, epoch_us(ts)").replace(
+    "PARTITION BY user_id ORDER", "PARTITION BY user_id % 7 ORDER") + f" {DECIDED} WHERE us >= {HALF}")
+def rate_limit_hot(t: Tables) -> DataFrame:
+    """Seven busy callers with stored hits, decided from their packed instants."""
+    return continued(t, F.col("user_id") % 7, hot_hits=1)
+
+
+@query(f"""{RATE.replace("FROM events)", "FROM events WHERE event_type <> 'click')")}
+    SELECT event_type, allowed, n FROM (
+      SELECT 'limited' AS event_type, allowed, count(*) AS n FROM w GROUP BY allowed
+      UNION ALL SELECT 'exempt', TRUE, count(*) FROM events WHERE event_type = 'click')""")
+def rate_limit_exempt(t: Tables) -> DataFrame:
+    """Clicks come from callers without a limit; they pass and use nothing up."""
+    hits = t.events.select("user_id", "ts", "event_id", "event_type")
+    out = limits.rate_limit(hits, "user_id", "ts", limit=3, tie="event_id", exempt=F.col("event_type") == "click")
+    kind = F.when(F.col("event_type") == "click", "exempt").otherwise("limited")
+    return out.groupBy(kind.alias("event_type"), "allowed").agg(F.count("*").alias("n"))
+
+
 def run_once(t: Tables, stream: DataFrame, name: str) -> DataFrame:
     """Drain a stream into the shared folder and read the result."""
     out = shared_folder(t.spark, name)
@@ -88,6 +136,19 @@ def lockout_as_stream(t: Tables) -> DataFrame:
     return out.select(F.col("key").alias("user_id"), F.unix_micros("ts").alias("us"), "locked")
 
 
+@query(RATE + f" SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(us AS BIGINT) AS us, allowed, CAST(retry AS BIGINT) AS retry_after_s FROM w WHERE us >= {HALF}")
+def rate_limit_stream_from_store(t: Tables) -> DataFrame:
+    """The first half is decided in batch; a stream takes over its accepted hits and decides the second half."""
+    first, second = halves(t, F.col("user_id"))
+    before = limits.rate_limit(first, "user_id", "ts", limit=3, tie="event_id").where("allowed").select("user_id", "ts")
+    folder = shared_folder(t.spark, "late")
+    second.select("user_id", "ts").write.parquet(folder)
+    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    late = t.spark.readStream.schema(t.spark.read.parquet(folder).schema).parquet(folder)
+    out = run_once(t, rate_limit_stream(late, "user_id", "ts", limit=3, stored=before, grace_s=90 * 86_400), "rate")
+    return out.select(F.col("key").alias("user_id"), F.unix_micros("ts").alias("us"), "allowed", "retry_after_s")
+
+
 PROMPT = "sha256(event_type || props)"
 HITS = f"""SELECT event_id, {PROMPT} AS prompt_hash, epoch_us(ts) AS us, row_number() OVER (PARTITION BY {PROMPT} ORDER BY ts, event_id) > 1 AS cached FROM events"""
 
