@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from rolemill.operators.embedding import EncodeError, hashed_token_encoder
 from rolemill.plans import ingest as plan
+from rolemill.plans.files import Files
 from rolemill.plans.session import shared_folder
 from rolemill.plans.store import Store
-from rolemill.streaming.commits import Commits, Files, stream_id
+from rolemill.streaming.commits import Commits, stream_id
 from rolemill.streaming.ingest import ingest_stream, log_batches, upsert_stream
 from rolemill.streaming.queue import drain_batches
 

@@ -10,12 +10,16 @@ from pyspark.sql import types as T
 
 from rolemill.operators import prompts
 from rolemill.operators.embedding import hashed_token_encoder
+from rolemill.plans.daystore import DayStore, embed, read_jobs, read_links, retire, sight
 from rolemill.plans.ingest import ingest_payloads
 from rolemill.plans.session import shared_folder
 from rolemill.plans.store import Store
 from rolemill.streaming.commits import Commits, stream_id
 from rolemill.streaming.ingest import ingest_batches, log_batches, upsert_stream
 from rolemill.streaming.queue import drain_batches
+from rolemill.functions.identity import text_key
+from rolemill.functions.text import normalize_text
+from workload import sql as S
 from workload.common import Tables, query
 from workload.feeds import greenhouse_pages, registry
 
@@ -160,3 +164,111 @@ def stream_usage_once(t: Tables) -> DataFrame:
     log = store.read("chat_usage").withColumn("day", F.to_date("created_at").cast("string"))
     out = prompts.usage_rollup(log, ["model", "day"], ["prompt_tokens"], "cached", "latency_ms")
     return out.drop("avg_latency")
+
+
+# Postings by day
+
+KEYED = f"(SELECT *, sha256({S.norm('text')}) AS k FROM documents)"
+DAYS = ["2026-07-01 06:00:00", "2026-07-20 06:00:00", "2026-08-01 06:00:00"]
+
+
+def sightings(t: Tables) -> DataFrame:
+    """Documents as enriched postings keyed by their text; a third of the ids belongs to each of three days."""
+    none = {c: F.lit(None).cast(k) for c, k in {
+        "remote_allowed": "boolean", "seniority": "string", "salary_min": "bigint", "salary_max": "bigint",
+        "salary_currency": "string", "salary_period": "string"}.items()}
+    key = text_key(normalize_text(F.col("text")))
+    return t.spread("documents").select(
+        key.alias("content_hash"), key.alias("id"), F.col("source").alias("title"), F.lit("c").alias("company"),
+        F.col("doc_id").cast("string").alias("url"), F.col("lang").alias("location"), F.col("text").alias("description"),
+        F.col("n_chars").cast("string").alias("summary"), F.when(F.col("n_chars") > 300, F.timestamp_seconds("doc_id")).alias("posted_at"),
+        *[v.alias(c) for c, v in none.items()], F.array("lang").alias("skills"), F.lit("docs").alias("source"),
+        F.col("doc_id").cast("string").alias("source_job_id"), F.col("doc_id").alias("arrival"))
+
+
+def part(rows: DataFrame, n: int) -> DataFrame:
+    return rows.where(F.col("arrival") % 3 == n)
+
+
+def day_store(t: Tables) -> DayStore:
+    return DayStore(t.spark, shared_folder(t.spark, "days"))
+
+
+def at(text: str) -> Column:
+    return F.lit(text).cast("timestamp")
+
+
+ORDERED = "(doc_id % 3, doc_id)"
+JOBS = f"""SELECT k, arg_min(source, {ORDERED}) AS title, arg_max(lang, {ORDERED}) AS location, arg_max(n_chars, {ORDERED})::VARCHAR AS summary,
+    arg_max(doc_id, {ORDERED}) FILTER (n_chars > 300) AS posted_s, arg_max(sha256(text), {ORDERED}) AS text_sha,
+    arg_min(doc_id, {ORDERED})::VARCHAR AS url, max(doc_id % 3) AS last_part, min(doc_id % 3) AS first_part FROM {KEYED} GROUP BY k"""
+
+
+def jobs_out(store: DayStore) -> DataFrame:
+    return read_jobs(store).select(
+        F.col("content_hash").alias("k"), "title", "location", "summary", "url", F.unix_seconds("posted_at").alias("posted_s"),
+        F.sha2("description", 256).alias("text_sha"), F.unix_seconds("last_seen_at").alias("seen_s"),
+        F.unix_seconds("fetched_at").alias("fetched_s"), "embedding_status")
+
+
+SECONDS = "CAST(epoch([TIMESTAMP '2026-07-01 06:00:00', TIMESTAMP '2026-07-20 06:00:00', TIMESTAMP '2026-08-01 06:00:00'][{} + 1]) AS BIGINT)"
+
+
+@query(f"""SELECT k, title, location, summary, url, posted_s, text_sha, {SECONDS.format("last_part")} AS seen_s,
+    {SECONDS.format("first_part")} AS fetched_s, 'pending' AS embedding_status FROM ({JOBS})""")
+def store_upsert_twice(t: Tables) -> DataFrame:
+    """Three days of sightings over existing state, the second one delivered twice."""
+    store, rows = day_store(t), sightings(t)
+    for n, day in enumerate(DAYS):
+        sight(store, part(rows, n), at(day), tag=f"day-{n}")
+        if n == 1:
+            sight(store, part(rows, n), at(day), tag=f"day-{n}")
+    return jobs_out(store)
+
+
+@query(f"""WITH j AS ({JOBS}), p AS (SELECT unnest([0, 1, 2])::INTEGER AS part),
+      texts AS (SELECT DISTINCT k, doc_id % 3 AS part, arg_max(coalesce(sha256(text), '') || '|' || coalesce(n_chars, -1), doc_id) OVER (PARTITION BY k, doc_id % 3) AS sha FROM {KEYED}),
+      changed AS (SELECT part, count(*) FILTER (sha IS DISTINCT FROM old) AS n FROM (
+        SELECT *, lag(sha) OVER (PARTITION BY k ORDER BY part) AS old FROM texts) GROUP BY part)
+    SELECT 'inserted' AS name, part, count(*) FILTER (first_part = part) AS n FROM j, p GROUP BY part
+    UNION ALL SELECT 'updated', part, (SELECT count(*) FROM texts t JOIN j USING (k) WHERE t.part = p.part AND first_part < p.part) FROM p
+    UNION ALL SELECT 'texts', part::INTEGER, n FROM changed
+    UNION ALL SELECT 'links', 3, count(*) FROM j UNION ALL SELECT 'skills', 3, count(location) FROM j""")
+def store_sinks(t: Tables) -> DataFrame:
+    """What each day's sightings wrote: new rows, repeats, changed texts; links and skills at the end."""
+    store, rows, out = day_store(t), sightings(t).withColumn("skills", F.array_compact("skills")), []
+    for n, day in enumerate(DAYS):
+        out += [(k, n, v) for k, v in sight(store, part(rows, n), at(day)).items()]
+    links, skills = read_links(store)
+    out += [("links", 3, links.count()), ("skills", 3, skills.count())]
+    return t.spark.createDataFrame(out, "name string, part int, n bigint")
+
+
+@query(f"""SELECT k, title, location, summary, url, posted_s, text_sha, {SECONDS.format("last_part")} AS seen_s,
+    {SECONDS.format("first_part")} AS fetched_s, 'embedded' AS embedding_status FROM ({JOBS}) WHERE last_part > 0""")
+def store_retention(t: Tables) -> DataFrame:
+    """What was last seen on the first day is gone a month later; the rest is whole, vectors included."""
+    store, rows = day_store(t), sightings(t)
+    for n, day in enumerate(DAYS):
+        sight(store, part(rows, n), at(day))
+        embed(store, lambda: hashed_token_encoder(8), at(day), 8)
+    for late in ("2026-08-01 06:00:00", "2026-08-04 06:00:00"):
+        retire(store, at(late), 30)
+    return jobs_out(store)
+
+
+@query(f"""WITH j AS (SELECT k, arg_min(source, {ORDERED}) AS title, min(doc_id % 3) AS first_part FROM {KEYED} GROUP BY k),
+      d AS (SELECT k, first_part AS part, title, (SELECT arg_max(lang, doc_id) FROM {KEYED} x WHERE x.k = j.k AND x.doc_id % 3 = j.first_part) AS lang FROM j),
+      w AS (SELECT part, title, lang, EXISTS (SELECT 1 FROM d e WHERE e.part < d.part AND e.title IS NOT DISTINCT FROM d.title
+            AND e.lang IS NOT DISTINCT FROM d.lang) AS cached FROM d)
+    SELECT 'processed' AS name, part::INTEGER AS part, count(*) AS n FROM w GROUP BY part
+    UNION ALL SELECT 'embedded', part::INTEGER, count(*) FROM w GROUP BY part
+    UNION ALL SELECT 'cached', part::INTEGER, count(*) FILTER (cached) FROM w GROUP BY part
+    UNION ALL SELECT 'failed', part::INTEGER, 0 FROM w GROUP BY part""")
+def store_drain(t: Tables) -> DataFrame:
+    """After each day's sightings only new postings wait; texts known from earlier days come from the cache."""
+    store, rows, out = day_store(t), sightings(t), []
+    for n, day in enumerate(DAYS):
+        sight(store, part(rows, n), at(day))
+        out += [(k, n, v) for k, v in embed(store, lambda: hashed_token_encoder(8), at(day), 8).items()]
+    return t.spark.createDataFrame(out, "name string, part int, n bigint")
