@@ -1,4 +1,4 @@
-"""Cosine top-k: one query, many queries exactly, many queries approximately.
+"""Cosine top-k, exactly: one query, many queries.  `rolemill.operators.lists` has the approximate form.
 
 Distances are computed in blocks of bounded size inside tasks and only the best
 ``k`` of every block leave it, so pairs never become rows.
@@ -63,6 +63,15 @@ def match(jobs: DataFrame, cvs: DataFrame, cv_id: str, as_of: Column, job_skills
     return best.withColumn("score", score(F.col("distance"))).orderBy("distance", "id")
 
 
+def _by_length(q_ids, q_vecs, i_ids, i_vecs) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries and items by vector length: only vectors of one length have a distance."""
+    q_len, i_len = (np.fromiter(map(len, v), np.int64, len(v)) for v in (q_vecs, i_vecs))
+    for n in np.intersect1d(q_len, i_len):
+        if n:
+            q, i = np.flatnonzero(q_len == n), np.flatnonzero(i_len == n)
+            yield q_ids[q], _unit([q_vecs[x] for x in q]), i_ids[i], _unit([i_vecs[x] for x in i])
+
+
 def _unit(vectors) -> np.ndarray:
     mat = np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
     length = np.linalg.norm(mat, axis=1, keepdims=True)
@@ -99,9 +108,8 @@ def _best(q_ids: np.ndarray, q_mat: np.ndarray, i_ids: np.ndarray, i_mat: np.nda
     return best
 
 
-def _rename(df: DataFrame, key: str, vec: str, *extra: str) -> DataFrame:
-    return df.where(F.col(vec).isNotNull()).select(
-        F.col(key).alias("_id"), F.col(vec).alias("_vec"), *extra)
+def _rename(df: DataFrame, key: str, vec: str) -> DataFrame:
+    return df.where(F.col(vec).isNotNull()).select(F.col(key).alias("_id"), F.col(vec).alias("_vec"))
 
 
 def _keep_best(candidates: DataFrame, k: int) -> DataFrame:
@@ -115,11 +123,10 @@ def _schema(queries: DataFrame, items: DataFrame) -> str:
     return f"query_id {q}, item_id {i}, distance double"
 
 
-def _block_join(queries: DataFrame, items: DataFrame, k: int, block: int, skip_same_id: bool,
-                in_buckets: bool = True) -> DataFrame:
-    """Best candidates within every bucket, computed cell by cell.
+def cells(queries: DataFrame, items: DataFrame, block: int, solve, schema: str, in_buckets: bool = True) -> DataFrame:
+    """``solve`` over every cell of every bucket.
 
-    Both sides carry ``_bucket``.  A bucket is cut into cells of about ``block``
+    Both sides carry ``_bucket`` and ``_id``.  A bucket is cut into cells of about ``block``
     queries by ``block`` items, however full it is, so a crowded bucket becomes
     many equal tasks.  The size table has one row per bucket; without buckets the
     two numbers of cells are counted and become literals.
@@ -139,21 +146,24 @@ def _block_join(queries: DataFrame, items: DataFrame, k: int, block: int, skip_s
         return (
             df.withColumn(own, F.pmod(F.xxhash64("_id"), F.col(own_n)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), (F.col(other_n) - 1).cast("int"))))
-            .select("_bucket", "_qc", "_ic", "_id", "_vec")
+            .drop("_qn", "_in")
         )
 
     cell = ["_bucket", "_qc", "_ic"]
     q_cells = spread(queries, "_qc", "_qn", "_ic", "_in")
     i_cells = spread(items, "_ic", "_in", "_qc", "_qn")
+    return q_cells.groupBy(*cell).cogroup(i_cells.groupBy(*cell)).applyInPandas(solve, schema)
 
+
+def _block_join(queries: DataFrame, items: DataFrame, k: int, block: int, skip_same_id: bool) -> DataFrame:
+    """Best candidates of all pairs, computed cell by cell."""
     def solve(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or i.empty:
-            return pd.DataFrame({"query_id": q["_id"][:0], "item_id": i["_id"][:0], "distance": []})
-        return _best(q["_id"].to_numpy(), _unit(q["_vec"]), i["_id"].to_numpy(), _unit(i["_vec"]),
-                     k, skip_same_id)
+        none = pd.DataFrame({"query_id": q["_id"][:0], "item_id": i["_id"][:0], "distance": []})
+        found = [_best(*part, k, skip_same_id) for part in _by_length(
+            q["_id"].to_numpy(), q["_vec"].to_numpy(), i["_id"].to_numpy(), i["_vec"].to_numpy())]
+        return pd.concat(found) if found else none
 
-    return (q_cells.groupBy(*cell).cogroup(i_cells.groupBy(*cell))
-            .applyInPandas(solve, _schema(queries, items)))
+    return cells(queries, items, block, solve, _schema(queries, items), in_buckets=False)
 
 
 def top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "id", item_id: str = "id",
@@ -167,20 +177,18 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "id", it
     q, i = _rename(queries, query_id, query_vec), _rename(items, item_id, item_vec)
     few = q.limit(block + 1).toPandas() if _at_most(q, block) else None
     if few is None:
-        found = _block_join(q, i, k, block, skip_same_id, in_buckets=False)
+        found = _block_join(q, i, k, block, skip_same_id)
         return _keep_best(found, k)
     if few.empty:
         return _keep_best(items.sparkSession.createDataFrame([], _schema(q, i)), k)
-    shared = q.sparkSession.sparkContext.broadcast((few["_id"].to_numpy(), _unit(few["_vec"])))
+    shared = q.sparkSession.sparkContext.broadcast((few["_id"].to_numpy(), few["_vec"].to_numpy()))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q_mat = shared.value
         best = None
         for pdf in batches:
-            if pdf.empty:
-                continue
-            near = _best(q_ids, q_mat, pdf["_id"].to_numpy(), _unit(pdf["_vec"]), k, skip_same_id)
-            best = near if best is None else _leaders(pd.concat([best, near]), k)
+            for part in _by_length(*shared.value, pdf["_id"].to_numpy(), pdf["_vec"].to_numpy()):
+                near = _best(*part, k, skip_same_id)
+                best = near if best is None else _leaders(pd.concat([best, near]), k)
         if best is not None:
             yield best
 
@@ -189,51 +197,3 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "id", it
 
 def _at_most(df: DataFrame, n: int) -> bool:
     return df.count() <= n
-
-
-def signatures(dim: int, tables: int, bits: int, seed: int, probes: int = 0):
-    """Arrow UDF from a vector to its bucket numbers in every hash table.
-
-    Random hyperplanes; ``probes`` adds the buckets across the nearest planes.
-    """
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
-
-    @F.pandas_udf("array<bigint>")
-    def buckets(vecs: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        weights = 1 << np.arange(bits, dtype=np.int64)
-        for batch in vecs:
-            if batch.empty:
-                yield pd.Series([], dtype=object)
-                continue
-            mat = np.vstack([np.asarray(v, dtype=np.float64) for v in batch])
-            out = [[] for _ in range(len(mat))]
-            for t in range(tables):
-                side = mat @ planes[t].T
-                base = (side > 0) @ weights
-                near = np.argsort(np.abs(side), axis=1)[:, :probes]
-                for row, number in enumerate(base):
-                    out[row].append((t << bits) + int(number))
-                    out[row].extend((t << bits) + int(number ^ weights[b]) for b in near[row])
-            yield pd.Series(out)
-
-    return buckets
-
-
-def approx_top_k(queries: DataFrame, items: DataFrame, k: int, dim: int, query_id: str = "id",
-                 item_id: str = "id", query_vec: str = "embedding", item_vec: str = "embedding",
-                 skip_same_id: bool = False, tables: int = 8, bits: int = 4, probes: int = 2,
-                 seed: int = 17, block: int = BLOCK) -> DataFrame:
-    """Approximate ``k`` closest items: exact ranking among items sharing a bucket.
-
-    A table has ``2**bits`` buckets, whatever the number of items; the base two
-    logarithm of ``items / block`` gives buckets of about one block.  Recall is
-    bought with more tables and probes; compare with `top_k`.
-    """
-    q = _rename(queries, query_id, query_vec)
-    i = _rename(items, item_id, item_vec)
-    q = q.withColumn("_bucket", F.explode(signatures(dim, tables, bits, seed, probes)("_vec")))
-    i = i.withColumn("_bucket", F.explode(signatures(dim, tables, bits, seed)("_vec")))
-    # A pair can meet in several tables; its distance is the same in all of them.
-    found = _block_join(q, i, k, block, skip_same_id).groupBy("query_id", "item_id").agg(
-        F.min("distance").alias("distance"))
-    return _keep_best(found, k)

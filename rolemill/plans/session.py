@@ -53,9 +53,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by writing to the shared folder; survives lost executors."""
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Cut lineage by writing to the shared folder; survives lost executors.
+
+    ``partition_by`` gives every value of a column a folder.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, name)
-    df.write.parquet(path)
+    if partition_by:
+        df.repartition(partition_by).write.partitionBy(partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

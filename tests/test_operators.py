@@ -239,16 +239,6 @@ def test_top_k_blocks(spark, monkeypatch):
     assert got == want
 
 
-def test_approx_recall(spark):
-    mat, df = vectors(spark, 400, dim=16, clones=130)
-    exact = as_dict(match.top_k(df, df, 5, skip_same_id=True))
-    approx = as_dict(match.approx_top_k(df, df, 5, 16, skip_same_id=True, bits=4, tables=10, probes=3, block=64))
-    good = sum(len({i for _, i in exact[q]} & {i for _, i in approx.get(q, [])}) for q in exact)
-    assert good / (5 * len(exact)) > 0.9
-    # A crowd of identical vectors is found whole.
-    assert approx[399] == exact[399]
-
-
 def test_queue(spark):
     jobs = jobs_table(spark, [dict(id=str(i), title="same" if i < 5 else f"t{i}", embedding_status="pending") for i in range(150)] + [
         dict(id="x", title="xx", embedding_status="failed", embedding_retry_count=6),
