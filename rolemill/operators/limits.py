@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rolemill.plans.broadcast import broadcast_if_small
 from rolemill.plans.session import materialize
-from rolemill.plans.skew import first_per_key, hot_keys, trailing_count
+from rolemill.plans.skew import HOT_ROWS, first_per_key, hot_keys, trailing_count
 
 # Limits and windows.
 DAILY_LIMIT = 10
@@ -219,14 +219,14 @@ def _from_instants(rows: DataFrame, past: DataFrame, key: str, limit: int, windo
 
 
 def lockout(failures: DataFrame, key: str, ts: str, limit: int = FAILURE_LIMIT,
-            window_s: int = FAILURE_WINDOW_S) -> DataFrame:
+            window_s: int = FAILURE_WINDOW_S, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Failures with the count inside the trailing window and whether that locks.
 
     A key's failures at the same instant are stored once.  The window is open at
     its far end: a failure exactly ``window_s`` old no longer counts.
     """
     once = failures.select(key, ts).distinct()
-    return trailing_count(once, [key], ts, window_s, "failures").withColumn(
+    return trailing_count(once, [key], ts, window_s, "failures", hot_rows).withColumn(
         "locked", F.col("failures") > limit)
 
 

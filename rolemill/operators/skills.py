@@ -10,8 +10,10 @@ followed by anything; there are few of them and each is searched as a pattern.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolemill.functions.text import let
@@ -25,6 +27,8 @@ RUN_START = f"(?<![{WORD}])[{WORD}]"
 MAX_SYMBOL_TERMS = 256
 MAX_TERMS = 100_000  # a dictionary is a parameter; this bounds what planning collects
 
+OUT_ROWS = 50_000  # rows of an output batch
+
 DICTIONARY = "skills array<struct<canonical:string,aliases:array<string>>>"
 
 
@@ -139,11 +143,22 @@ def canonicalize(df: DataFrame, column: str, terms: DataFrame, out: str) -> Data
 
 
 def token_offsets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Word runs of every text with their character offset."""
-    parts = df.select(key, F.posexplode(F.split(F.lower(text), RUN_BREAK)).alias("pos", "part"))
-    so_far = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        parts.withColumn("offset", F.sum(F.length("part")).over(so_far) - F.length("part"))
-        .where(F.col("part").rlike(rf"\A{RUN}\z"))
-        .select(key, F.col("part").alias("run"), "offset")
-    )
+    """Word runs of every text with their character offset; texts stay in their tasks."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs = re.compile(RUN)
+        for batch in batches:
+            at, found, offsets = [], [], []
+            for n, value in enumerate(batch.column("_low").to_pylist()):
+                for m in runs.finditer(value or ""):
+                    at.append(n)
+                    found.append(m[0])
+                    offsets.append(m.start())
+            for a in range(0, len(at), OUT_ROWS):
+                b = a + OUT_ROWS
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(key).take(pa.array(at[a:b], pa.int64())), pa.array(found[a:b], pa.string()),
+                     pa.array(offsets[a:b], pa.int64())], names=[key, "run", "offset"])
+
+    return df.select(key, F.lower(text).alias("_low")).mapInArrow(run, f"`{key}` {kind}, run string, offset bigint")

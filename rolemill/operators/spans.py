@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from rolemill.plans.skew import running_max_before
 
 
-def span_union(df: DataFrame, key: str, start: str, end: str, block_days: int = 1) -> DataFrame:
+def span_union(df: DataFrame, key: str, start: str, end: str, parts: int | None = None) -> DataFrame:
     """Per key: number of islands and covered microseconds; touching spans merge.
 
     A span adds what lies beyond the furthest end seen before it, so the union
     is a plain sum.  Spans with the same start are reduced to the longest first.
+    Sampled ranges of (key, start) are scanned in parallel, ``parts`` of them, so neither
+    a key nor a day is ever one task.
     """
     spans = (
         df.select(key, F.unix_micros(start).alias("_s"), F.unix_micros(end).alias("_e"))
         .where(F.col("_e") > F.col("_s"))
         .groupBy(key, "_s").agg(F.max("_e").alias("_e"))
     )
-    width = block_days * 86_400 * 1_000_000
-    reach = running_max_before(spans, [key], "_s", "_e", F.floor(F.col("_s") / F.lit(width)), "_reach")
+    reach = running_max_before(spans, [key], "_s", "_e", "_reach", parts)
     opens = F.col("_reach").isNull() | (F.col("_s") > F.col("_reach"))
     gain = F.greatest(F.col("_e") - F.greatest("_s", "_reach"), F.lit(0))
     return reach.groupBy(key).agg(

@@ -2,7 +2,7 @@
 
 Three shapes cover the operators of this package: numbering the rows of a key
 (`first_per_key`), attaching one row per key to many rows (`join_per_key`), and
-running totals along an order (`running_max_before`, `running_sum`).
+running totals along an order (`running_max_before`, `running_sum`, `trailing_count`).
 """
 
 from __future__ import annotations
@@ -12,10 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolemill.plans.session import materialize
+
 SALTS = 256
 HOT_SHARE = 1024  # a key is hot when it holds more than 1/HOT_SHARE of all rows
 WINDOWS_PER_BLOCK = 16  # trailing windows per time block: one in so many rows is copied
 TRACKED = 16 * HOT_SHARE  # size of the sketch that finds hot keys
+HOT_ROWS = 1_000_000  # rows of a key that one task may see
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
@@ -67,19 +70,34 @@ def join_per_key(rows: DataFrame, table: DataFrame, key: str, how: str = "left",
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def running_max_before(df: DataFrame, keys: Sequence[str], order: str, value: str, block: Column,
-                       out: str) -> DataFrame:
+def in_ranges(df: DataFrame, keys: Sequence[str], order: str, parts: int | None = None) -> DataFrame:
+    """Rows with ``_block``: sampled ranges of (keys, order) of about equal size, numbered in that order.
+
+    However many rows a key or a day has, it is spread over as many ranges as it needs.  The rows are written,
+    so that their ranges stay the same for everything that follows.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *keys, order).withColumn("_block", F.spark_partition_id())
+    return materialize(dealt, "ranges")
+
+
+def _carried(rows: DataFrame, keys: Sequence[str], total: Column) -> DataFrame:
+    """(keys, ``_block``, ``_carry``): ``total``, an aggregate of ``_top``, over the blocks of a key before each one.
+
+    One row per key and block: no more rows of a key than there are ranges.
+    """
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_carry", total.over(before)).drop("_top")
+
+
+def running_max_before(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str,
+                       parts: int | None = None) -> DataFrame:
     """Largest ``value`` among the earlier rows of a key, by unique ``order``.
 
-    ``block`` cuts a key's order into ranges (for example days).  Ranges are
-    scanned in parallel; one row per range carries the maximum across them.
+    Ranges are scanned in parallel; one row per key and range carries the maximum across them.
     """
-    rows = df.withColumn("_block", block)
-    by_key = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        rows.groupBy(*keys, "_block").agg(F.max(value).alias("_top"))
-        .withColumn("_carry", F.max("_top").over(by_key)).drop("_top")
-    )
+    rows = in_ranges(df, keys, order, parts)
+    carry = _carried(rows.groupBy(*keys, "_block").agg(F.max(value).alias("_top")), keys, F.max("_top"))
     inside = (Window.partitionBy(*keys, "_block").orderBy(order)
               .rowsBetween(Window.unboundedPreceding, -1))
     return (
@@ -90,10 +108,53 @@ def running_max_before(df: DataFrame, keys: Sequence[str], order: str, value: st
     )
 
 
-def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, out: str) -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str,
+                parts: int | None = None) -> DataFrame:
+    """Sum of ``value`` over the rows of a key up to and including each one, by unique ``order``."""
+    rows = in_ranges(df, keys, order, parts)
+    carry = _carried(rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_top")), keys, F.sum("_top"))
+    inside = (Window.partitionBy(*keys, "_block").orderBy(order)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (
+        rows.withColumn("_inside", F.sum(value).over(inside))
+        .join(carry, [*keys, "_block"])
+        .withColumn(out, F.col("_inside") + F.coalesce("_carry", F.lit(0)))
+        .drop("_inside", "_carry", "_block")
+    )
+
+
+def trailing_count(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, out: str,
+                   hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows of the same key less than ``seconds`` old, the current one included.
 
-    Time is cut into blocks of several windows.  Rows of a block's last window are
+    Keys with more than ``hot_rows`` rows and a noticeable share of all are counted by rank, others by blocks of time.
+    """
+    hot = hot_keys(df, keys[0], hot_rows) if len(keys) == 1 else []
+    if not hot:
+        return _count_in_blocks(df, keys, ts, seconds, out)
+    is_hot = F.coalesce(F.col(keys[0]).isin(hot), F.lit(False))
+    return _count_in_blocks(df.where(~is_hot), keys, ts, seconds, out).unionByName(
+        _count_by_rank(df.where(is_hot), keys, ts, seconds, out))
+
+
+def _count_by_rank(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, out: str) -> DataFrame:
+    """The number of rows up to a time less that up to the window's far end.
+
+    Both are running sums over the distinct times and far ends of a key, which lie in sampled ranges: a window
+    that holds any number of rows is never gathered.
+    """
+    rows = df.withColumn("_us", F.unix_micros(ts))
+    times = rows.groupBy(*keys, "_us").agg(F.count("*").alias("_n"))
+    ends = times.select(*keys, (F.col("_us") - seconds * 1_000_000).alias("_us"), F.lit(0).cast("bigint").alias("_n"))
+    points = times.unionByName(ends).groupBy(*keys, "_us").agg(F.sum("_n").alias("_n"))
+    upto = running_sum(points, keys, "_us", "_n", "_upto").select(*keys, "_us", "_upto")
+    far = upto.select(*keys, (F.col("_us") + seconds * 1_000_000).alias("_us"), F.col("_upto").alias("_gone"))
+    return (rows.join(upto.join(far, [*keys, "_us"]), [*keys, "_us"])
+            .withColumn(out, F.col("_upto") - F.col("_gone")).drop("_us", "_upto", "_gone"))
+
+
+def _count_in_blocks(df: DataFrame, keys: Sequence[str], ts: str, seconds: int, out: str) -> DataFrame:
+    """Time is cut into blocks of several windows.  Rows of a block's last window are
     copied into the next one as context, so a window never looks beyond two
     blocks and a busy key is spread over its blocks.
     """

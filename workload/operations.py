@@ -11,7 +11,7 @@ from rolemill.plans.session import shared_folder
 from rolemill.streaming.ingest import fold_stream
 from rolemill.streaming.limits import cache_hits_stream, lockout_stream, rate_limit_stream
 from workload.changes import FOLD, fold_documents
-from workload.common import Tables, query
+from workload.common import SQL, Tables, query
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,6 +27,15 @@ def span_union(t: Tables) -> DataFrame:
     return spans.span_union(t.events.withColumn("until", end), "user_id", "ts", "until")
 
 
+@query(SQL["span_union"].replace("SELECT user_id, epoch_us(ts)", "SELECT 7 AS user_id, epoch_us(ts)").replace(
+    "SELECT user_id, count(*)", "SELECT CAST(user_id AS BIGINT) AS user_id, count(*)"))
+def span_union_one_key(t: Tables) -> DataFrame:
+    """All events under one key, cut into ranges of their start."""
+    end = F.timestamp_micros(F.unix_micros("ts") + F.floor(F.col("value") * 60e6))
+    one = t.events.withColumn("until", end).withColumn("user_id", F.lit(7).cast("bigint"))
+    return spans.span_union(one, "user_id", "ts", "until", parts=16)
+
+
 LOCK = """SELECT user_id, epoch_us(ts) AS us, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECOND PRECEDING AND CURRENT ROW) AS n
     FROM (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'error')"""
 
@@ -42,6 +51,15 @@ def lockout(t: Tables) -> DataFrame:
         "user_id", F.unix_micros("ts").alias("us"), "failures", "locked")
 
 
+@query(f"SELECT CAST(user_id AS BIGINT) AS user_id, CAST(us AS BIGINT) AS us, n AS failures, n > 2 AS locked FROM ({LOCK})"
+       .replace("DISTINCT user_id, ts FROM", "DISTINCT user_id % 2 AS user_id, ts FROM"))
+def lockout_hot(t: Tables) -> DataFrame:
+    """All errors under two keys, counted by rank."""
+    rows = errors(t).select((F.col("user_id") % 2).alias("user_id"), "ts")
+    return limits.lockout(rows, "user_id", "ts", 2, 86_400, hot_rows=1).select(
+        "user_id", F.unix_micros("ts").alias("us"), "failures", "locked")
+
+
 HOUR = 3_600_000_000
 RATE = f"""WITH RECURSIVE h AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
     w AS (SELECT user_id, us, i, TRUE AS allowed, CAST(2 AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS retry, [us] AS kept FROM h WHERE i = 1
@@ -222,6 +240,25 @@ def usage_rollup(t: Tables) -> DataFrame:
     return out.withColumn("avg_latency", F.floor(F.col("avg_latency") * 1e6 + 0.5) / 1e6)
 
 
+@query(f"""WITH v AS (SELECT {USAGE} AS tier, event_type AS model, date_trunc('week', ts)::DATE::VARCHAR AS week, value FROM events)
+    SELECT tier, model, week, count(*) AS calls, TRUE AS median_near, TRUE AS tail_near FROM v GROUP BY 1, 2, 3""")
+def usage_percentiles(t: Tables) -> DataFrame:
+    """Percentiles over a week from daily sketches lie within the sketch's error of the true ranks."""
+    log = t.events.select(F.when(F.col("user_id") < 10, "admin").otherwise("user").alias("tier"), F.col("event_type").alias("model"),
+                          F.to_date("ts").alias("day"), "value")
+    week = F.to_date(F.date_trunc("week", "day")).cast("string")
+    daily = prompts.latency_sketches(log, ["tier", "model", "day"], "value").withColumn("week", week)
+    over = prompts.latency_over(daily, ["tier", "model", "week"], [0.5, 0.95])
+
+    def near(share: float, value: str):
+        # Ranks of the values equal to the answer reach from the share below it to the share up to it.
+        below, upto = F.avg((F.col("value") < F.col(value)).cast("double")), F.avg((F.col("value") <= F.col(value)).cast("double"))
+        return (below <= share + 0.02) & (upto >= share - 0.02)
+
+    return (log.withColumn("week", week).join(over, ["tier", "model", "week"]).groupBy("tier", "model", "week")
+            .agg(F.count("*").alias("calls"), near(0.5, "p50").alias("median_near"), near(0.95, "p95").alias("tail_near")))
+
+
 @query("""SELECT event_id, user_id, event_type FROM (SELECT * FROM events ORDER BY ts, event_id LIMIT 100) WHERE event_type = 'click'""")
 def usage_oldest(t: Tables) -> DataFrame:
     """The oldest hundred entries, then only one caller's among them."""
