@@ -3,29 +3,30 @@
 A text is cut into runs of word characters and the separators between them.  A
 plain term occurs exactly where it equals the text from the start of one run to
 the end of another, so candidates are phrases of one to n runs and matching is
-an equi-join with the dictionary.  Terms ending in ``+`` or ``#`` may be
-followed by anything; there are few of them and each is searched as a pattern.
+an equi-join with the dictionary.  Terms ending in ``+`` or ``#`` may begin and
+end inside a run; their candidates come from the few runs that hold such a character.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolemill.functions.text import let
-from rolemill.plans.broadcast import broadcast_if_small
+from rolemill.plans.broadcast import broadcast_if_small, is_small
+from rolemill.plans.session import materialize
+from rolemill.plans.skew import join_per_key
 
 # Characters that belong to a word here.
 WORD = "a-z0-9+#."
 RUN = f"[{WORD}]+"
 RUN_BREAK = f"(?<=[{WORD}])(?=[^{WORD}])|(?<=[^{WORD}])(?=[{WORD}])"
 RUN_START = f"(?<![{WORD}])[{WORD}]"
-MAX_SYMBOL_TERMS = 256
-MAX_TERMS = 100_000  # a dictionary is a parameter; this bounds what planning collects
+OPENER_BITS = 1 << 16  # bits of the table that tells which runs may open a longer term
 
 OUT_ROWS = 50_000  # rows of an output batch
 
@@ -50,79 +51,139 @@ def dictionary(entries: DataFrame) -> DataFrame:
     )
 
 
-def _phrases(text: Column, longest: int, openers: list[str]) -> Column:
+def _entry(term: Column, symbol: bool, at: Column) -> Column:
+    return F.struct(term.alias("term"), F.lit(symbol).alias("symbol"), (at + 1).cast("int").alias("run"))
+
+
+def _may_open(terms: DataFrame) -> Callable[[Column], Column]:
+    """Test whether a run may open some term of several runs: a bit per hash of their first runs.
+
+    The table has a fixed size whatever the dictionary's; a run that only shares a bit costs a phrase in vain.
+    """
+    first = F.regexp_extract("term", rf"\A{RUN}", 0)
+    bit = F.pmod(F.xxhash64(first), F.lit(OPENER_BITS))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))
+    found = (terms.select(F.shiftright(bit, 6).alias("word"), one.alias("bit"))
+             .groupBy("word").agg(F.bit_or("bit").alias("bits")).collect())  # at most OPENER_BITS / 64 numbers
+    words = [0] * (OPENER_BITS // 64)
+    for row in found:
+        words[row["word"]] = row["bits"]
+    table = F.lit(words).cast("array<bigint>")
+
+    def test(run: Column) -> Column:
+        at = F.pmod(F.xxhash64(run), F.lit(OPENER_BITS))
+        return F.getbit(F.get(table, F.shiftright(at, 6).cast("int")), (at % 64).cast("int")) == 1
+
+    return test
+
+
+def _joined(p: Column, k: Column, n: int) -> Column:
+    """``n`` runs from number ``k`` on, with the text between them."""
+    parts = [F.get(p["runs"], k)]
+    for j in range(1, n):
+        parts += [F.get(p["gaps"], k + j), F.get(p["runs"], k + j)]
+    return F.concat(*parts)
+
+
+def _phrases(p: Column, longest: int, opens: Callable[[Column], Column] | None) -> Column:
     """Array of (term, symbol, run): every run, and phrases of 2 to ``longest`` runs.
 
-    Longer phrases are only built where a run opens some term of the dictionary,
+    Longer phrases are only built where a run may open some term of the dictionary,
     with their separators taken verbatim.
     """
-    def build(p: Column) -> Column:
-        runs, gaps = p["runs"], p["gaps"]
+    single = F.transform(p["runs"], lambda r, k: _entry(r, False, k))
+    if opens is None:
+        return single
 
-        def entry(term: Column, at: Column) -> Column:
-            return F.struct(term.alias("term"), F.lit(False).alias("symbol"), (at + 1).alias("run"))
+    def longer(starts: Column) -> Column:
+        def of(n: int) -> Column:
+            fits = F.filter(starts, lambda k: k + n <= F.size(p["runs"]))
+            return F.transform(fits, lambda k: _entry(_joined(p, k, n), False, k))
 
-        def longer(starts: Column) -> Column:
-            def of(n: int) -> Column:
-                def phrase(k: Column) -> Column:
-                    parts = [F.get(runs, k)]
-                    for j in range(1, n):
-                        parts += [F.get(gaps, k + j), F.get(runs, k + j)]
-                    return entry(F.concat(*parts), k)
+        return F.concat(*[of(n) for n in range(2, longest + 1)])
 
-                return F.transform(F.filter(starts, lambda k: k + n <= F.size(runs)), phrase)
+    starts = F.array_compact(F.transform(p["runs"], lambda r, k: F.when(opens(r), k)))
+    return F.concat(single, let(starts, longer))
 
-            return F.concat(*[of(n) for n in range(2, longest + 1)])
 
-        single = F.transform(runs, lambda r, k: entry(r, k))
-        if longest < 2:
-            return single
-        starts = F.array_compact(F.transform(runs, lambda r, k: F.when(r.isin(openers), k)))
-        return F.concat(single, let(starts, longer))
+def _symbol_phrases(p: Column, longest: int, most: int) -> Column:
+    """Array of (term, symbol, run) of everything that a term ending in ``+`` or ``#`` could be.
 
-    # Gap k is the text before run k; the first one may be empty.
-    return let(F.struct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("runs"),
-                        (F.split(text, RUN) if longest > 1 else F.array(F.lit(""))).alias("gaps")), build)
+    Such a term may begin inside a run, behind ``+``, ``#`` or ``.``, and end inside one; only runs that hold
+    ``+`` or ``#`` are looked at, and nothing longer than ``most`` characters is built.
+    """
+    def ends(run: Column) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.length(run)), lambda e: F.substring(run, e, F.lit(1)).isin("+", "#"))
 
+    def starts(k: Column) -> Column:
+        run = F.get(p["runs"], k)
+        return F.filter(F.sequence(F.lit(1), F.length(run)), lambda s: F.when(
+            s == 1, ~F.endswith(F.get(p["gaps"], k), F.lit("_"))).otherwise(
+                F.substring(run, s - 1, F.lit(1)).isin("+", "#", ".")))
 
-def _symbol_hits(text: Column, terms: list[str]) -> Column:
-    """Array of (term, run) for every occurrence of the terms ending in ``+`` or ``#``."""
-    def hits(term: str) -> Column:
-        pattern = rf"(?<![A-Za-z0-9_]){re.escape(term)}"
-        # Everything up to each occurrence; the run number is the count of runs begun so far.
-        found = F.sequence(F.lit(1), F.regexp_count(text, F.lit(pattern)))
-        first = F.regexp_instr(text, F.lit(pattern))
-        run = F.regexp_count(F.left(text, first), F.lit(RUN_START))
-        return F.when(first > 0, F.transform(found, lambda _: F.struct(
-            F.lit(term).alias("term"), F.lit(True).alias("symbol"), run.alias("run")))).otherwise(
-                F.array().cast("array<struct<term:string,symbol:boolean,run:int>>"))
+    def of(n: int) -> Column:
+        def at(k: Column) -> Column:  # the term ends in run k
+            j = k - (n - 1)
+            body = F.concat(_joined(p, j, n - 1), F.get(p["gaps"], k)) if n > 1 else F.lit("")
+            last = F.get(p["runs"], k)
 
-    return F.concat(*[hits(t) for t in terms])
+            def from_start(s: Column) -> Column:
+                low = s if n == 1 else F.lit(1)  # with one run, the end lies behind the start
+                fits = F.filter(ends(last), lambda e: (e >= low) & (
+                    F.length(body) + e - s + 1 <= most))
+                whole = F.concat(body, last)
+                return F.transform(fits, lambda e: _entry(
+                    F.substring(whole, s, F.length(body) + e - s + 1), True, j))
+
+            return F.flatten(F.transform(starts(j), from_start))
+
+        held = F.array_compact(F.transform(p["runs"], lambda r, k: F.when(
+            (F.contains(r, F.lit("+")) | F.contains(r, F.lit("#"))) & (k >= n - 1), k)))
+        return F.flatten(F.transform(held, at))
+
+    return F.concat(*[of(n) for n in range(1, longest + 1)])
 
 
 def match_terms(df: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """(key, canonical, occurrences, first_run) for every dictionary hit.
 
     ``first_run`` is the ordinal of the word run where the name first occurs.
-    Texts are read once and never shuffled; only counted hits are.
+    Texts are read once and never shuffled; only counted hits are.  The dictionary may be of
+    any size: a small one travels to the texts, a large one meets their runs by join, hot runs split.
     """
-    terms = terms.withColumn("symbol", F.col("term").rlike(r"[+#]\z"))
+    terms = materialize(terms.withColumn("symbol", F.col("term").rlike(r"[+#]\z")), "terms")
+    runs = F.regexp_count("term", F.lit(RUN_START))
+    plain, symbol = F.col("symbol") == F.lit(False), F.col("symbol")
+    several = plain & F.col("term").rlike(f"[^{WORD}]")
     shape = terms.agg(
-        F.max(F.regexp_count("term", F.lit(RUN_START))).alias("longest"),
-        F.count_if("symbol").alias("symbols"),
-        F.count("*").alias("terms")).first()
-    if (shape["symbols"] or 0) > MAX_SYMBOL_TERMS or shape["terms"] > MAX_TERMS:
-        raise ValueError(f"a dictionary has at most {MAX_TERMS} terms and {MAX_SYMBOL_TERMS} ending in + or #")
-    symbols = sorted(r["term"] for r in terms.where("symbol").select("term").collect())
-    openers = sorted(r[0] for r in terms.where(~F.col("symbol") & F.col("term").rlike(f"[^{WORD}]"))
-                     .select(F.regexp_extract("term", rf"\A{RUN}", 0)).distinct().collect())
-    spots = let(F.lower(text), lambda t: F.concat(
-        _phrases(t, (shape["longest"] or 1) if openers else 1, openers),
-        *([_symbol_hits(t, symbols)] if symbols else [])))
-    # Symbol terms are found as patterns only, all others as phrases only.
-    hits = df.select(key, F.inline(spots)).join(broadcast_if_small(terms), ["term", "symbol"])
+        F.max(F.when(several, runs)).alias("longest"), F.max(F.when(symbol, runs)).alias("symbol_runs"),
+        F.max(F.when(symbol, F.length("term"))).alias("symbol_chars")).first()
+    opens = _may_open(terms.where(several)) if shape["longest"] else None
+    between = shape["longest"] or (shape["symbol_runs"] or 0) > 0
+    low = F.lower(text)
+    # Gap k is the text before run k; the first one may be empty.
+    parts = F.struct(F.regexp_extract_all(low, F.lit(RUN), F.lit(0)).alias("runs"),
+                     (F.split(low, RUN) if between else F.array(F.lit(""))).alias("gaps"))
+
+    def spotted(p: Column) -> Column:
+        whole = _phrases(p, shape["longest"] or 1, opens)
+        if not shape["symbol_runs"]:
+            return whole
+        # Most texts hold neither character and are done here.
+        marked = F.contains(low, F.lit("+")) | F.contains(low, F.lit("#"))
+        return F.when(marked, F.concat(whole, _symbol_phrases(p, shape["symbol_runs"], shape["symbol_chars"]))).otherwise(whole)
+
+    spots = let(parts, spotted)
+    # Symbol terms are found as symbol phrases only, all others as whole phrases only.
+    found = df.select(key, F.inline(spots))
+    if is_small(terms):
+        hits = found.join(F.broadcast(terms), ["term", "symbol"]).withColumn("n", F.lit(1))
+    else:
+        counted = found.groupBy(key, "term", "symbol").agg(F.count("*").alias("n"), F.min("run").alias("run"))
+        hits = join_per_key(counted, terms.withColumnRenamed("symbol", "_symbol"), "term", "inner", spread=[key]).where(
+            F.col("symbol") == F.col("_symbol"))
     return hits.groupBy(key, "canonical").agg(
-        F.count("*").alias("occurrences"), F.min("run").alias("first_run"))
+        F.sum("n").alias("occurrences"), F.min("run").alias("first_run"))
 
 
 def skill_lists(matches: DataFrame, key: str) -> DataFrame:

@@ -45,8 +45,11 @@ def hot_keys(df: DataFrame, key: str, at_least: int = 0) -> list:
 
     One pass with a frequent-items sketch: every task keeps a table of fixed size
     and nothing is shuffled by key.  The list has fewer than HOT_SHARE entries.
-    It only steers how work is spread, so its counts may be estimates.
+    It only steers how work is spread, so its counts may be estimates.  Fewer rows
+    than ``at_least`` are only counted.
     """
+    if at_least and df.select(key).count() <= at_least:
+        return []
     row = df.where(F.col(key).isNotNull()).agg(
         F.expr(f"approx_top_k(`{key}`, {HOT_SHARE}, {TRACKED})").alias("top"), F.count("*").alias("n")).first()
     floor = max(row["n"] / HOT_SHARE, at_least)
@@ -91,12 +94,13 @@ def _carried(rows: DataFrame, keys: Sequence[str], total: Column) -> DataFrame:
 
 
 def running_max_before(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str,
-                       parts: int | None = None) -> DataFrame:
+                       block: Column | None = None, parts: int | None = None) -> DataFrame:
     """Largest ``value`` among the earlier rows of a key, by unique ``order``.
 
     Ranges are scanned in parallel; one row per key and range carries the maximum across them.
+    They are sampled, ``parts`` of them, or given as ``block``, numbers that follow the order.
     """
-    rows = in_ranges(df, keys, order, parts)
+    rows = in_ranges(df, keys, order, parts) if block is None else df.withColumn("_block", block)
     carry = _carried(rows.groupBy(*keys, "_block").agg(F.max(value).alias("_top")), keys, F.max("_top"))
     inside = (Window.partitionBy(*keys, "_block").orderBy(order)
               .rowsBetween(Window.unboundedPreceding, -1))
