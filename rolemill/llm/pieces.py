@@ -258,6 +258,20 @@ class Encoder:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker: the tasks it runs one after the other share the model and the known runs.
+
+    Task functions are shipped with the job, so what outlives a task hangs on a module of the worker's own.
+    """
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_piece_encoders", types.ModuleType("_piece_encoders")).__dict__
+    if path not in held:
+        held[path] = Encoder(PieceModel(path))
+    return held[path]
+
+
 def encode_texts(docs: DataFrame, path: str, text: str = "text", keep_text: bool = False) -> DataFrame:
     """Rows of ``docs`` with ``ids``, ``n_ids`` and ``decoded_sha256``, the digest of the text decoded from them.
 
@@ -276,7 +290,7 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", keep_text: bool
     def run(batches):
         import hashlib
 
-        encoder = Encoder(PieceModel(path))
+        encoder = worker_encoder(path)
         for batch in batches:
             ids, ends, digests = array("i"), [0], []
             for value in batch.column(own):
