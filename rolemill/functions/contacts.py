@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolemill.functions.text import NOT_WS, WS, first_match, let, trim_ws
+from rolemill.functions.text import first_match, let, trim_ws
 
 # Patterns for each contact kind.
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 GITHUB = r"(?i)(?:https?://)?(?:www\.)?github\.com/[a-zA-Z0-9-]{1,39}/?"
 LINKEDIN = r"(?i)(?:https?://)?(?:[a-z]{2,3}\.)?linkedin\.com/in/[a-zA-Z0-9_%-]{3,100}/?"
-_GAP = WS.replace("]", ".-]")
+_GAP = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff.-]"
 PHONE = (
     rf"(?=[+(\d])(?:\+?\d{{1,3}}{_GAP}?)?(?:\(\d{{2,4}}\){_GAP}?)?\d{{3,4}}{_GAP}?\d{{3,4}}"
     rf"(?:{_GAP}?\d{{2,4}})?"
 )
-URL = r"(?i)https?://" + NOT_WS.replace("]", r"""<>"')]""") + "+"
+URL = r"""(?i)https?://[^\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff<>"')]+"""
 NOT_PERSONAL = r"(?i)github\.com|linkedin\.com|mailto:|\.png|\.jpe?g"
 
-# Profiles carry their contacts at the top.
+# Fixed value: profiles carry their contacts at the top; the bound of the original service, for callers that want it.
 HEAD_CHARS = 3000
 
 
@@ -43,11 +43,10 @@ def _if_has(text: Column, needle: str, found: Column) -> Column:
     return F.when(F.contains(text, F.lit(needle)), found)
 
 
-def contacts(text: Column, head_chars: int | None = HEAD_CHARS) -> Column:
-    """Struct of email, phone, github, linkedin and url.
+def contacts(text: Column, head_chars: int | None = None) -> Column:
+    """Struct of email, phone, github, linkedin and url, from the whole text.
 
-    Email and phone are looked for in the first ``head_chars`` characters;
-    ``None`` searches the whole text.
+    With ``head_chars``, email and phone are looked for in that many first characters.
     """
     def search(low: Column) -> Column:
         head = text if head_chars is None else F.substring(text, 1, head_chars)

@@ -24,7 +24,8 @@ YEAR_MS = 365.25 * DAY_MS
 # Phrases that announce a wanted role, and words that mark a title line.
 WANTED = (
     rf"(?i)(?:target(?:ing)?(?:{WS}+role)?|seeking(?:{WS}+a)?){WS}+"
-    rf"(?:as{WS}+|a{WS}+|an{WS}+)?([A-Za-z]" + WS.replace("]", r"\w/&-]") + "{2,60})"
+    rf"(?:as{WS}+|a{WS}+|an{WS}+)?"
+    r"([A-Za-z][\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff\w/&-]{2,60})"
 )
 TITLE_WORDS = (
     "engineer|developer|manager|designer|analyst|scientist|architect|consultant|specialist|"
@@ -34,6 +35,7 @@ TITLE_PHRASE = (
     rf"{EDGE}([A-Z][a-z]+(?:{WS}+[A-Z][a-z]+)*{WS}+(?:Engineer|Developer|Manager|Designer)){EDGE}"
 )
 TITLE_LINE_CHARS = 80
+# Fixed value: the original service looks for a title phrase in so many first characters; for callers that want it.
 HEAD_CHARS = 500
 
 
@@ -95,8 +97,11 @@ def years_experience(parts: Column, as_of: Column) -> Column:
     return let(spans, total)
 
 
-def target_role(parts: Column, text: Column, head_chars: int | None = HEAD_CHARS) -> Column:
-    """Wanted role: a stated target, else a title line at the top, else a title phrase."""
+def target_role(parts: Column, text: Column, head_chars: int | None = None) -> Column:
+    """Wanted role: a stated target, else a title line at the top, else a title phrase.
+
+    With ``head_chars``, the phrase is looked for in that many first characters.
+    """
     def stated(line: Column) -> Column:
         role = collapse_ws(first_match(line, WANTED, 1))
         return F.regexp_replace(role, rf"(?i){WS}+roles?\z", "")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolemill.functions.identity import TOP_CV_SKILLS, by_occurrences, entity_version, prompt_key
+from rolemill.plans.session import materialize
 from rolemill.plans.skew import first_per_key, join_per_key
 
 USAGE_PAGE = 100
@@ -63,6 +65,42 @@ def cache_hits(prompts: DataFrame, key: str, order: Sequence[Column | str]) -> D
     return first_per_key(prompts, [key], order, "_first").withColumn("cached", ~F.col("_first")).drop("_first")
 
 
+@dataclass
+class Answered:
+    """What a run of prompts gave; ``usage`` and ``new_cache`` are rows to append."""
+
+    answers: DataFrame  # the prompts with response_text, cached and reject_reason
+    usage: DataFrame
+    new_cache: DataFrame
+
+
+def run_prompts(asked: DataFrame, cvs: DataFrame, jobs: DataFrame, cache: DataFrame, system: str,
+                reply: Callable[[DataFrame], DataFrame]) -> Answered:
+    """Answer prompts (id, user_key, model, message, cv_id, job_id, created_at) from the cache, else by ``reply``.
+
+    ``reply`` adds ``response_text``, ``prompt_tokens``, ``completion_tokens`` and ``latency_ms`` to rows with
+    ``content`` and ``model``.  It sees every distinct unanswered prompt once, the earliest; repeats of it are
+    cache hits like any other: they cost no tokens.  A prompt whose profile or posting is unknown is rejected and
+    leaves no usage.
+    """
+    full = materialize(cached_replies(with_context(asked, cvs, jobs, system), cache), "prompts")
+    good = F.col("reject_reason").isNull()
+    missing = first_per_key(full.where(good & F.col("response_text").isNull()).drop("response_text"),
+                            ["prompt_hash"], ["created_at", "id"], "_first")
+    fresh = materialize(reply(missing.where("_first").select("id", "created_at", "prompt_hash", "model", "content")), "replies")
+    known = full.where(good & F.col("response_text").isNotNull()).withColumn("cached", F.lit(True))
+    text = fresh.select("prompt_hash", "response_text")
+    answered = join_per_key(missing, text, "prompt_hash", "inner", spread=["id"]).withColumn("cached", ~F.col("_first")).drop("_first")
+    rejected = full.where(~good).withColumn("cached", F.lit(None).cast("boolean"))
+    answers = known.unionByName(answered)
+    cost = fresh.select(F.col("id").alias("_id"), "prompt_tokens", "completion_tokens", "latency_ms")
+    zero = {c: F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in ("prompt_tokens", "completion_tokens", "latency_ms")}
+    usage = answers.join(cost, answers["id"] == cost["_id"], "left").select(
+        "id", "user_key", "model", zero["prompt_tokens"], zero["completion_tokens"], "cached", zero["latency_ms"], "created_at")
+    return Answered(answers.unionByName(rejected), usage,
+                    fresh.select("prompt_hash", "response_text", "model", "created_at"))
+
+
 def usage_log(usage: DataFrame, user: str | None = None, n: int = USAGE_PAGE,
               order: Sequence[str] = ("created_at", "id"), user_column: str = "user_key",
               newest: bool = False) -> DataFrame:

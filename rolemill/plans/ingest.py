@@ -156,35 +156,35 @@ def _scanned(payloads: DataFrame, feed: str, companies: DataFrame, boards: Seque
     return materialize(enrich(scan_feed(payloads, feed, companies)), f"scan-{feed}")
 
 
-def scan_isolated(payloads: DataFrame, feed: str, companies: DataFrame) -> tuple[list[DataFrame], dict[str, str]]:
-    """(scans, message by failing board) of a feed; a board that raises in a task leaves the others alone.
+def scan_isolated(payloads: DataFrame, feed: str, companies: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """(scan, message by failing board) of a feed; a board that raises in a task leaves the others alone.
 
-    Usually one scan.  A feed of boards that fails is scanned again by halves of its boards, in order of
+    Usually one job.  A feed of boards that fails is scanned again by halves of its boards, in order of
     their names; payloads of other boards are then not read.  What fails for every board, or a feed
     without boards, raises.
     """
     if not schemas.FEEDS[feed].per_board:
-        return [_scanned(payloads, feed, companies)], {}
+        return _scanned(payloads, feed, companies), {}
     try:
-        return [_scanned(payloads, feed, companies)], {}
+        return _scanned(payloads, feed, companies), {}
     except Exception:  # noqa: BLE001 - which board it was is found below
         boards = sorted({r["board"] for r in enabled_boards(companies, feed).select("board").distinct().collect()})
         found = isolate(boards, lambda some: _scanned(payloads, feed, companies, some))
         if not found.results:
             raise
-        return found.results, found.failed
+        return materialize(union_all(found.results), f"scan-{feed}"), found.failed
 
 
 def run_feed(delivery: Delivery, payloads: DataFrame, feed: str, as_of: Column) -> FeedRun:
     """Scan, count and write one feed; boards that raise are left out and named in the run's error."""
     store, held = delivery.store, []
 
-    def scan() -> tuple[list[DataFrame], dict[str, str]]:
+    def scan() -> tuple[DataFrame, dict[str, str]]:
         if not held:
             held.append(scan_isolated(payloads, feed, store.read("companies")))
         return held[0]
 
-    scanned = delivery.stage("scan", lambda: union_all(scan()[0]))
+    scanned = delivery.stage("scan", lambda: scan()[0])
     failed = delivery.note("failed", lambda: scan()[1])
     good, bad = split_rejects(scanned)
     # Every record that arrived counts as fetched; an unreadable payload holds none.

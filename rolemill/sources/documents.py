@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolemill.functions.contacts import HEAD_CHARS as CONTACT_CHARS
 from rolemill.functions.contacts import contacts
-from rolemill.functions.experience import HEAD_CHARS as ROLE_CHARS
 from rolemill.functions.experience import target_role, years_experience
 from rolemill.functions.identity import job_id
 from rolemill.functions.sections import sections
@@ -64,10 +62,11 @@ def route_documents(files: DataFrame, max_bytes: int = MAX_BYTES, min_chars: int
 
 
 def parse_profiles(docs: DataFrame, terms: DataFrame, as_of: Column, key: str = "id", text: str = "raw_text",
-                   contact_chars: int | None = CONTACT_CHARS, role_chars: int | None = ROLE_CHARS) -> DataFrame:
+                   contact_chars: int | None = None, role_chars: int | None = None) -> DataFrame:
     """Structured profile columns for every document, with a reason where nothing was found.
 
-    Only the matched skills are shuffled and joined back by ``key``.
+    Whole texts are searched; ``contact_chars`` and ``role_chars`` bound contacts and title phrases to the
+    beginning, as the original service does (`contacts.HEAD_CHARS`, `experience.HEAD_CHARS`).  Only the matched skills are shuffled and joined back by ``key``.
     """
     found = skill_lists(match_terms(docs, key, text, terms), key)
     body = F.col(text)

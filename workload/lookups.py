@@ -203,3 +203,24 @@ def event_display(t: Tables) -> DataFrame:
         "event_id", display.time_ago(F.col("ts"), as_of("2024-02-05 00:00:00")).alias("age"),
         user_key(F.concat(F.lit(" 10.0.0."), "user_id", F.lit(" , 9.9.9.9")), F.lit(None).cast("string"), F.lit("8")).alias("who"),
         display.source_label(F.concat("event_type", F.lit(":"), "user_id")).alias("family"))
+
+
+@query(f"""SELECT id, title, CAST(row_number() OVER (ORDER BY posted_at DESC NULLS FIRST, id DESC) AS INT) AS position
+    FROM ({JOBS}) WHERE company = 'Brand#13' ORDER BY posted_at DESC NULLS FIRST, id DESC LIMIT 7""")
+def company_page(t: Tables) -> DataFrame:
+    """One company's postings; the page size is the leading number of what was sent."""
+    conds = search.conditions(JobFilter(company="Brand#13"), as_of())
+    rows = parts_as_jobs(t).where(reduce(lambda a, b: a & b, conds))
+    return search.page(rows, "posted_at", "id", search.clamp_limit("7.9 rows")).select("id", "title", "position")
+
+
+@query(f"""WITH j AS ({JOBS})
+    SELECT 'Brand#1' AS prefix, company AS value FROM (SELECT company, count(*) AS n FROM j WHERE company ILIKE '%Brand#1%' GROUP BY 1 ORDER BY n DESC, company LIMIT 8)
+    UNION ALL SELECT '#13', company FROM (SELECT DISTINCT company FROM j WHERE company = 'Brand#13')""")
+def suggest_guarded(t: Tables) -> DataFrame:
+    """Inputs of fewer than two characters, blanks aside, suggest nothing; the rest is unguarded."""
+    jobs = parts_as_jobs(t)
+    none = jobs.select(F.lit("").alias("skill"))
+    frames = [search.suggest(jobs, none, "company", text).select(F.lit(text.strip()).alias("prefix"), "value")
+              for text in ("B", " B ", "", "Brand#1", " #13 ")]
+    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -213,6 +213,11 @@ SYSTEM = "Be brief."
         LEFT JOIN customer ON cv = CAST(c_custkey AS VARCHAR) LEFT JOIN part ON job = CAST(p_partkey AS VARCHAR)))""")
 def prompt_contexts(t: Tables) -> DataFrame:
     """Orders as prompts: a third has no profile, some refer to unknown ones, all urgent ones name one posting."""
+    asks, cvs, jobs = prompt_tables(t)
+    return prompts.with_context(asks, cvs, jobs, SYSTEM).select("o_orderkey", "content", "prompt_hash", "reject_reason")
+
+
+def prompt_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     at = F.lit("2026-08-20 00:00:00").cast("timestamp")
     low = F.col("o_orderpriority") == "5-LOW"
     asks = t.orders.select(
@@ -224,7 +229,7 @@ def prompt_contexts(t: Tables) -> DataFrame:
         F.col("c_nationkey").cast("float").alias("estimated_years_experience"),
         F.array(F.struct(F.col("c_name").alias("skill"), F.lit(1).alias("occurrences"))).alias("skills"))
     jobs = t.part.select(F.col("p_partkey").cast("string").alias("id"), at.alias("updated_at"), F.col("p_name").alias("summary"))
-    return prompts.with_context(asks, cvs, jobs, SYSTEM).select("o_orderkey", "content", "prompt_hash", "reject_reason")
+    return asks, cvs, jobs
 
 
 USAGE = "CASE WHEN user_id < 10 THEN 'admin' ELSE 'user' END"

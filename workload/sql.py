@@ -22,6 +22,7 @@ def strip_html(e: str) -> str:
 def seniority(e: str) -> str:
     def has(p: str) -> str:
         return f"regexp_matches(lower({e}), '\\b({p})\\b')"
+    # Level words, in order of precedence.
     return f"""CASE WHEN {e} IS NULL THEN NULL
         WHEN {has('intern|internship|apprentice')} THEN 'intern'
         WHEN {has('junior|jr|entry|graduate')} THEN 'junior'
@@ -35,10 +36,12 @@ def seniority(e: str) -> str:
 
 
 def level_from_years(e: str) -> str:
+    # Years below which a level holds.
     return (f"CASE WHEN {e} < 2 THEN 'intern' WHEN {e} < 4 THEN 'junior' WHEN {e} < 7 THEN 'mid' "
             f"WHEN {e} < 12 THEN 'senior' ELSE 'staff' END")
 
 
+# Fixed value: how an amount of money is written.
 AMT = r"\$?\s*[\d.,]+[kKmM]?"
 
 
@@ -73,6 +76,7 @@ def salary(source: str, text: str, cols: str) -> str:
           FROM {source})"""
 
 
+# Headings and the sections they open.
 HEADINGS = [
     (r"(?:professional\s+)?(?:work\s+|employment\s+)?experience", "experience"),
     (r"employment(?:\s+history)?", "experience"),

@@ -11,17 +11,23 @@ from pyspark.sql import types as T
 from rolemill.operators import prompts
 from rolemill.operators.embedding import hashed_token_encoder
 from rolemill.plans.daystore import DayStore, embed, read_jobs, read_links, retire, sight
-from rolemill.plans.ingest import ingest_payloads
+from rolemill.operators.skills import read_dictionary
+from rolemill.plans import maintenance
+from rolemill.plans.ingest import ingest_payloads, scan_feed
 from rolemill.plans.session import shared_folder
 from rolemill.plans.store import Store
+from rolemill.sources.landing import select_feeds
 from rolemill.streaming.commits import Commits, stream_id
 from rolemill.streaming.ingest import ingest_batches, log_batches, upsert_stream
 from rolemill.streaming.queue import drain_batches
 from rolemill.functions.identity import text_key
 from rolemill.functions.text import normalize_text
 from workload import sql as S
-from workload.common import Tables, query
-from workload.feeds import greenhouse_pages, registry
+from workload.common import SQL, Tables, query
+from workload.feeds import adzuna_pages, arbeitnow_pages, greenhouse_pages, registry, remotive_pages
+from workload.feeds import pages as feed_pages
+from workload import operations  # noqa: F401 - registers the SQL that a query below continues
+from workload.texts import MATCHES, WORDS
 
 AS_OF = "2026-08-20 00:00:00"
 
@@ -121,6 +127,83 @@ def stream_ingest_once(t: Tables) -> DataFrame:
     return links_and_log(store).where(F.col("name") != "greenhouse").unionByName(log)
 
 
+@query("""SELECT 'remotive' AS name, 'ok' AS last_status, count(*) AS jobs_fetched FROM customer
+    UNION ALL SELECT 'adzuna', 'ok', count(*) FROM supplier""")
+def ingest_selected(t: Tables) -> DataFrame:
+    """Only the feeds that were named run; unknown names are dropped."""
+    store, pages = fresh_store(t), {"remotive": remotive_pages, "adzuna": adzuna_pages, "arbeitnow": arbeitnow_pages}
+    ingest_payloads(store, lambda feed: pages[feed](t), select_feeds([" adzuna", "nope", "remotive", "Arbeitnow"]), as_of())
+    return store.read("sources").select("name", "last_status", "jobs_fetched")
+
+
+@query("""WITH r AS (SELECT o_orderkey // 100 AS page, CASE WHEN o_orderkey % 7 = 0 THEN 'missing title'
+        WHEN o_orderkey % 11 = 0 THEN 'missing company' ELSE 'accepted' END AS outcome FROM orders)
+    SELECT outcome, count(*) AS n FROM r WHERE page % 5 <> 0 GROUP BY 1
+    UNION ALL SELECT 'unreadable payload', count(DISTINCT page) FROM r WHERE page % 5 = 0""")
+def record_quarantine(t: Tables) -> DataFrame:
+    """Records without a title or company, and pages cut off in the middle, are set aside one by one."""
+    n = F.col("o_orderkey")
+    record = F.struct(n.alias("id"), F.when(n % 7 != 0, F.col("o_orderpriority")).alias("title"),
+                      F.when(n % 11 != 0, F.concat(F.lit("C"), n)).alias("company_name"))
+    whole = feed_pages(t.orders, record, n, "data")
+    number = F.substring_index("file", "/", -1).cast("bigint")
+    cut = whole.withColumn("payload", F.when(number % 5 == 0, F.expr("left(payload, length(payload) - 3)")).otherwise(F.col("payload")))
+    return scan_feed(cut, "arbeitnow").groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(
+        F.count("*").alias("n"))
+
+
+# Profiles
+
+@query(MATCHES + """, c AS (SELECT doc_id, canonical, count(*) AS n FROM h GROUP BY doc_id, canonical)
+    SELECT 'd' || doc_id || '.txt' AS filename, 'text/plain' AS content_type, n_chars, count(canonical) AS n_skills,
+      CAST(coalesce(sum(n), 0) AS BIGINT) AS occurrences, 'pending' AS embedding_status
+    FROM documents JOIN c USING (doc_id) WHERE length(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) >= 40 GROUP BY ALL""")
+def store_profiles(t: Tables) -> DataFrame:
+    """Documents uploaded twice, with a dictionary file: profiles and their skills are stored once."""
+    folder = shared_folder(t.spark, "dictionary")
+    entries = F.array(*[F.struct(F.lit(c).alias("canonical"), F.array(*map(F.lit, a)).alias("aliases")) for c, a in WORDS])
+    t.spark.range(1).select(entries.alias("skills")).write.json(folder)
+    terms = read_dictionary(t.spark, folder)
+    files = t.spread("documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("filename"),
+        F.lit("text/plain").alias("content_type"), F.lit(1).alias("size"), F.encode("text", "UTF-8").alias("content"))
+    store = fresh_store(t)
+    for _ in range(2):
+        maintenance.upload(store, files, terms, as_of())
+    skills = store.read("cv_skills").groupBy(F.col("cv_id").alias("id")).agg(
+        F.count("*").alias("n_skills"), F.sum("occurrences").alias("occurrences"))
+    sizes = t.documents.select(F.col("doc_id").cast("string").alias("id"), "n_chars")
+    return store.read("cv_profiles").join(skills, "id").join(sizes, "id").select(
+        "filename", "content_type", "n_chars", "n_skills", "occurrences", "embedding_status")
+
+
+# Prompts
+
+@query(f"""WITH p AS ({SQL["prompt_contexts"]}),
+      m AS (SELECT p.*, o_orderstatus AS status, row_number() OVER (PARTITION BY prompt_hash ORDER BY o_orderkey) AS nth,
+            bool_or(o_orderkey % 50 = 0) OVER (PARTITION BY prompt_hash) AS stored
+          FROM p JOIN orders USING (o_orderkey) WHERE reject_reason IS NULL)
+    SELECT o_orderkey AS id, nth > 1 OR stored AS cached, CASE WHEN nth > 1 OR stored THEN 0 ELSE length(content) END::INTEGER AS prompt_tokens,
+      sha256(CASE WHEN stored THEN 'stored' ELSE 're: ' || content END) AS answer FROM m""")
+def prompt_run(t: Tables) -> DataFrame:
+    """Orders as prompts against a cache that knows some: usage has tokens for the first of its kind only."""
+    from workload.operations import SYSTEM, prompt_tables
+    asks, cvs, jobs = prompt_tables(t)
+    asked = asks.withColumns({"id": F.col("o_orderkey"), "user_key": F.lit("u"), "created_at": as_of()})
+    known = prompts.with_context(asked.where(F.col("id") % 50 == 0), cvs, jobs, SYSTEM).where("reject_reason is null")
+    cache = known.select("prompt_hash", F.lit("stored").alias("response_text")).distinct()
+
+    def reply(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"response_text": F.concat(F.lit("re: "), "content"), "prompt_tokens": F.length("content"),
+                                 "completion_tokens": F.lit(1), "latency_ms": F.lit(5)})
+
+    out = prompts.run_prompts(asked, cvs, jobs, cache, SYSTEM, reply)
+    store = fresh_store(t)
+    store.append("chat_usage", out.usage)
+    text = out.answers.select(F.col("id").cast("string").alias("id"), F.sha2("response_text", 256).alias("answer"))
+    return store.read("chat_usage").join(text, "id").select(F.col("id").cast("bigint").alias("id"), "cached", "prompt_tokens", "answer")
+
+
 # The embedding queue
 
 TITLE = "left(text, 12)"

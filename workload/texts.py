@@ -80,6 +80,7 @@ def _re(e: str, p: str, g: int = 0) -> str:
     return f"nullif(regexp_extract({e}, '{p}', {g}), '')"
 
 
+# How phone numbers and links are written.
 PHONE = r"(?:\+?\d{1,3}[\s.-]?)?(?:\(\d{2,4}\)[\s.-]?)?\d{3,4}[\s.-]?\d{3,4}(?:[\s.-]?\d{2,4})?"
 URL = r"(?i)https?://[^\s<>\"'')]+"
 
@@ -94,6 +95,17 @@ def contact_sql(rel: str, key: str, txt: str) -> str:
       (SELECT *, {_re(txt, PHONE)} AS ph, {_re(txt, URL)} AS u FROM {rel}))"""
 
 
+HEAD = 200
+
+
+@query(contact_sql(f"(SELECT doc_id, left(text, {HEAD}) AS head, text FROM documents)", "doc_id", "text").replace(
+    "regexp_extract(text, '[a-zA-Z0-9._%+-]+@", "regexp_extract(head, '[a-zA-Z0-9._%+-]+@").replace(
+    f"{_re('text', PHONE)} AS ph", f"{_re('head', PHONE)} AS ph"))
+def contacts_in_head(t: Tables) -> DataFrame:
+    """Email and phone from the first characters only, links from the whole text."""
+    return t.spread("documents").select("doc_id", C.contacts(F.col("text"), HEAD).alias("c")).select("doc_id", "c.*")
+
+
 @query(contact_sql("documents", "doc_id", "text"))
 def contacts_in_documents(t: Tables) -> DataFrame:
     found = C.contacts(F.col("text"), head_chars=None)
@@ -167,6 +179,16 @@ def target_roles(t: Tables) -> DataFrame:
     return parts.select("doc_id", experience.target_role(F.col("s"), F.col("text"), head_chars=None).alias("role"))
 
 
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 'Data Engineer' END AS role FROM orders""")
+def target_role_in_head(t: Tables) -> DataFrame:
+    """A title phrase counts only where it stands in the first characters."""
+    n = F.col("o_orderkey")
+    gap = F.when(n % 3 == 0, F.lit("")).otherwise(F.repeat(F.lit("word "), 20))
+    text = F.concat(F.lit("SUMMARY\nabout me "), gap, F.lit(" as Data Engineer here"))
+    docs = t.orders.select(n.alias("doc_id"), text.alias("text"))
+    return docs.select("doc_id", experience.target_role(sections(F.col("text")), F.col("text"), 60).alias("role"))
+
+
 WORDS = [("The", ["the"]), ("Of", ["of", "of the"]), ("French", ["de la", "des", "que de"]), ("Spanish", ["de", "ción", "que"]),
          ("German", ["der", "die", "und"]), ("Pair", ["and the", "to the of"]), ("Sharp", ["e#"])]
 

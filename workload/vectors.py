@@ -70,6 +70,30 @@ def nearest_for_all(t: Tables) -> DataFrame:
     return best.select("query_id", "item_id", "rank", V.score(F.col("distance")).alias("score"))
 
 
+JOBS = f"""SELECT vec_id, label, {UNIT} AS e, CASE WHEN vec_id % 4 < 3 THEN vec_id % 4 = 0 END AS remote_allowed,
+      CASE WHEN label <> 2 THEN 1000 + vec_id END AS salary_max, vec_id % 9 <> 5 AS fresh FROM embeddings"""
+
+
+@query(f"""SELECT vec_id::VARCHAR AS id, 'T' || vec_id AS title, floor(s * 1000 + 0.5) / 1000 AS score FROM (
+      SELECT vec_id, list_cosine_similarity(e, (SELECT {UNIT} FROM embeddings WHERE vec_id = 1)) AS s FROM ({JOBS})
+      WHERE remote_allowed AND salary_max >= 1040 AND fresh AND label % 2 = 0)
+    ORDER BY s DESC, vec_id::VARCHAR LIMIT 12""")
+def match_filtered(t: Tables) -> DataFrame:
+    """Best postings for one profile: embedded, fresh, remote, paid enough, with two skills."""
+    as_of = F.lit("2026-08-20 00:00:00").cast("timestamp")
+    n, old = F.col("vec_id"), F.make_dt_interval(F.when(F.col("vec_id") % 9 == 5, 31).otherwise(30))
+    jobs = t.embeddings.select(
+        n.cast("string").alias("id"), F.concat(F.lit("T"), n).alias("title"), "embedding", F.lit("embedded").alias("embedding_status"),
+        F.when(n % 4 < 3, n % 4 == 0).alias("remote_allowed"), F.when(F.col("label") != 2, 1000 + n).alias("salary_max"),
+        (as_of - old).alias("last_seen_at"), *[F.lit(None).cast("string").alias(c) for c in (
+            "company", "location", "seniority", "salary_min", "salary_currency", "summary", "url", "posted_at")])
+    skills = t.embeddings.select(n.cast("string").alias("job_id"), F.explode(
+        F.when(F.col("label") % 2 == 0, F.array(F.lit("SQL"), F.lit("Go"))).otherwise(F.array(F.lit("sql")))).alias("skill"))
+    cvs = t.embeddings.where(n == 1).select(F.lit("cv").alias("id"), F.lit("embedded").alias("embedding_status"), "embedding")
+    best = match.match(jobs, cvs, "cv", as_of, skills, "12.5", remote=True, skills=["go", "SQL"], salary_min=1040)
+    return best.select("id", "title", "score")
+
+
 NEAREST_SQL = SQL["nearest_for_all"]
 
 
