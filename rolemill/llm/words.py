@@ -1,19 +1,22 @@
 """Words of many texts at once: positions in one byte buffer, and hashes of word runs.
 
-A word is a run of bytes other than space and 0x09-0x0D.  Hashes are polynomials
-modulo 2**64 over prefix sums, finished with a bit mixer, so any run of words is
-hashed in constant time.
+A word is a run of bytes other than space and 0x09-0x0D.  Words are hashed by mixing
+their bytes, runs of words by polynomials modulo 2**64 over prefix sums of word hashes,
+finished with a bit mixer, so any run is hashed in constant time.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 U64 = np.uint64
-STRETCH = 1 << 18
+LONG = 512  # bytes of a word that are mixed eight at a time
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -73,14 +76,25 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        """A hash per word, in stretches of bytes that fit the processor's cache."""
-        out = np.empty(len(self.starts), U64)
-        edges = np.unique(np.searchsorted(self.starts, np.arange(0, len(self.data) + STRETCH, STRETCH)))
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            at = self.starts[a]
-            values = self.data[at:self.ends[b - 1]].astype(U64) + U64(1)
-            out[a:b] = hash_ranges(values, self.starts[a:b] - at, self.ends[a:b] - at, seed)
-        return out
+        """A hash per word: its bytes eight at a time, each mixed into what came before, then its length.
+
+        Short words of one length never share a hash, others by chance alone.  Words of more than
+        ``LONG`` bytes are hashed by BLAKE2.
+        """
+        lens = self.ends - self.starts
+        raw = np.concatenate((self.data, np.zeros(8, np.uint8)))
+        eight = np.ndarray((len(self.data) + 1,), "<u8", raw.data, strides=(1,))
+        out = np.full(len(lens), seed + 1, U64)
+        short, done = np.flatnonzero(lens <= LONG), 0
+        while len(short):
+            left = lens[short] - done
+            out[short] = mix(out[short] ^ (eight[self.starts[short] + done] & _FIRST_BYTES[np.minimum(left, 8)]), seed)
+            done += 8
+            short = short[left > 8]
+        for i in np.flatnonzero(lens > LONG).tolist():
+            word = raw[self.starts[i]:self.ends[i]].tobytes()
+            out[i] = int.from_bytes(blake2b(word, digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+        return mix(out + lens.astype(U64) * U64(0xD6E8FEB86659FD93), seed)
 
     def joined(self, keep: np.ndarray, j: int) -> bytes:
         """The kept words of text ``j`` joined by one space."""

@@ -67,6 +67,33 @@ def test_words_and_hashes():
     assert Words(pa.array(["q r", "r"])).hashes()[1] == Words(pa.array(["q r", "r"])).hashes()[2]
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+@pytest.mark.parametrize("n", [16, 64, 256, 1024, 4096])
+def test_words_made_to_collide(n):
+    """A Thue-Morse word and its complement are equal under any polynomial modulo a power of two."""
+    word = thue_morse(n)
+    other = word.translate(str.maketrans("ab", "ba"))
+    w = Words(pa.array([word, other, word + "b", f"{word} {other}", word[:-1], "a", "ab", "é" * n]))
+    for seed in (1, 3, 4, 21, 61):
+        found = w.hashes(seed).tolist()
+        assert found[0] == found[3] and found[1] == found[4] and len(set(found)) == 7
+
+
+def test_words_made_to_collide_stay_apart(spark):
+    word = thue_morse(1024)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, word), (2, other), (3, f"{word} {rest}"), (4, f"{other} {rest}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in JaccardJoin(docs.where("doc_id < 3")).result().collect()} == {1: 1, 2: 2}
+    assert all(r["n_removed"] == 0 for r in remove_repeats(docs).collect())
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5)]
@@ -276,6 +303,36 @@ def test_mixing(spark):
         assert n == each * (2 if i == 3 else 1)
 
 
+def test_mixing_without_ids_and_at_high_rates(spark):
+    """Rows without an id draw one by one, equal ones too; a rate beyond the table of steps is a sum of draws."""
+    data = [(None, f"text {i % 2000}", "s") for i in range(4000)] + [(None, None, None)] * 3 + [(5, "x", "t")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    for seed in ("mix-1", "mix-2"):
+        mixed = mix_sources(df, {"s": 1.0}, seed=seed)
+        n = mixed.count()
+        assert abs(n - 4000) < 6 * 4000 ** 0.5, n
+        per_text = Counter(r["text"] for r in mixed.collect())
+        assert len(per_text) > 1500  # most texts have a copy, none all of them
+    one = spark.createDataFrame([(i, "abcd", "small") for i in range(20)] + [(100 + i, "y" * 1000, "large") for i in range(200)],
+                                "doc_id long, text string, source string")
+    rate = {r["source"]: r["rate"] for r in repetition_rates(one, {"small": 1.0}).collect()}["small"]
+    copies = Counter(r["doc_id"] for r in mix_sources(one, {"small": 1.0}).select("doc_id").collect())
+    assert rate > 2000 and len(copies) == 20
+    assert all(abs(n - rate) < 6 * rate ** 0.5 for n in copies.values()) and len(set(copies.values())) > 10
+    # The draws of one document add up to a Poisson number: parts of equal mean, each from a hash of its own.
+    parts = math.ceil(rate / 500)
+    steps = spark_steps(spark, rate / parts)
+    u = [int(hashlib.md5(f"mix-1|3|{i}".encode()).hexdigest()[:13], 16) / 2 ** 52 for i in range(1, parts + 1)]
+    assert copies[3] == sum(sum(c <= x for c in steps) for x in u)
+
+
+def test_letters_by_category():
+    from rolemill.llm.language_id import has_letter
+
+    assert not any(map(has_letter, ["", "½ ² ① 12 _ .", "٣", "\u0301"]))
+    assert all(map(has_letter, ["½a", "é", "漢", "ª", "½½½½ß"]))
+
+
 def spark_steps(spark, rate, known={}):  # noqa: B006
     if rate not in known:
         known[rate] = spark.range(1).select(poisson_steps(F.lit(rate)).alias("s")).first()["s"]
