@@ -192,10 +192,10 @@ def fit(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text",
         for batch in batches:
             out = []
             for name, value in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                if re.search(r"[^\W\d_]", value):
+                if has_letter(value):
                     at = len(value) // 3
                     piece = value[at:at + 160]
-                    for part in (value, piece) if re.search(r"[^\W\d_]", piece) else (value,):
+                    for part in (value, piece) if has_letter(piece) else (value,):
                         rows, shares = histogram(part)
                         out.append((name, rows.astype(np.uint16).tobytes(), shares.astype(np.float32).tobytes()))
             yield pa.RecordBatch.from_arrays(
@@ -210,6 +210,11 @@ def fit(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text",
     return train_model([(name, np.frombuffer(rows, np.uint16), np.frombuffer(shares, np.float32)) for name, rows, shares in found])
 
 
+def has_letter(text: str) -> bool:
+    """Whether some character is a letter by its category; numerals such as a half or a circled one are none."""
+    return any(found[0].isalpha() for found in re.finditer(r"[^\W\d_]", text))
+
+
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Rows of ``docs`` with ``lang_pred``, ``score`` (0 to 1) and ``rejected``.
 
@@ -226,12 +231,11 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                                                            StructField("rejected", BooleanType())])
 
     def run(batches):
-        letter = re.compile(r"[^\W\d_]")
         for batch in batches:
             preds, scores, strange = [], [], []
             for value in batch.column(own):
                 value = value.as_py()
-                if model is None or not value or not letter.search(value):
+                if model is None or not value or not has_letter(value):
                     preds.append(UNKNOWN)
                     scores.append(0.0)
                     strange.append(True)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from rolemill.plans.session import materialize
 
 SEED = "mix-1"
+MOST_RATE = 500  # a table of steps is made for no more; a Poisson number of a larger mean is a sum of such
 
 
 def _uniform(*parts: Column) -> Column:
@@ -60,20 +61,45 @@ def poisson_steps(rate: Column) -> Column:
     return F.when(rate > 0, step)
 
 
+def _named(docs: DataFrame, id: str) -> DataFrame:
+    """Rows with ``_mix_name``, what their draws are made from: the id, or the row itself and its number among equals.
+
+    Rows without an id that are equal in every column are counted and told apart by number: whichever is which,
+    the result is the same.
+    """
+    lost = docs.where(F.col(id).isNull())
+    with_id = docs.where(F.col(id).isNotNull()).withColumn("_mix_name", F.col(id).cast("string"))
+    if lost.isEmpty():
+        return with_id
+    row = F.struct(*docs.columns)
+    equal = (lost.select(row.alias("row"), F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256).alias("key"))
+             .groupBy("key").agg(F.first("row").alias("row"), F.count("*").cast("int").alias("n")))
+    each = equal.withColumn("number", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return with_id.unionByName(each.select("row.*", F.concat_ws("|", "key", F.col("number").cast("string")).alias("_mix_name")))
+
+
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, epochs: float = 1.0, seed: str = SEED,
                 id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``copy`` (from 1) and ``shuffle_key``, globally shuffled.
 
-    Rows with the same id get the same number of copies; a null id counts as an empty
-    one.  Documents may get no copy.  A column named like an added one is replaced.  An
-    empty table gives an empty result.
+    Rows with the same id get the same number of copies; rows without an id draw one by one, also
+    where they are equal.  Documents may get no copy.  A null or empty text is a document like any
+    other, a null source a source.  A column named like an added one is replaced.  An empty table
+    gives an empty result.  A rate above 500 is drawn as a sum of draws at equal parts of it.
     """
-    steps = repetition_rates(docs, weights, epochs, source, text).select(
-        F.col("source").alias("_mix_source"), poisson_steps(F.col("rate")).alias("_mix_steps"))
-    name = F.coalesce(F.col(id).cast("string"), F.lit(""))
+    parts = F.greatest(F.ceil(F.col("rate") / MOST_RATE), F.lit(1)).cast("int")
+    steps = repetition_rates(docs, weights, epochs, source, text).withColumn("_mix_parts", parts).select(
+        F.col("source").alias("_mix_source"), "_mix_parts", poisson_steps(F.col("rate") / F.col("_mix_parts")).alias("_mix_steps"))
+    name = F.col("_mix_name")
     columns = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    count = F.coalesce(F.size(F.filter("_mix_steps", lambda c: c <= F.col("_mix_u"))), F.lit(0))
-    copies = (docs.select(*columns)
+
+    def quantile(u: Column) -> Column:
+        return F.coalesce(F.size(F.filter("_mix_steps", lambda c: c <= u)), F.lit(0))
+
+    drawn = F.aggregate(F.sequence(F.lit(1), F.col("_mix_parts")), F.lit(0),
+                        lambda n, i: n + quantile(_uniform(F.lit(seed), name, i.cast("string"))))
+    count = F.when(F.col("_mix_parts") == 1, quantile(F.col("_mix_u"))).otherwise(drawn)
+    copies = (_named(docs.select(*columns), id)
               .join(steps, F.col(source).eqNullSafe(F.col("_mix_source")))
               .withColumn("_mix_u", _uniform(F.lit(seed), name))
               .withColumn("_mix_n", F.when(F.col("_mix_steps").isNull(), 0).otherwise(count))
