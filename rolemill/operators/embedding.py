@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,19 +31,30 @@ class EncodeError(Exception):
     """A retryable encoder failure: the texts of the batch are marked failed."""
 
 
+class _Buckets(dict):
+    """Bucket of every token seen, worked out once; forgets all when there are too many."""
+
+    def __init__(self, dim: int, most: int = 200_000):
+        super().__init__()
+        self.dim, self.most = dim, most
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
+        return found
+
+
 def hashed_token_encoder(dim: int = EMBEDDING_DIM) -> Encoder:
     """Deterministic encoder without a model: token counts in hashed buckets, unit length."""
-    @lru_cache(maxsize=200_000)
-    def bucket(token: str) -> int:
-        return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
-
-    split = re.compile(r"[^\s]+")
+    bucket = _Buckets(dim).__getitem__
 
     def encode_batch(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
         for row, text in enumerate(texts):
-            slots = [bucket(t) for t in split.findall(text.lower())]
-            np.add.at(out[row], slots, 1.0)
+            slots = list(map(bucket, text.lower().split()))
+            if slots:
+                out[row] = np.bincount(slots, minlength=dim)
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, length, out=out, where=length > 0)
 

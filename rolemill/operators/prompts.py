@@ -41,7 +41,7 @@ def with_context(prompts: DataFrame, cvs: DataFrame, jobs: DataFrame, system: st
                         F.col("skills")).alias("_cv"))
     job_side = jobs.select(F.col("id").alias("job_id"), F.col("updated_at").alias("_job_at"),
                            job_context(F.col("summary")).alias("_job"))
-    joined = join_per_key(join_per_key(prompts, cv_side, "cv_id"), job_side, "job_id")
+    joined = join_per_key(join_per_key(prompts, cv_side, "cv_id"), job_side, "job_id", keys_of=prompts)
     context = F.concat_ws("\n", "_cv", "_job")
     return joined.withColumns({
         "reject_reason": F.when(F.col("cv_id").isNotNull() & F.col("_cv").isNull(), "cv not found")

@@ -57,14 +57,16 @@ def hot_keys(df: DataFrame, key: str, at_least: int = 0) -> list:
 
 
 def join_per_key(rows: DataFrame, table: DataFrame, key: str, how: str = "left",
-                 spread: Sequence[str] | None = None) -> DataFrame:
+                 spread: Sequence[str] | None = None, keys_of: DataFrame | None = None) -> DataFrame:
     """Join ``rows`` with a ``table`` that is unique by ``key``, splitting hot keys.
 
+    Hot keys are found in ``rows``, or in ``keys_of``, a cheaper frame with about the same keys.
+
     Only rows of hot keys are salted, and only their few table rows are copied.
     Rows without a key match nothing and are spread as well.  The salt is a hash
     of the ``spread`` columns (default: all), so a recomputed task repeats it.
     """
-    hot = hot_keys(rows, key)
+    hot = hot_keys(rows if keys_of is None else keys_of, key)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     salt = F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(SALTS)).cast("int")
     lanes = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

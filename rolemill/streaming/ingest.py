@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from rolemill.operators.admin import ERROR_CHARS
+from rolemill.plans.broadcast import narrow
+from rolemill.plans.files import Files
 from rolemill.plans.ingest import FeedRun, log_runs, run_feed
 from rolemill.plans.isolation import message_of
 from rolemill.plans.session import shared_folder
@@ -80,15 +83,32 @@ def log_batches(store: Store, table: str, checkpoint: str) -> Callable[[DataFram
     return exactly_once(store, checkpoint, apply)
 
 
-def fold_stream(stream: DataFrame, store_path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame],
-                checkpoint: str | None = None) -> StreamingQuery:
-    """Keep a folded table per micro-batch: version ``n`` is ``merge`` of version ``n-1`` and batch ``n``.
+def read_folded(spark: SparkSession, path: str, keys: Sequence[str], schema: StructType, below: int | None = None) -> DataFrame:
+    """The latest row of every key over all versions of a folded table, or those below a number."""
+    versions = sorted(int(n.removeprefix("v=")) for n in Files(spark).names(path) if n.startswith("v="))
+    wanted = [f"{path}/v={n}" for n in versions if below is None or n < below]
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(StructType([*schema.fields, StructField("v", IntegerType())])).option("basePath", path).parquet(*wanted)
+    if len(wanted) == 1:
+        return rows.drop("v")
+    # Numbers are compared first, so wide rows are joined once and never sorted.
+    newest = rows.groupBy(*keys).agg(F.max("v").alias("v"))
+    return rows.join(newest, [*keys, "v"]).drop("v")
 
-    Versions are named by batch id, so a repeated batch rewrites its own version.
+
+def fold_stream(stream: DataFrame, path: str, keys: Sequence[str], schema: StructType,
+                merge: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str | None = None) -> StreamingQuery:
+    """Keep a folded table as versions: version ``n`` has the rows of the keys in batch ``n``, merged with what was known.
+
+    A batch reads and writes its own keys only (`read_folded` puts the versions together).  Versions are named by
+    batch number, so a repeated batch rewrites its own.
     """
-    def apply(batch: DataFrame, batch_id: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.parquet(f"{store_path}/v={batch_id - 1}") if batch_id else None
-        merge(before, batch).write.mode("overwrite").parquet(f"{store_path}/v={batch_id}")
+        touched = batch.select(*keys).distinct()
+        known = read_folded(spark, path, keys, schema, below=number)
+        before = narrow(known, touched, keys).join(touched, list(keys), "left_semi")
+        merge(before, batch).select(*schema.names).write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return upsert_stream(stream, apply, checkpoint)

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolemill.functions.identity import text_key
+from rolemill.functions.text import normalize_text
 from rolemill.operators import limits, prompts, spans
 from rolemill.plans.session import shared_folder
-from rolemill.streaming.ingest import fold_stream
+from rolemill.streaming.ingest import fold_stream, read_folded
 from rolemill.streaming.limits import cache_hits_stream, lockout_stream, rate_limit_stream
-from workload.changes import FOLD, fold_documents
+from workload.changes import FOLD, fold_documents, keyed
 from workload.common import SQL, Tables, query
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -272,21 +273,21 @@ def usage_oldest(t: Tables) -> DataFrame:
 
 @query(FOLD)
 def stream_fold(t: Tables) -> DataFrame:
-    """Documents as a file stream, folded by content key; equals the batch fold."""
-    from rolemill.functions.text import normalize_text
-    docs = t.spark.readStream.schema(t.documents.schema).option("pathGlobFilter", "documents.parquet").parquet(t.dir)
-    keyed = docs.select("doc_id", "source", "lang", text_key(normalize_text(F.col("text"))).alias("k"),
-                        F.when(F.col("n_chars") > 300, F.col("doc_id")).alias("seen"))
+    """Documents as a stream of two micro-batches, folded by content key; equals the batch fold."""
+    from rolemill.operators.upsert import upsert
+    docs = t.documents
+    half = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    source, table, checkpoint = (shared_folder(t.spark, n) for n in ("docs", "fold", "checkpoint"))
+    schema = fold_documents(keyed(t)).schema
 
     def merge(before, batch):
-        folded = fold_documents(batch)
-        if before is None:
-            return folded
-        from rolemill.operators.upsert import upsert
-        return upsert(before, folded, ["k"], insert_only=["first_source", "first_doc"],
+        return upsert(before, fold_documents(batch), ["k"], insert_only=["first_source", "first_doc"],
                       replace=["last_lang", "last_doc"], replace_if_given=["seen"])
 
-    store = shared_folder(t.spark, "fold")
-    q = fold_stream(keyed, store, merge)
-    q.awaitTermination()
-    return t.spark.read.parquet(f"{store}/v={q.lastProgress['batchId']}")
+    for part in (docs.where(F.col("doc_id") < half), docs.where(F.col("doc_id") >= half)):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = t.spark.readStream.schema(docs.schema).parquet(source).select(
+            "doc_id", "source", "lang", text_key(normalize_text(F.col("text"))).alias("k"),
+            F.when(F.col("n_chars") > 300, F.col("doc_id")).alias("seen"))
+        fold_stream(stream, table, ["k"], schema, merge, checkpoint).awaitTermination()
+    return read_folded(t.spark, table, ["k"], schema)
