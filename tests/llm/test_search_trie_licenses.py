@@ -15,6 +15,7 @@ from rolemill.llm import lexical, turn_trie
 from rolemill.llm.lexical import search_ranked
 from rolemill.llm.licenses import BASE, NOTICES, evaluate, family, license_digest, scan_licenses, to_postfix
 from rolemill.llm.turn_trie import prefix_trie, sequences, with_shared_heads
+from tests_llm_words import places
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -188,11 +189,6 @@ def test_ragged_order_is_that_of_the_bytes():
 # License scans
 
 
-def places(text, phrase):
-    own, want = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text)), phrase.split()
-    return [i for i in range(len(own) - len(want) + 1) if own[i:i + len(want)] == want], len(own)
-
-
 TEXTS = [None, "", "  \n", "MIT License", "mit-license,MIT (License)", "permit license", "the GNU General Public\nLicense v3",
          "General Public License General Public License", "Licensed under CC BY-NC 4.0.", "é mit licensé", "mit  license " * 3000,
          "Lesser General Public License", "x " * 20000 + "Apache License, Version 2.0",
