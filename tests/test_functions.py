@@ -142,7 +142,8 @@ def test_contact_rules(spark):
             "https://x.org/p.png https://me.dev": None, "no": None}
     assert dict(zip(urls, values(spark, list(urls), lambda t: C.contacts(t)["url"]))) == urls
     late = "x" * 3001 + " a@b.co"
-    assert values(spark, [late], lambda t: C.contacts(t)["email"]) == [None]
+    assert values(spark, [late], lambda t: C.contacts(t, C.HEAD_CHARS)["email"]) == [None]
+    assert values(spark, [late], lambda t: C.contacts(t)["email"]) == ["a@b.co"]
     assert values(spark, [late], lambda t: C.contacts(t, None)["email"]) == ["a@b.co"]
 
 
