@@ -258,14 +258,31 @@ def _near_enough(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             .select("a", "b", "na", "nb", "xa", "xb").mapInArrow(check, "a long, b long"))
 
 
+def _squeezed(texts: pa.Array) -> pa.Array:
+    """Texts as compressed binary, their length in front: candidates' texts are written and joined several times."""
+    codec = pa.Codec("zstd", compression_level=1)
+    raw = [t.as_py().encode() if t.is_valid else b"" for t in texts]
+    return pa.array([len(r).to_bytes(8, "little") + codec.compress(r, asbytes=True) for r in raw], pa.binary())
+
+
+def _whole(bodies: pa.Array) -> pa.Array:
+    """The texts of `_squeezed`; equal neighbours, as of one pivot's pairs, are opened once."""
+    codec, out, last, text = pa.Codec("zstd"), [], None, None
+    for b in bodies.to_pylist():
+        if b != last:
+            last, text = b, codec.decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True).decode()
+        out.append(text)
+    return pa.array(out, pa.string())
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, linked) for the pairs of keys that may link, by comparing their whole sets."""
     def compare(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
                 part = batch.slice(at, PAIRS_AT_ONCE)
-                ta, fa, na = shingle_sets(part.column("ta"), k)
-                tb, fb, nb = shingle_sets(part.column("tb"), k)
+                ta, fa, na = shingle_sets(_whole(part.column("ta")), k)
+                tb, fb, nb = shingle_sets(_whole(part.column("tb")), k)
                 text, found = np.concatenate((ta, tb)), np.concatenate((fa, fb))
                 order = np.lexsort((found, text))
                 text, found = text[order], found[order]
@@ -371,11 +388,11 @@ class JaccardJoin:
             body = rows[text_].cast(pa.string()).take(pa.array(at)).combine_chunks() if len(at) else pa.array([], pa.string())
             text, found, sizes = shingle_sets(body, k)
             slices = _tables(text, found, len(at), SLICES, 61)
-            return pa.table([pa.array((block << 20) + at), body, pa.array(sizes.astype(np.int64)),
+            return pa.table([pa.array((block << 20) + at), _squeezed(body), pa.array(sizes.astype(np.int64)),
                              pa.array([r.tobytes() for r in slices], pa.binary())], names=["key", "body", "size", "slices"])
 
         asked = keys.select(F.shiftright("a", 20).alias("block"), "a")
-        return materialize(tell(self.blocks, asked, pick, "key long, body string, size long, slices binary"), "texts")
+        return materialize(tell(self.blocks, asked, pick, "key long, body binary, size long, slices binary"), "texts")
 
     @staticmethod
     def _apart(stars: DataFrame, linked: DataFrame) -> DataFrame:
@@ -398,7 +415,7 @@ class JaccardJoin:
             for batch in batches:
                 for at in range(0, batch.num_rows, 4 * PAIRS_AT_ONCE):
                     part = batch.slice(at, 4 * PAIRS_AT_ONCE)
-                    text, found, sizes = shingle_sets(part.column("body"), k)
+                    text, found, sizes = shingle_sets(_whole(part.column("body")), k)
                     facts = [part.column("key").to_numpy(), part.column("root").to_numpy(), sizes.astype(np.int64)]
                     signature, who, above, filled = signatures(text, found, sizes, percent)
                     facts += [*filled.astype(np.int32), _coarse(text, found, len(sizes))]
