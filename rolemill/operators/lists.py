@@ -118,11 +118,11 @@ def file_vectors(items: DataFrame, dim: int, id: str = "id", vec: str = "embeddi
     return Lists(centres, sizes, radius, filed.inputFiles()[0].split("/_list=")[0] if n else "", filed)
 
 
-def _to_visit(unit: np.ndarray, index: Lists, share: float) -> list[np.ndarray]:
+def _to_visit(unit: np.ndarray, centres: np.ndarray, sizes: np.ndarray, share: float) -> list[np.ndarray]:
     """Closest lists of every query, until they hold ``share`` of all vectors."""
-    order = np.argsort(-(unit @ index.centres.T), axis=1)
-    held = np.cumsum(index.sizes[order], axis=1)
-    last = (held >= share * index.sizes.sum()).argmax(axis=1) if share < 1 else np.full(len(order), order.shape[1] - 1)
+    order = np.argsort(-(unit @ centres.T), axis=1)
+    held = np.cumsum(sizes[order], axis=1)
+    last = (held >= share * sizes.sum()).argmax(axis=1) if share < 1 else np.full(len(order), order.shape[1] - 1)
     return [row[:n + 1] for row, n in zip(order.astype(np.int32), last)]
 
 
@@ -137,14 +137,14 @@ def search_lists(queries: DataFrame, index: Lists, k: int, share: float, query_i
     dim = index.centres.shape[1]
     asked = usable(queries, query_id, query_vec, dim)
     spark = queries.sparkSession
-    # At most 4096 centres and two numbers each.
-    shared = spark.sparkContext.broadcast(Lists(index.centres, index.sizes, index.radius, "", None))
+    # At most 4096 centres and a number each; arrays alone, since a broadcast's classes do not travel with the job.
+    shared = spark.sparkContext.broadcast((index.centres, index.sizes))
 
     @F.pandas_udf("array<int>")
     def to_visit(vecs: pd.Series) -> pd.Series:
         if vecs.empty:
             return pd.Series([], dtype=object)
-        return pd.Series([v.tolist() for v in _to_visit(_matrix(vecs), shared.value, share)])
+        return pd.Series([v.tolist() for v in _to_visit(_matrix(vecs), *shared.value, share)])
 
     q = asked.withColumn("_bucket", F.explode(to_visit("_vec")))
     i = index.rows.select(F.col("_list").alias("_bucket"), "_id", "_code", "_scale", "_err")
@@ -156,7 +156,7 @@ def search_lists(queries: DataFrame, index: Lists, k: int, share: float, query_i
             return empty
         unit, q_ids, i_ids = _matrix(q["_vec"]), q["_id"].to_numpy(), i["_id"].to_numpy()
         codes = np.frombuffer(b"".join(i["_code"]), np.int8).reshape(len(i), dim).astype(np.float64)
-        centre, scale, err = shared.value.centres[q["_bucket"].iloc[0]], i["_scale"].to_numpy(), i["_err"].to_numpy() + MARGIN
+        centre, scale, err = shared.value[0][q["_bucket"].iloc[0]], i["_scale"].to_numpy(), i["_err"].to_numpy() + MARGIN
         out, step = [], max(1, MATRIX_CELLS // len(i))
         for at in range(0, len(q), step):
             part = unit[at:at + step]

@@ -1,5 +1,7 @@
 """Inverted lists: exact where every list is visited, few full vectors compared, far lists never read."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +96,13 @@ def test_exact_search_over_mixed_lengths(spark):
     for part in parts:
         want |= found(match.top_k(part, part, 4, skip_same_id=True))
     assert found(match.top_k(df, df, 4, skip_same_id=True)) == want == found(match.top_k(df, df, 4, skip_same_id=True, block=7))
+
+
+def test_broadcasts_need_no_copy_of_the_package(spark, monkeypatch):
+    """Executors cannot import the package: functions travel with the job, classes inside broadcasts do not."""
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or send(self, value))
+    df = table(spark, clustered(60))
+    index = lists.file_vectors(df, 24, lists=4)
+    lists.search_lists(df, index, 3, 0.9, skip_same_id=True)
+    assert len(sent) == 2 and not any(b"rolemill" in pickle.dumps(value) for value in sent)
