@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolemill.plans.broadcast import is_small
 from rolemill.plans.session import materialize
 
 SALTS = 256
@@ -65,14 +66,19 @@ def join_per_key(rows: DataFrame, table: DataFrame, key: str, how: str = "left",
     Only rows of hot keys are salted, and only their few table rows are copied.
     Rows without a key match nothing and are spread as well.  The salt is a hash
     of the ``spread`` columns (default: all), so a recomputed task repeats it.
+
+    A small table, by its counted rows and bytes, is broadcast.  A larger one never is, however small its
+    files are: every task would hold it whole.
     """
+    if is_small(table):
+        return rows.join(F.broadcast(table), key, how)
     hot = hot_keys(rows if keys_of is None else keys_of, key)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     salt = F.pmod(F.xxhash64(*(spread or rows.columns)), F.lit(SALTS)).cast("int")
     lanes = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     left = rows.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), salt).otherwise(0))
     right = table.withColumn("_salt", F.explode(lanes) if hot else F.lit(0))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def in_ranges(df: DataFrame, keys: Sequence[str], order: str, parts: int | None = None) -> DataFrame:

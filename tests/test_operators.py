@@ -397,6 +397,18 @@ def test_hot_keys(spark):
     assert skew.join_per_key(nulls, table, "k").count() == 9000
 
 
+def test_keyed_joins_broadcast_small_tables_only(spark):
+    """A large table never goes whole to every task, however few bytes its files have."""
+    def plan(n):
+        table = spark.range(n).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+        joined = skew.join_per_key(spark.range(200).select(F.col("id").alias("k")), table, "k")
+        assert joined.where("v = k * 2").count() == min(n, 200)
+        return joined._jdf.queryExecution().sparkPlan().toString()
+
+    assert "SortMergeJoin" in plan(120_000) and "BroadcastHashJoin" not in plan(120_000)
+    assert "BroadcastHashJoin" in plan(150)
+
+
 def test_cache_hits(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "a")], "id int, h string")
     got = prompts.cache_hits(df, "h", ["id"]).orderBy("id").collect()
