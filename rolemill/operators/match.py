@@ -18,6 +18,8 @@ from rolemill.operators.search import PAGE_COLUMNS, STALE_DAYS, clamp_limit, hav
 
 BLOCK = 4096  # vectors per side of a block
 MATRIX_CELLS = 4_000_000  # distances held at once
+TILE = 1024  # queries of a distance matrix
+QUERY_STRIP, ITEM_STRIP = 1 << 20, 1 << 22  # numbers in the vectors of a strip of queries, of items
 TIE_DIGITS = 12  # distances closer than this are ties, decided by item id
 
 
@@ -85,27 +87,51 @@ def _leaders(near: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def _near(q_ids: np.ndarray, q_mat: np.ndarray, i_ids: np.ndarray, i_mat: np.ndarray, k: int,
-          skip_same_id: bool) -> pd.DataFrame:
-    """Candidates of one distance matrix: everything up to each query's k-th distance."""
-    dist = np.round(1.0 - q_mat @ i_mat.T, TIE_DIGITS)
-    dist[np.isnan(dist)] = np.inf
-    if skip_same_id:
-        dist[q_ids[:, None] == i_ids[None, :]] = np.inf
-    limit = np.partition(dist, k - 1, axis=1)[:, k - 1:k] if k < dist.shape[1] else np.inf
-    rows, cols = np.nonzero((dist <= limit) & np.isfinite(dist))
-    near = pd.DataFrame({"query_id": q_ids[rows], "item_id": i_ids[cols], "distance": dist[rows, cols]})
-    return _leaders(near, k)
+          skip_same_id: bool, reach: np.ndarray) -> pd.DataFrame:
+    """Candidates of one distance matrix, by row of ``q_mat``: everything up to each row's k-th distance, known (``reach``) or here."""
+    cosine = q_mat @ i_mat.T
+    if (reach == np.inf).any():
+        dist = np.round(1.0 - cosine, TIE_DIGITS)
+        dist[np.isnan(dist)] = np.inf
+        if skip_same_id:
+            dist[q_ids[:, None] == i_ids[None, :]] = np.inf
+        limit = np.partition(dist, k - 1, axis=1)[:, k - 1:k] if k < dist.shape[1] else np.inf
+        rows, cols = np.nonzero((dist <= limit) & np.isfinite(dist))
+        dist = dist[rows, cols]
+    else:
+        # Few cells pass, so only these are rounded and compared by id; the slack covers the rounding.
+        rows, cols = np.nonzero(cosine >= (1.0 - reach - 10.0 ** -TIE_DIGITS)[:, None])
+        dist = np.round(1.0 - cosine[rows, cols], TIE_DIGITS)
+        fine = dist <= reach[rows]
+        if skip_same_id:
+            fine &= q_ids[rows] != i_ids[cols]
+        rows, cols, dist = rows[fine], cols[fine], dist[fine]
+    return _leaders(pd.DataFrame({"query_id": rows, "item_id": i_ids[cols], "distance": dist}), k)
 
 
 def _best(q_ids: np.ndarray, q_mat: np.ndarray, i_ids: np.ndarray, i_mat: np.ndarray, k: int,
           skip_same_id: bool) -> pd.DataFrame:
     """The ``k`` closest items of each query, over distance matrices of bounded size."""
-    step = max(k + 1, MATRIX_CELLS // len(q_ids))
-    best = None
-    for at in range(0, len(i_ids), step):
-        near = _near(q_ids, q_mat, i_ids[at:at + step], i_mat[at:at + step], k, skip_same_id)
-        best = near if best is None else _leaders(pd.concat([best, near]), k)
-    return best
+    out = []
+    for low in range(0, len(q_ids), TILE):
+        ids, mat = q_ids[low:low + TILE], q_mat[low:low + TILE]
+        step, reach, best = max(k + 1, MATRIX_CELLS // len(ids)), np.full(len(ids), np.inf), None
+        few = min(step, max(k + 1, TILE))  # the first matrix is sorted whole, so it is a small one
+        for at in [0, *range(few, len(i_ids), step)]:
+            to = at + step if at else few
+            near = _near(ids, mat, i_ids[at:to], i_mat[at:to], k, skip_same_id, reach)
+            if not len(near):
+                continue
+            best = near if best is None else _leaders(pd.concat([best, near]), k)
+            last = best.groupby("query_id")["distance"].agg(["size", "max"])
+            last = last[last["size"] == k]
+            reach[last.index.to_numpy()] = last["max"].to_numpy()
+            # Rows without a direction have nothing to look for.
+            reach[np.isnan(mat).any(axis=1)] = -np.inf
+        if best is not None:
+            out.append(best.assign(query_id=ids[best["query_id"].to_numpy()]))
+    none = pd.DataFrame({"query_id": q_ids[:0], "item_id": i_ids[:0], "distance": []})
+    return _leaders(pd.concat(out), k) if out else none
 
 
 def _rename(df: DataFrame, key: str, vec: str) -> DataFrame:
@@ -123,13 +149,23 @@ def _schema(queries: DataFrame, items: DataFrame) -> str:
     return f"query_id {q}, item_id {i}, distance double"
 
 
+def _strips(df: DataFrame, block: int, most: int, parallel: int) -> int:
+    """Into how many strips one side is cut: as few as hold ``most`` numbers, since the other side is copied for each.
+
+    A smaller side is cut further, into blocks, until every core has a few cells.
+    """
+    seen = df.agg(F.count("*").alias("n"), F.max(F.size("_vec")).alias("width")).first()
+    blocks, full = -(-seen["n"] // block), -(-seen["n"] * max(1, seen["width"] or 1) // most)
+    return max(1, full, min(blocks, int(np.ceil((4 * parallel) ** 0.5))))
+
+
 def cells(queries: DataFrame, items: DataFrame, block: int, solve, schema: str, in_buckets: bool = True) -> DataFrame:
     """``solve`` over every cell of every bucket.
 
     Both sides carry ``_bucket`` and ``_id``.  A bucket is cut into cells of about ``block``
     queries by ``block`` items, however full it is, so a crowded bucket becomes
-    many equal tasks.  The size table has one row per bucket; without buckets the
-    two numbers of cells are counted and become literals.
+    many equal tasks.  The size table has one row per bucket; without buckets both sides
+    are cut into strips of at least ``block`` rows (`_strips`), whose numbers become literals.
     """
     if in_buckets:
         def cuts(df: DataFrame, name: str) -> DataFrame:
@@ -138,7 +174,9 @@ def cells(queries: DataFrame, items: DataFrame, block: int, solve, schema: str,
         sizes = cuts(queries, "_qn").join(cuts(items, "_in"), "_bucket")
         queries, items = queries.join(sizes, "_bucket"), items.join(sizes, "_bucket")
     else:
-        numbers = {name: F.lit(max(1, -(-df.count() // block))) for name, df in (("_qn", queries), ("_in", items))}
+        parallel = queries.sparkSession.sparkContext.defaultParallelism
+        numbers = {name: F.lit(_strips(df, block, most, parallel)) for name, df, most in (
+            ("_qn", queries, QUERY_STRIP), ("_in", items, ITEM_STRIP))}
         numbers["_bucket"] = F.lit(0)
         queries, items = queries.withColumns(numbers), items.withColumns(numbers)
 

@@ -397,6 +397,22 @@ def test_hot_keys(spark):
     assert skew.join_per_key(nulls, table, "k").count() == 9000
 
 
+def test_small_blocks_do_not_copy_a_side_for_each(spark):
+    """How often a side is copied follows from the size of the other side's strips, not from ``block``."""
+    mat = np.random.default_rng(5).integers(-3, 4, (2000, 4)).astype(float)  # many equal distances, some zero vectors
+    df = spark.createDataFrame([(n % 1990, [float(x) for x in v]) for n, v in enumerate(mat)], "id long, embedding array<double>")
+    assert match._strips(df.withColumnRenamed("embedding", "_vec"), 5, match.ITEM_STRIP, 8) == 6
+    assert match._strips(df.withColumnRenamed("embedding", "_vec"), 5, 800, 8) == 10
+    rows = {tuple(r) for r in match.top_k(df, df, 3, skip_same_id=True, block=5).collect()}
+    assert rows == {tuple(r) for r in match.top_k(df, df, 3, skip_same_id=True).collect()}
+    unit = match._unit(list(mat))
+    dist = np.round(1.0 - unit @ unit.T, match.TIE_DIGITS)
+    ids = np.arange(2000) % 1990
+    for q in (0, 7, 1989):
+        near = sorted((d, int(i)) for r in np.flatnonzero(ids == q) for d, i in zip(dist[r], ids) if np.isfinite(d) and i != q)[:3]
+        assert sorted((r[3], r[1], r[2]) for r in rows if r[0] == q) == [(n + 1, i, d) for n, (d, i) in enumerate(near)]
+
+
 def test_keyed_joins_broadcast_small_tables_only(spark):
     """A large table never goes whole to every task, however few bytes its files have."""
     def plan(n):
