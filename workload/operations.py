@@ -285,7 +285,7 @@ def stream_fold(t: Tables) -> DataFrame:
                       replace=["last_lang", "last_doc"], replace_if_given=["seen"])
 
     for part in (docs.where(F.col("doc_id") < half), docs.where(F.col("doc_id") >= half)):
-        part.coalesce(1).write.mode("append").parquet(source)
+        part.write.mode("append").parquet(source)
         stream = t.spark.readStream.schema(docs.schema).parquet(source).select(
             "doc_id", "source", "lang", text_key(normalize_text(F.col("text"))).alias("k"),
             F.when(F.col("n_chars") > 300, F.col("doc_id")).alias("seen"))

@@ -61,7 +61,7 @@ def arriving(t: Tables, rows: DataFrame, second: Column, apply: Callable[[str],
         once(batch, number)
 
     for part in (rows.where(~second), rows.where(second)):
-        part.coalesce(1).write.mode("append").parquet(folder)
+        part.write.mode("append").parquet(folder)
         upsert_stream(t.spark.readStream.schema(rows.schema).parquet(folder), twice, checkpoint).awaitTermination()
     return checkpoint
 
