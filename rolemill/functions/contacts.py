@@ -30,7 +30,8 @@ def phone(head: Column) -> Column:
         plausible = F.length(digits).between(8, 15) & ~digits.rlike(r"\A(19|20)\d{6}\z")
         return F.when(plausible, trim_ws(candidate))
 
-    return let(first_match(head, PHONE), check)
+    # Most texts lack three digits in a row and are done here.
+    return F.when(head.rlike("[0-9]{3}"), let(first_match(head, PHONE), check))
 
 
 def personal_url(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,9 +34,8 @@ TITLE_WORDS = (
     "engineer|developer|manager|designer|analyst|scientist|architect|consultant|specialist|"
     "lead|director"
 )
-TITLE_PHRASE = (
-    rf"{EDGE}([A-Z][a-z]+(?:{WS}+[A-Z][a-z]+)*{WS}+(?:Engineer|Developer|Manager|Designer)){EDGE}"
-)
+TITLES = ["Engineer", "Developer", "Manager", "Designer"]
+TITLE_PHRASE = rf"{EDGE}([A-Z][a-z]+(?:{WS}+[A-Z][a-z]+)*{WS}+(?:{'|'.join(TITLES)})){EDGE}"
 TITLE_LINE_CHARS = 80
 # Fixed value: the original service looks for a title phrase in so many first characters; for callers that want it.
 HEAD_CHARS = 500
@@ -113,5 +115,6 @@ def target_role(parts: Column, text: Column, head_chars: int | None = None) -> C
         lambda l: (F.length(trim_ws(l)) > 2) & l.rlike(f"(?i){EDGE}(?:{TITLE_WORDS}){EDGE}")),
         F.lit(0))
     head = text if head_chars is None else F.substring(text, 1, head_chars)
+    held = reduce(or_, [F.contains(head, F.lit(t)) for t in TITLES])  # a plain byte scan before the pattern
     return F.coalesce(wanted, F.left(collapse_ws(titled), F.lit(TITLE_LINE_CHARS)),
-                      first_match(head, TITLE_PHRASE, 1))
+                      F.when(held, first_match(head, TITLE_PHRASE, 1)))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 # Unicode-aware whitespace (Java's \s alone misses no-break and ideographic spaces).
 WS = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 NOT_WS = r"[^\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+WS_CHARS = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 # Whitespace runs that are not already one plain space.
 UNEVEN_WS = rf"[\t\n\x0B\f\r\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]{WS}*| {WS}+"
 
@@ -37,7 +38,8 @@ def first_match(text: Column, pattern: str, group: int = 0) -> Column:
 
 
 def trim_ws(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{WS}+|{WS}+\z", "")
+    """Looks at the ends only, however long the text is."""
+    return F.trim(text, F.lit(WS_CHARS))
 
 
 def collapse_ws(text: Column) -> Column:

@@ -22,7 +22,7 @@ def upload(store: Store, files: DataFrame, terms: DataFrame, as_of: Column) -> D
 
     Document ids derive from their paths, so a repeated upload adds nothing.
     """
-    texts, rejected = route_documents(files)
+    texts, rejected = route_documents(files, once=True)
     parsed = materialize(parse_profiles(texts, terms, as_of), "profiles")
     profiles, skills = profile_rows(parsed, as_of)
     store.append("cv_profiles", new_rows(store.read("cv_profiles"), profiles, ["id"], "id", True))

@@ -11,6 +11,7 @@ from rolemill.functions.identity import job_id
 from rolemill.functions.sections import sections
 from rolemill.functions.text import trim_ws
 from rolemill.operators.skills import match_terms, skill_lists
+from rolemill.plans.session import materialize
 
 MAX_BYTES = 4 * 1024 * 1024
 MIN_CHARS = 40
@@ -39,11 +40,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         F.col("modificationTime").alias("created_at"))
 
 
-def route_documents(files: DataFrame, max_bytes: int = MAX_BYTES, min_chars: int = MIN_CHARS
-                    ) -> tuple[DataFrame, DataFrame]:
+def route_documents(files: DataFrame, max_bytes: int = MAX_BYTES, min_chars: int = MIN_CHARS,
+                    once: bool = False) -> tuple[DataFrame, DataFrame]:
     """(text documents, rejected files with a reason).
 
-    Text is decoded as UTF-8 here, and a file that is not valid UTF-8 is set aside;
+    With ``once``, texts are decoded in the tasks the files are dealt to and written, for callers that read them
+    several times; else every read decodes again, and its filter may move to the few tasks of the scan.  Text is decoded as UTF-8 here, and a file that is not valid UTF-8 is set aside;
     binary formats need a decoder of their own and are set aside too.
     """
     kind = document_kind(F.col("content_type"), F.col("filename"))
@@ -54,10 +56,11 @@ def route_documents(files: DataFrame, max_bytes: int = MAX_BYTES, min_chars: int
         .when(F.col("kind") == "unsupported", "unsupported type")
         .when(F.col("kind") != "text", F.concat("kind", F.lit(" needs a decoder")))
         .when(F.col("raw_text").isNull(), "not UTF-8 text")
-        .when(F.length("raw_text") < min_chars, "text too short"))
+        .when(F.length("raw_text") < min_chars, "text too short")).drop("content")
+    checked = materialize(checked, "routed") if once else checked
     return (
-        checked.where(F.col("reject_reason").isNull()).drop("reject_reason", "content", "kind"),
-        checked.where(F.col("reject_reason").isNotNull()).drop("content", "raw_text"),
+        checked.where(F.col("reject_reason").isNull()).drop("reject_reason", "kind"),
+        checked.where(F.col("reject_reason").isNotNull()).drop("raw_text"),
     )
 
 
