@@ -13,10 +13,11 @@ metric that bounds it, the size of the symmetric difference.  Two linked sets of
    members are compared with pivots exactly.  A region whose members all connect is
    done, whatever its size.
 3. *The rest, recursively.*  Components that share a region without a link between its
-   pivot and a member stay open.  Their members form regions again, and pairs from
-   different components are compared exactly unless their sizes, the number of regions
-   they share, or the differences of their distances to fixed pivots (a triangle window)
-   rule a link out.
+   pivot and a member stay open.  A member with more shingles that no other open component
+   has than linked sets can differ in has no link left to find and goes.  The others form
+   regions again, and pairs from different components are compared exactly unless their
+   sizes, such shingles, the number of regions they share, or the differences of their
+   distances to fixed pivots (a triangle window) rule a link out.
 
 Equal sets cost one entry per block, and nothing is gathered by region outside a shard.
 """
@@ -29,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rolemill.llm.blocks import answer, ask, by_shard, from_bytes, pack, shard_count, tell, to_bytes
+from rolemill.llm.blocks import (
+    BLOCK_BYTES, answer, ask, by_shard, from_bytes, pack, restore, shard_count, tell, to_bytes)
 from rolemill.llm.graph import components
 from rolemill.llm.words import U64, Words, hash_ranges, mix, runs
 from rolemill.plans.session import materialize
@@ -40,6 +42,9 @@ TILE = 512
 SLICES = 256  # slices of the distance tables
 COARSE = 64  # slices of the small tables that travel with regions, half a byte each
 PAIRS_AT_ONCE = 400
+TEXT_AT_ONCE = 4 << 20  # bytes of compressed texts that are opened together
+PARTS = (4, 1)  # lone shingles are counted in a fourth of the space of shingles first, then in all of it
+OPEN = "key long, root long, body binary, size long, slices binary, lone long, coarse binary"
 
 
 def shingle_sets(texts, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,6 +191,8 @@ def _across(entries: list[bytes], percent: int) -> pa.Table:
     ``agree`` is the number of slices of the shard on which a pair agrees, counted in the
     size group of its larger set only.  There linked sets differ in at most as many slices
     as shingles, so they agree on at least ``need`` of those that the fuller one has filled.
+    An entry's sizes carry the number of lone shingles (see `_still_open`) above 32 bits, its
+    small tables leave those out: two sets differ in all of them besides what the tables show.
     """
     facts, coarse, signature, row, at = [], [], [], [], 0
     for e in entries:
@@ -200,6 +207,7 @@ def _across(entries: list[bytes], percent: int) -> pa.Table:
     key, root, size, *filled = (np.concatenate(x) for x in zip(*facts))
     coarse, signature, row = np.concatenate(coarse), np.concatenate(signature), np.concatenate(row)
     filled = np.stack(filled).astype(np.int64)
+    size, lone = size & 0xFFFFFFFF, size >> 32
     order, starts, counts = _groups(signature, key[row >> 1].astype(U64))
     times, members = {}, {}
     for start, count in zip(starts.tolist(), counts.tolist()):
@@ -211,18 +219,21 @@ def _across(entries: list[bytes], percent: int) -> pa.Table:
         members[name] = own
     found, held = [np.zeros((4, 0), np.int64)], 0
     for name, own in members.items():
+        own = own[np.argsort(root[own >> 1], kind="stable")]
         above, own = own & 1, own >> 1
         full = filled[above, own]
         for i in range(0, len(own), TILE):
             for j in range(i, len(own), TILE):
                 x, y = own[i:i + TILE], own[j:j + TILE]
+                if root[x[0]] == root[y[-1]]:  # in order of roots: one component
+                    continue
                 low = np.minimum(size[x][:, None], size[y][None, :])
                 high = np.maximum(size[x][:, None], size[y][None, :])
                 p, q = np.nonzero((root[x][:, None] != root[y][None, :]) & (100 * low >= percent * high)
                                   & ((above[i:i + TILE][:, None] & above[j:j + TILE][None, :]) == 0))
                 differ = (100 - percent) * (size[x[p]] + size[y[q]]) // (100 + percent)
                 cx, cy = coarse[x[p]], coarse[y[q]]
-                near = _apart_by(cx & 15, cy & 15) + _apart_by(cx >> 4, cy >> 4) <= differ
+                near = _apart_by(cx & 15, cy & 15) + _apart_by(cx >> 4, cy >> 4) <= differ - lone[x[p]] - lone[y[q]]
                 p, q, differ = p[near], q[near], differ[near]
                 need = np.maximum(1, np.maximum(full[i + p], full[j + q]) - differ)
                 p, q = key[x[p]], key[y[q]]
@@ -275,6 +286,101 @@ def _whole(bodies: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def _opened(bodies: pa.Array | pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`shingle_sets` of the texts of `_squeezed`, of which a few megabytes are open at a time."""
+    ends, held = [], 0
+    for i, body in enumerate(bodies.to_pylist()):
+        size = int.from_bytes(body[:8], "little")
+        if held and held + size > TEXT_AT_ONCE:
+            ends.append(i)
+            held = 0
+        held += size
+    text, found, sizes = [], [], []
+    for start, end in zip([0, *ends], [*ends, len(bodies)]):
+        t, f, n = shingle_sets(_whole(bodies.slice(start, end - start)), k)
+        text.append(t + start)
+        found.append(f)
+        sizes.append(n)
+    return np.concatenate(text), np.concatenate(found), np.concatenate(sizes)
+
+
+def _lone(entries: list[bytes]) -> list[bytes]:
+    """For the shingles that blocks ask about, a bit each: whether one component alone has it.
+
+    An entry names roots (-1: several in that block), then has 32 bits and the root's place for each shingle.
+    Two shingles with the same 32 bits pass for one, so a bit may be missing, but none is set wrongly.
+    """
+    tokens, roots = [], []
+    for e in entries:
+        m = int(np.frombuffer(e, np.int64, 1)[0])
+        token, at = from_bytes(e[8 + 8 * m:], np.uint32, np.uint32)
+        tokens.append(token)
+        roots.append(np.frombuffer(e, np.int64, m, 8)[at])
+    ends = np.cumsum([len(t) for t in tokens])
+    token, root = np.concatenate(tokens), np.concatenate(roots)
+    order = np.argsort(token, kind="stable")
+    first = np.ones(len(order), bool)
+    first[1:] = token[order][1:] != token[order][:-1]
+    starts = np.flatnonzero(first)
+    low, high = np.minimum.reduceat(root[order], starts), np.maximum.reduceat(root[order], starts)
+    out = np.zeros(len(token), bool)
+    out[order] = np.repeat((low == high) & (low >= 0), np.diff(np.append(starts, len(order))))
+    return [np.packbits(x).tobytes() for x in np.split(out, ends[:-1])]
+
+
+def _still_open(sets: DataFrame, k: int, percent: int, part: int) -> DataFrame:
+    """The sets that may link with one of another component, as OPEN.
+
+    A shingle is lone if of all these sets only those of one component have it, so two sets
+    of different components differ in the lone shingles of both: a set with more of them than
+    linked sets can differ in has no link outside its component, whatever region it shares.
+    With ``part`` above 1 only that fraction of the shingles, by hash, is looked at in every
+    set.  ``lone`` is then too small and fewer sets go, but none wrongly.
+    """
+    blocks = pack(sets.select("key", "root", "body", "size", "slices"), "body", BLOCK_BYTES // 4)
+    shards = shard_count(blocks, 4_000_000 // part)
+
+    def parted(rows):
+        text, found, sizes = _opened(rows["body"], k)
+        seen = mix(found, 63) % U64(part) == 0
+        return text, found, sizes, seen
+
+    def ask_components(block, rows):
+        text, found, _, seen = parted(rows)
+        text, found = text[seen], found[seen]
+        roots, component = np.unique(rows["root"].to_numpy(), return_inverse=True)
+        order = np.argsort(found, kind="stable")
+        hashes, starts = np.unique(found[order], return_index=True)
+        if not len(hashes):
+            return
+        of = component[text[order]]
+        low, high = np.minimum.reduceat(of, starts), np.maximum.reduceat(of, starts)
+        roots = np.append(roots, -1)
+        for s, (h, c) in by_shard(shards, hashes, hashes, np.where(low == high, low, len(roots) - 1)):
+            used, at = np.unique(c, return_inverse=True)
+            yield s, np.int64(len(used)).tobytes() + roots[used].tobytes() + to_bytes(
+                (h // U64(shards)).astype(np.uint32), at.astype(np.uint32))
+
+    def use(block, rows, told):
+        if rows is None:
+            return pa.table({"key": pa.array([], pa.int64()), "root": pa.array([], pa.int64()), "body": pa.array([], pa.binary()),
+                             "size": pa.array([], pa.int64()), "slices": pa.array([], pa.binary()),
+                             "lone": pa.array([], pa.int64()), "coarse": pa.array([], pa.binary())})
+        text, found, sizes, seen = parted(rows)
+        hashes, at = np.unique(found[seen], return_inverse=True)
+        asked = dict(zip(*(x.tolist() for x in np.unique(hashes % U64(shards), return_counts=True))))
+        bits = {t["shard"]: np.unpackbits(np.frombuffer(t["entries"], np.uint8), count=asked[t["shard"]]) for t in told}
+        alone = np.zeros(len(found), bool)
+        alone[seen] = restore(shards, hashes, bits, bool)[at]
+        lone = np.bincount(text[alone], minlength=len(sizes))
+        coarse = _coarse(text[~alone], found[~alone], len(sizes))
+        out = (rows.append_column("lone", pa.array(lone.astype(np.int64)))
+               .append_column("coarse", pa.array([r.tobytes() for r in coarse], pa.binary())))
+        return out.filter(pa.array(100 * (sizes - lone) >= percent * sizes))
+
+    return materialize(tell(blocks, answer(ask(blocks, ask_components), _lone), use, OPEN), "open")
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, linked) for the pairs of keys that may link, by comparing their whole sets."""
     def compare(batches):
@@ -366,10 +472,11 @@ class JaccardJoin:
             known.where("equal").select("a", "b", F.lit(True).alias("linked"))).unionByName(
             local.withColumn("linked", F.lit(True))), "tested")
         final = materialize(components(tested.where("linked").select("a", "b")), "components")
-        for candidates in (lambda: self._apart(known, final).select("a", "b"),
+        for candidates in (lambda: (self._apart(known, final).select("a", "b"), texts),
                            lambda: self._across_components(self._apart(known, final), final, texts)):
-            more = materialize(_linked(candidates().join(tested.select("a", "b"), ["a", "b"], "left_anti"),
-                                       texts, k, percent), "tested")
+            pairs, bodies = candidates()
+            more = materialize(_linked(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"),
+                                       bodies, k, percent), "tested")
             tested = tested.unionByName(more)
             final = materialize(components(final.select(F.col("node").alias("a"), F.col("root").alias("b"))
                                            .unionByName(more.where("linked").select("a", "b"))), "components")
@@ -401,24 +508,32 @@ class JaccardJoin:
         return (stars.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
                 .select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb"))
 
-    def _across_components(self, apart: DataFrame, linked: DataFrame, texts: DataFrame) -> DataFrame:
-        """Pairs (a, b) of one region, in different components so far, for the components of ``apart``."""
-        k, percent = self.shingle, self.percent
+    def _across_components(self, apart: DataFrame, linked: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs (a, b) of one region, in different components so far, for the components of ``apart``; and their texts."""
         open_ = apart.select(F.col("ra").alias("root")).unionByName(apart.select(F.col("rb").alias("root"))).distinct()
         everyone = linked.unionByName(open_.join(linked.select("root").distinct(), "root", "left_anti")
                                       .select(F.col("root").alias("node"), "root"))
-        left = everyone.join(open_, "root", "left_semi").select(F.col("node").alias("key"), "root")
-        left = materialize(texts.join(left, "key"), "open")
+        left = texts.join(everyone.join(open_, "root", "left_semi").select(F.col("node").alias("key"), "root"), "key")
+        for part in PARTS:
+            left = _still_open(left, self.shingle, self.percent, part)
+        return (self._in_regions(left).groupBy("a", "b").agg(F.sum("agree").alias("agree"), F.max("need").alias("need"))
+                .where("agree >= need").select("a", "b"), left)
+
+    def _in_regions(self, left: DataFrame) -> DataFrame:
+        """Rows (a, b, agree, need) of all shards, see `_across`, for sets as OPEN."""
+        k, percent = self.shingle, self.percent
         shards = max(1, left.count() * 4000 // (8 << 20))
 
         def emit(batches):
             for batch in batches:
                 for at in range(0, batch.num_rows, 4 * PAIRS_AT_ONCE):
                     part = batch.slice(at, 4 * PAIRS_AT_ONCE)
-                    text, found, sizes = shingle_sets(_whole(part.column("body")), k)
-                    facts = [part.column("key").to_numpy(), part.column("root").to_numpy(), sizes.astype(np.int64)]
+                    text, found, sizes = _opened(part.column("body"), k)
+                    facts = [part.column("key").to_numpy(), part.column("root").to_numpy(),
+                             sizes.astype(np.int64) | part.column("lone").to_numpy() << 32]
                     signature, who, above, filled = signatures(text, found, sizes, percent)
-                    facts += [*filled.astype(np.int32), _coarse(text, found, len(sizes))]
+                    coarse = np.frombuffer(b"".join(part.column("coarse").to_pylist()), np.uint8)
+                    facts += [*filled.astype(np.int32), coarse.reshape(-1, COARSE // 2)]
                     shard, entries = [], []
                     for s, (sig, w, up) in by_shard(shards, signature, signature, who, above):
                         docs, local = np.unique(w, return_inverse=True)
@@ -429,9 +544,7 @@ class JaccardJoin:
                                                      names=["shard", "entries"])
 
         return (left.mapInArrow(emit, "shard int, entries binary").groupBy("shard")
-                .applyInArrow(lambda t: _across(t["entries"].to_pylist(), percent), "a long, b long, agree int, need int")
-                .groupBy("a", "b").agg(F.sum("agree").alias("agree"), F.max("need").alias("need"))
-                .where("agree >= need").select("a", "b"))
+                .applyInArrow(lambda t: _across(t["entries"].to_pylist(), percent), "a long, b long, agree int, need int"))
 
     def result(self) -> DataFrame:
         """One row per row of the table: its id, ``n_shingles`` and ``component_id``."""

@@ -175,6 +175,55 @@ def test_jaccard(table, docs, k, percent):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted([*groups, *(i for i, n, _ in want if not n)])
 
 
+class Counted(JaccardJoin):
+    """Counts the rows of pairs that shards of regions make."""
+
+    def _in_regions(self, left):
+        pairs = super()._in_regions(left)
+        self.open, self.pairs = left.count(), pairs.count()
+        return pairs
+
+
+def test_regions_of_a_template_make_no_square_of_pairs(spark):
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(10 ** 6)}"
+    template = [word() for _ in range(120)]
+    docs = [(i, " ".join(template + [word() for _ in range(60)])) for i in range(150)]
+    twins = [(500 + i, " ".join([*text.split()[:-2], "other", "end"])) for i, text in docs[:5]]
+    join = Counted(spark.createDataFrame(docs + twins, "doc_id long, text string").repartition(3))
+    want = brute_components(docs + twins, 4, 85)
+    assert rows(join.result(), "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
+    assert join.open == 0 and join.pairs == 0  # 155 * 154 / 2 pairs share the template's regions
+
+
+@pytest.mark.parametrize("k, percent", [(4, 85), (5, 80), (1, 50)])
+def test_copies_at_all_distances(spark, k, percent):
+    r = random.Random(percent)
+    word = lambda: f"w{r.randrange(3000)}"
+    docs = []
+    for _ in range(3):
+        at = [[word() for _ in range(150)]]
+        for i in range(70):  # copies of the text or of a copy, with none to 30 words changed, some with a rest
+            copy = list(at[0] if i % 2 else r.choice(at))
+            for _ in range(r.choice([0, 1, 2, 4, 6, 8, 12, 30])):
+                copy[r.randrange(len(copy))] = word()
+            at.append(copy + [word() for _ in range(r.choice([0, 0, 4, 15]))])
+            docs.append((len(docs), " ".join(at[-1])))
+    join = Counted(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), shingle=k, percent=percent)
+    want = brute_components(docs, k, percent)
+    assert rows(join.result(), "doc_id", "n_shingles", "component_id") == sorted(want, key=repr)
+    assert join.open > 0
+
+
+def test_lone_shingles():
+    def entry(roots, tokens, at):
+        return np.int64(len(roots)).tobytes() + np.array(roots, np.int64).tobytes() + np.array(
+            tokens, np.uint32).tobytes() + np.array(at, np.uint32).tobytes()
+
+    got = jaccard._lone([entry([7], [1, 2, 3], [0, 0, 0]), entry([7, 9, -1], [3, 2, 4, 5], [0, 1, 2, 1])])
+    assert [np.unpackbits(np.frombuffer(g, np.uint8), count=n).tolist() for g, n in zip(got, (3, 4))] == [[1, 0, 1], [1, 0, 0, 1]]
+
+
 def test_representatives_follow_links_not_ids(spark):
     text = lambda name: " ".join(f"{name}{i}" for i in range(40))
     data = [(1, text("x")), (1, text("y")), (2, text("y")), (3, text("y") + " end"), (None, text("z")), (None, text("z")),
