@@ -24,6 +24,8 @@ from rolemill.plans.session import materialize
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 12 << 20
 MAX_ROWS = 1 << 20
+BATCH_BYTES = 4 << 20  # of the rows that Python gets at once; wide rows would else come by the thousands
+ROW_GROUP = 8 << 20  # bytes of blocks that a task reads at once
 BLOCK_SCHEMA = "block long, n int, rows binary"
 
 
@@ -58,7 +60,10 @@ def pack(df: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if parts:
             yield flush(base + seq, parts)
 
-    return materialize(df.mapInArrow(cut, BLOCK_SCHEMA), "blocks")
+    # Rows of megabytes, compressed already: sizes are looked at after each, not after the usual hundred.
+    options = {"compression": "none", "parquet.block.size": ROW_GROUP, "parquet.page.size.row.check.min": 1,
+               "parquet.block.size.row.check.min": 1}
+    return materialize(df.mapInArrow(cut, BLOCK_SCHEMA), "blocks", batch_bytes=BATCH_BYTES, **options)
 
 
 def unpack(value) -> pa.Table:

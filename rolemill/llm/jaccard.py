@@ -24,14 +24,17 @@ Equal sets cost one entry per block, and nothing is gathered by region outside a
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rolemill.llm.blocks import (
-    BLOCK_BYTES, answer, ask, by_shard, from_bytes, pack, restore, shard_count, tell, to_bytes)
+    BATCH_BYTES, BLOCK_BYTES, answer, ask, by_shard, from_bytes, pack, restore, shard_count, tell, to_bytes)
 from rolemill.llm.graph import components
 from rolemill.llm.words import U64, Words, hash_ranges, mix, runs
 from rolemill.plans.session import materialize
@@ -41,8 +44,8 @@ PERCENT = 85
 TILE = 512
 SLICES = 256  # slices of the distance tables
 COARSE = 64  # slices of the small tables that travel with regions, half a byte each
-PAIRS_AT_ONCE = 400
-TEXT_AT_ONCE = 4 << 20  # bytes of compressed texts that are opened together
+SETS_AT_ONCE = 1600
+TEXT_AT_ONCE = 2 << 20  # bytes of texts whose words are taken together
 PARTS = (4, 1)  # lone shingles are counted in a fourth of the space of shingles first, then in all of it
 OPEN = "key long, root long, body binary, size long, slices binary, lone long, coarse binary"
 
@@ -65,6 +68,34 @@ def shingle_sets(texts, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, found, np.bincount(text, minlength=len(words.first) - 1)
 
 
+def _stretches(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Starts and ends of neighbours that take TEXT_AT_ONCE together; what takes more is alone."""
+    starts, held = [0], 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > starts[-1] and held + size > TEXT_AT_ONCE:
+            starts.append(i)
+            held = 0
+        held += size
+    return list(zip(starts, [*starts[1:], len(sizes)]))
+
+
+def _sets(texts: pa.Array | pa.ChunkedArray, sizes: np.ndarray, k: int, opened=lambda part: part) -> tuple[np.ndarray, ...]:
+    """`shingle_sets` of texts of the given sizes, a few megabytes at a time."""
+    out = []
+    for start, end in _stretches(sizes):
+        text, found, n = shingle_sets(opened(texts.slice(start, end - start)), k)
+        out.append((text + start, found, n))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _text_sets(texts: pa.Array | pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _sets(texts, pc.fill_null(pc.binary_length(texts), 0).to_numpy(), k)
+
+
+#: Intermediate tables: Python gets few bytes at a time, and zstd streams where snappy holds whole pages outside the heap.
+_kept = partial(materialize, batch_bytes=BATCH_BYTES, compression="zstd")
+
+
 def _summed(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(n, U64)
     np.add.at(out, index, values)
@@ -286,22 +317,14 @@ def _whole(bodies: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def _bytes_of(bodies: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Sizes of the texts of `_squeezed`."""
+    return np.frombuffer(b"".join(pc.binary_slice(bodies, 0, 8).to_pylist()), "<i8")
+
+
 def _opened(bodies: pa.Array | pa.ChunkedArray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """`shingle_sets` of the texts of `_squeezed`, of which a few megabytes are open at a time."""
-    ends, held = [], 0
-    for i, body in enumerate(bodies.to_pylist()):
-        size = int.from_bytes(body[:8], "little")
-        if held and held + size > TEXT_AT_ONCE:
-            ends.append(i)
-            held = 0
-        held += size
-    text, found, sizes = [], [], []
-    for start, end in zip([0, *ends], [*ends, len(bodies)]):
-        t, f, n = shingle_sets(_whole(bodies.slice(start, end - start)), k)
-        text.append(t + start)
-        found.append(f)
-        sizes.append(n)
-    return np.concatenate(text), np.concatenate(found), np.concatenate(sizes)
+    return _sets(bodies, _bytes_of(bodies), k, _whole)
 
 
 def _lone(entries: list[bytes]) -> list[bytes]:
@@ -378,15 +401,15 @@ def _still_open(sets: DataFrame, k: int, percent: int, part: int) -> DataFrame:
                .append_column("coarse", pa.array([r.tobytes() for r in coarse], pa.binary())))
         return out.filter(pa.array(100 * (sizes - lone) >= percent * sizes))
 
-    return materialize(tell(blocks, answer(ask(blocks, ask_components), _lone), use, OPEN), "open")
+    return _kept(tell(blocks, answer(ask(blocks, ask_components), _lone), use, OPEN), "open")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, linked) for the pairs of keys that may link, by comparing their whole sets."""
     def compare(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, PAIRS_AT_ONCE):
-                part = batch.slice(at, PAIRS_AT_ONCE)
+            for start, end in _stretches(_bytes_of(batch.column("ta")) + _bytes_of(batch.column("tb"))):
+                part = batch.slice(start, end - start)
                 ta, fa, na = shingle_sets(_whole(part.column("ta")), k)
                 tb, fb, nb = shingle_sets(_whole(part.column("tb")), k)
                 text, found = np.concatenate((ta, tb)), np.concatenate((fa, fb))
@@ -426,7 +449,7 @@ class JaccardJoin:
         shards = shard_count(self.blocks, 2_200_000)
 
         def ask_regions(block, rows):
-            text, found, sizes = shingle_sets(rows[text_], k)
+            text, found, sizes = _text_sets(rows[text_], k)
             n = len(sizes)
             f1, f2 = _summed(text, mix(found, 51), n), _summed(text, mix(found, 52), n)
             ids = rows[id_].cast(pa.int64())
@@ -451,7 +474,7 @@ class JaccardJoin:
             return pa.table([pa.array(keys), pa.array(ids, mask=known == 0), pa.array(sizes), pa.array(f1), pa.array(f2),
                              pa.array(np.ones(len(keys), bool))], names=["a", "b", "n", "f1", "f2", "is_row"])
 
-        found = materialize(ask(self.blocks, ask_regions).groupBy("shard").applyInArrow(decide, STARS), "regions")
+        found = _kept(ask(self.blocks, ask_regions).groupBy("shard").applyInArrow(decide, STARS), "regions")
         rows = found.where("is_row").select(F.col("a").alias("key"), F.col("b").alias("id"), "n", "f1", "f2")
         facts = F.struct("n", "f1", "f2")
         stars = found.where("not is_row").groupBy("a", "b").agg(F.sum("n").alias("votes"))
@@ -462,23 +485,23 @@ class JaccardJoin:
                  .select("a", F.explode("keys").alias("b")).where("a <> b"))
         known = (stars.join(rows.select(F.col("key").alias("a"), facts.alias("fa")), "a")
                  .join(rows.select(F.col("key").alias("b"), facts.alias("fb")), "b"))
-        known = materialize(known.select("a", "b", "votes", (F.col("fa") == F.col("fb")).alias("equal")), "stars")
+        known = _kept(known.select("a", "b", "votes", (F.col("fa") == F.col("fb")).alias("equal")), "stars")
         compared = known.select("a").unionByName(known.select(F.col("b").alias("a"))).distinct()
         texts = self._texts(compared)
         # First the pivot that most regions propose, then the other pivots of what is still apart.
         rank = F.struct("votes", F.xxhash64("a"), "a")
         first = known.where("not equal").groupBy("b").agg(F.max_by("a", rank).alias("a")).select("a", "b")
-        tested = materialize(_linked(first, texts, k, percent).unionByName(
+        tested = _kept(_linked(first, texts, k, percent).unionByName(
             known.where("equal").select("a", "b", F.lit(True).alias("linked"))).unionByName(
             local.withColumn("linked", F.lit(True))), "tested")
-        final = materialize(components(tested.where("linked").select("a", "b")), "components")
+        final = _kept(components(tested.where("linked").select("a", "b")), "components")
         for candidates in (lambda: (self._apart(known, final).select("a", "b"), texts),
                            lambda: self._across_components(self._apart(known, final), final, texts)):
             pairs, bodies = candidates()
-            more = materialize(_linked(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"),
+            more = _kept(_linked(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"),
                                        bodies, k, percent), "tested")
             tested = tested.unionByName(more)
-            final = materialize(components(final.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            final = _kept(components(final.select(F.col("node").alias("a"), F.col("root").alias("b"))
                                            .unionByName(more.where("linked").select("a", "b"))), "components")
         members = final.join(rows.select(F.col("key").alias("node"), "id"), "node")
         lowest = members.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -493,13 +516,13 @@ class JaccardJoin:
         def pick(block, rows, told):
             at = np.array(sorted(t["a"] - (block << 20) for t in told), np.int64) if rows is not None else np.zeros(0, np.int64)
             body = rows[text_].cast(pa.string()).take(pa.array(at)).combine_chunks() if len(at) else pa.array([], pa.string())
-            text, found, sizes = shingle_sets(body, k)
+            text, found, sizes = _text_sets(body, k)
             slices = _tables(text, found, len(at), SLICES, 61)
             return pa.table([pa.array((block << 20) + at), _squeezed(body), pa.array(sizes.astype(np.int64)),
                              pa.array([r.tobytes() for r in slices], pa.binary())], names=["key", "body", "size", "slices"])
 
         asked = keys.select(F.shiftright("a", 20).alias("block"), "a")
-        return materialize(tell(self.blocks, asked, pick, "key long, body binary, size long, slices binary"), "texts")
+        return _kept(tell(self.blocks, asked, pick, "key long, body binary, size long, slices binary"), "texts")
 
     @staticmethod
     def _apart(stars: DataFrame, linked: DataFrame) -> DataFrame:
@@ -526,8 +549,8 @@ class JaccardJoin:
 
         def emit(batches):
             for batch in batches:
-                for at in range(0, batch.num_rows, 4 * PAIRS_AT_ONCE):
-                    part = batch.slice(at, 4 * PAIRS_AT_ONCE)
+                for at in range(0, batch.num_rows, SETS_AT_ONCE):
+                    part = batch.slice(at, SETS_AT_ONCE)
                     text, found, sizes = _opened(part.column("body"), k)
                     facts = [part.column("key").to_numpy(), part.column("root").to_numpy(),
                              sizes.astype(np.int64) | part.column("lone").to_numpy() << 32]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from rolemill.llm.blocks import answer, ask, by_shard, from_bytes, pack, restore, shard_count, tell, to_bytes
+from rolemill.llm.blocks import BATCH_BYTES, answer, ask, by_shard, from_bytes, pack, restore, shard_count, tell, to_bytes
 from rolemill.llm.words import U64, Words, hash_ranges, runs, sliding_min
 from rolemill.plans.session import materialize
 
@@ -189,7 +189,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = WINDOW, ph
         for s, cols in by_shard(shards, found, found, span, kind):
             yield s, to_bytes(*cols)
 
-    status = materialize(answer(ask(blocks, ask_phrases), _phrase_status), "phrases")
+    status = materialize(answer(ask(blocks, ask_phrases), _phrase_status), "phrases", batch_bytes=BATCH_BYTES)
 
     def windows_of(rows, told):
         win = _Windows(rows[own], window, phrase)

@@ -9,11 +9,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from rolemill.llm.graph import components
-from rolemill.llm import jaccard
+from rolemill.llm import blocks, jaccard
 from rolemill.llm.jaccard import JaccardJoin
 from rolemill.llm.language_id import fit, identify
 from rolemill.llm.language_model import score_texts
@@ -24,6 +25,7 @@ from rolemill.llm.topk import top_k
 from rolemill.llm.vectors_near import near_vectors
 from rolemill.llm.warc import archive
 from rolemill.llm.words import Words
+from rolemill.plans.session import BATCH_CONF, materialize
 
 SPACES = rb"[\x20\x09-\x0d]+"
 SCHEMA = "doc_id long, text string, n_words string, score string"  # the last two clash with added columns
@@ -224,6 +226,34 @@ def test_lone_shingles():
     assert [np.unpackbits(np.frombuffer(g, np.uint8), count=n).tolist() for g, n in zip(got, (3, 4))] == [[1, 0, 1], [1, 0, 0, 1]]
 
 
+def test_tasks_take_wide_rows_a_few_at_a_time(spark):
+    wide = spark.range(40, numPartitions=1).select("id", F.randstr(F.lit(1 << 20), F.lit(5)).alias("text"))
+    packed = blocks.pack(wide, "text")
+    groups = [g for f in packed.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file:")).metadata]
+              for g in (m.row_group(i).total_byte_size for i in range(m.num_row_groups))]
+    assert sum(groups) > 3 * blocks.ROW_GROUP and max(groups) < 2 * blocks.ROW_GROUP
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["size"])
+
+    got = materialize(wide.mapInArrow(sizes, "size long"), "sizes", batch_bytes=blocks.BATCH_BYTES)
+    assert got.agg(F.max("size")).first()[0] < 2 * blocks.BATCH_BYTES
+    assert spark.conf.get(BATCH_CONF, None) is None
+
+
+def test_texts_are_opened_a_few_megabytes_at_a_time(monkeypatch):
+    texts = pa.array(["a b c d e f", None, "", "x y", "a b c d e " * 50, "b c d e"])
+    want, bodies, taken = jaccard.shingle_sets(texts, 4), jaccard._squeezed(texts), []
+    take = lambda part, k, f=jaccard.shingle_sets: taken.append(len("".join(part.to_pylist()))) or f(part, k)
+    monkeypatch.setattr(jaccard, "TEXT_AT_ONCE", 20)
+    assert jaccard._bytes_of(bodies).tolist() == [11, 0, 0, 3, 500, 7]
+    assert all(map(np.array_equal, jaccard._text_sets(texts, 4), want))
+    monkeypatch.setattr(jaccard, "shingle_sets", take)
+    assert all(map(np.array_equal, jaccard._opened(bodies, 4), want))
+    assert taken == [14, 500, 7]
+
+
 def test_representatives_follow_links_not_ids(spark):
     text = lambda name: " ".join(f"{name}{i}" for i in range(40))
     data = [(1, text("x")), (1, text("y")), (2, text("y")), (3, text("y") + " end"), (None, text("z")), (None, text("z")),
