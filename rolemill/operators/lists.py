@@ -4,7 +4,8 @@ Centres are fitted on a bounded sample; every vector is filed under its closest
 in whole numbers from -127 to 127, a scale and the length of what the numbers miss.  That length bounds how
 far a cosine worked out from the numbers can be off, so a search ships and compares small codes, keeps
 whatever can still be among the best, and compares full vectors for that short list alone.  Within the
-lists it visits a search is exact; how many it visits buys recall.
+lists it visits a search is exact; how many it visits buys recall.  Lists travel in strips, and a query
+meets a strip once, with a bit for each list that it visits there.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rolemill.operators.match import BLOCK, MATRIX_CELLS, TIE_DIGITS, cells
+from rolemill.operators.match import BLOCK, MATRIX_CELLS, QUERY_STRIP, TIE_DIGITS, TILE, strips
 from rolemill.plans.session import materialize
 
 SAMPLE = 16_384  # vectors that centres are fitted on: the only sample, taken by hash of the id
 MOST_LISTS = 4096
 ROUNDS = 12
+CODE_STRIP = 1 << 24  # numbers in the codes of a strip of lists
 MARGIN = 1e-9  # room for the rounding of sums
 
 
@@ -118,12 +120,93 @@ def file_vectors(items: DataFrame, dim: int, id: str = "id", vec: str = "embeddi
     return Lists(centres, sizes, radius, filed.inputFiles()[0].split("/_list=")[0] if n else "", filed)
 
 
-def _to_visit(unit: np.ndarray, centres: np.ndarray, sizes: np.ndarray, share: float) -> list[np.ndarray]:
-    """Closest lists of every query, until they hold ``share`` of all vectors."""
+def _to_visit(unit: np.ndarray, centres: np.ndarray, sizes: np.ndarray, share: float) -> np.ndarray:
+    """Which lists every query visits, a row a query: the closest ones, until they hold ``share`` of all vectors."""
+    if share >= 1:
+        return np.ones((len(unit), len(centres)), bool)
     order = np.argsort(-(unit @ centres.T), axis=1)
     held = np.cumsum(sizes[order], axis=1)
-    last = (held >= share * sizes.sum()).argmax(axis=1) if share < 1 else np.full(len(order), order.shape[1] - 1)
-    return [row[:n + 1] for row, n in zip(order.astype(np.int32), last)]
+    last = (held >= share * sizes.sum()).argmax(axis=1)
+    seen = np.zeros(order.shape, bool)
+    np.put_along_axis(seen, order, np.arange(len(centres)) <= last[:, None], axis=1)
+    return seen
+
+
+def _strips_of(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first strip, number of strips) of every list: lists share strips of about ``rows`` vectors, one that holds more has strips of its own."""
+    first, pieces, at, held = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // rows)), 0, 0
+    for n, size in enumerate(sizes):
+        if held and held + size > rows:
+            at, held = at + 1, 0
+        first[n], held = at, held + size
+        if pieces[n] > 1:
+            at, held = at + pieces[n], 0
+    return first, pieces
+
+
+def _raise(best: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Merge values of some rows into ``best``, the highest values of every row."""
+    k = best.shape[1]
+    order = np.lexsort((-values, rows))
+    who, first, n = np.unique(rows[order], return_index=True, return_counts=True)
+    rank = np.arange(len(order)) - np.repeat(first, n)
+    new = np.full((len(who), k), -np.inf)
+    new[np.repeat(np.arange(len(who)), n)[rank < k], rank[rank < k]] = values[order][rank < k]
+    best[who] = -np.sort(-np.concatenate([best[who], new], axis=1), axis=1)[:, :k]
+
+
+def _short_list(unit: np.ndarray, seen: np.ndarray, q_ids: np.ndarray, centres: np.ndarray, place: np.ndarray, i_ids: np.ndarray,
+                codes: np.ndarray, scale: np.ndarray, err: np.ndarray, k: int, skip_same_id: bool) -> tuple[np.ndarray, ...]:
+    """(row, item, lowest and highest cosine, codes looked at by row): whatever can be among a row's ``k`` best of the lists it visits.
+
+    ``place`` has the list of every item, in ascending order; ``seen`` a column a list.
+    """
+    best, scanned = np.full((len(unit), k), -np.inf), np.zeros(len(unit), np.int64)  # best: the highest lower bounds so far
+    found, held, most = [], 0, MATRIX_CELLS
+
+    def still() -> tuple[np.ndarray, ...]:
+        rows, cols, low, high = (np.concatenate(x) for x in zip(*found))
+        fine = high >= best[rows, k - 1]
+        return rows[fine], cols[fine], low[fine], high[fine]
+
+    ends = np.searchsorted(place, np.arange(len(centres)), "right")
+    for n, (start, end) in enumerate(zip([0, *ends], ends)):
+        visitors = np.flatnonzero(seen[:, n])
+        if skip_same_id and start < end and (i_ids[start:end] == i_ids[start]).all():  # a list of one id is none to that id
+            visitors = visitors[q_ids[visitors] != i_ids[start]]
+        scanned[visitors] += end - start
+        for a in range(start, end, BLOCK):
+            b = min(a + BLOCK, end)
+            near = centres[n] + codes[a:b] * scale[a:b, None]
+            for at in range(0, len(visitors), TILE):
+                part = visitors[at:at + TILE]
+                about = unit[part] @ near.T
+                floor = best[part, k - 1]
+                new = np.flatnonzero(floor == -np.inf)
+                if len(new) and b - a > k:  # fewer than k seen so far: the k-th best here will do
+                    low = about[new] - err[a:b]
+                    if skip_same_id:
+                        low[q_ids[part[new], None] == i_ids[None, a:b]] = -np.inf
+                    floor[new] = -np.partition(-low, k - 1, axis=1)[:, k - 1]
+                rows, cols = np.nonzero(about >= floor[:, None] - err[a:b])
+                about, cols, rows = about[rows, cols], cols + a, part[rows]
+                if skip_same_id:
+                    fine = q_ids[rows] != i_ids[cols]
+                    about, cols, rows = about[fine], cols[fine], rows[fine]
+                if not len(rows):
+                    continue
+                low = about - err[cols]
+                found.append((rows, cols, low, about + err[cols]))
+                held += len(rows)
+                better = low > best[rows, k - 1]
+                _raise(best, rows[better], low[better])
+                if held > most:  # much of what was kept early goes again
+                    found = [still()]
+                    held = len(found[0][0])
+                    most = max(MATRIX_CELLS, 2 * held)
+    if not found:
+        return (*(np.zeros(0, kind) for kind in (np.int64, np.int64, float, float)), scanned)
+    return (*still(), scanned)
 
 
 def search_lists(queries: DataFrame, index: Lists, k: int, share: float, query_id: str = "id",
@@ -132,46 +215,60 @@ def search_lists(queries: DataFrame, index: Lists, k: int, share: float, query_i
 
     (``query_id``, ``item_id``, ``distance``, ``rank``, ``scanned``, ``compared``): exact cosine distances, ties by id;
     how many codes were looked at and how many full vectors compared for the query.  ``share = 1`` visits every
-    list and is exact.  Crowded lists are cut into cells of ``block`` by ``block``.
+    list and is exact.  Lists lie in strips of bounded bytes, or of ``block`` vectors and more where cores would
+    idle; a query is sent once to every strip in which it visits a list, a crowded list is cut into several.
     """
     dim = index.centres.shape[1]
     asked = usable(queries, query_id, query_vec, dim)
     spark = queries.sparkSession
-    # At most 4096 centres and a number each; arrays alone, since a broadcast's classes do not travel with the job.
-    shared = spark.sparkContext.broadcast((index.centres, index.sizes))
-
-    @F.pandas_udf("array<int>")
-    def to_visit(vecs: pd.Series) -> pd.Series:
-        if vecs.empty:
-            return pd.Series([], dtype=object)
-        return pd.Series([v.tolist() for v in _to_visit(_matrix(vecs), *shared.value, share)])
-
-    q = asked.withColumn("_bucket", F.explode(to_visit("_vec")))
-    i = index.rows.select(F.col("_list").alias("_bucket"), "_id", "_code", "_scale", "_err")
-    kinds = [asked.schema["_id"].dataType.simpleString(), index.rows.schema["_id"].dataType.simpleString()]
+    parallel, n_items = spark.sparkContext.defaultParallelism, int(index.sizes.sum())
+    first, pieces = _strips_of(index.sizes, max(1, -(-n_items // strips(n_items, dim, block, CODE_STRIP, parallel))))
+    own = [np.flatnonzero((first <= x) & (x < first + pieces)) for x in range(int((first + pieces).max()))]
+    q_strips = strips(asked.count(), dim, block, QUERY_STRIP, parallel)
+    # At most 4096 centres and a few numbers each; arrays alone, since a broadcast's classes do not travel with the job.
+    shared = spark.sparkContext.broadcast((index.centres, index.sizes, own))
+    sent = T.StructType([*asked.schema.fields, T.StructField("_ic", T.IntegerType()), T.StructField("_seen", T.BinaryType())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, sizes, own = shared.value
+        step = max(1, MATRIX_CELLS // len(centres))
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
+            seen = _to_visit(_matrix(batch.column("_vec")), centres, sizes, share)
+            for strip, lists in enumerate(own):
+                rows = np.flatnonzero(seen[:, lists].any(axis=1))
+                if not len(rows):
+                    continue
+                bits = np.packbits(seen[np.ix_(rows, lists)], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(pa.array(rows)) for c in batch.columns), pa.array(np.full(len(rows), strip, np.int32)),
+                     pa.array([x.tobytes() for x in bits], pa.binary())], names=sent.names)
 
     def solve(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": q["_id"][:0], "item_id": i["_id"][:0], "low": [], "high": [], "scanned": []})
         if q.empty or i.empty:
-            return empty
-        unit, q_ids, i_ids = _matrix(q["_vec"]), q["_id"].to_numpy(), i["_id"].to_numpy()
-        codes = np.frombuffer(b"".join(i["_code"]), np.int8).reshape(len(i), dim).astype(np.float64)
-        centre, scale, err = shared.value[0][q["_bucket"].iloc[0]], i["_scale"].to_numpy(), i["_err"].to_numpy() + MARGIN
-        out, step = [], max(1, MATRIX_CELLS // len(i))
-        for at in range(0, len(q), step):
-            part = unit[at:at + step]
-            about = (part @ centre)[:, None] + (part @ codes.T) * scale
-            if skip_same_id:
-                about[q_ids[at:at + step, None] == i_ids[None, :]] = -np.inf
-            low, high = about - err, about + err
-            floor = -np.partition(-low, k - 1, axis=1)[:, k - 1:k] if k < len(i) else -np.inf
-            rows, cols = np.nonzero((high >= floor) & np.isfinite(about))
-            first = np.append(True, rows[1:] != rows[:-1]) if len(rows) else np.zeros(0, bool)
-            out.append(pd.DataFrame({"query_id": q_ids[at + rows], "item_id": i_ids[cols], "low": low[rows, cols],
-                                     "high": high[rows, cols], "scanned": first * len(i)}))
-        return pd.concat(out)
-
-    listed = cells(q, i, block, solve, f"query_id {kinds[0]}, item_id {kinds[1]}, low double, high double, scanned bigint")
+            return pd.DataFrame({"query_id": q["_id"][:0], "item_id": i["_id"][:0], "low": [], "high": [], "scanned": []})
+        lists = shared.value[2][q["_ic"].iloc[0]]
+        seen = np.unpackbits(np.frombuffer(b"".join(q["_seen"]), np.uint8).reshape(len(q), -1), axis=1, count=len(lists)).astype(bool)
+        i = i.sort_values("_list", kind="stable")
+        q_ids, i_ids = q["_id"].to_numpy(), i["_id"].to_numpy()
+        rows, cols, low, high, scanned = _short_list(
+            _matrix(q["_vec"]), seen, q_ids, shared.value[0][lists], np.searchsorted(lists, i["_list"].to_numpy()), i_ids,
+            np.frombuffer(b"".join(i["_code"]), np.int8).reshape(len(i), dim), i["_scale"].to_numpy(),
+            i["_err"].to_numpy() + MARGIN, k, skip_same_id)
+        order = np.argsort(rows, kind="stable")
+        rows, cols = rows[order], cols[order]
+        first = np.append(True, rows[1:] != rows[:-1]) if len(rows) else np.zeros(0, bool)
+        return pd.DataFrame({"query_id": q_ids[rows], "item_id": i_ids[cols], "low": low[order], "high": high[order],
+                             "scanned": first * scanned[rows]})
+
+    places = F.broadcast(spark.createDataFrame(
+        [(n, int(a), int(b)) for n, (a, b) in enumerate(zip(first, pieces))], "_list int, _first int, _pieces int"))
+    q = asked.mapInArrow(send, sent).withColumn("_qc", F.pmod(F.xxhash64("_id"), F.lit(q_strips)).cast("int"))
+    i = index.rows.join(places, "_list").select(
+        "_id", "_list", "_code", "_scale", "_err", (F.col("_first") + F.pmod(F.xxhash64("_id"), "_pieces")).cast("int").alias("_ic"),
+        F.explode(F.sequence(F.lit(0), F.lit(q_strips - 1))).alias("_qc"))
+    kinds = [asked.schema["_id"].dataType.simpleString(), index.rows.schema["_id"].dataType.simpleString()]
+    listed = q.groupBy("_qc", "_ic").cogroup(i.groupBy("_qc", "_ic")).applyInPandas(
+        solve, f"query_id {kinds[0]}, item_id {kinds[1]}, low double, high double, scanned bigint")
     by_query = Window.partitionBy("query_id")
     reach = F.max(F.when(F.col("_n") == k, F.col("low"))).over(by_query)
     short = (listed.withColumn("_n", F.row_number().over(by_query.orderBy(F.desc("low"))))

@@ -149,47 +149,35 @@ def _schema(queries: DataFrame, items: DataFrame) -> str:
     return f"query_id {q}, item_id {i}, distance double"
 
 
-def _strips(df: DataFrame, block: int, most: int, parallel: int) -> int:
-    """Into how many strips one side is cut: as few as hold ``most`` numbers, since the other side is copied for each.
+def strips(n: int, width: int, block: int, most: int, parallel: int) -> int:
+    """Into how many strips ``n`` vectors are cut: as few as hold ``most`` numbers, since the other side is copied for each.
 
     A smaller side is cut further, into blocks, until every core has a few cells.
     """
-    seen = df.agg(F.count("*").alias("n"), F.max(F.size("_vec")).alias("width")).first()
-    blocks, full = -(-seen["n"] // block), -(-seen["n"] * max(1, seen["width"] or 1) // most)
+    blocks, full = -(-n // block), -(-n * max(1, width) // most)
     return max(1, full, min(blocks, int(np.ceil((4 * parallel) ** 0.5))))
 
 
-def cells(queries: DataFrame, items: DataFrame, block: int, solve, schema: str, in_buckets: bool = True) -> DataFrame:
-    """``solve`` over every cell of every bucket.
+def _strips(df: DataFrame, block: int, most: int, parallel: int) -> int:
+    seen = df.agg(F.count("*").alias("n"), F.max(F.size("_vec")).alias("width")).first()
+    return strips(seen["n"], seen["width"] or 1, block, most, parallel)
 
-    Both sides carry ``_bucket`` and ``_id``.  A bucket is cut into cells of about ``block``
-    queries by ``block`` items, however full it is, so a crowded bucket becomes
-    many equal tasks.  The size table has one row per bucket; without buckets both sides
-    are cut into strips of at least ``block`` rows (`_strips`), whose numbers become literals.
-    """
-    if in_buckets:
-        def cuts(df: DataFrame, name: str) -> DataFrame:
-            return df.groupBy("_bucket").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias(name))
 
-        sizes = cuts(queries, "_qn").join(cuts(items, "_in"), "_bucket")
-        queries, items = queries.join(sizes, "_bucket"), items.join(sizes, "_bucket")
-    else:
-        parallel = queries.sparkSession.sparkContext.defaultParallelism
-        numbers = {name: F.lit(_strips(df, block, most, parallel)) for name, df, most in (
-            ("_qn", queries, QUERY_STRIP), ("_in", items, ITEM_STRIP))}
-        numbers["_bucket"] = F.lit(0)
-        queries, items = queries.withColumns(numbers), items.withColumns(numbers)
+def cells(queries: DataFrame, items: DataFrame, block: int, solve, schema: str) -> DataFrame:
+    """``solve`` over every cell: both sides are cut into strips of at least ``block`` rows by ``_id`` (`strips`)."""
+    parallel = queries.sparkSession.sparkContext.defaultParallelism
+    q_strips = _strips(queries, block, QUERY_STRIP, parallel)
+    i_strips = _strips(items, block, ITEM_STRIP, parallel)
 
-    def spread(df: DataFrame, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
+    def spread(df: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
         return (
-            df.withColumn(own, F.pmod(F.xxhash64("_id"), F.col(own_n)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), (F.col(other_n) - 1).cast("int"))))
-            .drop("_qn", "_in")
+            df.withColumn(own, F.pmod(F.xxhash64("_id"), F.lit(own_n)).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
         )
 
-    cell = ["_bucket", "_qc", "_ic"]
-    q_cells = spread(queries, "_qc", "_qn", "_ic", "_in")
-    i_cells = spread(items, "_ic", "_in", "_qc", "_qn")
+    cell = ["_qc", "_ic"]
+    q_cells = spread(queries, "_qc", q_strips, "_ic", i_strips)
+    i_cells = spread(items, "_ic", i_strips, "_qc", q_strips)
     return q_cells.groupBy(*cell).cogroup(i_cells.groupBy(*cell)).applyInPandas(solve, schema)
 
 
@@ -201,7 +189,7 @@ def _block_join(queries: DataFrame, items: DataFrame, k: int, block: int, skip_s
             q["_id"].to_numpy(), q["_vec"].to_numpy(), i["_id"].to_numpy(), i["_vec"].to_numpy())]
         return pd.concat(found) if found else none
 
-    return cells(queries, items, block, solve, _schema(queries, items), in_buckets=False)
+    return cells(queries, items, block, solve, _schema(queries, items))
 
 
 def top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "id", item_id: str = "id",

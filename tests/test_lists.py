@@ -106,3 +106,34 @@ def test_broadcasts_need_no_copy_of_the_package(spark, monkeypatch):
     index = lists.file_vectors(df, 24, lists=4)
     lists.search_lists(df, index, 3, 0.9, skip_same_id=True)
     assert len(sent) == 2 and not any(b"rolemill" in pickle.dumps(value) for value in sent)
+
+
+def test_vectors_are_sent_by_strip_not_by_list(spark, monkeypatch):
+    """However many lists a query visits, its vector is sent once for each strip of lists, and rows of pairs stay few."""
+    df, grouped = table(spark, clustered()), []
+    group = type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *cols: grouped.append(self) or group(self, *cols))
+    index = lists.file_vectors(df, 24, lists=40)
+    grouped.clear()
+    got = lists.search_lists(df, index, 5, 1.0, skip_same_id=True, block=100)
+    sent = [x.count() for x in grouped if {"_vec", "_code"} & set(x.columns)]
+    assert sent and max(sent) < 12 * 600, sent  # 6 to 11 strips on 8 cores, 40 lists
+    assert found(got) == found(match.top_k(df, df, 5, skip_same_id=True))
+
+
+def test_short_lists_in_small_steps(spark, monkeypatch):
+    """Chunks of a list, tiles of queries and early pruning leave the results and the counts as they are."""
+    mat = clustered(300, seed=4)
+    mat[100:250] = mat[7]  # a list of more than a strip
+    df = table(spark, mat)
+    df = df.unionByName(df.where("id < 9"))  # ids that come twice
+    index = lists.file_vectors(df, 24)
+
+    def run(**sizes):
+        for name, n in sizes.items():
+            monkeypatch.setattr(lists, name, n)
+        return sorted(tuple(r) for r in lists.search_lists(df, index, 4, 0.9, skip_same_id=True, block=300 if not sizes else 40).collect())
+
+    assert run() == run(BLOCK=16, TILE=7, MATRIX_CELLS=60)
+    first, pieces = lists._strips_of(np.array([3, 3, 10, 0, 4, 4, 4]), 4)
+    assert list(zip(first, pieces)) == [(0, 1), (1, 1), (2, 3), (5, 1), (5, 1), (6, 1), (7, 1)]
